@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from patchspark.llm import exact_dedup, mixing
+from patchspark.llm import bpe, exact_dedup, langid, mixing
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
