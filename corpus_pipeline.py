@@ -1,14 +1,43 @@
-"""A corpus pipeline: each stage applies one operator to what the stage before it kept."""
+"""A corpus pipeline: each stage applies one operator to what the stage before it kept.
+
+Language ID (what it rejects goes), exact and near duplicates (one document of each group stays), mixing (documents are
+repeated or left out so that sources meet their weights), and encoding (the tokens of each document).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from patchspark.llm import bpe, exact_dedup, langid, minhash, mixing
+from patchspark.llm.store import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.recognised(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.one_of_each(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and ids of each row of the mix."""
+    return docs.select("doc_id", "lang", "source", bpe.encoded(spark, F.col("text")).alias("e")).select(
+        "doc_id", "lang", "source", "e.*")
 
-from patchspark.llm.store import shared_dir, written
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("encoding", encode)]
 
-#: Language models, sketches and tokenizers are not expressible in SQL; tests/llm checks the stages by brute force.
+#: Centroids, signatures and merges are not expressible in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -56,6 +56,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns."""
+    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    digest = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, " "), 256)
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]) & (digest == stay["__digest"]), "left_semi")
+
+
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -159,6 +159,12 @@ def learnt(docs: DataFrame) -> dict:
     return fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
 
 
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language is not rejected, with all their columns."""
+    judged = docs.withColumn("__p", predicted(docs.sparkSession, F.col("text"), learnt(docs)))
+    return judged.where(~F.col("__p.rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from patchspark.llm import bpe, exact_dedup, langid, mixing
+from patchspark.llm import bpe, exact_dedup, langid, minhash, mixing
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op7_minhash": minhash.op7_minhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
 }
