@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,7 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Arcs, and words with their tokens, that a worker keeps before it starts afresh.
-KEPT_ARCS, KEPT_WORDS = 400_000, 400_000
+KEPT_ARCS, KEPT_WORDS = 300_000, 800_000
+
+
+#: Letters of Latin-1 without its three signs that count as letters.
+LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 
 
 class Transducer:
@@ -30,9 +35,11 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token_bytes = {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.single = [bytes((i,)) for i in range(256)]
         self.beginnings = {token[:i] for token in ranks for i in range(1, len(token))}
         self.longest = max(map(len, ranks))
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = {}, {}
         self._forget()
 
@@ -73,53 +80,66 @@ class Transducer:
 
         On equal ranks the leftmost pair is joined first. merged(left + right) == [left, right] says the same, slower.
         """
-        if (left, right) not in self.stable:
-            if len(self.stable) > 4 * KEPT_ARCS:
-                self.stable.clear()
-            ranks = self.ranks
-            self.stable[left, right] = not any(
-                (r := ranks.get(a + b)) is not None and r < a_until and r <= b_until
-                for a, a_until in self._edge(left, True) for b, b_until in self._edge(right, False))
-        return self.stable[left, right]
+        stable, rank_of = True, self.ranks.get
+        for a, a_until in self.edges[True].get(left) or self._edge(left, True):
+            for b, b_until in self.edges[False].get(right) or self._edge(right, False):
+                r = rank_of(a + b)
+                if r is not None and r < a_until and r <= b_until:
+                    stable = False
+        if len(self.stable) > 2 * KEPT_ARCS:
+            self.stable.clear()
+        self.stable[left << 32 | right] = stable
+        return stable
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, read, lasts, heads = self.states[state]
-        read += bytes((byte,))
-        n = len(read)
-        for start in range(max(0, n - self.longest), n):
-            token = self.ranks.get(read[start:])
-            left = lasts[start - 1] if start else before
-            if token is not None and left is not None and (left < 0 or self._is_stable(left, token)):
-                break
+        read += self.single[byte]
+        n, rank_of, beginnings, stable = len(read), self.ranks.get, self.beginnings, self.stable
+        for start in range(n - self.longest if n > self.longest else 0, n):
+            token = rank_of(read[start:])
+            if token is not None:
+                left = lasts[start - 1] if start else before
+                if left is None:
+                    continue
+                if left < 0:
+                    break
+                fits = stable.get(left << 32 | token)
+                if self._is_stable(left, token) if fits is None else fits:
+                    break
         else:
             raise ValueError(f"no token ends {read!r}")
-        # heads: the end of the first token on the way to each prefix
+        # heads: where the first token on the way to each prefix ends
         lasts, heads = (*lasts, token), (*heads, heads[start - 1] if start else n)
-        emitted: list[int] = []
-        while read:
+        emitted: tuple[int, ...] = ()
+        while read and read not in beginnings:
             n = len(read)
-            open_at = next((s for s in range(max(0, n - self.longest), n) if read[s:] in self.beginnings), n)
-            if not open_at or len(ends := set(heads[open_at - 1 :])) != 1:
+            open_at = n - self.longest if n > self.longest else 1
+            while open_at < n and read[open_at:] not in beginnings:
+                open_at += 1
+            end = heads[-1]
+            if any(h != end for h in heads[open_at - 1 :]):
                 break
-            end = ends.pop()
-            emitted.append(before := lasts[end - 1])
-            # what follows the emitted token, as seen from its end; prefixes that don't pass there are out of reach
-            rest = [(t, h) for t, h in zip(lasts[end:], heads[end:], strict=True)]
-            read, new_lasts, new_heads = read[end:], [], []
-            for i, (t, h) in enumerate(rest, 1):
-                start = i - len(self.token_bytes[t]) if t is not None else -1
-                if h != end or start < 0 or (start and new_lasts[start - 1] is None):
-                    new_lasts.append(None)
-                    new_heads.append(None)
+            before = lasts[end - 1]
+            emitted += (before,)
+            # what follows the emitted token, as seen from its end; prefixes that are not reached through it are closed
+            new_lasts: list[int | None] = []
+            new_heads: list[int | None] = []
+            for i in range(end, n):
+                at, t = i - end + 1, lasts[i]
+                start = at - self.sizes[t] if heads[i] == end else -1
+                if start < 0 or start and new_lasts[start - 1] is None:
+                    t = head = None
                 else:
-                    new_lasts.append(t)
-                    new_heads.append(new_heads[start - 1] if start else i)
-            lasts, heads = tuple(new_lasts), tuple(new_heads)
+                    head = new_heads[start - 1] if start else at
+                new_lasts.append(t)
+                new_heads.append(head)
+            read, lasts, heads = read[end:], tuple(new_lasts), tuple(new_heads)
         key = (before, read)
-        if key not in self.number:
-            self.number[key] = len(self.states)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.states)
             self.states.append((before, read, lasts, heads))
-        arc = self.arcs[state << 8 | byte] = (self.number[key], tuple(emitted))
+        arc = self.arcs[state << 8 | byte] = (to, emitted)
         return arc
 
     def encode(self, raw: bytes) -> list[int]:
@@ -134,7 +154,7 @@ class Transducer:
         rest, end = [], len(read)
         while end:
             rest.append(lasts[end - 1])
-            end -= len(self.token_bytes[rest[-1]])
+            end -= self.sizes[rest[-1]]
         return out + rest[::-1]
 
 
@@ -196,7 +216,11 @@ class Codec:
         import regex
 
         self.fst = fst = Transducer(read_ranks(raw))
-        self.split = regex.compile(pattern).findall
+        self.any_text = regex.compile(pattern).findall
+        # For texts of these characters alone, white space, letters and digits are short lists, which `re` finds faster.
+        self.unlisted = re.compile(f"[^\t\n\r -~{LETTERS}]").search
+        plain = re.sub(r"(?<!\[\^\\s)\\p\{([LN])\}(?!\\p|\])", r"[\\p{\1}]", pattern)
+        self.listed_text = re.compile(plain.replace(r"\p{L}", "A-Za-z" + LETTERS).replace(r"\p{N}", "0-9")).findall
         self.token_bytes = fst.token_bytes
 
         class Words(dict):
@@ -211,7 +235,9 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text or ""))))
+        text = text or ""
+        split = self.any_text if self.unlisted(text) else self.listed_text
+        return list(chain.from_iterable(map(self.words.__getitem__, split(text))))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
