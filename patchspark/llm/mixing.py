@@ -82,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                        (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("weight"))
     rows = written(rows.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))), "sizes")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("key")
-    targets = source_targets(rows, weights, cap).select(key, "source_size", "target")
+    targets = written(source_targets(rows, weights, cap).select(key, "source_size", "target"), "targets")
     due = rows.withColumn("key", key).join(targets, "key")
     if weight_col:
         due = _copies(due, cap)
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = sums.select("key", "bin", (F.first("target").over(by_source) - F.sum("sure").over(by_source)).alias("due"),
                       F.sum(asked).over(upto).alias("upto"), asked.alias("here")).where("bin is not null and upto > due")
     cut = cut.groupBy("key").agg(F.min(F.struct("bin", "due", (F.col("upto") - F.col("here")).alias("before"))).alias("cut"))
-    due = due.join(cut, "key", "left").select(due["*"], "cut")
+    due = due.join(written(cut, "cuts"), "key", "left").select(due["*"], "cut")
     inside = (F.col("bin") == F.col("cut.bin")) & F.col("q").isNotNull()
     outside = due.where(~F.coalesce(inside, F.lit(False))).withColumn(
         "extra", F.when(F.col("q").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin"))), 1.0).otherwise(0.0))
@@ -116,6 +116,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (F.col("size") * times).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as mix() takes them, with all their columns. Rows that share an id share a decision."""
+    times = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("__times")).where("__times > 0")
+    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*(docs[c] for c in docs.columns))
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
