@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from patchspark.llm import bpe, exact_dedup, langid, minhash, mixing
+from patchspark.llm import bpe, exact_dedup, langid, minhash, mixing, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op7_minhash": minhash.op7_minhash,
