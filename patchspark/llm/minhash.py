@@ -94,32 +94,49 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
     return written(with_b.where(_linked(percent, k)("text_a", "text_b")).select("a", "b"), "links")
 
 
-def _across(frames, least: float):
-    """Pairs of rows of one bucket block, of different components, whose signatures agree in `least` or more.
+def _across(frames, percent: int, k: int):
+    """Links between different components of a bucket's block, as many as it takes to join them.
 
     Rows come sorted by (key, i, j); a block is carried over to the next batch until it is complete.
     """
     held = None
     for frame in frames:
-        held = frame if held is None else pd.concat([held, frame])
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
         last = held[["key", "i", "j"]].iloc[-1]
-        open_rows = ((held["key"] == last["key"]) & (held["i"] == last["i"]) & (held["j"] == last["j"])).to_numpy()
-        yield _pairs(held[~open_rows], least)
+        open_rows = (held[["key", "i", "j"]] == last).all(axis=1).to_numpy()
+        yield _block_links(held[~open_rows], percent, k)
         held = held[open_rows]
     if held is not None:
-        yield _pairs(held, least)
+        yield _block_links(held, percent, k)
 
 
-def _pairs(frame: pd.DataFrame, least: float) -> pd.DataFrame:
+def _block_links(frame: pd.DataFrame, percent: int, k: int) -> pd.DataFrame:
     found: list[tuple[int, int]] = []
     for (_, i, j), block in frame.groupby(["key", "i", "j"], sort=False):
         sig = np.frombuffer(b"".join(block["sig"]), np.uint32).reshape(len(block), -1)
-        ids, comps, parts = (block[c].to_numpy() for c in ("id", "comp", "part"))
+        ids, comps, parts, texts, band = (block[c].to_numpy() for c in ("id", "comp", "part", "text", "band"))
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(r: int) -> np.ndarray:
+            if r not in sets:
+                sets[r] = shingle_sets([(texts[r] or "").encode()], k)[0]
+            return sets[r]
+
         for r in range(len(block) - 1):
-            agree = (sig[r + 1 :] == sig[r]).mean(1) >= least
-            other = (comps[r + 1 :] != comps[r]) & ((parts[r + 1 :] != parts[r]) | (i == j))
-            found += [(ids[r], ids[s]) for s in r + 1 + np.flatnonzero(agree & other)]
-    return pd.DataFrame(sorted({(max(p), min(p)) for p in found}), columns=["a", "b"], dtype="int64")
+            equal = sig[r + 1 :] == sig[r]
+            # a link's signatures agree in percent/100 of the registers, give or take 0.04: 5 times that is allowed
+            near = (equal.mean(1) >= percent / 100 - 0.2) & ((parts[r + 1 :] != parts[r]) | (i == j))
+            at = np.flatnonzero(near)
+            # two rows that meet in several bands are compared in the first of them
+            at = r + 1 + at[equal[at].reshape(len(at), BANDS, REGISTERS // BANDS).all(2).argmax(1) == band[0]]
+            for s in at:
+                if comps[s] != comps[r]:
+                    x, y = shingles(r), shingles(s)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both and 100 * both >= percent * (len(x) + len(y) - both):
+                        found.append((max(ids[r], ids[s]), min(ids[r], ids[s])))
+                        comps = np.where(comps == comps[s], comps[r], comps)
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -129,8 +146,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose sets of k-word shingles have 100 * intersection >= percent * union are linked. Texts with one and
     the same set are one node, its smallest doc_id. In each band bucket every node is verified against the bucket's
     smallest id, which settles buckets of near copies without listing their pairs. Only in buckets that stay in
-    several components the members of different components are compared too, by signature first (agreement far below
-    what a link has, so none is lost by it) in blocks of `block` rows, and verified on full sets. Links are lost only
+    several components the members of different components are compared too, in blocks of `block` rows: by signature
+    first (agreement far below what a link has, so none is lost by it), then on full sets, until they are joined. Links are lost only
     where no band agrees: with 32 bands of 4 registers in 5 of a million pairs at similarity 0.75, fewer above.
     Defined cases: texts without words (null, empty) have n_shingles 0 and are linked with nothing; rows that share a
     doc_id are one node; a row without doc_id is kept as its own component (null); no rows give no rows.
@@ -141,25 +158,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(nodes, "nodes")
     ids = nodes.select("id").distinct()
     own = signed.join(ids, signed["doc_id"] == ids["id"], "left_semi").where("same is not null")
-    banded = written(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "bands")
+    banded = written(own.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")), "bands")
     shared = written(banded.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
     starred = banded.join(shared, "key").where("id <> lead")
     texts = rows.join(ids, rows["doc_id"] == ids["id"], "left_semi")
     links = _confirmed(starred.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), texts, percent, k)
     comps = connected_components(links)
     labelled = banded.join(shared, "key").join(comps, "id", "left").select(
-        "key", "id", "members", F.coalesce("component", "id").alias("comp"))
+        "key", "band", "id", "members", F.coalesce("component", "id").alias("comp"))
     labelled = written(labelled, "labelled")
     split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     parts = F.ceil(F.col("members") / block).cast("int")
     open_rows = labelled.join(split, "key").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-        "key", "id", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    open_rows = open_rows.join(own.select(F.col("doc_id").alias("id"), "sig"), "id")
+        "key", "band", "id", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    sigs = own.select(F.col("doc_id").alias("id"), "sig")
+    open_rows = open_rows.join(sigs, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
     open_rows = open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    # A link's signatures agree in percent/100 of the registers, give or take 0.04: 5 times that is allowed.
-    pairs = open_rows.mapInPandas(lambda f: _across(f, percent / 100 - 0.2), "a long, b long").distinct()
-    more = _confirmed(pairs, texts, percent, k)
+    more = written(open_rows.mapInPandas(lambda f: _across(f, percent, k), "a long, b long"), "links")
     comps = connected_components(links.unionAll(more))
     roots = written(nodes.join(comps, "id", "left").select("same", F.coalesce("component", "id").alias("component")), "roots")
     joined = signed.join(roots, "same", "left")
