@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from patchspark.llm import bpe, exact_dedup, langid, minhash, mixing, suffix_dedup
+from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_secrets": secrets.op2_secrets,
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op5_quality": quality.op5_quality,
+    "op6_hnsw": hnsw.op6_hnsw,
     "op7_minhash": minhash.op7_minhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_lm_score": pitman_yor.op9_lm_score,
     "op10_bpe": bpe.op10_bpe,
 }
 
