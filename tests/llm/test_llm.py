@@ -1,0 +1,213 @@
+"""The numbered operators against brute force, on hand-made and on the smallest tables."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, secrets, suffix_dedup
+from patchspark.llm.components import connected_components
+
+SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+LONG = "Lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna "
+TEXTS = [(1, LONG * 3), (2, None), (3, ""), (4, LONG * 3), (5, LONG + "x" * 49), (6, "a\tb  c"), (7, "a b c"), (8, "é" * 60), (9, "12 34 !!"), (10, "z " + LONG * 3),
+         (None, LONG * 3), (4, LONG * 3), (12, "word " * 3000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "fr", None][k % 3], ["s1", "s2", None][k % 3], 0, True) for k, (i, t) in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean")
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 3), (None, 4), (50, 9), (7, 6), (5, 6), (7, 4)], "a long, b long")
+    assert dict(map(tuple, connected_components(edges).collect())) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 50: 8, 4: 4, 5: 4, 6: 4, 7: 4}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_exact_dedup(docs):
+    got = sorted(exact_dedup.exact_dedup(docs).collect(), key=str)
+    groups = {}
+    for i, t in TEXTS:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    for r in got:
+        norm = next(t for t in groups if hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"])
+        keep = min(i for i in groups[norm] if i is not None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(groups[norm]), r["doc_id"] == keep)
+    assert len(got) == len(TEXTS) and exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+    assert exact_dedup.one_of_each(docs).columns == docs.columns
+
+
+def brute_removed(rows):
+    least = {}
+    for i, b in rows:
+        for j in range(len(b) - 49):
+            least[b[j : j + 50]] = min(i, least.get(b[j : j + 50], i))
+    out = []
+    for i, b in rows:
+        gone = bytearray(len(b))
+        for j in range(len(b) - 49):
+            if least[b[j : j + 50]] < i:
+                gone[j : j + 50] = b"\1" * 50
+        kept = bytes(x for x, c in zip(b, gone, strict=True) if not c)
+        out.append((i, len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(spark, docs, small, monkeypatch):
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for table in (docs, small):
+        rows = [(2**63 - 1 if i is None else i, (t or "").encode()) for i, t in table.select("doc_id", "text").collect()]
+        got = [(2**63 - 1 if r[0] is None else r[0], *r[1:]) for r in suffix_dedup.remove_repeats(table).select(columns).collect()]
+        assert sorted(got) == sorted(brute_removed(rows))
+    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_suffix_shards_are_merged(monkeypatch):
+    rng = np.random.default_rng(0)
+    text = rng.integers(97, 99, 4000).astype(np.uint8)
+    order, _ = suffix_dedup.suffix_array(text)
+    raw = text.tobytes()
+    assert all(raw[a : a + 50] <= raw[b : b + 50] for a, b in zip(order[:-1], order[1:], strict=True))
+    lcp = suffix_dedup.common_prefixes(text, order)
+    assert all(raw[order[i] : order[i] + lcp[i]] == raw[order[i - 1] : order[i - 1] + lcp[i]] for i in range(1, len(order)))
+    one, other = (suffix_dedup._Shard(text[:200], np.array([100, 100]), np.array(d)) for d in ([5, 9], [3, 7]))
+    one.merge(other)
+    assert (one.least == other.least).all() and one.least.max() <= 7
+
+
+def brute_components(table, percent=75):
+    sets = {}
+    for i, t in table.select("doc_id", "text").collect():
+        w = words(t)
+        sets[i] = set(zip(*(w[j:] for j in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def test_minhash(small, docs):
+    assert {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(small).collect()} == brute_components(small)
+    some = docs.where("doc_id is not null")
+    assert {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(some).collect()} == brute_components(some)
+    assert minhash.near_duplicates(docs).count() == len(TEXTS) and minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_mixing(docs, small):
+    got = mixing.mix(small)
+    by = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.first("source_size").alias("n")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 3 * r["most"] and r["target"] <= 3 * r["n"] + 1e-6 for r in by)
+    assert abs(sum(r["target"] for r in by) - sum(r["n"] for r in by)) < 1e-3 * sum(r["n"] for r in by)
+    assert got.where("taken > 3 * size").count() == 0
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
+    weighted = mixing.mix(small.withColumn("q", F.col("doc_id") % 3), weight_col="q")
+    assert weighted.where("copies > 3.0001").count() == 0 and weighted.where("doc_id % 3 = 0 and taken > 0").count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_language_id(spark, small, docs):
+    model = langid.learnt(small)
+    got = small.select("lang", "doc_id", langid.predicted(spark, F.col("text"), model).alias("p")).select("lang", "doc_id", "p.*").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
+    odd = {r["doc_id"]: r["p"]["lang_pred"] for r in docs.select("doc_id", langid.predicted(spark, F.col("text"), model).alias("p")).collect()}
+    assert {odd[2], odd[3], odd[9]} == {"und"} and odd[8] != "und"
+    none = langid.fit(small.limit(0))
+    assert small.select(langid.predicted(spark, F.col("text"), none)["lang_pred"]).distinct().collect() == [("und",)]
+    long = (b"abc d" * 400_000)
+    assert langid.gram_counts([long])[0].sum() == pytest.approx(sum(langid.gram_counts([long[:1000]])[0]) * 2000, rel=0.01)
+
+
+def test_bpe(spark, docs, small):
+    import tiktoken
+
+    raw, pattern = bpe.default_vocabulary()
+    codec, theirs = bpe.Codec(raw, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(raw), special_tokens={})
+    texts = [r["text"] or "" for r in small.select("text").union(docs.select("text")).collect()] + ["日本語 😀 é ²½   \x1c x", "a" * 3000, " " * 999, "ÀÖß'll  x"]
+    for text in texts:
+        ids = codec.encode(text)
+        assert ids == theirs.encode_ordinary(text) and "".join(codec.decode(ids, 7)) == text
+    machine = bpe.Utf8Machine()
+    broken = b"a\xe2\x82" + b"\xff\xf0\x9f\x98" + b"\x80z\xc3"
+    assert "".join([machine.feed(bytes([b])) for b in broken] + [machine.close()]).endswith("😀z�")
+    row = docs.where("doc_id = 2").select(bpe.encoded(spark, F.col("text")).alias("e")).first()["e"]
+    assert row["n_tokens"] == 0 and row["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_quality(spark, small, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(small, labels)
+    got = quality.scored(small, model).join(labels, "doc_id").collect()
+    assert np.mean([r["predicted"] == r["label"] for r in got]) > 0.9 and all(0 <= r["score"] <= 1 for r in got)
+    assert quality.scored(docs, model).where("score is null").count() == 0
+    one = quality.fit(small, labels.where("label = 1"))
+    assert one["rules"] == [] and quality.fit(small, labels.limit(0))["bias"] == 0
+
+
+def test_secrets(spark, docs):
+    key = 'of token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" with'
+    rows = spark.createDataFrame([(i, key.replace("04d", f"{i:03d}") + " then 4845168114407329 and 7536784127813050 end", "s") for i in range(40)] + [(99, None, None)], "doc_id long, text string, source string")
+    out = secrets.scan(rows, docs.select("text")).collect()
+    assert len(out) == 120 and sum(r["is_secret"] for r in out) == 40
+    assert secrets.scan(rows.limit(0), docs.select("text")).count() == 0
+
+
+def test_pitman_yor(small, docs):
+    train = small.where("doc_id % 5 <> 1").select("text")
+    model, sums = pitman_yor.fit(train)
+    held = pitman_yor.score(small.where("doc_id % 5 = 1"), model, sums).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert held["s"] > held["b"]
+    # in every context the chances of all words and the unknown sum to 1
+    rows = model.collect()
+    for context in (0, 3):
+        total = sums["back"][:, context].mean() * 0 + np.mean(sums["back"][:, context]) * sums["unknown"]
+        total += sum(np.mean(sums["back"][:, context] * np.array(r["p0"])) + (r["extra"][r["contexts"].index(context)] if context in r["contexts"] else 0) for r in rows)
+        assert total == pytest.approx(1, abs=0.05)
+    got = pitman_yor.score(docs, model, sums).collect()
+    assert len(got) == len(TEXTS) and all(r["score"] <= 0 for r in got)
+
+
+def test_hnsw(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    x = [(i, (centres[i % 40] + rng.normal(size=16) * rng.choice([0.01, 0.2, 0.4])).tolist(), i % 2) for i in range(900)]
+    x += [(900 + i, x[7][1], x[7][2]) for i in range(5)] + [(950, None, 1), (951, [0.0] * 16, 1), (952, [float("nan")] * 16, 1), (953, x[3][1], None)]
+    got = {r[0]: tuple(r[1:]) for r in hnsw.near_vectors(spark.createDataFrame(x, "vec_id long, embedding array<float>, label int"), shard_rows=200).collect()}
+    good = [t for t in x if t[0] < 950]
+    v = np.array([np.array(t[1], np.float32) for t in good], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    linked = (v @ v.T >= 0.93) & (np.array([t[2] for t in good])[:, None] == np.array([t[2] for t in good])[None])
+    want, found = linked.sum() - len(good), sum(got[t[0]][0] for t in good)
+    assert 0.98 * want <= found <= want and all(got[i] == (0, i, True) for i in (950, 951, 952, 953))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert out and all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["ids"]) for r in out)
