@@ -92,7 +92,7 @@ def scan(docs: DataFrame, words_from: DataFrame, labels: DataFrame | None = None
     labels: findings' labels (doc_id, n, label); without them the weak labels are learnt. Defined cases: null and empty
     texts have no candidates; a null path counts as none; equal rows give equal findings; no rows give no rows.
     """
-    featured = written(with_features(findings(docs), dictionary(words_from)), "findings")
+    featured = written(with_features(written(findings(docs), "candidates"), dictionary(words_from)), "findings")
     labelled = featured.join(labels, ["doc_id", "n"]) if labels is not None else featured.withColumn("label", weak_label())
     out = judged(featured, train(labelled))
     return out.select("doc_id", F.col("n").cast("long").alias("n"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
