@@ -7,7 +7,6 @@ repeated or left out so that sources meet their weights), and encoding (the toke
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from patchspark.llm import bpe, exact_dedup, langid, minhash, mixing
 from patchspark.llm.store import written
@@ -31,8 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and ids of each row of the mix."""
-    return docs.select("doc_id", "lang", "source", bpe.encoded(spark, F.col("text")).alias("e")).select(
-        "doc_id", "lang", "source", "e.*")
+    return bpe.encoded(docs, ["doc_id", "lang", "source"])
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("encoding", encode)]

@@ -17,13 +17,16 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Arcs, and words with their tokens, that a worker keeps before it starts afresh.
 KEPT_ARCS, KEPT_WORDS = 300_000, 800_000
-
+#: Texts that are taken out of an Arrow batch together.
+AT_ONCE = 256
 
 #: Letters of Latin-1 without its three signs that count as letters.
 LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -264,28 +267,42 @@ def default_vocabulary() -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
-def encoded(spark, text: Column, vocabulary: tuple[bytes, str] | None = None, with_ids: bool = True) -> Column:
-    """A struct of n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids), and ids if asked for.
+def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: tuple[bytes, str] | None = None,
+            with_ids: bool = True) -> DataFrame:
+    """The columns `keep` of docs with n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids), and ids
+    if asked for.
 
     A null text counts as empty (no tokens). Every row is by itself: no shuffle, and a worker's memory is bounded by
-    the vocabulary (a file of fixed size, broadcast), the kept arcs and words, and one batch of texts.
+    the vocabulary (a file of fixed size, broadcast), the kept arcs and words, and AT_ONCE texts with their tokens.
     """
-    shared = spark.sparkContext.broadcast(vocabulary or default_vocabulary())
-
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        codec, rows = _codec(*shared.value), []
-        for text in texts:
-            ids, digest = codec.encode(text), hashlib.sha256()
-            for piece in codec.decode(ids):
-                digest.update(piece.encode())
-            row = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), digest.hexdigest()
-            rows.append((*row, ids) if with_ids else row)
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return F.pandas_udf(encode, kind)(text)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or default_vocabulary())
+    schema = T.StructType([docs.select(keep).schema[c] for c in keep]).add("n_tokens", "long").add(
+        "ids_sha256", "string").add("decoded_sha256", "string")
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(*shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                tokens, counts, ids_sha, decoded_sha = [], [], [], []
+                for text in part.column(len(keep)).to_pylist():
+                    ids, digest = codec.encode(text), hashlib.sha256()
+                    for piece in codec.decode(ids):
+                        digest.update(piece.encode())
+                    counts.append(len(ids))
+                    ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    decoded_sha.append(digest.hexdigest())
+                    if with_ids:
+                        tokens.append(np.array(ids, np.int32))
+                columns = [*part.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                if with_ids:
+                    columns.append(pa.array(tokens, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(encode, schema)
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", encoded(spark, F.col("text"), with_ids=False).alias("e")).select("doc_id", "e.*")
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], with_ids=False)

@@ -154,7 +154,7 @@ def test_bpe(spark, docs, small):
     machine = bpe.Utf8Machine()
     broken = b"a\xe2\x82" + b"\xff\xf0\x9f\x98" + b"\x80z\xc3"
     assert "".join([machine.feed(bytes([b])) for b in broken] + [machine.close()]).endswith("😀z�")
-    row = docs.where("doc_id = 2").select(bpe.encoded(spark, F.col("text")).alias("e")).first()["e"]
+    row = bpe.encoded(docs.where("doc_id = 2"), ["doc_id"]).first()
     assert row["n_tokens"] == 0 and row["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
