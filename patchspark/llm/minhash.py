@@ -21,6 +21,8 @@ from patchspark.llm.shingles import blocks, mixed, shingle_sets
 from patchspark.llm.store import written
 
 REGISTERS, BANDS = 128, 32
+#: Rows that are taken out of an Arrow batch together.
+AT_ONCE = 512
 #: Fraction bits below a register's rank.
 _BITS = 25
 
@@ -57,9 +59,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches, k: int):
-    for batch in batches:
-        ids = batch.column("doc_id")
-        for first, block in blocks(batch.column("text").to_pylist()):
+    parts = (batch.slice(start, AT_ONCE) for batch in batches for start in range(0, batch.num_rows, AT_ONCE))
+    for part in parts:
+        ids = part.column("doc_id")
+        for first, block in blocks(part.column("text").to_pylist()):
             sets = shingle_sets(block, k)
             sig = superminhash(sets)
             full = [len(s) > 0 for s in sets]
@@ -71,27 +74,28 @@ def _signed(batches, k: int):
                 ["doc_id", "n_shingles", "same", "sig", "bands"])
 
 
-def _linked(percent: int, k: int):
-    """Whether 100 * intersection >= percent * union of the texts' full shingle sets."""
-
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, known, last = [], None, None
-        for x, y in zip(a, b, strict=True):
-            if y != known or last is None:
-                known, last = y, shingle_sets([(y or "").encode()], k)[0]
-            mine = shingle_sets([(x or "").encode()], k)[0]
-            both = len(np.intersect1d(mine, last, assume_unique=True))
-            out.append(both > 0 and 100 * both >= percent * (len(mine) + len(last) - both))
-        return pd.Series(out, dtype=bool)
-
-    return F.pandas_udf(linked, "boolean")
+def _linked(batches, percent: int, k: int):
+    """The pairs (a, b, text_a, text_b) with 100 * intersection >= percent * union of the texts' full shingle sets."""
+    known, last = None, None
+    for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(start, AT_ONCE)
+            out = []
+            for x, y in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True):
+                if y != known or last is None:
+                    known, last = y, shingle_sets([(y or "").encode()], k)[0]
+                mine = shingle_sets([(x or "").encode()], k)[0]
+                both = len(np.intersect1d(mine, last, assume_unique=True))
+                out.append(both > 0 and 100 * both >= percent * (len(mine) + len(last) - both))
+            yield part.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) whose texts are linked."""
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(with_b.where(_linked(percent, k)("text_a", "text_b")).select("a", "b"), "links")
+    pairs = with_b.select("a", "b", "text_a", "text_b")
+    return written(pairs.mapInArrow(lambda batches: _linked(batches, percent, k), "a long, b long"), "links")
 
 
 def _across(frames, percent: int, k: int):
