@@ -39,7 +39,7 @@ def thresholded_grad(grad: DataFrame, quantile: float = 0.8) -> DataFrame:
         "n", F.count(F.lit(1)).over(Window.partitionBy("image_id")))
     q = rank.where(F.col("r") == F.bround((F.col("n") - 1) * quantile)).select("image_id", F.col("energy").alias("q"))
     out = grad.join(energy, ["image_id", "y", "x"]).join(q, "image_id").where("energy > q")
-    return out.select("image_id", "c", "y", "x", ((F.col("energy") - F.col("q")) * F.col("v") / F.col("energy")).alias("v"))
+    return out.select("image_id", "c", "y", "x", ((F.col("energy") - F.col("q")) * F.col("v") / F.nullif(F.col("energy"), F.lit(0.0))).alias("v"))
 
 
 def compose_prompts(texts: DataFrame, templates: list[str]) -> DataFrame:

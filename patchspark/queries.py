@@ -11,6 +11,7 @@ from patchspark.operators import kernel as k
 from patchspark.operators import measures as m
 from patchspark.operators import patches as w
 from patchspark.operators import resample as r
+from patchspark.operators import samplers as sm
 from patchspark.plans import catalogue as c
 from patchspark.sources import tables as s
 
@@ -307,3 +308,51 @@ def samples(spark, d):
     images = s.vectors(spark, d).select("label").distinct().select(F.col("label").alias("image_id"), F.when(F.col("label") % 2 == 0, 1).otherwise(3).alias("n"), (100 + F.col("label")).cast("long").alias("seed"),
                                                                    F.format_string("out/%d.png", "label").alias("path"))
     return s.sample_plan(images)
+
+
+def process(spark) -> sm.Process:
+    return sm.Process(spark, p=3, num_steps=2)
+
+
+@query()
+def sampled(spark, d):
+    return rounded(sm.sample_uncond(process(spark), s.pixels(spark, d), 2), "v")
+
+
+@query()
+def retargeted(spark, d):
+    px = s.pixels(spark, d)
+    wide = g.sizes(px).withColumn("width", F.ceil(F.col("width") * 1.25).cast("int"))
+    return rounded(sm.sample_retarget(process(spark), px, 2, wide), "v")
+
+
+@query()
+def sampled_symmetric(spark, d):
+    return rounded(sm.sample_symmetric(process(spark), s.pixels(spark, d), 1), "v")
+
+
+@query()
+def sampled_tileable(spark, d):
+    return rounded(sm.sample_tileable(process(spark), s.pixels(spark, d), 1, "horizontal"), "v")
+
+
+@query()
+def inverted_and_back(spark, d):
+    px, p = s.pixels(spark, d), process(spark)
+    prior, priors = sm.patches_of(px, p.p), sm._same(px)
+    return rounded(sm.reconstruct(p, sm.invert(p, px, prior, priors), prior, priors), "v")
+
+
+@query()
+def analogies(spark, d):
+    px = s.pixels(spark, d)
+    count = px.agg(F.max("image_id") + 1).first()[0]
+    pairs = px.select("image_id").distinct().select("image_id", F.col("image_id").alias("style_id"), F.pmod(F.col("image_id") + 1, F.lit(count)).alias("structure_id"))
+    return rounded(sm.sample_analogy(process(spark), px, pairs, 1), "v")
+
+
+@query()
+def guided(spark, d):
+    px = s.pixels(spark, d)
+    slope = lambda now: now.withColumn("v", -F.col("v"))
+    return rounded(sm.guided_reconstruct(process(spark), px, slope, 0.1), "v")
