@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of queries and of vectors.
@@ -62,10 +62,22 @@ def knn_flat(queries: DataFrame, vectors: DataFrame, k: int, rows: int = BLOCK)
         return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), at.shape[1]), "vec_id": ids[at].ravel(), "d2": np.take_along_axis(d2, at, 1).ravel()})
 
     found = _blocked(queries, vectors, rows).applyInPandas(best, "query_id long, vec_id long, d2 double")
+    return ranked(found, k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's findings (query_id, vec_id, d2), ties by vec_id."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "d2")
 
 
+def scale_queries(queries: DataFrame, alpha: float) -> DataFrame:
+    """Queries over alpha: their nearest vectors are those whose alpha-fold is nearest to x, so one index serves every step."""
+    if alpha == 0:
+        raise ValueError("at alpha 0 every estimate is dataset_mean()")
+    return queries.withColumn("x", F.transform("x", lambda e: e / alpha))
+
+
 def require_k(neighbours: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """neighbours as they are; an error if a query has fewer than k."""
     few = queries.join(neighbours.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < k).count()
@@ -104,12 +116,18 @@ def fit_ivf(vectors: DataFrame, nlist: int | None = None, seed: int = 7, sample:
     return centroids, model.transform(rows).withColumnRenamed("prediction", "list_id").drop("features")
 
 
+def squared_distance(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e)
+
+
+def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    """(query_id, x, list_id): the nprobe lists whose centroids are nearest to each query."""
+    centres = centroids.agg(F.collect_list(F.struct("list_id", "c")).alias("centres"))
+    near = F.slice(F.array_sort(F.transform("centres", lambda s: F.struct(squared_distance(F.col("x"), s["c"]).alias("d"), s["list_id"].alias("list_id")))), 1, nprobe)
+    return queries.crossJoin(F.broadcast(centres)).select("query_id", "x", F.explode(near).alias("p")).select("query_id", "x", "p.list_id")
+
+
 def knn_ivf(queries: DataFrame, centroids: DataFrame, lists: DataFrame, k: int, nprobe: int = 2) -> DataFrame:
     """(query_id, rank, vec_id, d2) from the nprobe nearest lists; all lists give knn_flat()."""
-    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e)
-    centres = centroids.agg(F.collect_list(F.struct("list_id", "c")).alias("centres"))
-    near = F.slice(F.array_sort(F.transform("centres", lambda s: F.struct(far(F.col("x"), s["c"]).alias("d"), s["list_id"].alias("list_id")))), 1, nprobe)
-    probes = queries.crossJoin(F.broadcast(centres)).select("query_id", "x", F.explode(near).alias("p")).select("query_id", "x", "p.list_id")
-    found = probes.join(lists, "list_id").select("query_id", "vec_id", far("x", "v").alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "d2")
+    found = probes(queries, centroids, nprobe).join(lists, "list_id")
+    return ranked(found.select("query_id", "vec_id", squared_distance("x", "v").alias("d2")), k)

@@ -60,11 +60,54 @@ def resize(px: DataFrame, to: DataFrame, name: str | None = None, antialias: boo
     return px.select("image_id", "c", "y", "x", "v")
 
 
-def pyramid_shapes(catalog: DataFrame, num_scales: int, r: float = 0.5) -> DataFrame:
-    """(image_id, scale, height, width) from the base sizes; 0 is the finest."""
+def short_side_sizes(catalog: DataFrame, side: int) -> DataFrame:
+    """(image_id, height, width) of images brought to the short side; proportions stay, halves go to the even number."""
+    s = F.lit(float(side)) / F.least("height", "width")
+    return catalog.select("image_id", *(F.bround(F.col(c) * s).cast("int").alias(c) for c in ("height", "width")))
+
+
+def resize_to_short_side(px: DataFrame, side: int) -> DataFrame:
+    """Pixels brought to the short side by the antialiased cubic kernel; images that have it stay as they are."""
+    return _resized_if(px, short_side_sizes(sizes(px), side))
+
+
+def preview_sizes(catalog: DataFrame, long_side: int | None) -> DataFrame:
+    """Sizes shrunk, never enlarged, to the long side; None leaves all as they are."""
+    if long_side is None:
+        return catalog.select("image_id", "height", "width")
+    most = F.greatest("height", "width")
+    s = F.when(most > long_side, F.lit(float(long_side)) / most).otherwise(1.0)
+    return catalog.select("image_id", *(F.greatest(F.bround(F.col(c) * s), F.lit(1)).cast("int").alias(c) for c in ("height", "width")))
+
+
+def preview(px: DataFrame, long_side: int | None) -> DataFrame:
+    """Pixels of previews; None gives the pixels as they are."""
+    return px if long_side is None else _resized_if(px, preview_sizes(sizes(px), long_side))
+
+
+def _resized_if(px: DataFrame, to: DataFrame) -> DataFrame:
+    other = to.withColumnsRenamed({"height": "h_out", "width": "w_out"}).join(sizes(px), "image_id").where("h_out <> height or w_out <> width")
+    other = other.select("image_id", F.col("h_out").alias("height"), F.col("w_out").alias("width"))
+    same = px.join(other.select("image_id"), "image_id", "left_anti").select("image_id", "c", "y", "x", "v")
+    return same.unionByName(resize(px, other, "cubic"))
+
+
+def pyramid_shapes(catalog: DataFrame, num_scales: int, r: float = 0.5, least: int | None = None) -> DataFrame:
+    """(image_id, scale, height, width) from the base sizes; 0 is the finest.
+
+    least: the short side that the coarsest scale of several is raised to, but never above the scale over it; an error
+    if that one is below it already.
+    """
     scales = catalog.withColumn("scale", F.explode(F.sequence(F.lit(0), F.lit(num_scales - 1))))
-    side = lambda c: F.ceil(F.col(c) * F.pow(F.lit(r), F.col("scale"))).cast("int")
-    return scales.select("image_id", "scale", side("height").alias("height"), side("width").alias("width"))
+    side = lambda c, up=0: F.ceil(F.col(c) * F.pow(F.lit(r), F.col("scale") - up)).cast("int")
+    height, width = side("height"), side("width")
+    if least is not None and num_scales > 1:
+        over = F.least(side("height", 1), side("width", 1))
+        raised = lambda c: F.least(F.ceil(F.col(c) * F.lit(least) / F.least("height", "width")), side(c, 1)).cast("int")
+        last, low = F.col("scale") == num_scales - 1, F.least(height, width) < least
+        bad = F.raise_error(F.lit(f"too many scales for a short side of {least}: {num_scales}")).cast("int")
+        height, width = (F.when(last & (over < least), bad).when(last & low, raised(c)).otherwise(own) for c, own in (("height", height), ("width", width)))
+    return scales.select("image_id", "scale", height.alias("height"), width.alias("width"))
 
 
 def gaussian_pyramid(px: DataFrame, scales: DataFrame, num_scales: int) -> DataFrame:

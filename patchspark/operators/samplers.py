@@ -7,10 +7,7 @@ with the steps and a lost executor costs one step. Pixels are (image_id, c, y, x
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,25 +19,13 @@ from patchspark.functions import schedule as n
 from patchspark.operators.measures import thresholded_grad
 from patchspark.operators.patches import check_patchable, extract_patches, fold, gaussian_window
 from patchspark.operators.resample import blend_two_scale, gaussian_pyramid, pyramid_shapes, resize
+from patchspark.sources.steps import kept
 
 KEYS = ["image_id", "c", "y", "x"]
 #: Patches of a block of queries and of a block of the prior.
 BLOCK = 4096
 
 
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir, read back."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_dir()).rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def grid(shapes: DataFrame, channels: int) -> DataFrame:
     """All places (image_id, c, y, x) of (image_id, height, width)."""
     upto = lambda c: F.explode(F.sequence(F.lit(0), c - 1))

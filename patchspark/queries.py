@@ -10,9 +10,12 @@ from patchspark.functions import schedule as n
 from patchspark.operators import kernel as k
 from patchspark.operators import measures as m
 from patchspark.operators import patches as w
+from patchspark.operators import quantised as pq
 from patchspark.operators import resample as r
 from patchspark.operators import samplers as sm
 from patchspark.plans import catalogue as c
+from patchspark.sources import files
+from patchspark.sources import steps
 from patchspark.sources import tables as s
 
 QUERIES, SQL = {}, {}
@@ -89,6 +92,19 @@ def nearest_ivf(spark, d):
     return rounded(k.knn_ivf(noisy(spark, d), centroids, lists, 5, 4), "d2")
 
 
+@query()
+def nearest_quantised(spark, d):
+    v = s.vectors(spark, d).select("vec_id", "v")
+    return rounded(pq.knn_ivfpq(noisy(spark, d), pq.fit_ivfpq(v), 5, 4), "d2")
+
+
+@query()
+def quantised_regression(spark, d):
+    q, v = noisy(spark, d), s.vectors(spark, d).select("vec_id", "v")
+    found = pq.knn_ivfpq(k.scale_queries(q, 0.6), pq.fit_ivfpq(v), 5, 4)
+    return flat(k.knn_regress(q, v, k.require_k(found, q, 5), 0.6, 0.4), "query_id", "x_hat")
+
+
 @query("SELECT (j - 1)::INT AS i, round(avg(v[j]), 6) + 0 AS mean FROM vectors, range(1, 65) t(j) GROUP BY j", VECTORS)
 def mean_of_vectors(spark, d):
     return rounded(k.dataset_mean(s.vectors(spark, d)), "mean")
@@ -106,6 +122,16 @@ def eight_bit(spark, d):
     return s.pixels(spark, d).select("image_id", "c", "y", "x", s.to_uint8(g.unnormalize(F.col("v"))).alias("u"))
 
 
+@query("SELECT image_id, c, y, x, trunc(greatest(least((v + 1) * 0.5 * 255, 255.0), 0.0))::INT AS u FROM pixels", PIXELS)
+def image_files(spark, d):
+    """Written as PNG and read again."""
+    images = s.to_images(s.pixels(spark, d).withColumn("v", g.unnormalize(F.col("v"))))
+    folder = steps.scratch(spark, "images")
+    files.write_images(images.withColumn("path", F.format_string("%d.png", "image_id")), folder)
+    px = s.to_pixels(files.read_images(spark, folder))
+    return px.select(F.regexp_extract("image_id", r"(\d+)\.png$", 1).cast("int").alias("image_id"), "c", "y", "x", F.round(F.col("v") * 255).cast("int").alias("u"))
+
+
 @query("SELECT image_id, c, (y - (h - (h - h % 16)) // 2)::INT AS y, (x - (w - (w - w % 16)) // 2)::INT AS x, v FROM pixels JOIN dims USING (image_id) WHERE y >= (h % 16) // 2 AND y < (h % 16) // 2 + h - h % 16 AND x >= (w % 16) // 2 AND x < (w % 16) // 2 + w - w % 16", PIXELS)
 def crop(spark, d):
     return g.crop_to_multiple(s.pixels(spark, d))
@@ -280,6 +306,31 @@ def two_scale_blend(spark, d):
     return rounded(r.blend_two_scale(px, small), "v")
 
 
+@query("SELECT image_id, round_even(height * (100.0::DOUBLE / least(height, width)), 0)::INT AS height, round_even(width * (100.0::DOUBLE / least(height, width)), 0)::INT AS width FROM catalog", CATALOG)
+def short_sides(spark, d):
+    return r.short_side_sizes(catalog(spark, d), 100)
+
+
+@query("SELECT image_id, greatest(1, round_even(height * f, 0))::INT AS height, greatest(1, round_even(width * f, 0))::INT AS width FROM (SELECT *, CASE WHEN greatest(height, width) > 1024 THEN 1024.0::DOUBLE / greatest(height, width) ELSE 1.0::DOUBLE END AS f FROM catalog)", CATALOG)
+def previews(spark, d):
+    return r.preview_sizes(catalog(spark, d), 1024)
+
+
+@query("SELECT image_id, scale::INT AS scale, CASE WHEN scale = 2 AND least(h, w) < 20 THEN least(ceil(height * 20 / least(height, width)), ceil(height * 0.5)) ELSE h END::INT AS height, CASE WHEN scale = 2 AND least(h, w) < 20 THEN least(ceil(width * 20 / least(height, width)), ceil(width * 0.5)) ELSE w END::INT AS width FROM (SELECT *, ceil(height * pow(0.5, scale)) AS h, ceil(width * pow(0.5, scale)) AS w FROM catalog, range(3) t(scale))", CATALOG)
+def raised_scales(spark, d):
+    return r.pyramid_shapes(catalog(spark, d), 3, least=20)
+
+
+@query()
+def shrunk(spark, d):
+    return rounded(r.preview(s.pixels(spark, d), 48), "v")
+
+
+@query()
+def to_short_side(spark, d):
+    return rounded(r.resize_to_short_side(s.pixels(spark, d), 16), "v")
+
+
 MANIFEST = """manifest AS (SELECT source AS set_name, doc_id::VARCHAR AS asset, source || '/' || doc_id AS target, doc_id % 10 = 0 AS archive FROM documents),
 listing AS (SELECT d.source || '/' || doc_id AS target, d.n_chars AS expected, d.n_chars - (doc_id % 7 = 0)::INT AS written FROM documents d JOIN labels USING (doc_id)),
 pending AS (SELECT * FROM manifest m WHERE CASE WHEN archive THEN NOT EXISTS (SELECT 1 FROM listing l WHERE split_part(l.target, '/', 1) = m.set_name) ELSE NOT EXISTS (SELECT 1 FROM listing l WHERE l.target = m.target) END)"""

@@ -101,7 +101,7 @@ def test_plan_errors(spark):
         bad.collect()
 
 
-@pytest.mark.parametrize("name", ["kernel_regression", "folded", "seams", "plan", "without_io", "asset_status"])
+@pytest.mark.parametrize("name", ["kernel_regression", "folded", "seams", "plan", "without_io", "asset_status", "image_files", "short_sides", "previews", "raised_scales"])
 def test_query_against_sql(spark, name):
     import duckdb
 
