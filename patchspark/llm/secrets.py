@@ -17,20 +17,27 @@ from patchspark.llm.mixing import uniform
 from patchspark.llm.store import written
 from patchspark.llm.trees import vote
 
-#: A candidate, and the same with up to two words before it and a look at what follows.
+#: A candidate; up to two words at the end of what stands before it; and what follows it, looked at without being taken.
 CANDIDATE = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}"
-IN_CONTEXT = r"((?:\S{1,40}\s{1,3}){0,2}\S{0,3}?)(" + CANDIDATE + r")(?=(\S{0,3}(?:\s{1,3}\S{1,40})?))"
+BEFORE, BEFORE_CHARS = r"(?:\S{1,40}\s{1,3}){0,2}\S{0,3}\z", 89
+FOLLOWED = "(" + CANDIDATE + r")(?=(\S{0,3}(?:\s{1,3}\S{1,40})?))"
 KEYWORDS = r"(?i)(token|secret|passw|pwd|api.?key|credential|auth|bearer|private)"
 FEATURES = ["length", "changes", "coverage", "hex", "digits", "letters", "upper", "keyword", "assigned", "quoted", "in_code_path"]
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(doc_id, path, n, before, candidate, after) of every candidate in whole texts; n counts from 0 in its text."""
-    some = docs.where(F.col(text_col).rlike(CANDIDATE))
-    parts = F.arrays_zip(*(F.regexp_extract_all(F.col(text_col), F.lit(IN_CONTEXT), F.lit(i)).alias(n)
-                           for i, n in ((1, "before"), (2, "candidate"), (3, "after"))))
-    return some.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.posexplode(parts).alias("n", "p")).select(
-        "doc_id", "path", "n", F.col("p.before").alias("before"), F.col("p.candidate").alias("candidate"), F.col("p.after").alias("after"))
+    """(doc_id, path, n, before, candidate, after) of every candidate in whole texts; n counts from 0 in its text.
+
+    Candidates are matched by themselves, however close they stand; before is taken from the text since the last one.
+    """
+    text = F.col(text_col)
+    some = docs.where(text.rlike(CANDIDATE))
+    candidates, after = (F.regexp_extract_all(text, F.lit(FOLLOWED), F.lit(i)) for i in (1, 2))
+    parts = F.arrays_zip(F.split(text, CANDIDATE, -1).alias("before"), candidates.alias("candidate"), after.alias("after"))
+    found = some.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.posexplode(parts).alias("n", "p"))
+    before = F.regexp_extract(F.right("p.before", F.lit(BEFORE_CHARS)), BEFORE, 0)
+    return found.where("p.candidate is not null").select(
+        "doc_id", "path", "n", before.alias("before"), F.col("p.candidate").alias("candidate"), F.col("p.after").alias("after"))
 
 
 def dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:

@@ -176,6 +176,14 @@ def test_secrets(spark, docs):
     assert secrets.scan(rows.limit(0), docs.select("text")).count() == 0
 
 
+def test_secrets_side_by_side(spark):
+    keys = ["API_KEY=sk_live_1234567890abcdef", "TOKEN=ghp_abcdefghijklmnop1234", "SECRET=wJalrXUtnFEMIK7MDENG99"]
+    rows = spark.createDataFrame([(1, "\n".join(keys), "s"), (2, "my key: " + " ".join(keys) + " end", "s"), (3, keys[0], "s")], "doc_id long, text string, source string")
+    got = sorted(secrets.findings(rows).collect())
+    assert [(r["doc_id"], r["n"], r["candidate"]) for r in got] == [(i, n, keys[n]) for i, many in ((1, 3), (2, 3), (3, 1)) for n in range(many)]
+    assert [r["before"] for r in got] == ["", "", "", "my key: ", "", "", ""] and got[5]["after"] == " end" and got[0]["after"] == "\n" + keys[1]
+
+
 def test_pitman_yor(small, docs):
     train = small.where("doc_id % 5 <> 1").select("text")
     model, sums = pitman_yor.fit(train)
