@@ -76,6 +76,14 @@ def test_suffix_dedup(spark, docs, small, monkeypatch):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_windows_stay_inside_texts(spark):
+    line = "a line of just fortyeight bytes, neither more no"
+    assert len(line) == 48 and not len(suffix_dedup.segments([b"a" * 10, line.encode(), b"c" * 30])[1])
+    rows = [(1, "a" * 10), (2, line), (3, "c" * 30), (4, "An own head.\n" + line + "\nAn own tail.")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == 4 and all(r["n_removed"] == 0 for r in got)
+
+
 def test_suffix_shards_are_merged(monkeypatch):
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 4000).astype(np.uint8)
