@@ -1,12 +1,12 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
-One restaurant for each class of the word before (`CLASSES` classes by its last bytes, and the start of a text) shares
-the unigram restaurant as its parent, whose base is uniform over the V known words and one unknown. Customers of a
-word in a context sit at t tables, each of which sends a customer to the parent. Gibbs sampling reseats all customers
-of a word at once by the Chinese-restaurant rule, given the other words' tables. All that words share are the numbers of
-tables of each restaurant; they are summed over all tasks after each round and held over within it, so a round needs no
-shuffle and no stored seating: a task replays its words' seatings from hashes. Predictive probabilities are averaged
-over the samples of the last round.
+One restaurant for each word that another one follows (and for the start of a text) shares the unigram restaurant as its
+parent, whose base is uniform over the V known words and one unknown. Customers of a word in a context sit at t tables,
+each of which sends a customer to the parent. Gibbs sampling reseats the customers of each pair (context, word) by the
+Chinese-restaurant rule, given the tables of its restaurant and the word's chance in the parent. Both are sums by context
+and by word: they are tables, joined to the pairs before each sweep and held over within it. A pair that occurs once has
+one table whatever is drawn, so it counts in the sums but isn't reseated. Predictive probabilities are averaged over the
+samples of the last sweeps. Frequent keys of the joins are broadcast (at most 1 / HEAVY of each kind), so none is hot.
 """
 
 from __future__ import annotations
@@ -20,17 +20,19 @@ from patchspark.llm.langid import remainder
 from patchspark.llm.shingles import blocks, mixed, words
 from patchspark.llm.store import written
 
-CLASSES, SAMPLES = 16, 3
+SAMPLES, START = 3, 0
 #: Discount and strength of the context restaurants and of the parent.
 CONTEXT, PARENT = (0.8, 2.0), (0.6, 10.0)
 END = np.uint64(0x243F6A8885A308D3)
-#: A word with at least this share of the tokens is scored without a shuffle; there are at most 1 / HEAVY such words.
+#: What has at least this share of the tokens is met by broadcast; there are at most 1 / HEAVY such words, contexts or pairs.
 HEAVY = 1 / 50_000
+#: A pair in at least this share of the texts (1000 at least) is met by broadcast too.
+PAIR_TEXTS = 1 / 200
 FLUSH = 3_000_000
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word hash, context) of each token in order; every text ends with an END. 0 is the start's context."""
+    """(text number, word hash, context) of each token in order; every text ends with an END. The context is the word before, or START."""
     of, hashed = words(texts)
     n = np.bincount(of, minlength=len(texts))
     at = np.cumsum(n + 1) - 1  # of the ends
@@ -38,9 +40,9 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_end = np.zeros(len(out), bool)
     is_end[at] = True
     out[is_end], out[~is_end] = END, hashed
-    context = np.zeros(len(out), np.int32)
-    context[1:] = (out[:-1] % np.uint64(CLASSES)).astype(np.int32) + 1
-    context[at[:-1] + 1] = 0
+    context = np.full(len(out), START, np.uint64)
+    context[1:] = out[:-1]
+    context[at[:-1] + 1] = START
     return np.repeat(np.arange(len(texts)), n + 1), out, context
 
 
@@ -58,7 +60,7 @@ def _counted(batches):
 
     def rows():
         word, context, n = _summed([_summed(parts)])
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(context), pa.array(n)], ["word", "context", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(context.view(np.int64)), pa.array(n)], ["word", "context", "n"])
 
     for batch in batches:
         for _, block in blocks(batch.column("text").to_pylist()):
@@ -89,144 +91,151 @@ def _seat(n: np.ndarray, a: np.ndarray, d: float, seed: np.ndarray) -> np.ndarra
     return tables
 
 
-def _sampled(word: np.ndarray, row: np.ndarray, context: np.ndarray, n: np.ndarray, m: dict, burn_in: int, samples: int):
-    """The words' samples: for each, tables by cell, tables in the parent, and predictive probability in the parent."""
-    (d, s), (d0, s0) = CONTEXT, PARENT
-    t, t0, out = np.ones(len(n)), np.ones(len(word)), []
-    for sweep in range(burn_in + samples):
-        c0 = np.bincount(row, t, len(word))
-        base = (s0 + d0 * m["parent"]) / (m["V"] + 1)
-        p0 = (c0 - d0 * t0 + base) / (s0 + m["tables"].sum())
-        seed = mixed(word + np.uint64(sweep * 0xD1342543DE82EF95 & (1 << 64) - 1))
-        t = _seat(n, (s + d * m["tables"][context]) * p0[row], d, mixed(seed[row] + context.astype(np.uint64)))
-        c0 = np.bincount(row, t, len(word))
-        t0 = _seat(c0, np.full(len(word), base), d0, seed)
-        if sweep >= burn_in:
-            out.append((t, t0, (c0 - d0 * t0 + base) / (s0 + m["tables"].sum())))
-    return out
-
-
-def _cells(batch: pa.RecordBatch):
-    lists = batch.column("contexts"), batch.column("ns")
-    sizes = np.diff(lists[0].offsets.to_numpy())
-    word = batch.column("word").to_numpy().view(np.uint64)
-    return word, np.repeat(np.arange(len(word)), sizes), lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy().astype(float)
+def _seed(of: np.ndarray, sweep: int) -> np.ndarray:
+    return mixed(of.view(np.uint64) + np.uint64(sweep * 0xD1342543DE82EF95 & (1 << 64) - 1))
+
+
+def _reseated(batches, sweep: int):
+    """Pairs with the tables of this sweep, from their restaurant's tables and the word's chance in the parent."""
+    d, s = CONTEXT
+    for batch in batches:
+        word, context, n, tables, p0 = (batch.column(c).to_numpy() for c in ("word", "context", "n", "tables", "p0"))
+        t = _seat(n, (s + d * tables) * p0, d, mixed(_seed(word, sweep) + context.view(np.uint64)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "context", "n", "ts")), pa.array(t)], ["word", "context", "n", "ts", "t"])
+
+
+def _parent_seated(batches, draws: list[tuple[int, float]]):
+    """Words with their tables in the parent, for each draw (sweep, base) from the customers that it sends there."""
+    for batch in batches:
+        word, c0 = batch.column("word").to_numpy(), np.array(batch.column("c0").to_pylist(), float).reshape(-1, len(draws))
+        t0 = np.stack([_seat(c0[:, i], np.full(len(word), base), PARENT[0], _seed(word, sweep)) for i, (sweep, base) in enumerate(draws)], axis=1)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(t0.ravel()), len(draws)).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "n", "c0")), lists], ["word", "n", "c0", "t0"])
+
+
+def met(df: DataFrame, table: DataFrame, on: list[str], frequent) -> DataFrame:
+    """df left joined with table; its frequent rows are broadcast, so no key of the shuffled part is hot."""
+    often = F.broadcast(table.where(frequent))
+    rare = df.join(often.select(on), on, "left_anti").join(table.where(~frequent), on, "left")
+    return df.join(often, on).unionByName(rare)
+
+
+class Back:
+    """back[:, context]: what a context leaves to its parent, one number a sample; 1 where nothing was seen."""
+
+    def __init__(self, contexts: DataFrame):
+        self.contexts = contexts
+        self.last = None
+
+    def __getitem__(self, at) -> np.ndarray:
+        if self.last is None or self.last[0] != at[1]:
+            found = self.contexts.where(F.col("context") == int(at[1])).first()
+            self.last = at[1], np.array(found["back"]) if found else np.ones(SAMPLES)
+        return self.last[1][at[0]]
 
 
 def fit(train: DataFrame, rounds: int = 2, burn_in: int = 2) -> tuple[DataFrame, dict]:
-    """(word table, sums) from the texts of train: word, n, p0 (one a sample), contexts and extra.
+    """(word table, model) from the texts of train.
 
-    The chance of a word in a context is extra (0 if the context is not listed) + the mean of back[sample][context] *
-    p0[sample]. Counts cover all texts. Only numbers by context come to the driver.
+    The model's tables are pairs (word, context, n, extra), contexts (context, customers, back) and words (word, n, p0),
+    with back and p0 one number a sample. The chance of a word in a context is extra (0 if the pair was not seen) + the
+    mean of back[sample] * p0[sample]. Counts cover all texts. The word table, for looking at, lists contexts and extra
+    by word and is only made if it is read. Only single numbers come to the driver.
     """
-    spark = train.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = train.mapInArrow(_counted, "word long, context int, n long").repartition(parts, "word")
-    cells = counted.groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word").agg(
-        F.sum("n").alias("n"), F.collect_list(F.struct("context", "n")).alias("c"))
-    table = written(cells.select("word", "n", F.col("c.context").alias("contexts"), F.col("c.n").alias("ns")), "word-counts")
-    first = table.agg(F.count(F.lit(1)).alias("V"), F.coalesce(F.sum("n"), F.lit(0)).alias("N")).first()
-    by_context = {r["context"]: r for r in table.select(F.explode(F.arrays_zip("contexts", "ns")).alias("c")).groupBy(
-        F.col("c.contexts").alias("context")).agg(F.sum("c.ns").alias("n"), F.count(F.lit(1)).alias("t")).collect()}
-    size = CLASSES + 1
-    m = {"V": first["V"], "N": first["N"], "parent": float(first["V"]),
-         "tables": np.array([float(by_context[i]["t"]) if i in by_context else 0.0 for i in range(size)]),
-         "customers": np.array([float(by_context[i]["n"]) if i in by_context else 0.0 for i in range(size)])}
-
-    def seating(shared: dict, samples: int):
-        def sums(batches):
-            total = np.zeros((samples, size + 1))
-            for batch in batches:
-                cell = _cells(batch)
-                for i, (t, t0, _) in enumerate(_sampled(*cell, shared, burn_in, samples)):
-                    total[i] += np.append(np.bincount(cell[2], t, size), t0.sum())
-            yield pa.RecordBatch.from_pydict({"tables": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
-
-        rows = table.mapInArrow(sums, "tables array<double>").collect()
-        return sum((np.array(r["tables"]) for r in rows), np.zeros(samples * (size + 1))).reshape(samples, size + 1)
-
-    for _ in range(rounds):
-        last = seating(dict(m), 1)[0]
-        m |= {"tables": last[:size], "parent": last[size]}
-    drawn = seating(dict(m), SAMPLES)
     (d, s), (d0, s0) = CONTEXT, PARENT
-    m["back"] = (s + d * drawn[:, :size]) / (s + m["customers"])
-    m["unknown"] = (s0 + d0 * m["parent"]) / (m["V"] + 1) / (s0 + m["tables"].sum())
-
-    def predictive(batches):
-        for batch in batches:
-            word, row, context, n = cell = _cells(batch)
-            samples = _sampled(*cell, m, burn_in, SAMPLES)
-            extra = (n - d * np.mean([t for t, _, _ in samples], axis=0)) / (s + m["customers"][context])
-            p0 = np.stack([p for _, _, p in samples], axis=1)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(word)))]), pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("word"), batch.column("n"), pa.FixedSizeListArray.from_arrays(pa.array(p0.ravel()), SAMPLES).cast(pa.list_(pa.float64())),
-                pa.ListArray.from_arrays(offsets, pa.array(context)), pa.ListArray.from_arrays(offsets, pa.array(np.maximum(extra, 0)))],
-                ["word", "n", "p0", "contexts", "extra"])
-
-    kind = "word long, n long, p0 array<double>, contexts array<int>, extra array<double>"
-    return written(table.mapInArrow(predictive, kind), "word-model"), m
+    pairs = written(train.mapInArrow(_counted, "word long, context long, n long").groupBy("word", "context").agg(F.sum("n").alias("n")), "pairs")
+    n, once = F.sum("n"), F.count_if(F.col("n") == 1).cast("double").alias("once")
+    of_word = written(pairs.groupBy("word").agg(n.alias("n"), once), "word-counts")
+    of_context = written(pairs.groupBy("context").agg(n.alias("customers"), once), "context-counts")
+    first = of_word.agg(F.count(F.lit(1)).alias("V"), F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.coalesce(F.sum("once"), F.lit(0.0)).alias("once")).first()
+    least = max(1, first["N"] * HEAVY)
+    m = {"V": first["V"], "N": first["N"]}
+
+    def sums(many: DataFrame, of: DataFrame, key: str, drawn: list, name: str) -> DataFrame:
+        """Tables of all pairs of a key, a number a draw."""
+        some = many.groupBy(key).agg(*(F.sum(c).alias(f"s{i}") for i, c in enumerate(drawn)))
+        every = F.array(*(F.col("once") + F.coalesce(f"s{i}", F.lit(0.0)) for i in range(len(drawn))))
+        return of.join(some, key, "left").select(key, *(c for c in ("n", "customers") if c in of.columns), every.alias(name))
+
+    def parent(many: DataFrame, drawn: list, draws: list) -> tuple[DataFrame, list, list]:
+        """Words with p0, the parent's base and the chance of the unknown, from the tables drawn."""
+        seated = written(sums(many, of_word, "word", drawn, "c0").mapInArrow(lambda b: _parent_seated(b, draws), "word long, n long, c0 array<double>, t0 array<double>"), "parent")
+        k = range(len(drawn))
+        total = seated.agg(*(F.coalesce(F.sum(F.col(c)[i]), F.lit(0.0)) for c in ("c0", "t0") for i in k)).first()
+        bases = [(s0 + d0 * total[len(drawn) + i]) / (m["V"] + 1) for i in k]
+        p0 = F.array(*((F.col("c0")[i] - d0 * F.col("t0")[i] + bases[i]) / (s0 + total[i]) for i in k))
+        return seated.select("word", "n", p0.alias("p0")), bases, [bases[i] / (s0 + total[i]) for i in k]
+
+    many = pairs.where("n > 1").withColumns({"ts": F.array().cast("array<double>"), "t": F.lit(1.0)})
+    words, bases, _ = parent(many, ["t"], [(0, (s0 + d0 * m["V"]) / (m["V"] + 1))])
+    base, draws = bases[0], []
+    for sweep in range(1, rounds + burn_in + SAMPLES + 1):
+        contexts = sums(many, of_context, "context", ["t"], "tables").select("context", "customers", F.col("tables")[0].alias("tables"))
+        given = met(many.drop("t"), contexts, ["context"], F.col("customers") >= least).drop("customers")
+        given = met(given, words.select("word", F.col("n").alias("of_word"), F.col("p0")[0].alias("p0")), ["word"], F.col("of_word") >= least)
+        new = given.mapInArrow(lambda b, i=sweep: _reseated(b, i), "word long, context long, n long, ts array<double>, t double")
+        if sweep > rounds + burn_in:
+            new = new.withColumn("ts", F.concat("ts", F.array("t")))
+            draws.append((sweep, base))
+        many = written(new, "seated")
+        if sweep < rounds + burn_in + SAMPLES:
+            words, bases, _ = parent(many, ["t"], [(sweep, base)])
+            base = bases[0]
+    drawn = [F.col("ts")[i] for i in range(SAMPLES)]
+    words, _, unknown = parent(many, drawn, draws)
+    back = F.transform("tables", lambda t: (s + d * t) / (s + F.col("customers")))
+    contexts = written(sums(many, of_context, "context", drawn, "tables").select("context", "customers", back.alias("back")), "context-model")
+    seats = F.when(F.col("n") > 1, sum(drawn) / SAMPLES).otherwise(1.0)
+    all_pairs = many.select("word", "context", "n", "ts").unionByName(pairs.where("n = 1").withColumn("ts", F.lit(None).cast("array<double>")))
+    m |= {"pairs": all_pairs.select("word", "context", "n", F.greatest(F.col("n") - d * seats, F.lit(0.0)).alias("over")),
+          "contexts": contexts, "words": written(words, "word-model"), "unknown": float(np.mean(unknown)), "unknowns": unknown, "back": Back(contexts)}
+    extra = F.struct("context", (F.col("over") / (s + F.col("customers"))).alias("extra"))
+    by_word = m["pairs"].join(contexts, "context").groupBy("word").agg(F.collect_list(extra).alias("c"))
+    return m["words"].join(by_word, "word").select("word", "n", "p0", F.col("c.context").alias("contexts"), F.col("c.extra").alias("extra")), m
+
+
+def _occurrences(batches):
+    """A row of each text (word null) and its pairs with their counts."""
+    names = ["key", "doc_id", "word", "context", "count"]
+    for batch in batches:
+        keys, ids = batch.column("key"), batch.column("doc_id")
+        for first, block in blocks(batch.column("text").to_pylist()):
+            of, word, context = tokens(block)
+            k, own = len(block), keys.slice(first, len(block))
+            none = pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([own, ids.slice(first, k), none, none, pa.array(np.bincount(of, minlength=k))], names)
+            of, word, context, count = _summed([(of, word, context, np.ones(len(of), np.int64))])
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(of)), pa.nulls(len(of), pa.int64()), pa.array(word.view(np.int64)), pa.array(context.view(np.int64)), pa.array(count)], names)
 
 
 def score(docs: DataFrame, model: DataFrame, m: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row of docs.
 
-    Frequent words (at most 1 / HEAVY of them) are broadcast and scored where the text is; the others' occurrences
-    meet the word table in a shuffle, counted by document. Defined cases: a null or empty text is one END; an unknown
-    word has what the parent keeps for it; without training texts only the unknown is left, with chance 1; equal rows
-    are scored once and returned as often as they come.
+    The distinct pairs of docs meet the model's tables, then the occurrences meet the pairs' chances. Defined cases: a
+    null or empty text is one END; an unknown word has what the parent keeps for it; a context that was not seen leaves
+    all to the parent; without training texts only the unknown is left, with chance 1; equal rows are scored once and
+    returned as often as they come.
     """
-    spark = docs.sparkSession
-    heavy = [(r["word"], r["n"], r["p0"], r["contexts"], r["extra"]) for r in model.where(F.col("n") >= max(1, m["N"] * HEAVY)).collect()]
-    heavy.sort()
-    back = m["back"]
-    if m["V"]:
-        unknown = np.log10(back.mean(0) * m["unknown"])
-    else:
-        unknown = np.zeros(CLASSES + 1)
-    chance = np.array([np.mean(back * np.array(p0)[:, None], axis=0) for _, _, p0, _, _ in heavy]).reshape(-1, CLASSES + 1)
-    for row, (_, _, _, contexts, extra) in zip(chance, heavy, strict=True):
-        row[contexts] += extra
-    total = m["N"] + 0.5 * (m["V"] + 1)
-    shared = spark.sparkContext.broadcast((np.array([h[0] for h in heavy], np.int64), np.log10((np.array([h[1] for h in heavy], float) + 0.5) / total), np.log10(chance)))
-
-    def split(batches):
-        known, base, chance = shared.value
-        for batch in batches:
-            keys, ids = batch.column("key"), batch.column("doc_id")
-            for first, block in blocks(batch.column("text").to_pylist()):
-                of, word, context = tokens(block)
-                word, n = word.view(np.int64), len(block)
-                at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-                here = known[at] == word if len(known) else np.zeros(len(word), bool)
-                sums = [np.bincount(of[here], w, n) for w in ((base[at[here]], chance[at[here], context[here]]) if len(known) else (np.zeros(0), np.zeros(0)))]
-                own = keys.slice(first, n)
-                one = pa.array(np.ones(n, np.int64))
-                yield pa.RecordBatch.from_arrays([own, ids.slice(first, n), one, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.bincount(of, minlength=n)),
-                                                  pa.array(np.bincount(of[here], minlength=n)), pa.array(sums[0]), pa.array(sums[1])], names)
-                doc, rare, context, count = _summed([(of[~here], word[~here], context[~here], np.ones((~here).sum(), np.int64))])
-                k = len(doc)
-                none = pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(doc)), none[0], none[0], pa.array(rare), pa.array(context), pa.array(count), none[0], none[1], none[1]], names)
-
-    names = ["key", "doc_id", "rows", "word", "context", "count", "known", "base", "score"]
+    s, least, total = CONTEXT[1], max(1, m["N"] * HEAVY), m["N"] + 0.5 * (m["V"] + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
-    seen = written(rows.mapInArrow(split, "key long, doc_id long, rows long, word long, context int, count long, known long, base double, score double"), "tokens")
-    whole = seen.where("word is null").select("key", "doc_id", "rows", "count", "known", "base", "score")
-    rare = seen.where("word is not null").select("key", "word", "context", "count").join(model, "word", "left")
-    at, count = F.col("context") + 1, F.col("count")
-    share = F.element_at("extra", F.nullif(F.array_position("contexts", F.col("context")), F.lit(0)).cast("int"))
-    p = F.coalesce(share, F.lit(0.0)) + sum(F.element_at(F.array(*map(F.lit, row)), at) * F.col("p0")[i] for i, row in enumerate((back / SAMPLES).tolist()))
-    lost = F.element_at(F.array(*map(F.lit, unknown.tolist())), at)
-    rare = rare.select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("count"),
-                       F.when(F.col("n").isNotNull(), count).alias("known"), (count * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / total)).alias("base"),
-                       (count * F.when(F.col("n").isNotNull(), F.log10(p)).otherwise(lost)).alias("score"))
-    sums = whole.unionByName(rare).groupBy("key").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *(F.sum(c).alias(c) for c in ("rows", "count", "known", "base", "score")))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), "rows"))
-    per = lambda c: (F.col(c) / F.col("rows"))
-    return sums.select("*", times.alias("copy")).select(
-        "doc_id", per("count").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(m["N"]).cast("long").alias("train_tokens"),
+    seen = written(rows.mapInArrow(_occurrences, "key long, doc_id long, word long, context long, count long"), "tokens")
+    pairs = seen.where("word is not null").groupBy("word", "context").agg(F.count(F.lit(1)).alias("texts"))
+    asked = pairs.join(m["pairs"].select("word", "context", "over"), ["word", "context"], "left")
+    asked = met(asked, m["words"], ["word"], F.col("n") >= least)
+    asked = met(asked, m["contexts"], ["context"], F.col("customers") >= least)
+    extra = F.coalesce(F.col("over") / (s + F.col("customers")), F.lit(0.0))
+    chance = extra + sum(F.coalesce(F.col("back")[i], F.lit(1.0)) * F.coalesce(F.col("p0")[i], F.lit(m["unknowns"][i])) for i in range(SAMPLES)) / SAMPLES
+    asked = written(asked.select("word", "context", "texts", F.col("n").isNotNull().alias("is_known"), F.log10((F.coalesce("n", F.lit(0)) + 0.5) / total).alias("base"),
+                                 (F.log10(chance) if m["V"] else F.lit(0.0)).alias("score")), "chances")
+    n_texts = seen.where("word is null").count()
+    count = F.col("count")
+    of = met(seen.where("word is not null").select("key", "word", "context", "count"), asked, ["word", "context"], F.col("texts") >= max(1000, n_texts * PAIR_TEXTS)).select(
+        "key", F.when(F.col("is_known"), count).alias("known"), (count * F.col("base")).alias("base"), (count * F.col("score")).alias("score"))
+    whole = seen.where("word is null").groupBy("key").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.max("count").alias("count"))
+    sums = whole.join(of.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score"))), "key")
+    per = lambda c: F.col(c) / F.col("rows")
+    return sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")).select(
+        "doc_id", F.col("count").cast("long").alias("n_tokens"), F.coalesce(per("known"), F.lit(0)).cast("long").alias("n_known"), F.lit(m["N"]).cast("long").alias("train_tokens"),
         per("base").alias("base_score"), per("score").alias("score"))
 
 

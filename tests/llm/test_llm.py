@@ -207,6 +207,17 @@ def test_pitman_yor(small, docs):
     assert len(got) == len(TEXTS) and all(r["score"] <= 0 for r in got)
 
 
+def test_pitman_yor_contexts_are_words(spark):
+    firsts, seconds = [f"left{i}" for i in range(40)], [f"right{i}" for i in range(40)]
+    train = spark.createDataFrame([(f"{a} {b}",) for a, b in zip(firsts, seconds, strict=True) for _ in range(20)], "text string")
+    model, sums = pitman_yor.fit(train)
+    asked = [(i, f"{firsts[i]} {seconds[i]}") for i in range(40)] + [(100 + i, f"{firsts[i]} {seconds[(i + 7) % 40]}") for i in range(40)]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(spark.createDataFrame(asked, "doc_id long, text string"), model, sums).collect()}
+    # every word after its usual predecessor, whatever the classes of hashes, is at least ten times as likely as after another one
+    assert all(got[i] > got[100 + i] + 1 for i in range(40))
+    assert sums["contexts"].count() == 81
+
+
 def test_hnsw(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16))
