@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +53,12 @@ def catalog(spark, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("image_id"), (64 + (7 * F.col("o_custkey")) % 4000).cast("int").alias("height"), (64 + (13 * F.col("o_orderkey")) % 6000).cast("int").alias("width"))
 
 
-def noisy(spark, d: str) -> DataFrame:
-    """Every fifth vector, made noisy by the one after it."""
+def noisy(spark, d: str, every: int = 5) -> DataFrame:
+    """Every fifth vector (every=1: all), made noisy by the one after it."""
     v = s.vectors(spark, d).select("vec_id", "v")
     size = v.count()
     after = v.select(F.pmod(F.col("vec_id") - 1, F.lit(size)).alias("vec_id"), F.col("v").alias("b"))
-    return v.where("vec_id % 5 = 0").join(after, "vec_id").select(F.col("vec_id").alias("query_id"), F.zip_with("v", "b", lambda a, b: 0.6 * a + 0.4 * (8 * b)).alias("x"))
+    return v.where(F.col("vec_id") % every == 0).join(after, "vec_id").select(F.col("vec_id").alias("query_id"), F.zip_with("v", "b", lambda a, b: 0.6 * a + 0.4 * (8 * b)).alias("x"))
 
 
 def flat(df: DataFrame, key: str, v: str) -> DataFrame:
@@ -71,8 +73,8 @@ def log(spark, d: str) -> DataFrame:
 
 
 @query("SELECT query_id, (j - 1)::INT AS i, round(sum(p * v[j]) / sum(p), 6) + 0 AS e FROM (SELECT query_id, v, exp(l - max(l) OVER (PARTITION BY query_id)) AS p FROM (SELECT query_id, v, -list_sum(list_transform(range(1, 65), lambda i: (x[i] - 0.6 * v[i]) * (x[i] - 0.6 * v[i]))) / 0.32 AS l FROM queries, vectors)), range(1, 65) t(j) GROUP BY ALL", VECTORS)
-def kernel_regression(spark, d):
-    return flat(k.kernel_regress(noisy(spark, d), s.vectors(spark, d), 0.6, 0.4), "query_id", "x_hat")
+def kernel_regression(spark, d, every=5):
+    return flat(k.kernel_regress(noisy(spark, d, every), s.vectors(spark, d), 0.6, 0.4), "query_id", "x_hat")
 
 
 @query("SELECT query_id, rank::INT AS rank, vec_id, round(d2, 6) + 0 AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM (SELECT query_id, vec_id, list_sum(list_transform(range(1, 65), lambda i: (x[i] - v[i]) * (x[i] - v[i]))) AS d2 FROM queries, vectors)) WHERE rank <= 5", VECTORS)
@@ -81,8 +83,8 @@ def nearest_flat(spark, d):
 
 
 @query("SELECT query_id, (j - 1)::INT AS i, round(sum(p * v[j]) / sum(p), 6) + 0 AS e FROM (SELECT query_id, v, exp(l - max(l) OVER (PARTITION BY query_id)) AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM (SELECT query_id, vec_id, v, list_sum(list_transform(range(1, 65), lambda i: (x[i] - v[i]) * (x[i] - v[i]))) AS d2, -list_sum(list_transform(range(1, 65), lambda i: (x[i] - 0.6 * v[i]) * (x[i] - 0.6 * v[i]))) / 0.32 AS l FROM queries, vectors)) WHERE rank <= 5), range(1, 65) t(j) GROUP BY ALL", VECTORS)
-def nearest_regression(spark, d):
-    q, v = noisy(spark, d), s.vectors(spark, d).select("vec_id", "v")
+def nearest_regression(spark, d, every=5):
+    q, v = noisy(spark, d, every), s.vectors(spark, d).select("vec_id", "v")
     return flat(k.knn_regress(q, v, k.require_k(k.knn_flat(q, v, 5), q, 5), 0.6, 0.4), "query_id", "x_hat")
 
 
@@ -100,7 +102,7 @@ def nearest_quantised(spark, d):
 
 @query()
 def quantised_regression(spark, d):
-    q, v = noisy(spark, d), s.vectors(spark, d).select("vec_id", "v")
+    q, v = noisy(spark, d, 1), s.vectors(spark, d).select("vec_id", "v")
     found = pq.knn_ivfpq(k.scale_queries(q, 0.6), pq.fit_ivfpq(v), 5, 4)
     return flat(k.knn_regress(q, v, k.require_k(found, q, 5), 0.6, 0.4), "query_id", "x_hat")
 
@@ -249,12 +251,18 @@ def label_means(spark, d):
 
 
 @query("SELECT label, round(1.2 * (1 - avg(list_cosine_similarity(x, v))), 6) + 0 AS loss FROM queries JOIN vectors ON vec_id = query_id JOIN embeddings USING (vec_id) GROUP BY 1", VECTORS)
-def text_loss(spark, d):
+def text_loss(spark, d, every=5):
     v = s.vectors(spark, d)
-    pairs = noisy(spark, d).join(v, F.col("query_id") == F.col("vec_id")).select("label", "x", F.col("v").alias("y"))
+    pairs = noisy(spark, d, every).join(v, F.col("query_id") == F.col("vec_id")).select("label", "x", F.col("v").alias("y"))
     return rounded(m.cosine_loss(pairs, "label"), "loss")
 
 
+#: The same over all vectors; the queries above keep the set that their SQL states.
+for f in (kernel_regression, nearest_regression, text_loss):
+    QUERIES[f"{f.__name__}_of_all"] = partial(f, every=1)
+    SQL[f"{f.__name__}_of_all"] = SQL[f.__name__].replace(" WHERE a.vec_id % 5 = 0", "")
+
+
 @query("SELECT image_id, scale::INT AS scale, h::INT AS height, w::INT AS width, n AS patches, round(least(h, w) / 7, 6) AS short_in_patches, CASE WHEN n > 250000 THEN 'ann' ELSE 'exact' END AS backend, CASE WHEN n > 8000000 THEN 2 ELSE 1 END::INT AS stride, greatest(1, round_even(n / 7500, 0))::INT AS chunks, [20, 10, 10][scale + 1]::INT AS steps FROM (SELECT *, greatest(h - 6, 0)::BIGINT * greatest(w - 6, 0)::BIGINT AS n FROM (SELECT image_id, scale, ceil(height * pow(0.5, scale)) AS h, ceil(width * pow(0.5, scale)) AS w FROM catalog, range(3) t(scale)))", CATALOG)
 def plan(spark, d):
     return rounded(c.sampling_plan(catalog(spark, d), 3, 7, [20, 10, 10]), "short_in_patches")

@@ -112,3 +112,14 @@ def test_query_against_sql(spark, name):
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
     assert sorted(map(repr, got[cols].astype(object).values.tolist())) == sorted(map(repr, want[cols].astype(object).values.tolist()))
+
+
+@pytest.mark.parametrize("name", ["text_loss_of_all", "kernel_regression_of_all", "nearest_regression_of_all"])
+def test_whole_set_against_sql(spark, name):
+    assert "% 5" not in SQL[name]
+    test_query_against_sql(spark, name)
+
+
+def test_quantised_regression_takes_all(spark):
+    got = QUERIES["quantised_regression"](spark, SF).select("query_id").distinct().count()
+    assert got == spark.read.parquet(f"{SF}/embeddings.parquet").count()
