@@ -2,10 +2,11 @@
 
 Merges are compiled on demand. Two adjacent tokens are stable if merging their joined bytes by rank gives the two back;
 a token sequence is the BPE encoding of its bytes exactly if all its neighbours are stable, so every prefix of a text
-has one last token. A state of the transducer is (last emitted token, bytes read since). Reading a byte finds the last
-token of the longer prefix, and emits a token as soon as every way on begins with it: the ways on start where the text
-read so far is still a beginning of some token, so the lookahead is less than the longest token. States and arcs are
-made when first met and kept, which determinises the machine for the texts at hand.
+has one last token. A place is open as long as the bytes since then are still a beginning of some token. A state of the
+transducer is (bytes since the first open place, the last token at each open place): all that later tokens depend on.
+Reading a byte gives the last token of the longer prefix. Tokens that the ways to all open places have in common are
+emitted, so the lookahead stays within a few of the longest tokens. States and arcs are made when first met and kept,
+which determinises the machine for the texts at hand.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Arcs, and words with their tokens, that a worker keeps before it starts afresh.
-KEPT_ARCS, KEPT_WORDS = 300_000, 800_000
+#: Arcs, and words of each of two generations, that a worker keeps before it starts afresh.
+KEPT_ARCS, KEPT_WORDS = 250_000, 150_000
 #: Texts that are taken out of an Arrow batch together.
 AT_ONCE = 256
+#: Bytes of a piece that are read before what is certain is emitted.
+LOOK = 1024
 
 #: Letters of Latin-1 without its three signs that count as letters.
 LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -37,19 +39,21 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token_bytes = {rank: token for token, rank in ranks.items()}
-        self.sizes = {rank: len(token) for token, rank in ranks.items()}
-        self.single = [bytes((i,)) for i in range(256)]
-        self.beginnings = {token[:i] for token in ranks for i in range(1, len(token))}
+        self.token_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.token_bytes[rank] = token
+        self.sizes = [len(t) for t in self.token_bytes]
+        self.beginnings = {token[:i] for token in ranks for i in range(len(token))}
         self.longest = max(map(len, ranks))
         self.stable: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = {}, {}
         self._forget()
 
     def _forget(self) -> None:
-        self.states: list[tuple[int, bytes, tuple, tuple]] = [(-1, b"", (), ())]
-        self.number = {(-1, b""): 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        """Back to the state before any byte: one open place, with no token before it."""
+        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = [(b"", (0,), (-1,))]
+        self.number = {(b"", (-1,)): 0}
+        self.arcs = _Arcs(self)
 
     def merged(self, raw: bytes, least: int = 1) -> list[bytes]:
         """The definition: of all adjacent parts, the pair whose union has the lowest rank is joined, until none is left.
@@ -94,89 +98,92 @@ class Transducer:
         self.stable[left << 32 | right] = stable
         return stable
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, read, lasts, heads = self.states[state]
-        read += self.single[byte]
-        n, rank_of, beginnings, stable = len(read), self.ranks.get, self.beginnings, self.stable
-        for start in range(n - self.longest if n > self.longest else 0, n):
-            token = rank_of(read[start:])
-            if token is not None:
-                left = lasts[start - 1] if start else before
-                if left is None:
-                    continue
-                if left < 0:
-                    break
-                fits = stable.get(left << 32 | token)
-                if self._is_stable(left, token) if fits is None else fits:
-                    break
-        else:
+    def arc(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, last token of the prefix that ends with byte), the state shifted to leave room for a byte."""
+        read, places, lasts = self.states[state >> 8]
+        read += bytes((byte,))
+        rank_of, stable, beginnings, token = self.ranks.get, self.stable, self.beginnings, None
+        still, left_at = [], []
+        for start, left in zip(places, lasts, strict=True):
+            rest = read[start:]
+            if token is None and (found := rank_of(rest)) is not None:
+                fits = left < 0 or stable.get(left << 32 | found)
+                if self._is_stable(left, found) if fits is None else fits:
+                    token = found
+            if rest in beginnings:
+                still.append(start)
+                left_at.append(left)
+        if token is None:
             raise ValueError(f"no token ends {read!r}")
-        # heads: where the first token on the way to each prefix ends
-        lasts, heads = (*lasts, token), (*heads, heads[start - 1] if start else n)
-        emitted: tuple[int, ...] = ()
-        while read and read not in beginnings:
-            n = len(read)
-            open_at = n - self.longest if n > self.longest else 1
-            while open_at < n and read[open_at:] not in beginnings:
-                open_at += 1
-            end = heads[-1]
-            if any(h != end for h in heads[open_at - 1 :]):
-                break
-            before = lasts[end - 1]
-            emitted += (before,)
-            # what follows the emitted token, as seen from its end; prefixes that are not reached through it are closed
-            new_lasts: list[int | None] = []
-            new_heads: list[int | None] = []
-            for i in range(end, n):
-                at, t = i - end + 1, lasts[i]
-                start = at - self.sizes[t] if heads[i] == end else -1
-                if start < 0 or start and new_lasts[start - 1] is None:
-                    t = head = None
-                else:
-                    head = new_heads[start - 1] if start else at
-                new_lasts.append(t)
-                new_heads.append(head)
-            read, lasts, heads = read[end:], tuple(new_lasts), tuple(new_heads)
-        key = (before, read)
+        still.append(len(read))
+        left_at.append(token)
+        first = still[0]
+        key = read[first:], tuple(left_at)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
-            self.states.append((before, read, lasts, heads))
-        arc = self.arcs[state << 8 | byte] = (to, emitted)
-        return arc
+            self.states.append((key[0], tuple([i - first for i in still]) if first else tuple(still), key[1]))
+        return to << 8, token
+
+    def _way(self, lasts: list[int], end: int) -> list[int]:
+        """The ends of the tokens on the way to a place, last first."""
+        ends, sizes = [], self.sizes
+        while end > 0:
+            ends.append(end)
+            end -= sizes[lasts[end - 1]]
+        return ends
 
     def encode(self, raw: bytes) -> list[int]:
         """The tokens of one piece of text."""
         if len(self.arcs) > KEPT_ARCS:
             self._forget()
-        state, out, arcs = 0, [], self.arcs
-        for byte in raw:
-            state, emitted = arcs.get(state << 8 | byte) or self._arc(state, byte)
-            out += emitted
-        _, read, lasts, _ = self.states[state]
-        rest, end = [], len(read)
-        while end:
-            rest.append(lasts[end - 1])
-            end -= self.sizes[rest[-1]]
-        return out + rest[::-1]
+        state, out, lasts, arcs = 0, [], [], self.arcs
+        for cut in range(0, len(raw), LOOK):
+            for byte in raw[cut : cut + LOOK]:
+                state, token = arcs[state | byte]
+                lasts.append(token)
+            if cut + LOOK < len(raw):
+                # what all ways have in common is certain; every way on starts at an open place
+                read, places, _ = self.states[state >> 8]
+                ways = [set(self._way(lasts, len(lasts) - len(read) + place)) for place in places]
+                if certain := max(set.intersection(*ways), default=0):
+                    out += [lasts[end - 1] for end in self._way(lasts, certain)[::-1]]
+                    del lasts[:certain]
+        return out + [lasts[end - 1] for end in self._way(lasts, len(lasts))[::-1]]
+
+
+class _Arcs(dict):
+    """Arcs by (state | byte), made when first taken."""
+
+    def __init__(self, of: Transducer):
+        self.of = of
+
+    def __missing__(self, key: int) -> tuple[int, int]:
+        arc = self[key] = self.of.arc(key & ~0xFF, key & 0xFF)
+        return arc
 
 
 class Utf8Machine:
-    """An incremental UTF-8 decoder: characters come out once their last byte is in.
+    """An incremental UTF-8 decoder over tokens: characters come out once their last byte is in.
 
-    The state between bytes is (continuation bytes that are due, lowest, highest next byte); None is an error.
+    The state between bytes is (continuation bytes that are due, lowest, highest next byte); None is an error. Between
+    tokens it is told by the bytes held. Tokens that lead from the ground state back to it are known from the start, and
+    runs of them are decoded together; what any other token does is found byte by byte once and kept in `moves`.
     """
 
-    def __init__(self) -> None:
+    GROUND = 0, 0, 0
+
+    def __init__(self, token_bytes: list[bytes], whole: np.ndarray, moves: dict[tuple[bytes, bytes], tuple[bytes, str]] | None = None) -> None:
+        self.token_bytes, self.whole, self.moves = token_bytes, whole, {} if moves is None else moves
         self.held = b""
 
     @staticmethod
     def step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
         due, low, high = state
         if due:
-            return (due - 1, 0x80, 0xBF) if low <= byte <= high else None
+            return (due - 1, *((0x80, 0xBF) if due > 1 else (0, 0))) if low <= byte <= high else None
         if byte < 0x80:
-            return 0, 0, 0
+            return Utf8Machine.GROUND
         if 0xC2 <= byte <= 0xDF:
             return 1, 0x80, 0xBF
         if 0xE0 <= byte <= 0xEF:
@@ -185,26 +192,60 @@ class Utf8Machine:
             return 3, 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
         return None
 
-    def feed(self, raw: bytes) -> str:
+    @classmethod
+    def is_whole(cls, raw: bytes) -> bool:
+        """Whether raw leads from the ground state back to it without an error."""
+        state: tuple[int, int, int] | None = cls.GROUND
+        for byte in raw:
+            state = cls.step(state, byte)
+            if state is None:
+                return False
+        return state == cls.GROUND
+
+    def _moved(self, held: bytes, raw: bytes) -> tuple[bytes, str]:
+        """The bytes held after raw, and the characters that it completes or breaks."""
+        out, state = [], self.GROUND
+        for byte in held:
+            state = self.step(state, byte)
+        for byte in raw:
+            after = self.step(state, byte)
+            if after is None and held:  # the character begun is broken; the byte may begin another
+                out.append("\ufffd")
+                held, after = b"", self.step(self.GROUND, byte)
+            if after is None:
+                out.append("\ufffd")
+                state = self.GROUND
+                continue
+            state, held = after, held + bytes((byte,))
+            if after == self.GROUND:
+                out.append(held.decode())
+                held = b""
+        return held, "".join(out)
+
+    def _move(self, token: bytes) -> str:
+        key = self.held, token
+        move = self.moves.get(key)
+        if move is None:
+            move = self.moves[key] = self._moved(*key)
+        self.held = move[0]
+        return move[1]
+
+    def feed(self, ids: np.ndarray) -> str:
         """The characters that are complete; bytes that are no UTF-8 become U+FFFD."""
-        raw = self.held + raw
-        cut = len(raw)
-        for start in range(len(raw) - 1, max(-1, len(raw) - 4), -1):
-            if raw[start] & 0xC0 != 0x80:  # the last character begins here
-                state: tuple[int, int, int] | None = (0, 0, 0)
-                for byte in raw[start:]:
-                    state = self.step(state, byte)
-                    if state is None:
-                        break
-                if state and state[0]:
-                    cut = start
-                break
-        self.held = raw[cut:]
-        return raw[:cut].decode("utf-8", "replace")
+        tokens, out, at = list(map(self.token_bytes.__getitem__, ids.tolist())), [], 0
+        for broken in [*np.flatnonzero(~self.whole[ids]).tolist(), len(tokens)]:
+            while at < broken and self.held:
+                out.append(self._move(tokens[at]))
+                at += 1
+            out.append(b"".join(tokens[at:broken]).decode())
+            if broken < len(tokens):
+                out.append(self._move(tokens[broken]))
+            at = broken + 1
+        return "".join(out)
 
     def close(self) -> str:
         held, self.held = self.held, b""
-        return held.decode("utf-8", "replace")
+        return "\ufffd" if held else ""
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -225,31 +266,41 @@ class Codec:
         plain = re.sub(r"(?<!\[\^\\s)\\p\{([LN])\}(?!\\p|\])", r"[\\p{\1}]", pattern)
         self.listed_text = re.compile(plain.replace(r"\p{L}", "A-Za-z" + LETTERS).replace(r"\p{N}", "0-9")).findall
         self.token_bytes = fst.token_bytes
+        self.whole = np.array([Utf8Machine.is_whole(t) for t in fst.token_bytes])
+        self.moves: dict[tuple[bytes, bytes], tuple[bytes, str]] = {}
+        self.decimal = [str(i) for i in range(len(fst.token_bytes))]
 
         class Words(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                raw = word.encode()
-                whole = fst.ranks.get(raw)
-                ids = self[word] = (whole,) if whole is not None else tuple(fst.encode(raw))
+            """Words with their tokens as 32-bit numbers; those not met for a generation are forgotten."""
+
+            old: dict[str, bytes] = {}
+
+            def __missing__(self, word: str) -> bytes:
+                ids = self.old.get(word)
+                if ids is None:
+                    raw = word.encode()
+                    whole = fst.ranks.get(raw)
+                    ids = np.array(fst.encode(raw) if whole is None else [whole], np.int32).tobytes()
+                if len(self) >= KEPT_WORDS:
+                    self.old = dict(self)
+                    self.clear()
+                if len(word) <= 64:
+                    self[word] = ids
                 return ids
 
         self.words = Words()
 
-    def encode(self, text: str | None) -> list[int]:
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
+    def encode(self, text: str | None) -> np.ndarray:
+        """The tokens of a whole text; none for null."""
         text = text or ""
         split = self.any_text if self.unlisted(text) else self.listed_text
-        return list(chain.from_iterable(map(self.words.__getitem__, split(text))))
+        return np.frombuffer(b"".join(map(self.words.__getitem__, split(text))), np.int32)
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
-
-    def decode(self, ids: list[int], at_once: int = 65536) -> Iterator[str]:
+    def decode(self, ids: np.ndarray, at_once: int = 65536) -> Iterator[str]:
         """The text in pieces, at_once tokens each; a character whose bytes lie in two pieces comes with the later one."""
-        machine = Utf8Machine()
+        machine = Utf8Machine(self.token_bytes, self.whole, self.moves)
         for i in range(0, len(ids), at_once):
-            yield machine.feed(self.decode_bytes(ids[i : i + at_once]))
+            yield machine.feed(ids[i : i + at_once])
         if last := machine.close():
             yield last
 
@@ -272,12 +323,18 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary
     """The columns `keep` of docs with n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids), and ids
     if asked for.
 
-    A null text counts as empty (no tokens). Every row is by itself: no shuffle, and a worker's memory is bounded by
-    the vocabulary (a file of fixed size, broadcast), the kept arcs and words, and AT_ONCE texts with their tokens.
+    Every row is by itself: no shuffle, and a worker's memory is bounded by the vocabulary (a file of fixed size,
+    broadcast), the kept arcs and words, and AT_ONCE texts with their tokens. Defined cases: a null text counts as empty
+    (no tokens); equal rows give equal rows, as often as they come; no rows give no rows; of `keep` the columns that
+    docs lacks are left out, and so are those named like a result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or default_vocabulary())
-    schema = T.StructType([docs.select(keep).schema[c] for c in keep]).add("n_tokens", "long").add(
-        "ids_sha256", "string").add("decoded_sha256", "string")
+    results = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if with_ids:
+        results = results.add("ids", T.ArrayType(T.IntegerType()))
+    taken = {c.lower() for c in results.names}
+    keep = [c for c in keep if c in docs.columns and c.lower() not in taken]
+    schema = T.StructType([*docs.select(keep).schema.fields, *results.fields])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*shared.value)
@@ -290,17 +347,15 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary
                     for piece in codec.decode(ids):
                         digest.update(piece.encode())
                     counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                     decoded_sha.append(digest.hexdigest())
                     if with_ids:
-                        tokens.append(np.array(ids, np.int32))
+                        tokens.append(ids)
                 columns = [*part.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
                 if with_ids:
                     columns.append(pa.array(tokens, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    if with_ids:
-        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(encode, schema)
 
 

@@ -156,14 +156,32 @@ def test_bpe(spark, docs, small):
     raw, pattern = bpe.default_vocabulary()
     codec, theirs = bpe.Codec(raw, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(raw), special_tokens={})
     texts = [r["text"] or "" for r in small.select("text").union(docs.select("text")).collect()] + ["日本語 😀 é ²½   \x1c x", "a" * 3000, " " * 999, "ÀÖß'll  x"]
+    texts += ["abc" * 2000, "é" * 3000, "0123456789" * 300, "日本" * 900]  # pieces longer than what is read at once
     for text in texts:
         ids = codec.encode(text)
-        assert ids == theirs.encode_ordinary(text) and "".join(codec.decode(ids, 7)) == text
-    machine = bpe.Utf8Machine()
-    broken = b"a\xe2\x82" + b"\xff\xf0\x9f\x98" + b"\x80z\xc3"
-    assert "".join([machine.feed(bytes([b])) for b in broken] + [machine.close()]).endswith("😀z�")
+        assert ids.tolist() == theirs.encode_ordinary(text) and all("".join(codec.decode(ids, n)) == text for n in (1, 7, 65536))
+    single = [bytes([b]) for b in range(256)]
+    whole = np.array([bpe.Utf8Machine.is_whole(b) for b in single])
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        raw = rng.choice([0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 65, 0xED, 0xA0, 0xC3, 0xFF], rng.integers(1, 12)).astype(np.uint8)
+        machine, other = bpe.Utf8Machine(single, whole), bpe.Utf8Machine(single, whole)
+        wanted = raw.tobytes().decode("utf-8", "replace")
+        assert machine.feed(raw) + machine.close() == wanted == "".join(other.feed(raw[i : i + 1]) for i in range(len(raw))) + other.close()
     row = bpe.encoded(docs.where("doc_id = 2"), ["doc_id"]).first()
     assert row["n_tokens"] == 0 and row["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+    clash = docs.withColumn("ids", F.lit(1)).withColumn("n_tokens", F.lit(2))
+    assert bpe.encoded(clash.limit(3), ["doc_id", "ids", "n_tokens", "absent"]).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert bpe.encoded(docs.limit(0), ["doc_id"]).count() == 0 and bpe.encoded(docs, ["doc_id"]).count() == len(TEXTS)
+
+
+def test_bpe_forgets_and_stays_right(small, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_ARCS", 500)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 50)
+    codec, usual = bpe.Codec(*bpe.default_vocabulary()), bpe.Codec(*bpe.default_vocabulary())
+    for r in small.limit(20).collect():
+        assert codec.encode(r["text"]).tolist() == usual.encode(r["text"]).tolist()
+    assert len(codec.words) <= 50 and len(codec.words.old) <= 50
 
 
 def test_quality(spark, small, docs):
