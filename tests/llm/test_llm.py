@@ -84,17 +84,62 @@ def test_suffix_windows_stay_inside_texts(spark):
     assert len(got) == 4 and all(r["n_removed"] == 0 for r in got)
 
 
-def test_suffix_shards_are_merged(monkeypatch):
+def test_suffix_rows_are_told_apart(spark):
+    """Neighbours whose ids and sizes differ by 31 to 1, and rows that share a doc_id and a length."""
+    p = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(100))
+    rows = [(0, p), (1, p + "x" * 31), (2, p), (7, p), (7, "z" * 100), (None, p), (None, "q" * 100)]
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(0, 100, 0), (1, 131, 100), (2, 100, 100), (7, 100, 100), (7, 100, 0), (None, 100, 100), (None, 100, 0)}
+
+
+def test_suffix_removal_rests_on_bytes(spark, small, monkeypatch):
+    """With digests that always collide the result is the same."""
+    texts = [(i, t.encode()) for i, t in sorted((r["doc_id"], r["text"] or "") for r in small.limit(60).collect())]
+    import pyarrow as pa
+
+    def removed():
+        batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in texts], "check": [0] * len(texts), "text": [t.decode() for _, t in texts]})
+        blobs = {}
+        for out in suffix_dedup._packed([batch.slice(0, 30), batch.slice(30)], 4):
+            for b, blob in zip(out.column("bucket").to_pylist(), out.column("blob").to_pylist(), strict=True):
+                blobs.setdefault(b, []).append(blob)
+        gone = {i: bytearray(len(t)) for i, t in texts}
+        for some in blobs.values():
+            for doc, _, start, end in suffix_dedup._repeats(some):
+                for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
+                    gone[d][s:e] = b"\1" * (e - s)
+        return {i: sum(g) for i, g in gone.items()}
+
+    want = {i: r for i, _, r, _, _ in brute_removed(texts)}
+    assert removed() == want and sum(want.values())
+    monkeypatch.setattr(suffix_dedup, "digests", lambda hashed, start, length: np.full(len(start), 7, np.uint64))
+    monkeypatch.setattr(suffix_dedup, "SHARD", 3000)
+    assert removed() == want
+
+
+def test_suffix_shards_are_merged():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 4000).astype(np.uint8)
-    order, _ = suffix_dedup.suffix_array(text)
+    text[1000:2000] = 97
     raw = text.tobytes()
-    assert all(raw[a : a + 50] <= raw[b : b + 50] for a, b in zip(order[:-1], order[1:], strict=True))
-    lcp = suffix_dedup.common_prefixes(text, order)
-    assert all(raw[order[i] : order[i] + lcp[i]] == raw[order[i - 1] : order[i - 1] + lcp[i]] for i in range(1, len(order)))
-    one, other = (suffix_dedup._Shard(text[:200], np.array([100, 100]), np.array(d)) for d in ([5, 9], [3, 7]))
-    one.merge(other)
-    assert (one.least == other.least).all() and one.least.max() <= 7
+    order, rank = suffix_dedup.suffix_array(text)
+    assert order.tolist() == sorted(range(4000), key=lambda i: raw[i:]) and (order[rank] == np.arange(4000)).all()
+    at, count = np.array([0, 300, 2500]), np.array([200, 1900, 1450])
+    some = np.concatenate([np.arange(a, a + c) for a, c in zip(at, count, strict=True)])
+    inside = order[np.isin(order, some)]
+    lcp = suffix_dedup.common_prefixes(text, inside, at, count)
+    want = [next((k for k in range(50) if raw[i + k] != raw[j + k]), 50) for i, j in zip(inside[1:], inside[:-1], strict=True)]
+    assert lcp.tolist() == [0, *want]
+    shards = [suffix_dedup._Shard(text[:200], np.array([100, 100]), np.array(d)) for d in ([5, 9], [3, 7], [8, 4])]
+    suffix_dedup._merged(shards)
+    assert all((s.least == shards[0].least).all() for s in shards) and shards[0].least.max() <= 4
+
+
+def test_suffix_on_a_larger_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(i, (t or "").encode()) for i, t in table.select("doc_id", "text").collect()]
+    got = [tuple(r) for r in suffix_dedup.op1_suffix_dedup(spark, "/root/testdata/sf0.01").collect()]
+    assert sorted(got) == sorted(brute_removed(rows))
 
 
 def brute_components(table, percent=75):
