@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arcs, and words of each of two generations, that a worker keeps before it starts afresh.
-KEPT_ARCS, KEPT_WORDS = 250_000, 150_000
+KEPT_ARCS, KEPT_WORDS = 400_000, 300_000
 #: Texts that are taken out of an Arrow batch together.
 AT_ONCE = 256
 #: Bytes of a piece that are read before what is certain is emitted.
