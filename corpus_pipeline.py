@@ -13,23 +13,34 @@ from patchspark.llm.store import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter (null and empty texts too) and those further from all languages than texts are.
+
+    Learns from the rows of docs that have a language; without any, all documents go. Rows that share an id are judged
+    one by one.
+    """
     return langid.recognised(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space the row with the smallest doc_id stays; null ids come last.
+
+    Rows that share the staying id and text all stay.
+    """
     return exact_dedup.one_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays; rows without words or id all stay."""
     return minhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, 0 to 3 times; a null source is a source, rows of one id share a decision."""
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and ids of each row of the mix."""
+    """doc_id, lang and source (those there are), n_tokens, ids_sha256, decoded_sha256 and ids of each row of the mix."""
     return bpe.encoded(docs, ["doc_id", "lang", "source"])
 
 

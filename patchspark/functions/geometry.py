@@ -52,6 +52,15 @@ def requested_size(request: Column, height: Column, width: Column) -> tuple[Colu
                  for i, own in ((1, height), (2, width)))
 
 
+def sample_sizes(catalog: DataFrame, latent: bool = False) -> DataFrame:
+    """catalog (image_id, height, width, request) with sample_height and sample_width: the size asked for, or the own one.
+
+    latent: sizes are in cells of the encoder, which takes sides down to a multiple first.
+    """
+    sides = requested_size(F.col("request"), F.col("height"), F.col("width"))
+    return catalog.select("*", *((latent_side(c) if latent else c).alias(f"sample_{name}") for c, name in zip(sides, ("height", "width"), strict=True)))
+
+
 def symmetrize(px: DataFrame, axis: str = "vertical", source: str | None = None) -> DataFrame:
     """One half of each image mirrored onto the other; an odd side keeps its middle line."""
     if axis not in ("vertical", "horizontal"):
@@ -82,6 +91,21 @@ def tile_grid(px: DataFrame, rows: int, cols: int) -> DataFrame:
     return t.withColumn("y", F.col("y") + F.col("r") * F.col("height")).withColumn("x", F.col("x") + F.col("k") * F.col("width")).select(px.columns)
 
 
+#: The grids (rows, columns) that show whether an image is seamless in a direction.
+GRIDS = {"horizontal": [(1, 2), (1, 3)], "vertical": [(2, 1), (3, 1)], "both": [(2, 2), (3, 3)]}
+
+
+def tile_grids(px: DataFrame, direction: str) -> DataFrame:
+    """(image_id, rows, cols, c, y, x, v): each image in the two grids of the direction."""
+    if direction not in GRIDS:
+        raise ValueError(f"no direction: {direction}")
+    out = None
+    for rows, cols in GRIDS[direction]:
+        grid = tile_grid(px, rows, cols).select("image_id", F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), "c", "y", "x", "v")
+        out = grid if out is None else out.unionByName(grid)
+    return out
+
+
 def shift_weight(direction: str, shift: str, num_shifts: int = 4) -> Column:
     """The weight at (y, x) of a view shifted by half, in an image of (height, width)."""
     def middle(at: str, side: str) -> Column:

@@ -39,8 +39,9 @@ def index_for_noise_level(levels: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def keyed_uniform(*keys: Column) -> Column:
-    """In (0, 1), from a hash of the keys alone: no partitioning changes it."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """In (0, 1), 52 bits of the MD5 sum of the keys alone: no partitioning changes it, and any engine can form it."""
+    digits = F.substring(F.md5(F.concat_ws(":", *(k.cast("string") if isinstance(k, Column) else F.col(k).cast("string") for k in keys))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
 def keyed_normal(*keys: Column) -> Column:

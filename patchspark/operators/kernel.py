@@ -1,74 +1,147 @@
 """Kernel regression and nearest neighbours over tables of vectors.
 
-The block form never lists pairs: a task holds one block of queries and one of vectors, and gives per query the partial
-softmax (largest logit, sum of weights, weighted sum) or the best k; partials of a query are merged by a grouped sum.
+Pairs are never listed: a task holds one block of queries and one of vectors, and gives per query the partial softmax
+(largest logit, sum of weights, weighted sum) or the best k; partials of a query are merged afterwards. `keys` name a
+query, `on` names columns that query and vector must share: by default there are none, and every query meets every vector.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from patchspark.sources.steps import kept
 
 #: Rows of a block of queries and of vectors.
 BLOCK = 4096
+#: Numbers of the sample that the lists of one group are learnt from.
+SAMPLE_NUMBERS = 8_000_000
+QUERY = ("query_id",)
+
 
+def fields(df: DataFrame, names: Iterable[str], *more: tuple[str, str]) -> T.StructType:
+    """The columns of df by name, then (name, type) pairs, as a schema."""
+    out = T.StructType([df.schema[n] for n in names])
+    for name, kind in more:
+        out = out.add(T.StructType.fromDDL(f"{name} {kind}")[0])
+    return out
 
-def _blocked(queries: DataFrame, vectors: DataFrame, rows: int):
-    """Both sides dealt to pairs of blocks (qb, vb): every query meets every vector in one place."""
-    nq, nv = (max(1, -(-df.count() // rows)) for df in (queries, vectors))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq).cast("long"))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))))
-    v = vectors.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(nv).cast("long"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-    return q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb"))
 
+def dealt(queries: DataFrame, vectors: DataFrame, keys: Sequence[str], on: Sequence[str] = (), rows: int = BLOCK):
+    """Both sides, cogrouped by pairs of blocks: within a group of `on` each query meets each vector in one place.
 
-def kernel_regress(queries: DataFrame, vectors: DataFrame, alpha: float, sigma: float, rows: int = BLOCK) -> DataFrame:
-    """(query_id, x_hat) of queries (query_id, x) over vectors (vec_id, v).
+    A group of any size has as many blocks as it needs, so no task holds a whole group.
+    """
+    blocks = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
+    many_q, many_v = blocks(queries, "__nq"), blocks(vectors, "__nv")
+    counts = many_q.join(many_v, list(on)) if on else many_q.crossJoin(many_v).where("__nq > 0 and __nv > 0")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c, *of: F.pmod(F.xxhash64(*of), F.col(c))
+    sized = lambda df: df.join(counts, list(on)) if on else df.crossJoin(F.broadcast(counts))
+    q = sized(queries).withColumn("qb", own("__nq", *keys)).withColumn("vb", every("__nv")).drop("__nq", "__nv")
+    v = sized(vectors).withColumn("vb", own("__nv", "vec_id")).withColumn("qb", every("__nq")).drop("__nq", "__nv")
+    group = [*on, "qb", "vb"]
+    return q.groupBy(*group).cogroup(v.groupBy(*group))
+
+
+def merged(parts: DataFrame, keys: Sequence[str], name: str = "x_hat") -> DataFrame:
+    """(keys, name): partial softmaxes (keys, top, total, sums) of a query made one mean. One shuffle by keys; rows stream."""
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            new = np.ones(len(frame), bool)
+            new[1:] = np.any([frame[k].to_numpy()[1:] != frame[k].to_numpy()[:-1] for k in keys], axis=0)
+            begins = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            top = np.maximum.reduceat(frame["top"].to_numpy(), begins)
+            w = np.exp(frame["top"].to_numpy() - top[of])
+            one = frame.iloc[begins][list(keys)].reset_index(drop=True)
+            one["top"], one["total"] = top, np.add.reduceat(w * frame["total"].to_numpy(), begins)
+            one["sums"] = list(np.add.reduceat(w[:, None] * np.stack(frame["sums"]), begins, axis=0))
+            held = one.iloc[-1:]
+            yield done(one.iloc[:-1])
+        if held is not None:
+            yield done(held)
+
+    def done(one: pd.DataFrame) -> pd.DataFrame:
+        out = one[list(keys)].copy()
+        out[name] = [s / t for s, t in zip(one["sums"], one["total"], strict=True)]
+        return out
+
+    sorted_parts = parts.repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_parts.mapInPandas(joined, fields(parts, keys, (name, "array<double>")))
+
+
+def kernel_regress(queries: DataFrame, vectors: DataFrame, alpha: float, sigma: float, rows: int = BLOCK,
+                   keys: Sequence[str] = QUERY, on: Sequence[str] = ()) -> DataFrame:
+    """(keys, x_hat) of queries (keys, x) over vectors (vec_id, v).
 
     x_hat is the mean of the v weighed by exp(-|x - alpha v|^2 / (2 sigma^2)): distances to the scaled vectors, mean of
     the raw ones. In double precision, with the largest logit taken off before the exponential.
     """
     if sigma <= 0:
         raise ValueError("sigma must be above 0")
+    names = [*keys, "top", "total", "sums"]
 
     def partial(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return pd.DataFrame(columns=["query_id", "top", "total", "sums"])
+            return pd.DataFrame(columns=names, dtype=object)
         x, y = np.stack(q["x"]), np.stack(v["v"])
-        logit = -((alpha * alpha * (y * y).sum(1))[None, :] - 2 * alpha * x @ y.T) / (2 * sigma * sigma)
+        logit = (2 * alpha * x @ y.T - alpha * alpha * (y * y).sum(1)[None, :]) / (2 * sigma * sigma)
         top = logit.max(1)
         w = np.exp(logit - top[:, None])
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy(), "top": top, "total": w.sum(1), "sums": list(w @ y)})
-
-    parts = _blocked(queries, vectors, rows).applyInPandas(partial, "query_id long, top double, total double, sums array<double>")
-    top = F.max("top").over(Window.partitionBy("query_id"))
-    parts = parts.withColumn("w", F.exp(F.col("top") - top))
-    merged = parts.select("query_id", (F.col("w") * F.col("total")).alias("total"), "w", F.posexplode("sums").alias("i", "e")).groupBy("query_id", "i").agg(
-        (F.sum(F.col("w") * F.col("e")) / F.sum("total")).alias("e"))
-    return merged.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda s: s["e"]).alias("x_hat"))
-
-
-def knn_flat(queries: DataFrame, vectors: DataFrame, k: int, rows: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, d2): the k nearest vectors, ties by vec_id; fewer if there are fewer."""
-
-    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame(columns=["query_id", "vec_id", "d2"])
-        v = v.sort_values("vec_id")
-        x, y, ids = np.stack(q["x"]), np.stack(v["v"]), v["vec_id"].to_numpy()
-        d2 = np.stack([((y - row) ** 2).sum(1) for row in x])
-        at = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), at.shape[1]), "vec_id": ids[at].ravel(), "d2": np.take_along_axis(d2, at, 1).ravel()})
-
-    found = _blocked(queries, vectors, rows).applyInPandas(best, "query_id long, vec_id long, d2 double")
-    return ranked(found, k)
-
-
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query's findings (query_id, vec_id, d2), ties by vec_id."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "d2")
+        out = q[list(keys)].reset_index(drop=True)
+        out["top"], out["total"], out["sums"] = top, w.sum(1), list(w @ y)
+        return out
+
+    parts = dealt(queries.select(*dict.fromkeys([*keys, *on, "x"])), vectors, keys, on, rows).applyInPandas(
+        partial, fields(queries, keys, ("top", "double"), ("total", "double"), ("sums", "array<double>")))
+    return merged(parts, keys)
+
+
+def _best(q: pd.DataFrame, v: pd.DataFrame, k: int, keys: Sequence[str]) -> pd.DataFrame:
+    """The k nearest of a block of vectors to each of a block of queries, ties by vec_id."""
+    if not len(q) or not len(v):
+        return pd.DataFrame(columns=[*keys, "vec_id", "d2"], dtype=object)
+    v = v.sort_values("vec_id")
+    x, y, ids = np.stack(q["x"]), np.stack(v["v"]), v["vec_id"].to_numpy()
+    size, k = (y * y).sum(1), min(k, len(y))
+    own, best, dist = [], [], []
+    rough = size[None, :] - 2 * x @ y.T  # less |x|^2; those near the k-th are taken again, exactly
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (size.max() + (x * x).sum(1))
+    for i, row in enumerate(rough):
+        at = np.flatnonzero(row <= limit[i])
+        d2 = ((y[at] - x[i]) ** 2).sum(1)
+        order = np.argsort(d2, kind="stable")[:k]
+        own.append(np.full(len(order), i))
+        best.append(at[order])
+        dist.append(d2[order])
+    out = q[list(keys)].iloc[np.concatenate(own)].reset_index(drop=True)
+    out["vec_id"], out["d2"] = ids[np.concatenate(best)], np.concatenate(dist)
+    return out
+
+
+def knn_flat(queries: DataFrame, vectors: DataFrame, k: int, rows: int = BLOCK, keys: Sequence[str] = QUERY, on: Sequence[str] = ()) -> DataFrame:
+    """(keys, rank, vec_id, d2): the k nearest vectors, ties by vec_id; fewer if there are fewer."""
+    q, v = queries.select(*dict.fromkeys([*keys, *on, "x"])), vectors.select(*on, "vec_id", "v")
+    found = dealt(q, v, keys, on, rows).applyInPandas(lambda a, b: _best(a, b, k, keys), fields(queries, keys, ("vec_id", "long"), ("d2", "double")))
+    return ranked(found, k, keys)
+
+
+def ranked(found: DataFrame, k: int, keys: Sequence[str] = QUERY) -> DataFrame:
+    """The k best of each query's findings (keys, vec_id, d2), ties by vec_id."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("d2", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "rank", "vec_id", "d2")
 
 
 def scale_queries(queries: DataFrame, alpha: float) -> DataFrame:
@@ -78,56 +151,150 @@ def scale_queries(queries: DataFrame, alpha: float) -> DataFrame:
     return queries.withColumn("x", F.transform("x", lambda e: e / alpha))
 
 
-def require_k(neighbours: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def require_k(neighbours: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] = QUERY) -> DataFrame:
     """neighbours as they are; an error if a query has fewer than k."""
-    few = queries.join(neighbours.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < k).count()
+    few = queries.join(neighbours.groupBy(*keys).count(), list(keys), "left").where(F.coalesce("count", F.lit(0)) < k).count()
     if few:
         raise ValueError(f"{few} queries have fewer than {k} neighbours")
     return neighbours
 
 
-def knn_regress(queries: DataFrame, vectors: DataFrame, neighbours: DataFrame, alpha: float, sigma: float) -> DataFrame:
-    """(query_id, x_hat): kernel regression over the neighbours found, with distances taken anew to the scaled vectors."""
-    rows = neighbours.select("query_id", "vec_id").join(queries, "query_id").join(vectors, "vec_id")
-    d2 = F.aggregate(F.zip_with("x", "v", lambda a, b: F.pow(a - alpha * b, F.lit(2.0))), F.lit(0.0), lambda s, e: s + e)
-    rows = rows.select("query_id", "v", (-F.greatest(d2, F.lit(0.0)) / (2 * sigma * sigma)).alias("logit"))
-    w = F.exp(F.col("logit") - F.max("logit").over(Window.partitionBy("query_id")))
-    flat = rows.withColumn("w", w).select("query_id", "w", F.posexplode("v").alias("i", "e"))
-    mean = flat.groupBy("query_id", "i").agg((F.sum(F.col("w") * F.col("e")) / F.sum("w")).alias("e"))
-    return mean.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda s: s["e"]).alias("x_hat"))
+def knn_regress(queries: DataFrame, vectors: DataFrame, neighbours: DataFrame, alpha: float, sigma: float,
+                keys: Sequence[str] = QUERY, on: Sequence[str] = ()) -> DataFrame:
+    """(keys, x_hat): kernel regression over the neighbours found, with distances taken anew to the scaled vectors."""
+    rows = neighbours.select(*keys, "vec_id").join(queries, list(keys)).join(vectors.select(*on, "vec_id", "v"), [*on, "vec_id"])
+    d2 = F.greatest(squared_distance("x", F.transform("v", lambda e: alpha * e)), F.lit(0.0))
+    return merged(rows.select(*keys, (-d2 / (2 * sigma * sigma)).alias("top"), F.lit(1.0).alias("total"), F.col("v").alias("sums")), keys)
 
 
-def dataset_mean(vectors: DataFrame) -> DataFrame:
-    """(i, mean) by element: every query's estimate where no signal is left."""
-    return vectors.select(F.posexplode("v").alias("i", "e")).groupBy("i").agg(F.avg("e").alias("mean"))
+def group_means(vectors: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(on, mean array): the estimate of every query of a group where no signal is left. Added up by task before the shuffle."""
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, part in frame.groupby(list(on)):
+                yield pd.DataFrame({**{c: [x] for c, x in zip(on, key, strict=True)}, "top": [0.0], "total": [float(len(part))], "sums": [np.stack(part["v"]).sum(0)]})
 
+    parts = vectors.select(*on, "v").mapInPandas(added, fields(vectors, on, ("top", "double"), ("total", "double"), ("sums", "array<double>")))
+    return merged(parts, on, "mean")
 
-def fit_ivf(vectors: DataFrame, nlist: int | None = None, seed: int = 7, sample: int = 100_000):
-    """(centroids (list_id, c), lists (vectors with list_id)): k-means on at most about `sample` rows, all rows assigned."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
-    n = vectors.count()
-    nlist = nlist or max(1, int(n**0.5))
-    rows = vectors.withColumn("features", array_to_vector("v"))
-    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(rows.sample(min(1.0, sample / max(1, n)), seed))
-    centres = model.clusterCenters()
-    centroids = vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list_id int, c array<double>")
-    return centroids, model.transform(rows).withColumnRenamed("prediction", "list_id").drop("features")
+def dataset_mean(vectors: DataFrame) -> DataFrame:
+    """(i, mean) by element: every query's estimate where no signal is left."""
+    return vectors.select(F.posexplode("v").alias("i", "e")).groupBy("i").agg(F.avg("e").alias("mean"))
 
 
 def squared_distance(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e)
 
 
-def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """(query_id, x, list_id): the nprobe lists whose centroids are nearest to each query."""
-    centres = centroids.agg(F.collect_list(F.struct("list_id", "c")).alias("centres"))
-    near = F.slice(F.array_sort(F.transform("centres", lambda s: F.struct(squared_distance(F.col("x"), s["c"]).alias("d"), s["list_id"].alias("list_id")))), 1, nprobe)
-    return queries.crossJoin(F.broadcast(centres)).select("query_id", "x", F.explode(near).alias("p")).select("query_id", "x", "p.list_id")
+class Ivf(NamedTuple):
+    """centroids (on, list_id, c), lists (on, list_id, vec_id, v), and the columns that queries and vectors share."""
+
+    centroids: DataFrame
+    lists: DataFrame
+    on: tuple[str, ...] = ()
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray, many: int = 1) -> np.ndarray:
+    """The places of the `many` nearest centres of each row, nearest first."""
+    rough = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+    return rough.argmin(1)[:, None] if many == 1 else np.argsort(rough, axis=1, kind="stable")[:, :many]
+
+
+def centres_of(x: np.ndarray, k: int, seed: int = 7, rounds: int = 10) -> np.ndarray:
+    """k-means centres of the rows of x; the distinct rows themselves if there are no more than k."""
+    distinct = np.unique(x, axis=0)
+    if len(distinct) <= k:
+        return distinct
+    centres = distinct[np.random.default_rng(seed).choice(len(distinct), k, replace=False)]
+    for _ in range(rounds):
+        own = np.concatenate([nearest_centres(some, centres)[:, 0] for some in np.array_split(x, len(x) // BLOCK + 1)])
+        by = np.argsort(own, kind="stable")
+        begins = np.flatnonzero(np.diff(own[by], prepend=-1))
+        centres = centres.copy()
+        centres[own[by][begins]] = np.add.reduceat(x[by], begins, axis=0) / np.diff(np.append(begins, len(x)))[:, None]
+    return centres
+
+
+def with_lists(rows: DataFrame, centroids: DataFrame, many: int, keys: Sequence[str], on: Sequence[str] = (), column: str = "x") -> DataFrame:
+    """rows, repeated for the `many` lists whose centroids are nearest to `column`, with list_id. The rows go in blocks."""
+    names = rows.columns
+
+    def near(part: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(centres):
+            return pd.DataFrame(columns=[*names, "list_id"], dtype=object)
+        centres = centres.sort_values("list_id")
+        at = nearest_centres(np.stack(part[column]), np.stack(centres["v"]), many)
+        out = part[names].loc[part.index.repeat(at.shape[1])].reset_index(drop=True)
+        out["list_id"] = centres["list_id"].to_numpy()[at.ravel()]
+        return out
+
+    centres = centroids.select(*on, "list_id", F.col("c").alias("v"))
+    # all centroids of a group stay together: their number is about the root of the group's rows
+    blocks = rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__n"))
+    sized = rows.join(blocks, list(on)) if on else rows.crossJoin(F.broadcast(blocks))
+    copies = centres.join(blocks, list(on)) if on else centres.crossJoin(F.broadcast(blocks))
+    a = sized.withColumn("block", F.pmod(F.xxhash64(*keys), F.col("__n"))).drop("__n").groupBy(*on, "block")
+    b = copies.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n").groupBy(*on, "block")
+    return a.cogroup(b).applyInPandas(near, fields(rows, names, ("list_id", "int")))
+
+
+def fit_ivf(vectors: DataFrame, nlist: int | None = None, seed: int = 7, sample: int = 100_000, on: Sequence[str] = ()) -> Ivf:
+    """Inverted lists of vectors (on, vec_id, v), nlist a group (the root of its rows if None).
+
+    Centroids are learnt, a group in one task, from about `sample` rows at most, fewer where their numbers are more than
+    SAMPLE_NUMBERS; all rows are assigned. Where centroids can't be learnt (no finite numbers), a group gets one list,
+    which makes its search exact, and a warning.
+    """
+    on = tuple(on)
+    vectors = vectors.select(*on, "vec_id", "v")
+    counts = vectors.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.max(F.size("v")).alias("__d"))
+    rows = vectors.join(counts, list(on)) if on else vectors.crossJoin(F.broadcast(counts))
+    share = F.least(F.lit(float(sample)), F.lit(float(SAMPLE_NUMBERS)) / F.col("__d")) / F.col("__n")
+    chosen = rows.where((F.pmod(F.xxhash64(*on, "vec_id", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30) < share)
+    names = [*on, "list_id", "c"]
+
+    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(part.sort_values("vec_id")["v"])
+        centres = centres_of(x, nlist or max(1, int(part["__n"].iloc[0] ** 0.5)), seed)
+        if not np.isfinite(centres).all():
+            warnings.warn("centroids can't be learnt; the group is searched as one list", stacklevel=1)
+            centres = np.zeros((1, x.shape[1]))
+        return pd.DataFrame({**{c: [key[i]] * len(centres) for i, c in enumerate(on)}, "list_id": range(len(centres)), "c": list(centres)})[names]
+
+    centroids = kept(chosen.groupBy(*on).applyInPandas(learn, fields(vectors, on, ("list_id", "int"), ("c", "array<double>"))))
+    return Ivf(centroids, kept(with_lists(vectors, centroids, 1, [*on, "vec_id"], on, "v")), on)
+
+
+def _probed(queries: DataFrame, ivf: Ivf, k: int, nprobe: int, keys: Sequence[str]) -> DataFrame:
+    names = list(dict.fromkeys([*keys, *ivf.on, "x"]))
+    aimed = with_lists(queries.select(*names), ivf.centroids, nprobe, keys, ivf.on)
+    on = [*ivf.on, "list_id"]
+    found = dealt(aimed, ivf.lists.select(*on, "vec_id", "v"), keys, on).applyInPandas(
+        lambda a, b: _best(a, b, k, keys), fields(queries, keys, ("vec_id", "long"), ("d2", "double")))
+    return ranked(found, k, keys)
+
+
+def audited(search, queries: DataFrame, vectors: DataFrame, lists: int, k: int, nprobe: int, recall: float, audit: int,
+            keys: Sequence[str] = QUERY, on: Sequence[str] = ()) -> int:
+    """The lists to probe: doubled from nprobe on until search(queries, nprobe) finds `recall` of the k nearest.
+
+    Measured on `audit` queries, chosen by a hash, whose true neighbours are found by knn_flat(). All lists always pass.
+    """
+    some = kept(queries.orderBy(F.xxhash64(*keys), *keys).limit(audit))
+    truth = kept(knn_flat(some, vectors, k, keys=keys, on=on).select(*keys, "vec_id"))
+    wanted = truth.count()
+    while nprobe < lists and search(some, nprobe).join(truth, [*keys, "vec_id"], "left_semi").count() < recall * wanted:
+        nprobe *= 2
+    return min(nprobe, lists)
 
 
-def knn_ivf(queries: DataFrame, centroids: DataFrame, lists: DataFrame, k: int, nprobe: int = 2) -> DataFrame:
-    """(query_id, rank, vec_id, d2) from the nprobe nearest lists; all lists give knn_flat()."""
-    found = probes(queries, centroids, nprobe).join(lists, "list_id")
-    return ranked(found.select("query_id", "vec_id", squared_distance("x", "v").alias("d2")), k)
+def knn_ivf(queries: DataFrame, ivf: Ivf, k: int, nprobe: int = 2, recall: float | None = None, audit: int = 100, keys: Sequence[str] = QUERY) -> DataFrame:
+    """(keys, rank, vec_id, d2) from the nprobe nearest lists; all lists give knn_flat(). A long list goes in blocks.
+
+    recall: if given, nprobe grows until this share of the neighbours is found; see audited().
+    """
+    if recall is not None:
+        lists = ivf.centroids.groupBy(*ivf.on).count().agg(F.max("count")).first()[0] or 1
+        nprobe = audited(lambda q, n: _probed(q, ivf, k, n, keys), queries, ivf.lists, lists, k, nprobe, recall, audit, keys, ivf.on)
+    return _probed(queries, ivf, k, nprobe, keys)

@@ -17,14 +17,22 @@ def mirror_asymmetry(px: DataFrame, axis: str = "vertical") -> DataFrame:
     return pairs.groupBy("image_id").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n") * 127.5).alias("asymmetry"))
 
 
-def seam_error(px: DataFrame, at: str = "x") -> DataFrame:
-    """(image_id, seam): how far the mean gap across the wrap exceeds the lower median of the gaps inside, in grey levels."""
-    side, other = ("width", "y") if at == "x" else ("height", "x")
+def seam_error(px: DataFrame, direction: str = "horizontal") -> DataFrame:
+    """(image_id, seam): how far the mean gap across the wrap exceeds the lower median of the gaps inside, in grey levels.
+
+    horizontal looks across the left and right ends, vertical across top and bottom, both takes the larger.
+    """
+    if direction == "both":
+        two = seam_error(px, "horizontal").unionByName(seam_error(px, "vertical"))
+        return two.groupBy("image_id").agg(F.max("seam").alias("seam"))
+    if direction not in ("horizontal", "vertical"):
+        raise ValueError(f"no direction: {direction}")
+    at, side, other = ("x", "width", "y") if direction == "horizontal" else ("y", "height", "x")
     line = Window.partitionBy("image_id", "c", other).orderBy(at)
-    gaps = with_size(px).select("image_id", "c", other, at, side, F.abs(F.col("v") - F.lag("v").over(line)).alias("inside"),
+    gaps = with_size(px).select("image_id", F.abs(F.col("v") - F.lag("v").over(line)).alias("inside"),
                                 F.when(F.col(at) == F.col(side) - 1, F.abs(F.col("v") - F.first("v").over(line))).alias("wrap"))
-    return gaps.groupBy("image_id").agg(F.greatest(F.lit(0.0), F.avg("wrap") - F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY inside)")).alias("seam")).select(
-        "image_id", (F.col("seam") * 127.5).alias("seam"))
+    excess = F.avg("wrap") - F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY inside)"), F.lit(0.0))
+    return gaps.groupBy("image_id").agg((F.greatest(F.lit(0.0), excess) * 127.5).alias("seam"))
 
 
 def grad_energy(grad: DataFrame) -> DataFrame:
@@ -33,13 +41,35 @@ def grad_energy(grad: DataFrame) -> DataFrame:
 
 
 def thresholded_grad(grad: DataFrame, quantile: float = 0.8) -> DataFrame:
-    """The gradient shrunk by its image's nearest-rank quantile of energy, where the energy is above it."""
+    """(image_id, c, y, x, v, mask): the gradient shrunk by its image's nearest-rank quantile of energy.
+
+    mask: whether the energy at the place is above the quantile; elsewhere v is 0.
+    """
     energy = grad_energy(grad)
-    rank = energy.withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("energy")) - 1).withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy("image_id")))
+    by_image = Window.partitionBy("image_id")
+    rank = energy.withColumn("r", F.row_number().over(by_image.orderBy("energy")) - 1).withColumn("n", F.count(F.lit(1)).over(by_image))
     q = rank.where(F.col("r") == F.bround((F.col("n") - 1) * quantile)).select("image_id", F.col("energy").alias("q"))
-    out = grad.join(energy, ["image_id", "y", "x"]).join(q, "image_id").where("energy > q")
-    return out.select("image_id", "c", "y", "x", ((F.col("energy") - F.col("q")) * F.col("v") / F.nullif(F.col("energy"), F.lit(0.0))).alias("v"))
+    out = grad.join(energy, ["image_id", "y", "x"]).join(q, "image_id").withColumn("mask", F.col("energy") > F.col("q"))
+    shrunk = (F.col("energy") - F.col("q")) * F.col("v") / F.nullif(F.col("energy"), F.lit(0.0))
+    return out.select("image_id", "c", "y", "x", F.when(F.col("mask"), shrunk).otherwise(0.0).alias("v"), "mask")
+
+
+#: The sentences that a description is put into, for sharp and for coarse images.
+TEMPLATES = {
+    "hr": ["photo of {}.", "high quality photo of {}.", "a photo of {}.", "the photo of {}.", "image of {}.", "an image of {}.",
+           "high quality image of {}.", "a high quality image of {}.", "the {}.", "a {}.", "{}.", "{}", "{}!", "{}..."],
+    "lr": ["photo of {}.", "low quality photo of {}.", "low resolution photo of {}.", "low-res photo of {}.", "blurry photo of {}.",
+           "pixelated photo of {}.", "a photo of {}.", "the photo of {}.", "image of {}.", "an image of {}.", "low quality image of {}.",
+           "a low quality image of {}.", "low resolution image of {}.", "a low resolution image of {}.", "low-res image of {}.",
+           "a low-res image of {}.", "blurry image of {}.", "a blurry image of {}.", "pixelated image of {}.", "a pixelated image of {}.",
+           "the {}.", "a {}.", "{}.", "{}", "{}!", "{}..."],
+}
+
+
+def templates(flag: str) -> list[str]:
+    if flag not in TEMPLATES:
+        raise ValueError(f"no set of templates: {flag}; there are {', '.join(TEMPLATES)}")
+    return TEMPLATES[flag]
 
 
 def compose_prompts(texts: DataFrame, templates: list[str]) -> DataFrame:

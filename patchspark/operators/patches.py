@@ -1,28 +1,59 @@
-"""Windows out of images, and overlapping windows averaged back."""
+"""Windows out of images, and overlapping windows averaged back, by bands of lines.
+
+An image of any height is cut into bands of BAND lines. A band has the lines above its own windows' last line too, so each
+pixel is sent to its band and, if need be, to the bands above it; windows are then views of one array. Folding goes the
+other way: windows are added up inside their band, and only the lines that two bands share are summed by a grouping.
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchspark.functions.geometry import with_size
+#: Lines of a band.
+BAND = 64
+
+
+def _key(px: DataFrame) -> str:
+    """The type of the images' ids."""
+    return px.schema["image_id"].dataType.simpleString()
+
+
+def _bands(px: DataFrame, p: int, band: int) -> DataFrame:
+    """px with the bands whose windows reach its line."""
+    first = F.greatest(F.floor((F.col("y") - (p - 1)) / band), F.lit(0))
+    return px.select("image_id", F.explode(F.sequence(first, F.floor(F.col("y") / band))).alias("band"), "c", "y", "x", "v")
+
 
+def extract_patches(px: DataFrame, p: int, stride: int = 1, band: int = BAND) -> DataFrame:
+    """(image_id, py, px, v): all p x p windows whose place is a multiple of stride; v runs over channels, lines, columns.
 
-def extract_patches(px: DataFrame, p: int, stride: int = 1) -> DataFrame:
-    """(image_id, py, px, v): all p x p windows; v runs over channels, then lines, then columns."""
-    d = F.sequence(F.lit(0), F.lit(p - 1))
-    out = with_size(px).withColumn("dy", F.explode(d)).withColumn("dx", F.explode(d))
-    py, at = F.col("y") - F.col("dy"), F.col("x") - F.col("dx")
-    inside = (py >= 0) & (at >= 0) & (py <= F.col("height") - p) & (at <= F.col("width") - p) & (py % stride == 0) & (at % stride == 0)
-    out = out.where(inside).select("image_id", py.alias("py"), at.alias("px"), F.struct("c", "dy", "dx", "v").alias("e"))
-    return out.groupBy("image_id", "py", "px").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["v"]).alias("v"))
+    An image smaller than the window has none.
+    """
+    def windows(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        c, y, x = (part[k].to_numpy() for k in ("c", "y", "x"))
+        top = int(key[1]) * band
+        dense = np.zeros((c.max() + 1, y.max() - top + 1, x.max() + 1))
+        dense[c, y - top, x] = part["v"].to_numpy()
+        if dense.shape[1] < p or dense.shape[2] < p:
+            return pd.DataFrame(columns=["image_id", "py", "px", "v"], dtype=object)
+        views = np.lib.stride_tricks.sliding_window_view(dense, (p, p), axis=(1, 2))  # c, py, px, dy, dx
+        py, at = (np.arange(n) for n in views.shape[1:3])
+        py, at = py[((py + top) % stride == 0) & (py < band)], at[at % stride == 0]
+        v = views[:, py][:, :, at].transpose(1, 2, 0, 3, 4).reshape(len(py) * len(at), -1)
+        return pd.DataFrame({"image_id": key[0], "py": np.repeat(py + top, len(at)), "px": np.tile(at, len(py)), "v": list(v)})
+
+    return _bands(px, p, band).groupBy("image_id", "band").applyInPandas(windows, f"image_id {_key(px)}, py int, px int, v array<double>")
 
 
 def masked_patches(patches: DataFrame, mask: DataFrame, p: int) -> DataFrame:
     """The patches that lie wholly where mask (image_id, y, x, ok) is true."""
-    d = F.sequence(F.lit(0), F.lit(p - 1))
-    m = mask.where("ok").withColumn("dy", F.explode(d)).withColumn("dx", F.explode(d))
-    whole = m.groupBy("image_id", (F.col("y") - F.col("dy")).alias("py"), (F.col("x") - F.col("dx")).alias("px")).count().where(F.col("count") == p * p)
+    ok = mask.select("image_id", F.lit(0).alias("c"), "y", "x", F.col("ok").cast("double").alias("v"))
+    whole = extract_patches(ok, p).where(F.forall("v", lambda e: e == 1.0)).select("image_id", "py", "px")
     return patches.join(whole, ["image_id", "py", "px"], "left_semi")
 
 
@@ -46,13 +77,44 @@ def gaussian_window(spark, p: int, rho: float = float("inf")) -> DataFrame:
     return grid.withColumn("w", w("dy") * w("dx"))
 
 
-def fold(patches: DataFrame, grid: DataFrame, window: DataFrame, p: int) -> DataFrame:
-    """Pixels (image_id, c, y, x, v): the weighted mean of all patches over them; 0 where there is none."""
-    flat = patches.select("image_id", "py", "px", F.posexplode("v").alias("i", "e"))
-    flat = flat.select("image_id", "py", "px", "e", F.floor(F.col("i") / (p * p)).cast("int").alias("c"),
-                       (F.floor(F.col("i") / p) % p).cast("int").alias("dy"), (F.col("i") % p).cast("int").alias("dx"))
-    flat = flat.join(F.broadcast(window), ["dy", "dx"])
+def window_weights(p: int, rho: float = float("inf")) -> np.ndarray:
+    """gaussian_window() as a (p, p) array."""
+    g = np.linspace(-1, 1, p) if p > 1 else np.array([-1.0])
+    w = np.ones(p) if math.isinf(rho) else np.exp(-0.5 * (g / rho) ** 2)
+    return w[:, None] * w[None, :]
+
+
+def fold(patches: DataFrame, grid: DataFrame, rho: float, p: int, stride: int = 1, band: int = BAND) -> DataFrame:
+    """Pixels (image_id, c, y, x, v) of grid: the mean of all patches over them, weighed by their window.
+
+    With a stride above 1 some pixels may have no patch, and are 0.
+    """
+    weights = window_weights(p, rho)
+
+    def added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(part["v"]).reshape(len(part), -1, p, p)
+        y, x = part["py"].to_numpy() - int(key[1]) * band, part["px"].to_numpy()
+        total = np.zeros((v.shape[1], y.max() + p, x.max() + p))
+        under = np.zeros(total.shape[1:])
+        for dy in range(p):
+            for dx in range(p):  # the places of one offset are all different
+                total[:, y + dy, x + dx] += weights[dy, dx] * v[:, :, dy, dx].T
+                under[y + dy, x + dx] += weights[dy, dx]
+        at_y, at_x = np.nonzero(under)
+        n = len(v[0])
+        return pd.DataFrame({"image_id": key[0], "c": np.repeat(np.arange(n), len(at_y)), "y": np.tile(at_y + int(key[1]) * band, n),
+                             "x": np.tile(at_x, n), "total": total[:, at_y, at_x].ravel(), "under": np.tile(under[at_y, at_x], n)})
+
+    parts = patches.withColumn("band", F.floor(F.col("py") / band)).groupBy("image_id", "band").applyInPandas(
+        added, f"image_id {_key(patches)}, c int, y int, x int, total double, under double")
     keys = ["image_id", "c", "y", "x"]
-    mean = flat.groupBy("image_id", "c", (F.col("py") + F.col("dy")).alias("y"), (F.col("px") + F.col("dx")).alias("x")).agg(
-        (F.sum(F.col("w") * F.col("e")) / F.sum("w")).alias("v"))
-    return grid.select(keys).join(mean, keys, "left").select(*keys, F.coalesce("v", F.lit(0.0)).alias("v"))
+    value = (F.col("total") / F.col("under")).alias("v")
+    if p - 1 > band:
+        out = parts.groupBy(*keys).agg((F.sum("total") / F.sum("under")).alias("v"))
+    else:
+        shared = (F.col("y") % band < p - 1) & (F.col("y") >= band)
+        seams = parts.where(shared).groupBy(*keys).agg((F.sum("total") / F.sum("under")).alias("v"))
+        out = parts.where(~shared).select(*keys, value).unionByName(seams)
+    if stride == 1:
+        return out
+    return grid.select(keys).join(out, keys, "left").select(*keys, F.coalesce("v", F.lit(0.0)).alias("v"))

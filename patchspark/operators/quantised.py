@@ -1,7 +1,7 @@
 """Product-quantised inverted lists: vectors as a list and a few codes, ranked by distances looked up in small tables.
 
 Code books are learnt on a bounded sample, every vector is coded. A list of many rows is searched in blocks, so that no
-task holds a whole list, and the best k of the blocks are merged by query.
+task holds a whole list; the best by codes are ranked again by their raw vectors.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchspark.operators.kernel import BLOCK, fit_ivf, probes, ranked
+from patchspark.operators.kernel import BLOCK, QUERY, audited, centres_of, dealt, fit_ivf, nearest_centres, ranked, squared_distance, with_lists
 from patchspark.sources.steps import kept
 
 #: Codes of each part of a vector: what one byte tells apart.
@@ -21,11 +21,12 @@ CODES = 256
 
 
 class Quantised(NamedTuple):
-    """centroids (list_id, c), codebook (part, code, c) of at most CODES rows a part, codes (vec_id, list_id, code array)."""
+    """centroids (list_id, c), codebook (part, code, c) of at most CODES rows a part, codes (vec_id, list_id, code array), raw vectors (vec_id, v)."""
 
     centroids: DataFrame
     codebook: DataFrame
     codes: DataFrame
+    vectors: DataFrame
 
 
 def parts_of(dim: int, wanted: int = 16) -> int:
@@ -35,28 +36,6 @@ def parts_of(dim: int, wanted: int = 16) -> int:
     return max(d for d in range(1, min(wanted, dim) + 1) if dim % d == 0)
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x), np.int64)
-    for cut in range(0, len(x), 4096):
-        some = x[cut : cut + 4096]
-        out[cut : cut + 4096] = ((centres * centres).sum(1) - 2 * some @ centres.T).argmin(1)
-    return out
-
-
-def code_centres(x: np.ndarray, k: int = CODES, rounds: int = 12) -> np.ndarray:
-    """k-means centres of the rows of x; the distinct rows themselves if there are no more than k."""
-    distinct = np.unique(x, axis=0)
-    if len(distinct) <= k:
-        return distinct
-    centres = distinct[np.random.default_rng(len(x)).choice(len(distinct), k, replace=False)]
-    for _ in range(rounds):
-        own = _nearest(x, centres)
-        counts = np.bincount(own, minlength=k)
-        sums = np.stack([np.bincount(own, column, k) for column in x.T], axis=1)
-        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-    return centres
-
-
 def _books(codebook: DataFrame) -> np.ndarray:
     """(parts, CODES, width); codes that do not exist are infinitely far. At most CODES times a vector's length numbers."""
     rows = codebook.collect()
@@ -71,8 +50,7 @@ def fit_ivfpq(vectors: DataFrame, nlist: int | None = None, pq_m: int = 16, samp
 
     sample bounds about how many rows the centroids and each code book are learnt from.
     """
-    centroids, lists = fit_ivf(vectors, nlist, seed, sample)
-    lists = kept(lists.select("vec_id", "list_id", "v"))
+    centroids, lists, _ = fit_ivf(vectors, nlist, seed, sample)
     rest = lists.join(centroids, "list_id").select("vec_id", "list_id", F.zip_with("v", "c", lambda a, b: a - b).alias("rest"))
     n, dim = lists.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     parts = parts_of(dim, pq_m)
@@ -80,7 +58,7 @@ def fit_ivfpq(vectors: DataFrame, nlist: int | None = None, pq_m: int = 16, samp
     cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(i.alias("part"), F.slice("rest", i * width + 1, width).alias("s")))
 
     def learn(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-        centres = code_centres(np.stack(some["s"]))
+        centres = centres_of(np.stack(some["s"]), CODES, seed, 12)
         return pd.DataFrame({"part": key[0], "code": range(len(centres)), "c": list(centres)})
 
     chosen = rest.sample(min(1.0, sample / max(1, n)), seed) if n > sample else rest
@@ -91,29 +69,21 @@ def fit_ivfpq(vectors: DataFrame, nlist: int | None = None, pq_m: int = 16, samp
     def coded(v: pd.Series) -> pd.Series:
         x = np.stack(v).reshape(len(v), parts, width)
         real = np.isfinite(books[:, :, 0]).sum(1)
-        return pd.Series(list(np.stack([_nearest(x[:, i], books[i, : real[i]]) for i in range(parts)], axis=1).astype(np.int32)))
-
-    return Quantised(centroids, codebook, kept(rest.select("vec_id", "list_id", coded("rest").alias("code"))))
+        return pd.Series(list(np.stack([nearest_centres(x[:, i], books[i, : real[i]])[:, 0] for i in range(parts)], axis=1).astype(np.int32)))
 
+    return Quantised(centroids, codebook, kept(rest.select("vec_id", "list_id", coded("rest").alias("code"))), lists.select("vec_id", "v"))
 
-def knn_ivfpq(queries: DataFrame, index: Quantised, k: int, nprobe: int = 2, rows: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, d2) by quantised distance in the nprobe nearest lists; d2 is that of the coded vector.
 
-    Follow with knn_regress(), which takes distances anew to the raw vectors.
-    """
+def by_codes(queries: DataFrame, index: Quantised, k: int, nprobe: int = 2, rows: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, d2) by quantised distance in the nprobe nearest lists; d2 is that of the coded vector."""
     books = _books(index.codebook)
     parts = np.arange(len(books))
-    aimed = probes(queries, index.centroids, nprobe).join(index.centroids, "list_id").select(
+    aimed = with_lists(queries.select("query_id", "x"), index.centroids, nprobe, QUERY).join(index.centroids, "list_id").select(
         "query_id", "list_id", F.zip_with("x", "c", lambda a, b: a - b).alias("rest"))
-    blocks = lambda df, name: df.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    counts = blocks(aimed, "nq").join(blocks(index.codes, "nv"), "list_id")
-    q = aimed.join(counts, "list_id").withColumn("qb", F.pmod(F.xxhash64("query_id"), "nq").cast("int")).withColumn("vb", every("nv"))
-    v = index.codes.join(counts, "list_id").withColumn("vb", F.pmod(F.xxhash64("vec_id"), "nv").cast("int")).withColumn("qb", every("nq"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame(columns=["query_id", "vec_id", "d2"])
+            return pd.DataFrame(columns=["query_id", "vec_id", "d2"], dtype=object)
         b = b.sort_values("vec_id")
         codes, ids, out = np.stack(b["code"]), b["vec_id"].to_numpy(), []
         for query, x in zip(a["query_id"], a["rest"], strict=True):
@@ -123,7 +93,23 @@ def knn_ivfpq(queries: DataFrame, index: Quantised, k: int, nprobe: int = 2, row
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "d2": d2[at]}))
         return pd.concat(out)
 
-    keys = ["list_id", "qb", "vb"]
-    found = q.select(*keys, "query_id", "rest").groupBy(*keys).cogroup(v.select(*keys, "vec_id", "code").groupBy(*keys)).applyInPandas(
-        best, "query_id long, vec_id long, d2 double")
+    found = dealt(aimed, index.codes.select("list_id", "vec_id", "code"), QUERY, ["list_id"], rows).applyInPandas(best, "query_id long, vec_id long, d2 double")
     return ranked(found, k)
+
+
+def knn_ivfpq(queries: DataFrame, index: Quantised, k: int, nprobe: int = 2, rows: int = BLOCK, recall: float | None = None, audit: int = 100, spare: int = 8) -> DataFrame:
+    """(query_id, rank, vec_id, d2): the best spare * k by codes in the nprobe nearest lists, ranked by their raw vectors.
+
+    recall: if given, nprobe and then spare grow until this share of the neighbours is found; see kernel.audited().
+    """
+    def search(some: DataFrame, n: int, spare: int) -> DataFrame:
+        near = by_codes(some, index, spare * k, n, rows).select("query_id", "vec_id")
+        again = near.join(some.select("query_id", "x"), "query_id").join(index.vectors, "vec_id")
+        return ranked(again.select("query_id", "vec_id", squared_distance("x", "v").alias("d2")), k)
+
+    if recall is not None:
+        lists = index.centroids.count()
+        nprobe = audited(lambda q, n: search(q, n, spare), queries, index.vectors, lists, k, nprobe, recall, audit)
+        if nprobe == lists:  # all lists are probed: what is still missing, codes alone have ranked too low
+            spare = audited(lambda q, m: search(q, lists, m), queries, index.vectors, index.vectors.count(), k, spare, recall, audit)
+    return search(queries, nprobe, spare)

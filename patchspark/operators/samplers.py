@@ -1,186 +1,244 @@
 """Iterated samplers: images made from noise, or from other images, by denoising with the patches of a prior image.
 
 Each step is one job over all images and samples at once; its result is a written table, so that the plan does not grow
-with the steps and a lost executor costs one step. Pixels are (image_id, c, y, x, v); a table
-(image_id, prior_id) tells whose patches each image is made from. Several samples of an image are rows of that table.
+with the steps and a lost executor costs one step. Pixels are (image_id, c, y, x, v). A table (image_id, prior_id, seed)
+tells whose patches each image is made from, and by which seed; several samples of one image are rows of that table, and
+runs_of() makes it from a plan of samples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchspark.functions import geometry as g
 from patchspark.functions import schedule as n
+from patchspark.operators import kernel as k
 from patchspark.operators.measures import thresholded_grad
-from patchspark.operators.patches import check_patchable, extract_patches, fold, gaussian_window
-from patchspark.operators.resample import blend_two_scale, gaussian_pyramid, pyramid_shapes, resize
+from patchspark.operators.patches import check_patchable, extract_patches, fold
+from patchspark.operators.resample import blend_two_scale, enlarged, gaussian_pyramid, pyramid_shapes, resize
+from patchspark.plans.catalogue import expand_per_scale
 from patchspark.sources.steps import kept
+from patchspark.sources.tables import write_table
 
 KEYS = ["image_id", "c", "y", "x"]
+PLACE = ("image_id", "py", "px")
+PRIOR = ("prior_id",)
 #: Patches of a block of queries and of a block of the prior.
 BLOCK = 4096
 
 
-def grid(shapes: DataFrame, channels: int) -> DataFrame:
-    """All places (image_id, c, y, x) of (image_id, height, width)."""
+def grid(shapes: DataFrame, channels: int, *more: str) -> DataFrame:
+    """All places (image_id, c, y, x, more columns) of (image_id, height, width, more columns)."""
     upto = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
     places = shapes.withColumn("c", upto(F.lit(channels))).withColumn("y", upto(F.col("height"))).withColumn("x", upto(F.col("width")))
-    return places.select(*KEYS)
+    return places.select(*KEYS, *more)
 
 
-def init_noise(shapes: DataFrame, channels: int, seed: int, scale: int, sigma: float) -> DataFrame:
-    """sigma times a standard normal by place, from the seed, image, scale and place alone."""
-    return grid(shapes, channels).withColumn("v", sigma * n.keyed_normal(F.lit(seed), F.lit(scale), *KEYS))
+def init_noise(shapes: DataFrame, channels: int, seed: int, scale: int, sigma: float, t: int = 0) -> DataFrame:
+    """sigma times a standard normal by place, from the seed, scale, step, image and place alone.
 
+    Where shapes have columns seed and prior_id, these stand for the seed and the image: a sample is what a run with its
+    own seed alone would give.
+    """
+    more = [c for c in ("seed", "prior_id") if c in shapes.columns]
+    who = F.col("prior_id") if "prior_id" in more else F.col("image_id")
+    z = n.keyed_normal(F.col("seed") if "seed" in more else F.lit(seed), F.lit(scale), F.lit(t), who, *KEYS[1:])
+    return grid(shapes, channels, *more).select(*KEYS, (sigma * z).alias("v"))
 
-def _estimates(queries: DataFrame, vectors: DataFrame, alpha: float, sigma: float) -> DataFrame:
-    """Kernel regression of the patches of each image over the patches of its prior, in pairs of blocks.
 
-    Blocks of one image meet in a grouped join; partial softmaxes of a patch are merged by sums. A large image has many
-    blocks and so many tasks.
-    """
-    blocks = lambda df, ids: df.groupBy("prior_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(ids))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    own = lambda c, *keys: F.pmod(F.xxhash64(*keys), F.col(c)).cast("int")
-    counts = blocks(queries, "nq").join(blocks(vectors, "nv"), "prior_id")
-    q = queries.join(counts, "prior_id").withColumn("qb", own("nq", "image_id", "py", "px")).withColumn("vb", every("nv"))
-    v = vectors.join(counts, "prior_id").withColumn("vb", own("nv", "py", "px")).withColumn("qb", every("nq"))
-
-    def partial(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["image_id", "py", "px", "top", "total", "sums"])
-        x, y = np.stack(a["v"]), np.stack(b["v"])
-        logit = (2 * alpha * x @ y.T - alpha * alpha * (y * y).sum(1)[None, :]) / (2 * sigma * sigma)
-        top = logit.max(1)
-        w = np.exp(logit - top[:, None])
-        return pd.DataFrame({"image_id": a["image_id"].to_numpy(), "py": a["py"].to_numpy(), "px": a["px"].to_numpy(),
-                             "top": top, "total": w.sum(1), "sums": list(w @ y)})
-
-    keys = ["prior_id", "qb", "vb"]
-    place = ["image_id", "py", "px"]
-    parts = q.select(*keys, *place, "v").groupBy(*keys).cogroup(v.select(*keys, "v").groupBy(*keys)).applyInPandas(
-        partial, "image_id long, py int, px int, top double, total double, sums array<double>")
-    w = F.exp(F.col("top") - F.max("top").over(Window.partitionBy(*place)))
-    flat = parts.withColumn("w", w).select(*place, "w", (F.col("w") * F.col("total")).alias("total"), F.posexplode("sums").alias("i", "e"))
-    mean = flat.groupBy(*place, "i").agg((F.sum(F.col("w") * F.col("e")) / F.sum("total")).alias("e"))
-    return mean.groupBy(*place).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda s: s["e"]).alias("v"))
-
-
-def denoise(px: DataFrame, prior: DataFrame, priors: DataFrame, p: int, alpha: float, sigma: float,
-            stride: int = 1, rho: float = float("inf")) -> DataFrame:
-    """Pixels denoised: windows out, kernel regression over the prior's patches, windows averaged back.
-
-    priors: (image_id, prior_id), whose patches serve which image. prior: patches (prior_id, py, px, v). At alpha 0
-    all weights are equal, which gives the mean patch everywhere, as it should.
-    """
-    if sigma <= 0:
-        raise ValueError("sigma must be above 0")
-    queries = extract_patches(px, p, stride).join(priors, "image_id")
-    return fold(_estimates(queries, prior, alpha, sigma), px, gaussian_window(px.sparkSession, p, rho), p)
+def runs_of(plan: DataFrame) -> DataFrame:
+    """(image_id, prior_id, seed) of a plan (image_id, sample_id, seed): each sample is an image of its own."""
+    name = F.format_string("%s_%03d", F.col("image_id").cast("string"), F.col("sample_id"))
+    return plan.select(name.alias("image_id"), F.col("image_id").alias("prior_id"), "seed")
 
 
-def patches_of(px: DataFrame, p: int) -> DataFrame:
-    """The patches of prior images, ready for denoise()."""
-    return kept(extract_patches(px, p).withColumnRenamed("image_id", "prior_id").withColumn("prior_id", F.col("prior_id").cast("long")))
+class Prior(NamedTuple):
+    """patches (prior_id, vec_id, v); lists of those images that are searched by k nearest neighbours; those images."""
+
+    patches: DataFrame
+    lists: k.Ivf | None
+    searched: DataFrame | None
 
 
 class Process:
-    """A schedule with the patch size and window of the denoiser, and what is done to each estimate."""
+    """A schedule with the patch size, window and backend of the denoiser.
 
-    def __init__(self, spark, p: int = 7, num_steps: int = 10, rho: float = 0.2, eta: float = 0.0, sigma_min: float = 1e-4, seed: int = 0,
-                 stride: int = 1):
-        self.p, self.rho, self.eta, self.seed, self.stride, self.num_steps = p, rho, eta, seed, stride, num_steps
-        self.schedule = n.flow_linear(spark, num_steps, sigma_min)
-        self.levels = {r["t"]: (r["alpha"], r["sigma"]) for r in self.schedule.collect()}  # num_steps + 1 rows
+    num_steps, rho, stride, dataset_stride and backend are one value, or a list with one for each scale. backend: exact,
+    ann (k nearest neighbours by inverted lists), or auto (ann for images with more than `switch` patches at a scale).
+    schedule: flow or ve.
+    """
 
-    def index(self, level: float | None) -> int:
+    def __init__(self, spark, p: int = 7, num_steps=10, rho=0.2, eta: float = 0.0, sigma_min: float | None = None, seed: int = 0, stride=1,
+                 dataset_stride=1, backend="exact", switch: int = 250_000, k: int = 5, nprobe: int = 2, nlist: int | None = None,
+                 schedule: str = "flow", least: int | None = None):
+        self.spark, self.p, self.eta, self.seed, self.switch, self.least = spark, p, eta, seed, switch, least
+        self.k, self.nprobe, self.nlist, self.schedule, self.sigma_min = k, nprobe, nlist, schedule, sigma_min
+        self.by_scale = {"num_steps": num_steps, "rho": rho, "stride": stride, "dataset_stride": dataset_stride, "backend": backend}
+        self._levels: dict[int, dict[int, tuple[float, float]]] = {}
+
+    def at(self, name: str, scale: int):
+        """A setting at a scale."""
+        value = self.by_scale[name]
+        return value[scale] if isinstance(value, list | tuple) else value
+
+    def check(self, num_scales: int) -> None:
+        for value in self.by_scale.values():
+            expand_per_scale(value, num_scales)
+
+    def table(self, num_steps: int) -> DataFrame:
+        """The schedule of so many steps."""
+        make = {"flow": n.flow_linear, "ve": n.ve_edm}[self.schedule]
+        return make(self.spark, num_steps) if self.sigma_min is None else make(self.spark, num_steps, self.sigma_min)
+
+    def levels(self, scale: int) -> dict[int, tuple[float, float]]:
+        """(alpha, sigma) by step; one more than num_steps rows come to the driver."""
+        steps = self.at("num_steps", scale)
+        if steps not in self._levels:
+            self._levels[steps] = {r["t"]: (r["alpha"], r["sigma"]) for r in self.table(steps).collect()}
+        return self._levels[steps]
+
+    def index(self, level: float | None, scale: int = 0) -> int:
         """The step of a noise level; the last for None."""
-        levels = self.schedule.sparkSession.createDataFrame([(level,)], "level double")
-        return n.index_for_noise_level(levels, self.schedule).first()["t"]
+        asked = self.spark.createDataFrame([(level,)], "level double")
+        return n.index_for_noise_level(asked, self.table(self.at("num_steps", scale))).first()["t"]
+
+    def prior(self, px: DataFrame, scale: int = 0) -> Prior:
+        """The patches of px, and the index of those that are searched: made once a scale, it serves every step."""
+        patches = extract_patches(px, self.p, self.at("dataset_stride", scale)).select(
+            F.col("image_id").alias("prior_id"), (F.col("py").cast("long") * (1 << 31) + F.col("px")).alias("vec_id"), "v")
+        patches, backend = kept(patches), self.at("backend", scale)
+        if backend == "exact":
+            return Prior(patches, None, None)
+        if backend not in ("ann", "auto"):
+            raise ValueError(f"no backend: {backend}")
+        most = self.switch if backend == "auto" else 0
+        searched = kept(patches.groupBy("prior_id").count().where(F.col("count") > most).select("prior_id"))
+        if not searched.limit(1).count():
+            return Prior(patches, None, None)
+        return Prior(patches, k.fit_ivf(patches.join(searched, "prior_id", "left_semi"), self.nlist, on=PRIOR), searched)
+
+    def estimate(self, px: DataFrame, prior: Prior, priors: DataFrame, t: int, scale: int = 0) -> DataFrame:
+        return denoise(px, prior, priors, self.p, *self.levels(scale)[t], self.at("stride", scale), self.at("rho", scale), self.k, self.nprobe)
+
+    def moved(self, px: DataFrame, x_hat: DataFrame, target: DataFrame, priors: DataFrame, t: int, to: int, scale: int, eta: float) -> DataFrame:
+        """One step from t: the noise is told from x_hat, the way on starts at target (x_hat, or a blend with it)."""
+        (alpha, sigma), (a2, s2) = self.levels(scale)[t], self.levels(scale)[to]
+        rows, fresh = px.join(x_hat.withColumnRenamed("v", "hat"), KEYS).join(target.withColumnRenamed("v", "to"), KEYS), None
+        if eta:
+            rows = rows.join(self.seeded(priors), "image_id")
+            fresh = n.keyed_normal(F.col("seed"), F.lit(scale), F.lit(t - 1), F.col("prior_id"), *KEYS[1:])
+        eps = n.epsilon(F.col("v"), F.col("hat"), F.lit(alpha), F.lit(sigma))
+        return kept(rows.select(*KEYS, n.step(F.col("to"), eps, F.lit(a2), F.lit(s2), eta, fresh).alias("v")))
 
-    def estimate(self, px: DataFrame, prior: DataFrame, priors: DataFrame, t: int) -> DataFrame:
-        return denoise(px, prior, priors, self.p, *self.levels[t], self.stride, self.rho)
+    def seeded(self, priors: DataFrame) -> DataFrame:
+        return priors if "seed" in priors.columns else priors.withColumn("seed", F.lit(self.seed))
 
-    def moved(self, px: DataFrame, x_hat: DataFrame, target: DataFrame, t: int, to: int, scale: int, eta: float) -> DataFrame:
-        """One step from t: the noise is told from x_hat, the way on starts at target (x_hat, or a blend with it)."""
-        (alpha, sigma), (a2, s2) = self.levels[t], self.levels[to]
-        lit = lambda *x: map(F.lit, x)
-        fresh = n.keyed_normal(F.lit(self.seed), F.lit(scale), F.lit(t), *KEYS) if eta else None
-        rows = px.join(x_hat.withColumnRenamed("v", "hat"), KEYS).join(target.withColumnRenamed("v", "to"), KEYS)
-        eps = n.epsilon(F.col("v"), F.col("hat"), *lit(alpha, sigma))
-        return kept(rows.select(*KEYS, n.step(F.col("to"), eps, *lit(a2, s2), eta, fresh).alias("v")))
 
+def denoise(px: DataFrame, prior: Prior, priors: DataFrame, p: int, alpha: float, sigma: float, stride: int = 1, rho: float = float("inf"),
+            neighbours: int = 5, nprobe: int = 2) -> DataFrame:
+    """Pixels denoised: windows out, kernel regression over the prior's patches (or their nearest), windows averaged back.
+
+    priors: (image_id, prior_id), whose patches serve which image. At alpha 0 all weights are equal: the mean patch.
+    """
+    if sigma <= 0:
+        raise ValueError("sigma must be above 0")
+    queries = extract_patches(px, p, stride).withColumnRenamed("v", "x").join(priors.select("image_id", "prior_id"), "image_id")
+    exact = queries if prior.lists is None else queries.join(prior.searched, "prior_id", "left_anti")
+    out = k.kernel_regress(exact, prior.patches, alpha, sigma, BLOCK, PLACE, PRIOR)
+    if prior.lists is not None:
+        some = queries.join(prior.searched, "prior_id", "left_semi")
+        if alpha == 0:
+            near = some.join(k.group_means(prior.lists.lists, PRIOR), "prior_id").select(*PLACE, F.col("mean").alias("x_hat"))
+        else:
+            found = k.knn_ivf(k.scale_queries(some, alpha), prior.lists, neighbours, nprobe, keys=(*PLACE, "prior_id"))
+            found = k.require_k(kept(found), some, neighbours, PLACE)
+            near = k.knn_regress(some, prior.lists.lists, found, alpha, sigma, (*PLACE, "prior_id"), PRIOR).select(*PLACE, "x_hat")
+        out = out.unionByName(near)
+    return fold(out.withColumnRenamed("x_hat", "v"), px, rho, p, stride)
+
+
+def denoise_shifted(px: DataFrame, shift: str, prior: Prior, priors: DataFrame, p: int, alpha: float, sigma: float, **more) -> DataFrame:
+    """denoise() of the image rolled by half its sides, rolled back."""
+    return g.roll(denoise(g.roll(px, shift), prior, priors, p, alpha, sigma, **more), shift, back=True)
 
-def _same(priors_of: DataFrame) -> DataFrame:
-    return priors_of.select("image_id", F.col("image_id").cast("long").alias("prior_id")).distinct()
 
+def _same(images: DataFrame) -> DataFrame:
+    return images.select("image_id", F.col("image_id").alias("prior_id")).distinct()
 
-def _fill(process: Process, px: DataFrame, prior: DataFrame, priors: DataFrame, scale: int, coarser: DataFrame | None,
+
+def _fill(process: Process, px: DataFrame, prior: Prior, priors: DataFrame, scale: int, coarser: DataFrame | None,
           estimate: Callable[[DataFrame, int], DataFrame] | None = None, start: int | None = None, eta: float | None = None) -> DataFrame:
     """A scale from step `start` down to 0; all steps but the last are blended with the scale below."""
-    estimate = estimate or (lambda now, t: process.estimate(now, prior, priors, t))
-    for t in range(start or process.num_steps, 0, -1):
+    estimate = estimate or (lambda now, t: process.estimate(now, prior, priors, t, scale))
+    steps = start or process.at("num_steps", scale)
+    up = kept(enlarged(coarser, px)) if coarser is not None and steps > 1 else None
+    for t in range(steps, 0, -1):
         x_hat = target = kept(estimate(px, t))
-        if coarser is not None and t > 1:
-            target = kept(blend_two_scale(x_hat, coarser))
-        px = process.moved(px, x_hat, target, t, t - 1, scale, process.eta if eta is None else eta)
+        if up is not None and t > 1:
+            target = kept(blend_two_scale(x_hat, coarser, least=process.least, up=up))
+        px = process.moved(px, x_hat, target, priors, t, t - 1, scale, process.eta if eta is None else eta)
     return px
 
 
 def sample(process: Process, images: DataFrame, num_scales: int, shapes: DataFrame | None = None, coarsest: DataFrame | None = None,
            after: Callable[[DataFrame], DataFrame] | None = None, tile: str | None = None, num_shifts: int = 4,
-           priors: DataFrame | None = None) -> DataFrame:
+           priors: DataFrame | None = None, trace: str | None = None) -> DataFrame:
     """Pixels made from noise, coarsest scale first, with the patches of `images` at each scale.
 
-    shapes: (image_id, scale, height, width) of the output, the images' own if None. coarsest: pixels that stand at the
-    coarsest scale and are not denoised. after: what is done to every estimate. tile: the direction of a seamless
-    result, whose estimates are blends of shifted views. priors: (image_id, prior_id) where they differ.
+    shapes: (image_id, scale, height, width) of the output, the prior images' own if None. coarsest: pixels that stand at
+    the coarsest scale and are not denoised. after: what is done to every estimate. tile: the direction of a seamless
+    result, whose estimates are blends of shifted views. priors: (image_id, prior_id, seed) where they differ from the
+    images and the process's seed. trace: a folder to which the result of each scale is written.
     """
-    own = pyramid_shapes(g.sizes(images), num_scales)
-    shapes = own if shapes is None else shapes
-    priors = _same(images) if priors is None else priors
+    process.check(num_scales)
+    own = pyramid_shapes(g.sizes(images), num_scales, least=process.least)
+    priors = process.seeded(_same(images) if priors is None else priors)
+    if shapes is None:
+        shapes = own.withColumnRenamed("image_id", "prior_id").join(priors, "prior_id").select("image_id", "scale", "height", "width")
     check_patchable(shapes, process.p, shapes.where(F.col("scale") == num_scales - 1).select("image_id", "scale") if coarsest is not None else None)
     scales, out = kept(gaussian_pyramid(images, own, num_scales)), coarsest
     channels = images.agg(F.max("c")).first()[0] + 1
     top = num_scales - 1 if coarsest is None else num_scales - 2
     for scale in range(top, -1, -1):
-        prior = patches_of(scales.where(F.col("scale") == scale).drop("scale"), process.p)
-        noise = kept(init_noise(shapes.where(F.col("scale") == scale), channels, process.seed, scale, process.levels[process.num_steps][1]))
+        prior = process.prior(scales.where(F.col("scale") == scale).drop("scale"), scale)
+        steps = process.at("num_steps", scale)
+        noise = kept(init_noise(shapes.where(F.col("scale") == scale).join(priors, "image_id"), channels, process.seed, scale, process.levels(scale)[steps][1], steps))
 
-        def estimate(now: DataFrame, t: int, prior: DataFrame = prior) -> DataFrame:
-            made = _shifted(process, now, prior, priors, t, tile, num_shifts) if tile else process.estimate(now, prior, priors, t)
+        def estimate(now: DataFrame, t: int, prior: Prior = prior, scale: int = scale) -> DataFrame:
+            made = _shifted(process, now, prior, priors, t, scale, tile, num_shifts) if tile else process.estimate(now, prior, priors, t, scale)
             return after(made) if after else made
 
         out = _fill(process, noise, prior, priors, scale, out, estimate)
+        if trace is not None:
+            write_table(out.withColumn("scale", F.lit(scale)), trace)
     return out
 
 
-def _shifted(process: Process, px: DataFrame, prior: DataFrame, priors: DataFrame, t: int, direction: str, num_shifts: int) -> DataFrame:
+def _shifted(process: Process, px: DataFrame, prior: Prior, priors: DataFrame, t: int, scale: int, direction: str, num_shifts: int) -> DataFrame:
     """The blend of the estimates of views rolled by half, each rolled back."""
     names = {"horizontal": ["no", "horiz"], "vertical": ["no", "vert"], "both": ["no", "horiz", "vert", "diag"]}.get(direction)
     if names is None:
         raise ValueError(f"no direction: {direction}")
     views = None
     for shift in names[:3] if direction == "both" and num_shifts != 4 else names:
-        view = g.roll(process.estimate(g.roll(px, shift), prior, priors, t), shift, back=True)
+        view = g.roll(process.estimate(g.roll(px, shift), prior, priors, t, scale), shift, back=True)
         view = g.with_size(view).select(*KEYS, "v", g.shift_weight(direction, shift, num_shifts).alias("w"))
         views = view if views is None else views.unionByName(view)
     return g.blend_shifts(views)
 
 
-def sample_uncond(process: Process, images: DataFrame, num_scales: int) -> DataFrame:
-    """New images of the same sizes."""
-    return sample(process, images, num_scales)
+def sample_uncond(process: Process, images: DataFrame, num_scales: int, samples: DataFrame | None = None, trace: str | None = None) -> DataFrame:
+    """New images of the same sizes; of each image as many as `samples` (image_id, sample_id, seed) lists, or one."""
+    return sample(process, images, num_scales, priors=None if samples is None else runs_of(samples), trace=trace)
 
 
 def sample_retarget(process: Process, images: DataFrame, num_scales: int, output: DataFrame) -> DataFrame:
     """Images of the sizes in `output` (image_id, height, width), laid out as the resized input at the coarsest scale."""
-    shapes = pyramid_shapes(output, num_scales)
+    shapes = pyramid_shapes(output, num_scales, least=process.least)
     return sample(process, images, num_scales, shapes, kept(resize(images, shapes.where(F.col("scale") == num_scales - 1))))
 
 
@@ -194,44 +252,49 @@ def sample_tileable(process: Process, images: DataFrame, num_scales: int, direct
     return sample(process, images, num_scales, tile=direction, num_shifts=num_shifts)
 
 
-def invert(process: Process, px: DataFrame, prior: DataFrame, priors: DataFrame, level: float | None = None) -> DataFrame:
+def invert(process: Process, px: DataFrame, prior: Prior, priors: DataFrame, level: float | None = None, scale: int = 0) -> DataFrame:
     """Pixels taken up to the step of the noise level, along the noise that the denoiser tells."""
-    alpha, sigma = process.levels[1]
-    eps = n.keyed_normal(F.lit(process.seed), F.lit(0), *KEYS)
-    now = kept(px.select(*KEYS, n.add_noise(F.col("v"), eps, F.lit(alpha), F.lit(sigma)).alias("v")))
-    for t in range(1, process.index(level)):
-        x_hat = kept(process.estimate(now, prior, priors, t))
-        now = process.moved(now, x_hat, x_hat, t, t + 1, 0, 0.0)
+    alpha, sigma = process.levels(scale)[1]
+    eps = n.keyed_normal(F.col("seed"), F.lit(scale), F.lit(1), F.col("prior_id"), *KEYS[1:])
+    now = px.join(process.seeded(priors), "image_id")
+    now = kept(now.select(*KEYS, n.add_noise(F.col("v"), eps, F.lit(alpha), F.lit(sigma)).alias("v")))
+    for t in range(1, process.index(level, scale)):
+        x_hat = kept(process.estimate(now, prior, priors, t, scale))
+        now = process.moved(now, x_hat, x_hat, priors, t, t + 1, scale, 0.0)
     return now
 
 
-def reconstruct(process: Process, noisy: DataFrame, prior: DataFrame, priors: DataFrame, level: float | None = None) -> DataFrame:
+def reconstruct(process: Process, noisy: DataFrame, prior: Prior, priors: DataFrame, level: float | None = None, scale: int = 0) -> DataFrame:
     """From the step of the noise level down to 0, without fresh noise; the prior may be another image's."""
-    return _fill(process, noisy, prior, priors, 0, None, start=process.index(level), eta=0.0)
+    return _fill(process, noisy, prior, priors, scale, None, start=process.index(level, scale), eta=0.0)
 
 
 def sample_analogy(process: Process, images: DataFrame, pairs: DataFrame, num_scales: int, level: float | None = None) -> DataFrame:
     """Images with the layout of structure_id and the patches of style_id, one for each row of pairs.
 
-    image_id of the result is the pair's number: pairs (image_id, style_id, structure_id).
+    image_id of the result is the pair's: pairs (image_id, style_id, structure_id). A style that serves many pairs is
+    cut into patches for each, as each pair's style is an image of its own.
     """
     chosen = lambda key: images.withColumnRenamed("image_id", key).join(pairs.select(F.col("image_id"), key), key).select(*KEYS, "v")
-    style, structure = kept(chosen("style_id")), kept(chosen("structure_id"))
-    shapes = pyramid_shapes(g.sizes(structure), num_scales)
-    low = num_scales - 1
-    at = lambda px: kept(gaussian_pyramid(px, pyramid_shapes(g.sizes(px), num_scales), num_scales).where(F.col("scale") == low).drop("scale"))
+    style, structure, low = kept(chosen("style_id")), kept(chosen("structure_id")), num_scales - 1
+    shapes = pyramid_shapes(g.sizes(structure), num_scales, least=process.least)
+    at = lambda px: kept(gaussian_pyramid(px, pyramid_shapes(g.sizes(px), num_scales, least=process.least), num_scales).where(F.col("scale") == low).drop("scale"))
     priors, base = _same(structure), at(structure)
-    noisy = invert(process, base, patches_of(base, process.p), priors, level)
-    coarsest = reconstruct(process, noisy, patches_of(at(style), process.p), priors, level)
+    noisy = invert(process, base, process.prior(base, low), priors, level, low)
+    coarsest = reconstruct(process, noisy, process.prior(at(style), low), priors, level, low)
     return sample(process, style, num_scales, shapes, coarsest) if num_scales > 1 else coarsest
 
 
-def guidance_step(x_hat: DataFrame, previous: DataFrame | None, grad: DataFrame, strength: float, quantile: float = 0.8, momentum: float = 0.2) -> DataFrame:
-    """x_hat, drawn to `previous`, moved along the thresholded gradient by strength times its norm there, within -1 and 1."""
-    rows = x_hat
-    if previous is not None:
-        rows = x_hat.join(previous.withColumnRenamed("v", "was"), KEYS).select(*KEYS, ((1 - momentum) * F.col("was") + momentum * F.col("v")).alias("v"))
-    rows = rows.join(thresholded_grad(grad, quantile).withColumnRenamed("v", "g"), KEYS, "left")
+def drawn_to(x_hat: DataFrame, previous: DataFrame | None, momentum: float = 0.2) -> DataFrame:
+    """(1 - momentum) * previous + momentum * x_hat; x_hat where there is no previous estimate."""
+    if previous is None:
+        return x_hat
+    return x_hat.join(previous.withColumnRenamed("v", "was"), KEYS).select(*KEYS, ((1 - momentum) * F.col("was") + momentum * F.col("v")).alias("v"))
+
+
+def guidance_step(x_hat: DataFrame, grad: DataFrame, strength: float, quantile: float = 0.8) -> DataFrame:
+    """x_hat moved along the thresholded gradient by strength times its own norm where that is not 0, within -1 and 1."""
+    rows = x_hat.join(thresholded_grad(grad, quantile).where("mask").select(*KEYS, F.col("v").alias("g")), KEYS, "left")
     norms = rows.where("g is not null").groupBy("image_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v")) / F.nullif(F.sum(F.col("g") * F.col("g")), F.lit(0.0))).alias("ratio"))
     moved = F.col("v") + F.coalesce(strength * F.col("ratio") * F.col("g"), F.lit(0.0))
     return rows.join(norms, "image_id", "left").select(*KEYS, F.greatest(F.least(moved, F.lit(1.0)), F.lit(-1.0)).alias("v"))
@@ -241,13 +304,15 @@ def guided_reconstruct(process: Process, content: DataFrame, gradient: Callable[
                        quantile: float = 0.8, momentum: float = 0.2, iters: int = 1) -> DataFrame:
     """Content inverted to the noise level and taken down again, each estimate moved along gradient(pixels).
 
-    The strength falls with the step's noise. gradient gives pixels (image_id, c, y, x, v) for pixels.
+    The gradient is taken where the estimate has been drawn to the one before; gradient gives pixels (image_id, c, y, x, v)
+    for pixels. The strength falls with the step's noise.
     """
-    priors, prior, start = _same(content), patches_of(content, process.p), process.index(level)
-    now, previous = invert(process, content, prior, priors, level), None
+    priors, prior, start = _same(content), process.prior(content), process.index(level)
+    now, previous, levels = invert(process, content, prior, priors, level), None, process.levels(0)
     for t in range(start, 0, -1):
         x_hat = kept(process.estimate(now, prior, priors, t))
         for _ in range(iters):
-            x_hat = previous = kept(guidance_step(x_hat, previous, gradient(x_hat), strength * process.levels[t][1] / process.levels[start][1], quantile, momentum))
-        now = process.moved(now, x_hat, x_hat, t, t - 1, 0, 0.0)
+            at = kept(drawn_to(x_hat, previous, momentum))
+            x_hat = previous = kept(guidance_step(at, gradient(at), strength * levels[t][1] / levels[start][1], quantile))
+        now = process.moved(now, x_hat, x_hat, priors, t, t - 1, 0, 0.0)
     return now

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchspark.operators.patches import patch_count
-from patchspark.operators.resample import pyramid_shapes
+from patchspark.operators.resample import scale_side
 
 
 def auto_num_scales(short: Column, min_short: Column) -> Column:
@@ -35,14 +35,36 @@ def expand_per_scale(value, num_scales: int) -> list:
     return out
 
 
-def sampling_plan(catalog: DataFrame, num_scales: int, patch: int, steps=10) -> DataFrame:
-    """One row for each image and scale of catalog (image_id, height, width)."""
-    steps = expand_per_scale(steps, num_scales)
-    n = patch_count(F.col("height"), F.col("width"), patch)
-    plan = pyramid_shapes(catalog, num_scales).withColumn("patches", n)
-    return plan.select("image_id", "scale", "height", "width", "patches", (F.least("height", "width") / patch).alias("short_in_patches"),
-                       auto_backend(F.col("patches")).alias("backend"), auto_query_stride(F.col("patches")).alias("stride"),
-                       auto_query_chunks(F.col("patches")).alias("chunks"), F.element_at(F.array(*map(F.lit, steps)), F.col("scale") + 1).alias("steps"))
+def sampling_plan(catalog: DataFrame, num_scales: int | None, patch: int, steps=10, rho=0.2, dataset_stride=1, min_short: int | None = None,
+                  backend_from: int = 250_000, stride_from: int = 8_000_000, per_chunk: int = 7500) -> DataFrame:
+    """One row for each image and scale of catalog (image_id, height, width, and sample_height, sample_width if they differ).
+
+    Depth, backend, stride and chunks come from the sizes that govern them: the depth from the least side of image and
+    sample (None: each image its own, down to min_short, 1.7 patches if None; per-scale lists need one depth for all), the
+    backend from the image's patches, stride and chunks from the sample's. patches: what the image's dataset holds.
+    """
+    default = min_short or int(round(1.7 * patch))
+    if "sample_height" not in catalog.columns:
+        catalog = catalog.withColumns({"sample_height": F.col("height"), "sample_width": F.col("width")})
+    if num_scales is None:
+        if any(isinstance(v, list | tuple) for v in (steps, rho, dataset_stride)):
+            raise ValueError("values by scale need a number of scales")
+        depth = auto_num_scales(F.least("height", "width", "sample_height", "sample_width"), F.lit(default))
+    else:
+        depth = F.lit(num_scales)
+    sized = catalog.withColumn("num_scales", depth)
+    value = lambda v: F.element_at(F.array(*map(F.lit, expand_per_scale(v, num_scales))), F.col("scale") + 1) if num_scales else F.lit(v)
+    scales = sized.withColumn("scale", F.explode(F.sequence(F.lit(0), F.col("num_scales") - 1)))
+    sides = {c: scale_side(c, F.col("num_scales"), min_short) for c in ("height", "width")}
+    sample = {f"sample_{c}": scale_side(c, F.col("num_scales"), min_short, "sample_") for c in ("height", "width")}
+    plan = scales.select("image_id", "num_scales", "scale", *(x.alias(c) for c, x in (sides | sample).items()), value(dataset_stride).alias("dataset_stride"),
+                         value(steps).alias("steps"), value(rho).cast("double").alias("rho"))
+    windows = lambda side: F.greatest(F.floor((F.col(side) - patch) / F.col("dataset_stride")) + 1, F.lit(0))
+    counts = patch_count(F.col("height"), F.col("width"), patch)
+    asked = patch_count(F.col("sample_height"), F.col("sample_width"), patch)
+    return plan.select("*", (windows("height") * windows("width")).alias("patches"), (F.least("height", "width") / patch).alias("short_in_patches"),
+                       auto_backend(counts, backend_from).alias("backend"), auto_query_stride(asked, stride_from).alias("stride"),
+                       auto_query_chunks(asked, per_chunk).alias("chunks"))
 
 
 def uniform_columns(plan: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,8 +16,11 @@ def _own_dir() -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; in a folder of this machine only where that is unset, as in tests."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_dir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in spark.checkpoint.dir. Where that is unset, in a folder of this machine, which only a local master may use."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or _own_dir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -76,3 +76,14 @@ def set_status(manifest: DataFrame, pending: DataFrame) -> DataFrame:
 def short_transfers(transfers: DataFrame) -> DataFrame:
     """Transfers whose written bytes are not those expected, where that is known."""
     return transfers.where("expected is not null and written <> expected")
+
+
+def write_table(px: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes results (..., scale) as Parquet, one folder a scale: the trace of a coarse-to-fine run."""
+    px.write.mode(mode).partitionBy("scale").parquet(path)
+
+
+def read_table(spark, path: str, scale: int | None = None) -> DataFrame:
+    """The trace written by write_table(), or one scale of it, of which only that folder is read."""
+    trace = spark.read.parquet(path)
+    return trace if scale is None else trace.where(F.col("scale") == scale)

@@ -54,15 +54,17 @@ def test_few_vectors_are_coded_exactly(spark):
     for rows in (4096, 4):
         got = pq.knn_ivfpq(q, index, 9, nprobe=5, rows=rows).collect()
         assert len(got) == 63 and all(abs(t["d2"] - want[t["query_id"], t["rank"]]["d2"]) < 1e-9 for t in got)
-    assert sorted({t["query_id"] for t in k.knn_ivf(q, index.centroids, index.codes.join(v, "vec_id"), 3, 5).collect()}) == list(range(7))
+    assert len({tuple(t["code"]) for t in index.codes.where("vec_id >= 50 or vec_id < 10").collect()}) <= 20
 
 
-def test_codes_find_most_neighbours(spark):
+@pytest.mark.parametrize("search", ["lists", "codes"])
+def test_searches_find_nine_of_ten(spark, search):
+    """Recall against the exact search, at few lists to begin with."""
     v = tables.vectors(spark, SF).select("vec_id", "v")
-    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("x"))
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("x"))
     exact = {(t["query_id"], t["vec_id"]) for t in k.knn_flat(q, v, 10).collect()}
-    found = {(t["query_id"], t["vec_id"]) for t in pq.knn_ivfpq(q, pq.fit_ivfpq(v, pq_m=32), 10, nprobe=22).collect()}
-    assert len(exact & found) >= 0.8 * len(exact)
+    found = k.knn_ivf(q, k.fit_ivf(v), 10, 1, recall=0.9) if search == "lists" else pq.knn_ivfpq(q, pq.fit_ivfpq(v), 10, 1, recall=0.9)
+    assert len(exact & {(t["query_id"], t["vec_id"]) for t in found.collect()}) >= 0.88 * len(exact)
 
 
 def test_scaled_queries_rank_alike(spark):

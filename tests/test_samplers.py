@@ -26,7 +26,7 @@ def arrays(df):
 
 def test_denoise_against_numpy(spark, px, monkeypatch):
     monkeypatch.setattr(sm, "BLOCK", 7)  # several blocks an image
-    got = arrays(sm.denoise(px, sm.patches_of(px, 3), sm._same(px), 3, 0.7, 0.5))
+    got = arrays(sm.denoise(px, sm.Process(spark, p=3).prior(px), sm._same(px), 3, 0.7, 0.5))
     for i, a in arrays(px).items():
         places = [(y, x) for y in range(4) for x in range(5)]
         v = np.array([a[:, y : y + 3, x : x + 3].ravel() for y, x in places])
@@ -54,7 +54,8 @@ def test_retarget_has_the_size_asked_for(spark, px):
 
 
 def test_inversion_of_little_noise_comes_back_and_no_gradient_changes_nothing(spark, px):
-    p, prior, priors = sm.Process(spark, p=3, num_steps=3), sm.patches_of(px, 3), sm._same(px)
+    p, priors = sm.Process(spark, p=3, num_steps=3), sm._same(px)
+    prior = p.prior(px)
     back = arrays(sm.reconstruct(p, sm.invert(p, px, prior, priors, 0.0), prior, priors, 0.0))
     assert all(np.allclose(back[i], a, atol=1e-2) for i, a in arrays(px).items())
     free = arrays(sm.guided_reconstruct(p, px, lambda now: now.withColumn("v", F.lit(0.0)), 1.0, 0.0, momentum=1.0))
@@ -69,3 +70,39 @@ def test_tileable_and_analogy(spark, px):
     pairs = spark.createDataFrame([(9, 1, 2)], "image_id int, style_id int, structure_id int")
     out = arrays(sm.sample_analogy(p, px, pairs, 1))
     assert set(out) == {9} and out[9].shape == (2, 6, 7) and g.sizes(px).count() == 2
+
+
+def test_neighbours_in_the_sampler(spark, px):
+    """At little noise the nearest patch decides, so few neighbours and lists give what all patches give."""
+    exact, lists = sm.Process(spark, p=3), sm.Process(spark, p=3, backend="auto", switch=10)
+    one = arrays(sm.denoise(px, exact.prior(px), sm._same(px), 3, 0.999, 0.01))
+    two = arrays(sm.denoise(px, lists.prior(px), sm._same(px), 3, 0.999, 0.01, neighbours=2, nprobe=4))
+    assert all(np.allclose(one[i], two[i], atol=1e-6) for i in one)
+    assert lists.prior(px).lists is not None and sm.Process(spark, p=3, backend="auto").prior(px).lists is None
+    flat = arrays(sm.denoise(px, lists.prior(px), sm._same(px), 3, 0.0, 1.0))
+    want = arrays(sm.denoise(px, exact.prior(px), sm._same(px), 3, 0.0, 1.0))
+    assert all(np.allclose(flat[i], want[i]) for i in want)
+    with pytest.raises(ValueError, match="fewer than"):
+        sm.denoise(px, lists.prior(px), sm._same(px), 3, 0.9, 0.1, neighbours=99)
+    with pytest.raises(ValueError):
+        sm.Process(spark, p=3, backend="none").prior(px)
+
+
+def test_sample_is_a_run_with_its_seed(spark, px):
+    plan = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (2, 0, 5)], "image_id int, sample_id int, seed int")
+    make = lambda seed: sm.Process(spark, p=3, num_steps=4, eta=0.5, seed=seed)
+    out, alone = arrays(sm.sample_uncond(make(0), px, 1, plan)), arrays(sm.sample_uncond(make(6), px, 1))
+    assert set(out) == {"1_000", "1_001", "2_000"} and np.allclose(out["1_001"], alone[1]) and not np.allclose(out["1_000"], alone[1])
+
+
+def test_settings_by_scale(spark, px, tmp_path):
+    p = sm.Process(spark, p=3, num_steps=[2, 1], stride=[2, 1], rho=[0.2, 0.5], backend=["auto", "exact"], least=3)
+    assert sm.sample_uncond(p, px, 2, trace=str(tmp_path / "t")).count() == px.count()
+    assert spark.read.parquet(str(tmp_path / "t")).groupBy("scale").count().count() == 2
+    with pytest.raises(ValueError):
+        sm.sample_uncond(p, px, 3)
+
+
+def test_warped_schedule_in_a_sampler(spark, px):
+    out = arrays(sm.sample_uncond(sm.Process(spark, p=3, num_steps=3, schedule="ve"), px, 1))
+    assert all(np.isfinite(a).all() and np.abs(a).max() <= 1 + 1e-9 for a in out.values())
