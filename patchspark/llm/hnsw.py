@@ -12,7 +12,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchspark.llm.components import connected_components
@@ -21,6 +21,8 @@ from patchspark.llm.store import written
 
 #: Neighbours a node keeps on the ground level and above, beam while building, rows of a shard and of a query block.
 GROUND, UPPER, BUILD_BEAM, SHARD_ROWS, BLOCK_ROWS = 24, 12, 48, 8192, 2048
+#: What a row without an id counts as.
+LAST = 2**63 - 1
 
 
 class Graph:
@@ -29,11 +31,11 @@ class Graph:
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.ids = x, ids
         n = len(x)
-        u = ((mixed(ids.astype(np.uint64) + np.uint64(77)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+        u = ((mixed(ids.view(np.uint64) + np.uint64(77)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
         self.level = np.minimum((-np.log(u) / np.log(UPPER)).astype(int), 12)
         self.levels = [np.full((n, GROUND if i == 0 else UPPER), -1, np.int32) for i in range(int(self.level.max(initial=0)) + 1)]
         self.entry = -1
-        order = np.argsort(mixed(ids.astype(np.uint64)), kind="stable")
+        order = np.argsort(mixed(ids.view(np.uint64)), kind="stable")
         done = 0
         while done < n:
             size = min(max(64, done // 2), 512, n - done)
@@ -171,8 +173,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Rows are linked if their labels are equal and not null and their cosine is at least `least`. audit queries of each
     block are scanned in full; the beam grows until `recall` of their links are found. Defined cases: a vector that is
     null, zero, or holds null or non-finite numbers is linked with nothing; vectors of different lengths are not
-    compared; equal vectors are linked with each other; a row without id counts as a link of others and is kept as its
-    own component (null) only if it has no links; no rows give no rows.
+    compared; equal vectors are linked with each other, also those of one vec_id; rows that share a vec_id and not the
+    vector have links of their own, and what they are linked with is one component; a row without id counts as a link of
+    others and as the last of its component, whose id is null if all ids are; no rows give no rows; columns that are not
+    named are not read.
     """
     v = F.col("v")
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
@@ -180,7 +184,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("same", F.when(valid, F.sha2(F.concat_ws(",", F.col("label"), v.cast("array<string>")), 256)))
     nodes = written(rows.where("same is not null").groupBy("same").agg(
-        F.coalesce(F.min("vec_id"), F.lit(2**63 - 1)).alias("id"), F.count(F.lit(1)).alias("times"), F.first("label").alias("label"), F.first("v").alias("v")), "vectors")
+        F.xxhash64("same").alias("id"), F.coalesce(F.min("vec_id"), F.lit(LAST)).alias("least"), F.count(F.lit(1)).alias("times"),
+        F.first("label").alias("label"), F.first("v").alias("v")), "vectors")
     group = ["label", "dim"]
     nodes = nodes.withColumn("dim", F.size("v"))
     counts = nodes.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
@@ -219,11 +224,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = [*group, "shard", "block"]
     found = written(queries.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(search, "id long, other long, links long"), "vector-links")
-    comps = connected_components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    # components over the vectors' own numbers, joined where one vec_id has several vectors; then named by their smallest vec_id
+    shared = rows.where("same is not null and vec_id is not null").select("vec_id", F.xxhash64("same").alias("id")).distinct()
+    shared = shared.withColumn("first", F.min("id").over(Window.partitionBy("vec_id"))).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    comps = connected_components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")).unionAll(shared))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    info = written(nodes.join(links, "id").join(comps, "id", "left").select(
-        "same", (F.col("links") + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "vector-components")
-    out = rows.join(info, "same", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    info = written(nodes.join(links, "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")), "vector-components")
+    named = info.groupBy("component").agg(F.min("least").alias("component_id"))
+    info = written(info.join(named, "component").select("same", (F.col("links") + F.col("times") - 1).alias("n_links"), F.nullif("component_id", F.lit(LAST)).alias("component_id")), "vector-names")
+    out = rows.join(info, "same", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+                                                 F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
