@@ -2,11 +2,13 @@
 
 One restaurant for each word that another one follows (and for the start of a text) shares the unigram restaurant as its
 parent, whose base is uniform over the V known words and one unknown. Customers of a word in a context sit at t tables,
-each of which sends a customer to the parent. Gibbs sampling reseats the customers of each pair (context, word) by the
-Chinese-restaurant rule, given the tables of its restaurant and the word's chance in the parent. Both are sums by context
-and by word: they are tables, joined to the pairs before each sweep and held over within it. A pair that occurs once has
-one table whatever is drawn, so it counts in the sums but isn't reseated. Predictive probabilities are averaged over the
-samples of the last sweeps. Frequent keys of the joins are broadcast (at most 1 / HEAVY of each kind), so none is hot.
+each of which sends a customer to the parent. Gibbs sampling takes the customers of a pair (context, word) out and seats
+them again, one after the other, by the Chinese-restaurant rule, given the tables of its restaurant and the word's chance
+in the parent. Both are sums by context and by word: they are tables, joined to the pairs before each sweep and held over
+within it. A pair that occurs once has one table whatever is drawn, so it counts in the sums but isn't reseated. Discounts
+are told from how many pairs, or words, were met once and twice. Predictive probabilities are averaged over the samples
+of the last sweeps, each with the tables of its own seating, so the chances in a context sum to 1. Frequent keys of the
+joins are broadcast (at most 1 / HEAVY of each kind), so none is hot.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from patchspark.llm.shingles import blocks, mixed, words
 from patchspark.llm.store import written
 
 SAMPLES, START = 3, 0
-#: Discount and strength of the context restaurants and of the parent.
-CONTEXT, PARENT = (0.8, 2.0), (0.6, 10.0)
+#: Strengths of the context restaurants and of the parent.
+CONTEXT, PARENT = 2.0, 10.0
+#: Customers that are seated step by step, before the next new table is looked for by bisection: the law is the same.
+STEPS = 8
 END = np.uint64(0x243F6A8885A308D3)
 #: What has at least this share of the tokens is met by broadcast; there are at most 1 / HEAVY such words, contexts or pairs.
 HEAVY = 1 / 50_000
@@ -74,41 +78,73 @@ def _counted(batches):
         yield rows()
 
 
-def _seat(n: np.ndarray, a: np.ndarray, d: float, seed: np.ndarray) -> np.ndarray:
-    """Tables of n customers of one dish, seated one after the other: a new table by odds a against (seated - d * tables).
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma of positive numbers: Stirling's series, from 8 up."""
+    low, shift = x + 8, np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    z = 1 / (low * low)
+    return (low - 0.5) * np.log(low) - low + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / low - shift
 
-    From 16 customers on an eighth of those seated sit down at once, by the odds at its start.
+
+def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in (0, 1) for the step-th draw of each seed."""
+    return ((mixed(seed + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _seat(n: np.ndarray, a: np.ndarray, d: float, seed: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
+    """Tables of n customers of one dish, seated one after the other.
+
+    With i seated at t tables the next opens one by odds a + more * (t - 1) against i - d * t. After STEPS customers the
+    next one to open a table is drawn at once: that none of k .. m opens one has the chance of the product of their
+    (i - d * t) / (a + more * (t - 1) + i - d * t), a quotient of gamma functions.
     """
-    tables, seated = np.ones(len(n)), np.ones(len(n))
-    live, step = np.flatnonzero(n > 1), 0
+    n, tables, draw = n.astype(float), np.ones(len(n)), 0
+    more = np.broadcast_to(more, len(n))
+    for i in range(1, STEPS):
+        live = np.flatnonzero(n > i)
+        odds = a[live] + more[live] * (tables[live] - 1)
+        tables[live] += _uniform(seed[live], draw := draw + 1) * (odds + i - d * tables[live]) < odds
+    at, live = np.full(len(n), float(STEPS)), np.flatnonzero(n > STEPS)
     while len(live):
-        i, t = seated[live], tables[live]
-        group = np.minimum(np.maximum(1, np.floor(i / 8)), n[live] - i)
-        u = (mixed(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(float) / 2.0**53
-        tables[live] = t + np.floor(group * (a[live] / (a[live] + i - d * t)) + u)
-        seated[live] = i + group
-        live, step = live[seated[live] < n[live]], step + 1
+        t, k, end = tables[live], at[live], n[live]
+        old, new = -d * t, a[live] + more[live] * (t - 1) - d * t
+        base = _log_gamma(k + old) - _log_gamma(k + new)
+        limit = np.log(_uniform(seed[live], draw := draw + 1))
+        low, high = k - 1, end  # none opens a table up to low; high opens one, or is past the last
+        while (wide := high - low > 1).any():
+            middle = np.floor((low + high) / 2)
+            none = (_log_gamma(middle + 1 + old) - _log_gamma(middle + 1 + new) - base > limit) & wide
+            low, high = np.where(none, middle, low), np.where(wide & ~none, middle, high)
+        opens = high < end
+        live, high = live[opens], high[opens]
+        tables[live] += 1
+        at[live] = high + 1
+        live = live[at[live] < n[live]]
     return tables
 
 
+def discount(once: float, twice: float) -> float:
+    """The discount that counts of things met once and twice speak for, within 0.05 and 0.95."""
+    return float(np.clip(once / max(1.0, once + 2 * twice), 0.05, 0.95))
+
+
 def _seed(of: np.ndarray, sweep: int) -> np.ndarray:
     return mixed(of.view(np.uint64) + np.uint64(sweep * 0xD1342543DE82EF95 & (1 << 64) - 1))
 
 
-def _reseated(batches, sweep: int):
-    """Pairs with the tables of this sweep, from their restaurant's tables and the word's chance in the parent."""
-    d, s = CONTEXT
+def _reseated(batches, sweep: int, d: float):
+    """Pairs with the tables of this sweep, from the other tables of their restaurant and the word's chance in the parent."""
     for batch in batches:
-        word, context, n, tables, p0 = (batch.column(c).to_numpy() for c in ("word", "context", "n", "tables", "p0"))
-        t = _seat(n, (s + d * tables) * p0, d, mixed(_seed(word, sweep) + context.view(np.uint64)))
+        word, context, n, t, tables, p0 = (batch.column(c).to_numpy() for c in ("word", "context", "n", "t", "tables", "p0"))
+        others = np.maximum(tables - t, 0)  # at the first table of the dish itself d more count
+        t = _seat(n, (CONTEXT + d * (others + 1)) * p0, d, mixed(_seed(word, sweep) + context.view(np.uint64)), d * p0)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "context", "n", "ts")), pa.array(t)], ["word", "context", "n", "ts", "t"])
 
 
-def _parent_seated(batches, draws: list[tuple[int, float]]):
+def _parent_seated(batches, draws: list[tuple[int, float]], d: float):
     """Words with their tables in the parent, for each draw (sweep, base) from the customers that it sends there."""
     for batch in batches:
         word, c0 = batch.column("word").to_numpy(), np.array(batch.column("c0").to_pylist(), float).reshape(-1, len(draws))
-        t0 = np.stack([_seat(c0[:, i], np.full(len(word), base), PARENT[0], _seed(word, sweep)) for i, (sweep, base) in enumerate(draws)], axis=1)
+        t0 = np.stack([_seat(c0[:, i], np.full(len(word), base), d, _seed(word, sweep)) for i, (sweep, base) in enumerate(draws)], axis=1)
         lists = pa.FixedSizeListArray.from_arrays(pa.array(t0.ravel()), len(draws)).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "n", "c0")), lists], ["word", "n", "c0", "t0"])
 
@@ -134,7 +170,7 @@ class Back:
         return self.last[1][at[0]]
 
 
-def fit(train: DataFrame, rounds: int = 2, burn_in: int = 2) -> tuple[DataFrame, dict]:
+def fit(train: DataFrame, burn_in: int = 3) -> tuple[DataFrame, dict]:
     """(word table, model) from the texts of train.
 
     The model's tables are pairs (word, context, n, extra), contexts (context, customers, back) and words (word, n, p0),
@@ -142,14 +178,17 @@ def fit(train: DataFrame, rounds: int = 2, burn_in: int = 2) -> tuple[DataFrame,
     mean of back[sample] * p0[sample]. Counts cover all texts. The word table, for looking at, lists contexts and extra
     by word and is only made if it is read. Only single numbers come to the driver.
     """
-    (d, s), (d0, s0) = CONTEXT, PARENT
+    s, s0 = CONTEXT, PARENT
     pairs = written(train.mapInArrow(_counted, "word long, context long, n long").groupBy("word", "context").agg(F.sum("n").alias("n")), "pairs")
     n, once = F.sum("n"), F.count_if(F.col("n") == 1).cast("double").alias("once")
     of_word = written(pairs.groupBy("word").agg(n.alias("n"), once), "word-counts")
     of_context = written(pairs.groupBy("context").agg(n.alias("customers"), once), "context-counts")
     first = of_word.agg(F.count(F.lit(1)).alias("V"), F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.coalesce(F.sum("once"), F.lit(0.0)).alias("once")).first()
     least = max(1, first["N"] * HEAVY)
-    m = {"V": first["V"], "N": first["N"]}
+    met_once = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    kinds, followed = pairs.agg(*met_once).first(), pairs.groupBy("word").count().withColumnRenamed("count", "n").agg(*met_once).first()
+    d, d0 = discount(*kinds), discount(*followed)
+    m = {"V": first["V"], "N": first["N"], "discounts": (d, d0)}
 
     def sums(many: DataFrame, of: DataFrame, key: str, drawn: list, name: str) -> DataFrame:
         """Tables of all pairs of a key, a number a draw."""
@@ -159,7 +198,7 @@ def fit(train: DataFrame, rounds: int = 2, burn_in: int = 2) -> tuple[DataFrame,
 
     def parent(many: DataFrame, drawn: list, draws: list) -> tuple[DataFrame, list, list]:
         """Words with p0, the parent's base and the chance of the unknown, from the tables drawn."""
-        seated = written(sums(many, of_word, "word", drawn, "c0").mapInArrow(lambda b: _parent_seated(b, draws), "word long, n long, c0 array<double>, t0 array<double>"), "parent")
+        seated = written(sums(many, of_word, "word", drawn, "c0").mapInArrow(lambda b: _parent_seated(b, draws, d0), "word long, n long, c0 array<double>, t0 array<double>"), "parent")
         k = range(len(drawn))
         total = seated.agg(*(F.coalesce(F.sum(F.col(c)[i]), F.lit(0.0)) for c in ("c0", "t0") for i in k)).first()
         bases = [(s0 + d0 * total[len(drawn) + i]) / (m["V"] + 1) for i in k]
@@ -169,16 +208,16 @@ def fit(train: DataFrame, rounds: int = 2, burn_in: int = 2) -> tuple[DataFrame,
     many = pairs.where("n > 1").withColumns({"ts": F.array().cast("array<double>"), "t": F.lit(1.0)})
     words, bases, _ = parent(many, ["t"], [(0, (s0 + d0 * m["V"]) / (m["V"] + 1))])
     base, draws = bases[0], []
-    for sweep in range(1, rounds + burn_in + SAMPLES + 1):
+    for sweep in range(1, burn_in + SAMPLES + 1):
         contexts = sums(many, of_context, "context", ["t"], "tables").select("context", "customers", F.col("tables")[0].alias("tables"))
-        given = met(many.drop("t"), contexts, ["context"], F.col("customers") >= least).drop("customers")
+        given = met(many, contexts, ["context"], F.col("customers") >= least).drop("customers")
         given = met(given, words.select("word", F.col("n").alias("of_word"), F.col("p0")[0].alias("p0")), ["word"], F.col("of_word") >= least)
-        new = given.mapInArrow(lambda b, i=sweep: _reseated(b, i), "word long, context long, n long, ts array<double>, t double")
-        if sweep > rounds + burn_in:
+        new = given.mapInArrow(lambda b, i=sweep: _reseated(b, i, d), "word long, context long, n long, ts array<double>, t double")
+        if sweep > burn_in:
             new = new.withColumn("ts", F.concat("ts", F.array("t")))
             draws.append((sweep, base))
         many = written(new, "seated")
-        if sweep < rounds + burn_in + SAMPLES:
+        if sweep < burn_in + SAMPLES:
             words, bases, _ = parent(many, ["t"], [(sweep, base)])
             base = bases[0]
     drawn = [F.col("ts")[i] for i in range(SAMPLES)]
@@ -196,16 +235,17 @@ def fit(train: DataFrame, rounds: int = 2, burn_in: int = 2) -> tuple[DataFrame,
 
 def _occurrences(batches):
     """A row of each text (word null) and its pairs with their counts."""
-    names = ["key", "doc_id", "word", "context", "count"]
+    names = ["id", "key", "word", "context", "count"]
     for batch in batches:
-        keys, ids = batch.column("key"), batch.column("doc_id")
+        keys, ids = batch.column("key"), batch.column("id")
         for first, block in blocks(batch.column("text").to_pylist()):
             of, word, context = tokens(block)
             k, own = len(block), keys.slice(first, len(block))
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([own, ids.slice(first, k), none, none, pa.array(np.bincount(of, minlength=k))], names)
+            yield pa.RecordBatch.from_arrays([ids.slice(first, k), own, none, none, pa.array(np.bincount(of, minlength=k))], names)
             of, word, context, count = _summed([(of, word, context, np.ones(len(of), np.int64))])
-            yield pa.RecordBatch.from_arrays([own.take(pa.array(of)), pa.nulls(len(of), pa.int64()), pa.array(word.view(np.int64)), pa.array(context.view(np.int64)), pa.array(count)], names)
+            yield pa.RecordBatch.from_arrays([ids.slice(first, k).take(pa.array(of)), own.take(pa.array(of)), pa.array(word.view(np.int64)),
+                                              pa.array(context.view(np.int64)), pa.array(count)], names)
 
 
 def score(docs: DataFrame, model: DataFrame, m: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,11 +254,13 @@ def score(docs: DataFrame, model: DataFrame, m: dict, id_col: str = "doc_id", te
     The distinct pairs of docs meet the model's tables, then the occurrences meet the pairs' chances. Defined cases: a
     null or empty text is one END; an unknown word has what the parent keeps for it; a context that was not seen leaves
     all to the parent; without training texts only the unknown is left, with chance 1; equal rows are scored once and
-    returned as often as they come.
+    returned as often as they come; rows that share a doc_id are told apart by a digest of their texts; very long texts
+    are scored whole; no rows give no rows.
     """
-    s, least, total = CONTEXT[1], max(1, m["N"] * HEAVY), m["N"] + 0.5 * (m["V"] + 1)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
-    seen = written(rows.mapInArrow(_occurrences, "key long, doc_id long, word long, context long, count long"), "tokens")
+    s, least, total = CONTEXT, max(1, m["N"] * HEAVY), m["N"] + 0.5 * (m["V"] + 1)
+    last = F.lit(2**63 - 1)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    seen = written(rows.mapInArrow(_occurrences, "id long, key long, word long, context long, count long"), "tokens")
     pairs = seen.where("word is not null").groupBy("word", "context").agg(F.count(F.lit(1)).alias("texts"))
     asked = pairs.join(m["pairs"].select("word", "context", "over"), ["word", "context"], "left")
     asked = met(asked, m["words"], ["word"], F.col("n") >= least)
@@ -229,13 +271,13 @@ def score(docs: DataFrame, model: DataFrame, m: dict, id_col: str = "doc_id", te
                                  (F.log10(chance) if m["V"] else F.lit(0.0)).alias("score")), "chances")
     n_texts = seen.where("word is null").count()
     count = F.col("count")
-    of = met(seen.where("word is not null").select("key", "word", "context", "count"), asked, ["word", "context"], F.col("texts") >= max(1000, n_texts * PAIR_TEXTS)).select(
-        "key", F.when(F.col("is_known"), count).alias("known"), (count * F.col("base")).alias("base"), (count * F.col("score")).alias("score"))
-    whole = seen.where("word is null").groupBy("key").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.max("count").alias("count"))
-    sums = whole.join(of.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score"))), "key")
+    of = met(seen.where("word is not null").select("id", "key", "word", "context", "count"), asked, ["word", "context"], F.col("texts") >= max(1000, n_texts * PAIR_TEXTS)).select(
+        "id", "key", F.when(F.col("is_known"), count).alias("known"), (count * F.col("base")).alias("base"), (count * F.col("score")).alias("score"))
+    whole = seen.where("word is null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("rows"), F.max("count").alias("count"))
+    sums = whole.join(of.groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score"))), ["id", "key"])
     per = lambda c: F.col(c) / F.col("rows")
     return sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")).select(
-        "doc_id", F.col("count").cast("long").alias("n_tokens"), F.coalesce(per("known"), F.lit(0)).cast("long").alias("n_known"), F.lit(m["N"]).cast("long").alias("train_tokens"),
+        F.nullif("id", last).alias("doc_id"), F.col("count").cast("long").alias("n_tokens"), F.coalesce(per("known"), F.lit(0)).cast("long").alias("n_known"), F.lit(m["N"]).cast("long").alias("train_tokens"),
         per("base").alias("base_score"), per("score").alias("score"))
 
 

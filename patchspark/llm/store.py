@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,8 +16,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a private one only where that is unset (tests, one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder named in spark.checkpoint.dir. Where that is unset, a private one, which only a local master may use."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return shared or _own_dir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
