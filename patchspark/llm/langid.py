@@ -77,20 +77,20 @@ def _blocks(texts: list[str | None]):
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = 500, clusters: int = 4, slack: float = 0.4) -> dict:
+        per_language: int = 500, clusters: int = 4, slack: float = 0.4, languages: int = 500) -> dict:
     """Centroids from labelled rows: about `per_language` texts of each language, chosen by a hash of the id.
 
-    per_language bounds the sample, so that one language fits one task and the model (clusters * DIM numbers a
-    language) the driver. Rows without a language or text are not used. slack: a text is rejected if its cosine is
+    per_language bounds the sample, so that one language fits one task; languages, how many (the most frequent values)
+    are learnt, so that the model (clusters * DIM numbers a language) fits the driver whatever the column holds. Rows
+    without a language or text are not used. slack: a text is rejected if its cosine is
     below slack times the lowest hundredth of the sample's. No usable rows give a model without languages.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    chance = F.lit(0.0)
-    for r in share:
-        chance = F.when(F.col("lang") == r["lang"], per_language / r["n"]).otherwise(chance)
-    sample = written(rows.where(uniform(F.col("doc_id"), "language") < chance).drop("doc_id"), "language-sample")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = written(counts, "languages")  # at most `languages` rows
+    chosen = uniform(F.col("doc_id"), "language") < per_language / F.col("n")
+    sample = written(rows.join(F.broadcast(counts), "lang").where(chosen).select("text", "lang"), "language-sample")
 
     def document_frequency(batches):
         seen, n = np.zeros(DIM, np.int64), 0
