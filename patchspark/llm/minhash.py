@@ -200,3 +200,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Pairs that share a shingle, and all that is reachable by links: for tables of some thousand documents.
+OP7_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+each AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM sets UNION SELECT id, b FROM reach JOIN both_ways ON r = a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, low AS component_id, doc_id = low AS kept FROM sets JOIN (SELECT id, min(r) AS low FROM reach GROUP BY 1) ON doc_id = id
+"""

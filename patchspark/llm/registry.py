@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op6_hnsw": hnsw.OP6_SQL,
+    "op7_minhash": minhash.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
