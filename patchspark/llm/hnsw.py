@@ -19,8 +19,11 @@ from patchspark.llm.components import connected_components
 from patchspark.llm.shingles import mixed
 from patchspark.llm.store import written
 
-#: Neighbours a node keeps on the ground level and above, beam while building, rows of a shard and of a query block.
-GROUND, UPPER, BUILD_BEAM, SHARD_ROWS, BLOCK_ROWS = 24, 12, 48, 8192, 2048
+#: Neighbours a node keeps on the ground level and above, beam while building.
+GROUND, UPPER, BUILD_BEAM = 24, 12, 48
+#: Rows of a shard (each node is searched in every shard, so few and large ones are best; a graph of this size is built in
+#: about a minute and held by one task), of a block of queries (a graph is sent to each block) and of a slice of it.
+SHARD_ROWS, BLOCK_ROWS, SLICE = 32_768, 32_768, 1024
 #: What a row without an id counts as.
 LAST = 2**63 - 1
 
@@ -171,7 +174,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Rows are linked if their labels are equal and not null and their cosine is at least `least`. audit queries of each
-    block are scanned in full; the beam grows until `recall` of their links are found. Defined cases: a vector that is
+    slice are scanned in full; the beam grows until `recall` of their links are found. Defined cases: a vector that is
     null, zero, or holds null or non-finite numbers is linked with nothing; vectors of different lengths are not
     compared; equal vectors are linked with each other, also those of one vec_id; rows that share a vec_id and not the
     vector have links of their own, and what they are linked with is one component; a row without id counts as a link of
@@ -202,7 +205,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     def search(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         g, times = pickle.loads(graph["graph"].iloc[0]), np.array(graph["times"].iloc[0])
         own = queries["id"].to_numpy()
-        hits, _ = _links(g, _unit(queries["v"]), own, least, recall, audit)
+        hits = []
+        for some in np.array_split(np.arange(len(own)), len(own) // SLICE + 1):
+            if len(some):
+                hits += _links(g, _unit(queries["v"].iloc[some]), own[some], least, recall, audit)[0]
         # the links as few edges: each node touched, and the smallest node it is joined with here
         place = {i: k for k, i in enumerate(np.union1d(own, g.ids).tolist())}
         names, up = list(place), list(range(len(place)))
@@ -239,3 +245,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def op6_hnsw(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label, and all that is reachable by links: for tables of some thousand vectors.
+OP6_SQL = """
+WITH RECURSIVE rows AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0 AS good FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM rows a JOIN rows b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE a.good AND b.good AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM rows UNION SELECT id, b FROM reach JOIN links ON r = a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept FROM rows JOIN (SELECT id, min(r) AS low FROM reach GROUP BY 1) ON vec_id = id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) ON a = vec_id
+"""

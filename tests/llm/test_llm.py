@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, secrets, suffix_dedup
+from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, registry, secrets, suffix_dedup
 from patchspark.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -183,6 +183,19 @@ def test_mixing(docs, small):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", list(registry.SQL))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    want, got = con.sql(registry.SQL[name]).df(), registry.QUERIES[name](spark, SF).toPandas()
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns)
+    assert sorted(map(repr, got[cols].astype(object).values.tolist())) == sorted(map(repr, want[cols].astype(object).values.tolist()))
+
+
 def test_language_id(spark, small, docs):
     model = langid.learnt(small)
     got = small.select("lang", "doc_id", langid.predicted(spark, F.col("text"), model).alias("p")).select("lang", "doc_id", "p.*").collect()
@@ -375,6 +388,19 @@ def test_hnsw_shared_and_missing_ids(spark):
     assert got == sorted(str(Row(vec_id=i, n_links=n, component_id=k)) for i, n, k in brute_links(x))
 
 
+def test_unseen_languages_are_rejected(spark, small):
+    finnish = ("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on "
+               "toimittava toisiaan kohtaan veljeyden hengessä jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ")
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в духе братства "
+    rng = np.random.default_rng(4)
+    noise = " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(300))
+    odd = spark.createDataFrame([(1, finnish), (2, russian), (3, noise), (4, finnish * 2000)], "doc_id long, text string")
+    model = langid.learnt(small)
+    rejected = lambda table: table.select(langid.predicted(spark, F.col("text"), model)["rejected"].alias("r")).where("r").count()
+    assert rejected(odd) == 4 and rejected(small.where("lang is not null")) <= 1
+    assert langid.fit(small, languages=2)["langs"] and len(set(langid.fit(small, languages=2)["langs"])) == 2
+
+
 def test_language_id_by_brute_force(spark, small):
     """The prediction of every text from the model's numbers, by plain loops; held-out accuracy."""
     model = langid.learnt(small)
