@@ -93,27 +93,33 @@ def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
 def _seat(n: np.ndarray, a: np.ndarray, d: float, seed: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
     """Tables of n customers of one dish, seated one after the other.
 
-    With i seated at t tables the next opens one by odds a + more * (t - 1) against i - d * t. After STEPS customers the
-    next one to open a table is drawn at once: that none of k .. m opens one has the chance of the product of their
-    (i - d * t) / (a + more * (t - 1) + i - d * t), a quotient of gamma functions.
+    With i seated at t tables the next opens one by odds a + more * (t - 1) against i - d * t. After STEPS customers, and
+    50 a where new tables are frequent, the next one to open a table is drawn at once: that none of k .. m opens one has
+    the chance of the product of their (i - d * t) / (a + more * (t - 1) + i - d * t), a quotient of gamma functions.
     """
     n, tables, draw = n.astype(float), np.ones(len(n)), 0
     more = np.broadcast_to(more, len(n))
-    for i in range(1, STEPS):
-        live = np.flatnonzero(n > i)
+    at, live, i = np.minimum(n, np.floor(np.maximum(STEPS, 50 * a))), np.flatnonzero(n > 1), 1
+    while len(live):
         odds = a[live] + more[live] * (tables[live] - 1)
         tables[live] += _uniform(seed[live], draw := draw + 1) * (odds + i - d * tables[live]) < odds
-    at, live = np.full(len(n), float(STEPS)), np.flatnonzero(n > STEPS)
+        i += 1
+        live = live[at[live] > i]
+    live = np.flatnonzero(n > at)
     while len(live):
         t, k, end = tables[live], at[live], n[live]
         old, new = -d * t, a[live] + more[live] * (t - 1) - d * t
         base = _log_gamma(k + old) - _log_gamma(k + new)
         limit = np.log(_uniform(seed[live], draw := draw + 1))
-        low, high = k - 1, end  # none opens a table up to low; high opens one, or is past the last
-        while (wide := high - low > 1).any():
-            middle = np.floor((low + high) / 2)
-            none = (_log_gamma(middle + 1 + old) - _log_gamma(middle + 1 + new) - base > limit) & wide
-            low, high = np.where(none, middle, low), np.where(wide & ~none, middle, high)
+        # none opens a table up to low; high opens one, or is past the last: first near where it is likely, then by halves
+        low, step = k - 1, np.ceil(2 * k * np.expm1(np.minimum(-limit / np.maximum(new + d * t, 1e-9), 30))) + 2
+        high = np.minimum(end, low + step)
+        first = True
+        while (wide := high - low > 1).any() or first:
+            middle = high if first else np.floor((low + high) / 2)
+            none = (_log_gamma(middle + 1 + old) - _log_gamma(middle + 1 + new) - base > limit) & (wide | first) & (middle < end)
+            low, high = np.where(none, middle, low), np.where(none, end if first else high, np.where(wide & (not first), middle, high))
+            first = False
         opens = high < end
         live, high = live[opens], high[opens]
         tables[live] += 1

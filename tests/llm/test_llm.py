@@ -272,7 +272,7 @@ def test_seating_follows_the_restaurant(monkeypatch):
     """Tables drawn at once have the law of customers seated one by one."""
     rng = np.random.default_rng(2)
     seeds = rng.integers(0, 2**63, 4000).astype(np.uint64)
-    for n, a, d, more in ((3, 0.5, 0.8, 0.1), (40, 0.7, 0.8, 0.05), (300, 2.0, 0.3, 0.0)):
+    for n, a, d, more in ((3, 0.5, 0.8, 0.1), (40, 0.7, 0.8, 0.05), (300, 2.0, 0.3, 0.0), (300, 9.0, 0.5, 0.02)):
         got = pitman_yor._seat(np.full(4000, n), np.full(4000, a), d, seeds, more)
         tables = np.ones(4000)
         for i in range(1, n):
