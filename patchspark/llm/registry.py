@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, secrets, suffix_dedup
+from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, secrets, suffix_dedup, topk
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_lm_score": pitman_yor.op9_lm_score,
     "op10_bpe": bpe.op10_bpe,
+    "op13_topk": topk.op13_topk,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op6_hnsw": hnsw.OP6_SQL,
     "op7_minhash": minhash.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op13_topk": topk.OP13_SQL,
 }
