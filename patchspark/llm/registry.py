@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, secrets, suffix_dedup, topk
+from patchspark.llm import alignment, bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, secrets, spelling, suffix_dedup, topk
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_lm_score": pitman_yor.op9_lm_score,
     "op10_bpe": bpe.op10_bpe,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_alignment": alignment.op12_alignment,
     "op13_topk": topk.op13_topk,
 }
 
