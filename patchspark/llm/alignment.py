@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +33,7 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of texts that are taken together, and that the kept chunks may have before they are forgotten; kept chunks.
 AT_ONCE, KEPT_CHARS, KEPT_CHUNKS = 1 << 20, 4_000_000, 250_000
 #: Pairs of texts, and different pairs, from which on a block is closed; pairs and texts of one of its rows.
-BLOCK_ENTRIES, BLOCK_PAIRS, ROW_PAIRS, ROW_TEXTS = 6_000_000, 500_000, 16_384, 1024
+BLOCK_ENTRIES, BLOCK_PAIRS, ROW_PAIRS, ROW_TEXTS = 3_000_000, 500_000, 16_384, 1024
 DIGEST = [("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("n_best", "long"), ("count_sum", "long"), ("groups_sha256", "string")]
 
 
@@ -97,26 +98,38 @@ class Tokenizers:
                         for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's ids of space + text, and B's ids of text, which puts the space itself."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        return a, self.b.encode(texts, num_threads=1)
-
-
-class Chunk(NamedTuple):
-    """Counts of a chunk, its groups as text, and its place in the pairs; ok: both tokenizers give its bytes back."""
+        # a number with what may follow it: another token of its side, the other side, another group, another chunk
+        self.a_text, self.b_text = ([f"{i}{end}" for end in ",|;\n" for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        self.both_text = self.a_text + self.b_text
 
-    ok: bool
-    n_a: int
-    n_b: int
-    groups: str
+    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A's ids of space + text, and B's ids of text, which puts the space itself."""
+        return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """(A ids, their number by chunk, B ids, their number by chunk) of space + chunk; a chunk that is not given back has none."""
+        raw = [(" " + c).encode() for c in chunks]
+        ends, out = np.cumsum(list(map(len, raw))), []
+        if not any(c[0].isspace() or c[-1].isspace() for c in chunks):
+            # side by side they are a text with safe cuts, encoded at once
+            for ids, of, size in zip(self._both([" ".join(chunks)]), (self.a_bytes, self.b_bytes), (self.a_size, self.b_size), strict=True):
+                if b"".join(map(of.__getitem__, ids[0])) == b"".join(raw):
+                    ids = np.array(ids[0], np.int64)
+                    out += [ids, np.diff(np.searchsorted(np.cumsum(size[ids]), ends, "right"), prepend=0)]
+            if len(out) == 4:
+                return tuple(out)
+        a, b = self._both(chunks)
+        for i, r in enumerate(raw):
+            if not b"".join(map(self.a_bytes.__getitem__, a[i])) == r == b"".join(map(self.b_bytes.__getitem__, b[i])):
+                a[i], b[i] = [], []
+        return tuple(x for ids in (a, b) for x in (np.fromiter(chain.from_iterable(ids), np.int64), np.array(list(map(len, ids)), np.int64)))
 
 
 class Chunks:
     """Different chunks of texts with their aligned tokens; numbers count up until forget()."""
 
     def __init__(self, tokenizers: Tokenizers):
-        self.t, self.base = tokenizers, len(tokenizers.b_bytes)
+        self.t, self.base, self.with_groups = tokenizers, len(tokenizers.b_bytes), False
         self.forget()
 
     def forget(self) -> None:
@@ -129,23 +142,22 @@ class Chunks:
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The number of each chunk; unknown ones are encoded and coalesced together."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.number]
-        for cut in range(0, len(new), 8192):
-            self._add(new[cut : cut + 8192])
+        edged = [c for c in new if c[0].isspace() or c[-1].isspace() or "▁" in c]
+        if edged:
+            apart = set(edged)
+            new = [c for c in new if c not in apart]
+        for some in (new, edged):
+            for cut in range(0, len(some), 8192):
+                self._add(some[cut : cut + 8192])
         return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
     def _add(self, new: list[str]) -> None:
-        a, b = self.t.encode(new)
-        for i, c in enumerate(new):
-            raw = (" " + c).encode()
-            ok = b"".join(map(self.t.a_bytes.__getitem__, a[i])) == raw == b"".join(map(self.t.b_bytes.__getitem__, b[i]))
-            self.number[c] = len(self.number)
-            self.ok.append(ok)
-            self.chars += len(c)
-            if not ok:
-                a[i], b[i] = [], []
+        a_ids, a_many, b_ids, b_many = self.t.encode(new)
         n = len(new)
-        a_of, b_of = (np.repeat(np.arange(n), list(map(len, x))) for x in (a, b))
-        a_ids, b_ids = (np.fromiter((i for ids in x for i in ids), np.int64) for x in (a, b))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + n)))
+        self.ok += (a_many > 0).tolist()
+        self.chars += sum(map(len, new))
+        a_of, b_of = np.repeat(np.arange(n), a_many), np.repeat(np.arange(n), b_many)
         a_end, b_end = np.cumsum(self.t.a_size[a_ids]), np.cumsum(self.t.b_size[b_ids])  # the chunks side by side
         g = coalesced(a_end - self.t.a_size[a_ids], a_end, b_end - self.t.b_size[b_ids], b_end)
         chunk_of = np.zeros(g.n, np.int64)
@@ -154,8 +166,8 @@ class Chunks:
         a_key, a_n = _summed(g.a * len(self.t.a_bytes) + a_ids, np.ones(len(a_ids), np.int64))
         b_key, b_n = _summed(g.b * self.base + b_ids, np.ones(len(b_ids), np.int64))
         a_group, b_group = a_key // len(self.t.a_bytes), b_key // self.base
-        b_first, b_many = np.searchsorted(b_group, np.arange(g.n)), np.bincount(b_group, minlength=g.n)
-        many = b_many[a_group]
+        b_first, many = np.searchsorted(b_group, np.arange(g.n)), np.bincount(b_group, minlength=g.n)
+        many = many[a_group]
         other = _ragged(b_first[a_group], many)
         pair = np.repeat(a_key % len(self.t.a_bytes), many) * self.base + b_key[other] % self.base
         own = chunk_of[np.repeat(a_group, many)]
@@ -171,15 +183,17 @@ class Chunks:
         self.counts = np.concatenate([self.counts, counts])
         self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, times])
         # the groups as text: a1,a2|b1,b2;...
-        a_cut, b_cut = np.searchsorted(g.a, np.arange(g.n + 1)).tolist(), np.searchsorted(g.b, np.arange(g.n + 1)).tolist()
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        groups = [",".join(a_text[a_cut[i] : a_cut[i + 1]]) + "|" + ",".join(b_text[b_cut[i] : b_cut[i + 1]]) for i in range(g.n)]
-        cut = np.searchsorted(chunk_of, np.arange(n + 1)).tolist()
-        self.text += [";".join(groups[cut[i] : cut[i + 1]]) for i in range(n)]
-        sizes = self.t.a_size[a_ids]
-        ends = np.zeros(g.n, np.int64)
-        np.add.at(ends, g.a, sizes)
-        self.sizes += [ends[cut[i] : cut[i + 1]].tolist() for i in range(n)]
+        group, side = np.concatenate([g.a, g.b]), np.repeat([0, 1], [len(a_ids), len(b_ids)])
+        order = np.lexsort((side, group))
+        group, side, ids = group[order], side[order], np.concatenate([a_ids, b_ids])[order]
+        end = np.full(len(ids), 3)
+        end[:-1] = np.where(group[1:] == group[:-1], side[1:] - side[:-1], np.where(chunk_of[group[1:]] == chunk_of[group[:-1]], 2, 3)) if len(ids) else 3
+        texts = iter("".join(map(self.t.both_text.__getitem__, (end * np.where(side, self.base, len(self.t.a_bytes)) + ids + side * len(self.t.a_text)).tolist())).split("\n"))
+        self.text += [next(texts) if ok else "" for ok in self.ok[-n:]]
+        if self.with_groups:
+            sizes, cut = np.zeros(g.n, np.int64), np.searchsorted(chunk_of, np.arange(n + 1)).tolist()
+            np.add.at(sizes, g.a, self.t.a_size[a_ids])
+            self.sizes += [sizes[cut[i] : cut[i + 1]].tolist() for i in range(n)]
 
     def of_pairs(self, numbers: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, pair, how often) of the links of chunks that come `times` times each."""
@@ -274,6 +288,9 @@ def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _aligned(batches: Iterable[pa.RecordBatch], files: tuple[bytes, bytes], partition: int, names: list[str], kind: pa.DataType, with_groups: bool) -> Iterator[pa.RecordBatch]:
     """Rows of blocks: a slice of the block's pairs with the number of its texts that hold each, and some texts with their pairs."""
     chunks, block, number = _chunks(*files), _Block(), partition << 32
+    if chunks.with_groups != with_groups:
+        chunks.with_groups = with_groups
+        chunks.forget()
     waiting: list[tuple[int, list[str], bool]] = []  # id, chunks of a slice, whether it is the text's last
     held, open_text = 0, None
 
