@@ -61,16 +61,19 @@ def sample_sizes(catalog: DataFrame, latent: bool = False) -> DataFrame:
     return catalog.select("*", *((latent_side(c) if latent else c).alias(f"sample_{name}") for c, name in zip(sides, ("height", "width"), strict=True)))
 
 
-def symmetrize(px: DataFrame, axis: str = "vertical", source: str | None = None) -> DataFrame:
-    """One half of each image mirrored onto the other; an odd side keeps its middle line."""
+def symmetrize(px: DataFrame, axis: str = "horizontal", source: str | None = None) -> DataFrame:
+    """One half of each image mirrored onto the other; an odd side keeps its middle line.
+
+    horizontal mirrors along the lines, left to right or back; vertical along the columns, top to bottom or back.
+    """
     if axis not in ("vertical", "horizontal"):
         raise ValueError(f"no axis: {axis}")
-    legal = ("left", "right") if axis == "vertical" else ("top", "bottom")
+    legal = ("left", "right") if axis == "horizontal" else ("top", "bottom")
     if source not in legal:
         if source is not None:
             warnings.warn(f"{source} is no side of the {axis} axis; {legal[0]} is taken", stacklevel=2)
         source = legal[0]
-    at, side = ("x", "width") if axis == "vertical" else ("y", "height")
+    at, side = ("x", "width") if axis == "horizontal" else ("y", "height")
     here, mirror = F.col(at), F.col(side) - 1 - F.col(at)
     kept = here <= mirror if source in ("left", "top") else here >= mirror
     return with_size(px).where(kept).withColumn(at, F.explode(F.array_distinct(F.array(here, mirror)))).select(px.columns)

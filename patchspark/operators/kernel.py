@@ -69,7 +69,8 @@ def merged(parts: DataFrame, keys: Sequence[str], name: str = "x_hat") -> DataFr
             one["top"], one["total"] = top, np.add.reduceat(w * frame["total"].to_numpy(), begins)
             one["sums"] = list(np.add.reduceat(w[:, None] * np.stack(frame["sums"]), begins, axis=0))
             held = one.iloc[-1:]
-            yield done(one.iloc[:-1])
+            if len(one) > 1:
+                yield done(one.iloc[:-1])
         if held is not None:
             yield done(held)
 

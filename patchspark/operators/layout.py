@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchspark.operators.kernel import QUERY, fields, knn_flat, merged, ranked
+from patchspark.operators.kernel import QUERY, fields, merged, ranked
 from patchspark.sources.steps import kept, scratch
 
 #: Lists of a group at most, and rows of a list at least, unless a number is asked for.
@@ -103,9 +103,9 @@ def _beside(blocks: DataFrame, one: DataFrame, on: Sequence[str]) -> DataFrame:
     return blocks.withColumn("__task", F.pmod("id", F.lit(tasks)).cast("int")).join(dealt, [*on, "__task"]).drop("__task")
 
 
-def _learnt(blocks: DataFrame, counts: DataFrame, on: Sequence[str], nlist: int | None, rounds: int, seed: int) -> DataFrame:
+def _learnt(blocks: DataFrame, counts: DataFrame, on: Sequence[str], nlist: int | None, rounds: int, seed: int, list_rows: int) -> DataFrame:
     """(on, lists): centres of each group, by Lloyd rounds over all blocks: rows are assigned in their tasks, sums are grouped by list."""
-    share = F.least(F.lit(float(LISTS)), F.lit(float(nlist)) if nlist else F.ceil(F.col("many") / LIST_ROWS).cast("double"))
+    share = F.least(F.lit(float(LISTS)), F.lit(float(nlist)) if nlist else F.ceil(F.col("many") / list_rows).cast("double"))
     asked = counts.select(*on, F.greatest(share, F.lit(1.0)).cast("int").alias("k"), "many")
     schema = fields(blocks, on, ("u", "double"), ("k", "int"), ("v", "array<double>"))
 
@@ -115,7 +115,8 @@ def _learnt(blocks: DataFrame, counts: DataFrame, on: Sequence[str], nlist: int
                 keys, x = pickle.loads(row.data)
                 u = (pd.util.hash_array(keys["vec_id"]) * np.uint64(2 * seed + 1)).astype(float) / 2.0**64
                 at = np.flatnonzero(u < (1.5 * row.k + 16) / row.many)
-                yield pd.DataFrame({**{c: getattr(row, c) for c in on}, "u": u[at], "k": row.k, "v": list(x[at])})
+                if len(at):
+                    yield pd.DataFrame({**{c: getattr(row, c) for c in on}, "u": u[at], "k": row.k, "v": list(x[at])})
 
     def first(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("u")
@@ -174,10 +175,11 @@ def _cells(centres: np.ndarray, rows_of_cell: float, n: float) -> np.ndarray:
     return cell
 
 
-def lay_out(vectors: DataFrame, on: Sequence[str] = (), nlist: int | None = None, rounds: int = 4, seed: int = 7, queries: DataFrame | None = None) -> Layout:
+def lay_out(vectors: DataFrame, on: Sequence[str] = (), nlist: int | None = None, rounds: int = 4, seed: int = 7, queries: DataFrame | None = None,
+            list_rows: int = LIST_ROWS) -> Layout:
     """Vectors (on, vec_id, v) in cells. queries: (on, n), how many queries a group will be asked, where that is known.
 
-    nlist: lists of each group; by default a list has LIST_ROWS rows, and there are LISTS lists at most. Rows of a group have
+    nlist: lists of each group; by default a list has list_rows rows; there are LISTS lists at most. Rows of a group have
     one length. A group without finite centres is one list.
     """
     on, spark = tuple(on), vectors.sparkSession
@@ -185,7 +187,7 @@ def lay_out(vectors: DataFrame, on: Sequence[str] = (), nlist: int | None = None
     counts = kept(vectors.groupBy(*on).agg(F.count(F.lit(1)).alias("many")))
     blocks = kept(packed(vectors, ["vec_id"], on, "v"))
     copies = F.lit(1) if queries is None else F.greatest(F.ceil(F.coalesce(F.col("n"), F.lit(0)) / SHARE), F.lit(1)).cast("int")
-    about = _learnt(blocks, counts, on, nlist, rounds, seed)
+    about = _learnt(blocks, counts, on, nlist, rounds, seed, list_rows)
     about = about.join(counts, list(on)) if on else about.crossJoin(counts)
     if queries is not None and on:
         about = about.join(queries.select(*on, "n"), list(on), "left")
@@ -264,7 +266,8 @@ def routed(blocks: DataFrame, layout: Layout, choose: Callable[[np.ndarray, List
                     of_cell = np.flatnonzero(lists.cell == cell)
                     at = np.flatnonzero(need[:, of_cell].any(1))
                     out.append(pickle.dumps((len(x), at, {k: v[at] for k, v in keys.items()}, x[at], of_cell, np.packbits(need[np.ix_(at, of_cell)], axis=1)), 5))
-                yield pd.DataFrame({**{k: getattr(row, k) for k in on}, "cell": cells, "copy": np.int32(abs(int(row.id)) % row.copies), "id": row.id, "data": out})
+                if len(cells):
+                    yield pd.DataFrame({**{k: getattr(row, k) for k in on}, "cell": cells, "copy": np.int32(abs(int(row.id)) % row.copies), "id": row.id, "data": out})
 
     beside = _beside(blocks.select(*on, "id", "data"), layout.lists.withColumnRenamed("data", "lists"), on)
     return beside.select(*on, "id", "data", "lists", "copies").mapInPandas(routes, fields(blocks, on, ("cell", "long"), ("copy", "int"), ("id", "long"), ("data", "binary")))
@@ -406,22 +409,114 @@ def _found(routes: DataFrame, layout: Layout, k: int, queries: DataFrame, keys:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 (_, _, own, x, lists, bits), (of, ids, y) = pickle.loads(row.data), load(row.rows)
-                wanted = np.unpackbits(bits, axis=1, count=len(lists)).astype(bool)[:, np.searchsorted(lists, of)]
-                rough = np.where(wanted, _squares(x, y), np.inf)
-                many = min(k, rough.shape[1])
-                limit = np.partition(rough, many - 1, axis=1)[:, many - 1]
-                limit = np.where(np.isfinite(limit), limit + 1e-9 * ((x * x).sum(1) + (y * y).sum(1).max()), np.finfo(float).max)
-                q, at = np.nonzero(rough <= limit[:, None])
-                d2 = ((y[at] - x[q]) ** 2).sum(1)
-                order = np.lexsort((ids[at], d2, q))
-                q, at, d2 = q[order], at[order], d2[order]
-                first = np.searchsorted(q, np.arange(len(x)))
-                keep = np.arange(len(q)) - first[q] < k
-                yield pd.DataFrame({**{c: own[c][q[keep]] for c in keys}, "vec_id": ids[at[keep]], "d2": d2[keep]})[names]
+                q, at, _, d2 = _k_best(x, y, ids, _wanted(bits, lists, of), k)
+                yield pd.DataFrame({**{c: own[c][q] for c in keys}, "vec_id": ids[at], "d2": d2})[names]
 
     return _joined(routes, layout).mapInPandas(best, fields(queries, keys, ("vec_id", "long"), ("d2", "double")))
 
 
+def _wanted(bits: np.ndarray, lists: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which query needs which row: bits tell it by the cell's lists."""
+    return np.unpackbits(bits, axis=1, count=len(lists)).astype(bool)[:, np.searchsorted(lists, of)]
+
+
+def _k_best(x: np.ndarray, y: np.ndarray, ids: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, rank, squared distance) of the k nearest wanted rows of each query, ties by id."""
+    rough = np.where(wanted, _squares(x, y), np.inf)
+    many = min(k, rough.shape[1])
+    limit = np.partition(rough, many - 1, axis=1)[:, many - 1]
+    limit = np.where(np.isfinite(limit), limit + 1e-9 * ((x * x).sum(1) + (y * y).sum(1).max()), np.finfo(float).max)
+    q, at = np.nonzero(rough <= limit[:, None])
+    d2 = ((y[at] - x[q]) ** 2).sum(1)
+    order = np.lexsort((ids[at], d2, q))
+    q, at, d2 = q[order], at[order], d2[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(x)))[q]
+    keep = rank < k
+    return q[keep], at[keep], rank[keep], d2[keep]
+
+
+def knn_regress_blocks(blocks: DataFrame, queries: DataFrame, layout: Layout, k: int, nprobe: int, alpha: float, sigma: float, keys: Sequence[str]) -> DataFrame:
+    """(keys, x_hat) of packed blocks: kernel regression over the k rows whose alpha-fold is nearest, of nprobe lists; null if there are fewer.
+
+    Neighbours travel with their distances, so nothing is looked up afterwards.
+    """
+    if sigma <= 0 or alpha == 0:
+        raise ValueError("sigma must be above 0, and alpha not 0")
+    choose = probing(nprobe)
+
+    def merge(part: list, at: np.ndarray, d2: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        d2, ids, v = np.hstack([part[1][at], d2]), np.hstack([part[2][at], ids]), np.concatenate([part[3][at], v], axis=1)
+        order = np.lexsort((ids, d2), axis=1)[:, :k]
+        part[1][at], part[2][at] = np.take_along_axis(d2, order, 1), np.take_along_axis(ids, order, 1)
+        part[3][at] = np.take_along_axis(v, order[:, :, None], 1)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load, held = _latest(), {}
+
+        def handed() -> Iterator[pd.DataFrame]:
+            for i, part in held.items():
+                yield pd.DataFrame({"id": [i], "data": [pickle.dumps(part, 5)]})
+            held.clear()
+
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                (n, at, own, x, lists, bits), (of, ids, y) = pickle.loads(row.data), load(row.rows)
+                if row.id not in held:
+                    held[row.id] = [{c: np.empty(n, v.dtype) for c, v in own.items()}, np.full((n, k), np.inf), np.zeros((n, k), np.int64), np.zeros((n, k, x.shape[1]))]
+                part = held[row.id]
+                for c, v in own.items():
+                    part[0][c][at] = v
+                q, place, rank, d2 = _k_best(x / alpha, y, ids, _wanted(bits, lists, of), k)
+                new = np.full((len(x), k), np.inf), np.zeros((len(x), k), np.int64), np.zeros((len(x), k, x.shape[1]))
+                new[0][q, rank], new[1][q, rank], new[2][q, rank] = d2, ids[place], y[place]
+                merge(part, at, *new)
+                if sum(p[3].nbytes for p in held.values()) > HELD:
+                    yield from handed()
+        yield from handed()
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, part = None, None
+
+        def done() -> pd.DataFrame:
+            own, d2, _, v = part
+            whole = np.isfinite(d2).all(1)
+            w = np.exp(-alpha * alpha * np.where(whole[:, None], d2 - d2[:, :1], 0) / (2 * sigma * sigma))
+            hat = (w[:, :, None] * v).sum(1) / w.sum(1, keepdims=True)
+            return pd.DataFrame({**own, "x_hat": [h if ok else None for h, ok in zip(hat, whole, strict=True)]})
+
+        for frame in frames:
+            for i, data in zip(frame["id"], frame["data"], strict=True):
+                more = pickle.loads(data)
+                if i != now:
+                    if part is not None:
+                        yield done()
+                    now, part = i, more
+                    continue
+                at = np.flatnonzero(np.isfinite(more[1][:, 0]))
+                for c, v in more[0].items():
+                    part[0][c][at] = v[at]
+                merge(part, at, more[1][at], more[2][at], more[3][at])
+        if part is not None:
+            yield done()
+
+    routes = routed(blocks, layout, lambda x, lists, own: choose(x / alpha, lists, own))
+    parts = _joined(routes, layout).mapInPandas(partial, "id long, data binary")
+    return parts.repartition("id").sortWithinPartitions("id").mapInPandas(summed, fields(queries, keys, ("x_hat", "array<double>")))
+
+
+def group_means(layout: Layout) -> DataFrame:
+    """(on, mean): the estimate of every query of a group where no signal is left; sums of packed rows are merged."""
+    on = layout.on
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sums = [(x.sum(0), float(len(x))) for _, _, x in map(pickle.loads, frame["data"])]
+            yield pd.DataFrame({**{c: frame[c] for c in on}, "top": 0.0, "total": [n for _, n in sums], "sums": [x for x, _ in sums]})
+
+    rows = layout.rows.where(F.col("copy") == 0).select(*on, "data")
+    return merged(rows.mapInPandas(added, fields(rows, on, ("top", "double"), ("total", "double"), ("sums", "array<double>"))), on, "mean")
+
+
 def nearest(queries: DataFrame, layout: Layout, k: int, nprobe: int | None = None, keys: Sequence[str] = QUERY) -> DataFrame:
     """(keys, rank, vec_id, d2): the k nearest rows, ties by vec_id: exactly, or those in the nprobe nearest lists.
 
@@ -448,11 +543,14 @@ def nearest(queries: DataFrame, layout: Layout, k: int, nprobe: int | None = Non
     return ranked(_found(routed(blocks, layout, within), layout, k, queries, keys), k, keys)
 
 
-def audited_probes(queries: DataFrame, layout: Layout, vectors: DataFrame, k: int, recall: float, nprobe: int = 2, audit: int = 128, keys: Sequence[str] = QUERY) -> int:
-    """The smallest number of lists, doubled from nprobe on, with which `audit` of the queries find `recall` of their k nearest."""
+def audited_probes(queries: DataFrame, layout: Layout, k: int, recall: float, nprobe: int = 2, audit: int = 128, keys: Sequence[str] = QUERY) -> int:
+    """The smallest number of lists, doubled from nprobe on, with which `audit` of the queries find `recall` of their k nearest.
+
+    The truth is what all lists give, in the table as it is laid out; nothing is moved for it.
+    """
     some = kept(queries.orderBy(F.xxhash64(*keys), *keys).limit(audit))
-    truth = kept(knn_flat(some, vectors, k, keys=keys, on=layout.on).select(*keys, "vec_id"))
-    wanted, most = truth.count(), LISTS
-    while nprobe < most and nearest(some, layout, k, nprobe, keys).join(truth, [*keys, "vec_id"], "left_semi").count() < recall * wanted:
+    truth = kept(nearest(some, layout, k, LISTS, keys).select(*keys, "vec_id"))
+    wanted = truth.count()
+    while nprobe < LISTS and nearest(some, layout, k, nprobe, keys).join(truth, [*keys, "vec_id"], "left_semi").count() < recall * wanted:
         nprobe *= 2
-    return min(nprobe, most)
+    return min(nprobe, LISTS)

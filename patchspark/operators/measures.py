@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchspark.functions.geometry import with_size
+from patchspark.operators.selection import order_statistic
 
 
-def mirror_asymmetry(px: DataFrame, axis: str = "vertical") -> DataFrame:
-    """(image_id, asymmetry): mean |v - mirrored v| in grey levels; 0 for a symmetric image."""
-    at, side = ("x", "width") if axis == "vertical" else ("y", "height")
+def mirror_asymmetry(px: DataFrame, axis: str = "horizontal") -> DataFrame:
+    """(image_id, asymmetry): mean |v - mirrored v| in grey levels; 0 for a symmetric image. horizontal compares left and right."""
+    if axis not in ("horizontal", "vertical"):
+        raise ValueError(f"no axis: {axis}")
+    at, side = ("x", "width") if axis == "horizontal" else ("y", "height")
     low = F.least(F.col(at), F.col(side) - 1 - F.col(at))
     other = "y" if at == "x" else "x"
     pairs = with_size(px).groupBy("image_id", "c", other, low.alias("low")).agg((F.max("v") - F.min("v")).alias("gap"), F.count(F.lit(1)).alias("n"))
@@ -31,8 +34,10 @@ def seam_error(px: DataFrame, direction: str = "horizontal") -> DataFrame:
     line = Window.partitionBy("image_id", "c", other).orderBy(at)
     gaps = with_size(px).select("image_id", F.abs(F.col("v") - F.lag("v").over(line)).alias("inside"),
                                 F.when(F.col(at) == F.col(side) - 1, F.abs(F.col("v") - F.first("v").over(line))).alias("wrap"))
-    excess = F.avg("wrap") - F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY inside)"), F.lit(0.0))
-    return gaps.groupBy("image_id").agg((F.greatest(F.lit(0.0), excess) * 127.5).alias("seam"))
+    wraps = gaps.groupBy("image_id").agg(F.avg("wrap").alias("wrap"))
+    middle = order_statistic(gaps, ["image_id"], "inside", F.ceil(F.col("n") / 2) - 1)
+    excess = F.col("wrap") - F.coalesce("inside", F.lit(0.0))
+    return wraps.join(middle, "image_id", "left").select("image_id", (F.greatest(F.lit(0.0), excess) * 127.5).alias("seam"))
 
 
 def grad_energy(grad: DataFrame) -> DataFrame:
@@ -46,9 +51,7 @@ def thresholded_grad(grad: DataFrame, quantile: float = 0.8) -> DataFrame:
     mask: whether the energy at the place is above the quantile; elsewhere v is 0.
     """
     energy = grad_energy(grad)
-    by_image = Window.partitionBy("image_id")
-    rank = energy.withColumn("r", F.row_number().over(by_image.orderBy("energy")) - 1).withColumn("n", F.count(F.lit(1)).over(by_image))
-    q = rank.where(F.col("r") == F.bround((F.col("n") - 1) * quantile)).select("image_id", F.col("energy").alias("q"))
+    q = order_statistic(energy, ["image_id"], "energy", F.bround((F.col("n") - 1) * quantile)).withColumnRenamed("energy", "q")
     out = grad.join(energy, ["image_id", "y", "x"]).join(q, "image_id").withColumn("mask", F.col("energy") > F.col("q"))
     shrunk = (F.col("energy") - F.col("q")) * F.col("v") / F.nullif(F.col("energy"), F.lit(0.0))
     return out.select("image_id", "c", "y", "x", F.when(F.col("mask"), shrunk).otherwise(0.0).alias("v"), "mask")

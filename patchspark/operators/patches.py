@@ -8,6 +8,7 @@ other way: windows are added up inside their band, and only the lines that two b
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -29,27 +30,45 @@ def _bands(px: DataFrame, p: int, band: int) -> DataFrame:
     return px.select("image_id", F.explode(F.sequence(first, F.floor(F.col("y") / band))).alias("band"), "c", "y", "x", "v")
 
 
+def _cut(key: tuple, part: pd.DataFrame, p: int, stride: int, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(py, px, a row of numbers a window) of the windows of a band."""
+    c, y, x = (part[k].to_numpy() for k in ("c", "y", "x"))
+    top = int(key[1]) * band
+    dense = np.zeros((c.max() + 1, y.max() - top + 1, x.max() + 1))
+    dense[c, y - top, x] = part["v"].to_numpy()
+    if dense.shape[1] < p or dense.shape[2] < p:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(dense) * p * p))
+    views = np.lib.stride_tricks.sliding_window_view(dense, (p, p), axis=(1, 2))  # c, py, px, dy, dx
+    py, at = (np.arange(n) for n in views.shape[1:3])
+    py, at = py[((py + top) % stride == 0) & (py < band)], at[at % stride == 0]
+    v = views[:, py][:, :, at].transpose(1, 2, 0, 3, 4).reshape(len(py) * len(at), -1)
+    return np.repeat(py + top, len(at)), np.tile(at, len(py)), v
+
+
 def extract_patches(px: DataFrame, p: int, stride: int = 1, band: int = BAND) -> DataFrame:
     """(image_id, py, px, v): all p x p windows whose place is a multiple of stride; v runs over channels, lines, columns.
 
     An image smaller than the window has none.
     """
     def windows(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        c, y, x = (part[k].to_numpy() for k in ("c", "y", "x"))
-        top = int(key[1]) * band
-        dense = np.zeros((c.max() + 1, y.max() - top + 1, x.max() + 1))
-        dense[c, y - top, x] = part["v"].to_numpy()
-        if dense.shape[1] < p or dense.shape[2] < p:
-            return pd.DataFrame(columns=["image_id", "py", "px", "v"], dtype=object)
-        views = np.lib.stride_tricks.sliding_window_view(dense, (p, p), axis=(1, 2))  # c, py, px, dy, dx
-        py, at = (np.arange(n) for n in views.shape[1:3])
-        py, at = py[((py + top) % stride == 0) & (py < band)], at[at % stride == 0]
-        v = views[:, py][:, :, at].transpose(1, 2, 0, 3, 4).reshape(len(py) * len(at), -1)
-        return pd.DataFrame({"image_id": key[0], "py": np.repeat(py + top, len(at)), "px": np.tile(at, len(py)), "v": list(v)})
+        py, at, v = _cut(key, part, p, stride, band)
+        return pd.DataFrame({"image_id": key[0], "py": py, "px": at, "v": pd.Series(list(v), dtype=object)})
 
     return _bands(px, p, band).groupBy("image_id", "band").applyInPandas(windows, f"image_id {_key(px)}, py int, px int, v array<double>")
 
 
+def packed_patches(px: DataFrame, p: int, stride: int = 1, band: int = BAND, rows: int = 512) -> DataFrame:
+    """(image_id, id, data): the windows of extract_patches(), `rows` at a time, with their places: layout's packed blocks."""
+    def windows(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        py, at, v = _cut(key, part, p, stride, band)
+        cuts = [slice(i, i + rows) for i in range(0, len(v), rows)]
+        data = [pickle.dumps(({"image_id": np.full(len(v[c]), key[0]), "py": py[c], "px": at[c]}, v[c]), 5) for c in cuts]
+        return pd.DataFrame({"image_id": key[0], "band": key[1], "part": range(len(cuts)), "data": pd.Series(data, dtype=object)})
+
+    blocks = _bands(px, p, band).groupBy("image_id", "band").applyInPandas(windows, f"image_id {_key(px)}, band long, part long, data binary")
+    return blocks.select("image_id", F.xxhash64("image_id", "band", "part").alias("id"), "data")
+
+
 def masked_patches(patches: DataFrame, mask: DataFrame, p: int) -> DataFrame:
     """The patches that lie wholly where mask (image_id, y, x, ok) is true."""
     ok = mask.select("image_id", F.lit(0).alias("c"), "y", "x", F.col("ok").cast("double").alias("v"))

@@ -9,7 +9,6 @@ runs_of() makes it from a plan of samples.
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,18 +16,19 @@ from pyspark.sql import functions as F
 from patchspark.functions import geometry as g
 from patchspark.functions import schedule as n
 from patchspark.operators import kernel as k
+from patchspark.operators import layout as lo
 from patchspark.operators.measures import thresholded_grad
-from patchspark.operators.patches import check_patchable, extract_patches, fold
+from patchspark.operators.patches import check_patchable, extract_patches, fold, packed_patches
 from patchspark.operators.resample import blend_two_scale, enlarged, gaussian_pyramid, pyramid_shapes, resize
 from patchspark.plans.catalogue import expand_per_scale
 from patchspark.sources.steps import kept
-from patchspark.sources.tables import write_table
+from patchspark.sources.tables import read_scale, whole_scales, write_scale
 
 KEYS = ["image_id", "c", "y", "x"]
 PLACE = ("image_id", "py", "px")
 PRIOR = ("prior_id",)
-#: Patches of a block of queries and of a block of the prior.
-BLOCK = 4096
+#: Rows of a list of patches that are only met all together.
+EXACT_ROWS = 64
 
 
 def grid(shapes: DataFrame, channels: int, *more: str) -> DataFrame:
@@ -41,11 +41,11 @@ def grid(shapes: DataFrame, channels: int, *more: str) -> DataFrame:
 def init_noise(shapes: DataFrame, channels: int, seed: int, scale: int, sigma: float, t: int = 0) -> DataFrame:
     """sigma times a standard normal by place, from the seed, scale, step, image and place alone.
 
-    Where shapes have columns seed and prior_id, these stand for the seed and the image: a sample is what a run with its
-    own seed alone would give.
+    Where shapes have columns seed and prior_id (or noise_id), these stand for the seed and the image: a sample is what a
+    run with its own seed alone would give.
     """
-    more = [c for c in ("seed", "prior_id") if c in shapes.columns]
-    who = F.col("prior_id") if "prior_id" in more else F.col("image_id")
+    more = [c for c in ("seed", "prior_id", "noise_id") if c in shapes.columns]
+    who = F.col(next((c for c in ("noise_id", "prior_id") if c in more), "image_id"))
     z = n.keyed_normal(F.col("seed") if "seed" in more else F.lit(seed), F.lit(scale), F.lit(t), who, *KEYS[1:])
     return grid(shapes, channels, *more).select(*KEYS, (sigma * z).alias("v"))
 
@@ -56,12 +56,16 @@ def runs_of(plan: DataFrame) -> DataFrame:
     return plan.select(name.alias("image_id"), F.col("image_id").alias("prior_id"), "seed")
 
 
-class Prior(NamedTuple):
-    """patches (prior_id, vec_id, v); lists of those images that are searched by k nearest neighbours; those images."""
+class Prior:
+    """The patches of the prior images of a scale, laid out once: every step's queries go to them, and they stay where they are.
 
-    patches: DataFrame
-    lists: k.Ivf | None
-    searched: DataFrame | None
+    searched: the images (prior_id) that are searched by k nearest neighbours, if any. probes: lists to look into by noise
+    level, as an audit found.
+    """
+
+    def __init__(self, layout: lo.Layout, searched: DataFrame | None = None):
+        self.layout, self.searched = layout, searched
+        self.probes: dict[tuple[float, float], int] = {}
 
 
 class Process:
@@ -69,14 +73,15 @@ class Process:
 
     num_steps, rho, stride, dataset_stride and backend are one value, or a list with one for each scale. backend: exact,
     ann (k nearest neighbours by inverted lists), or auto (ann for images with more than `switch` patches at a scale).
-    schedule: flow or ve.
+    schedule: flow or ve. recall: the share of neighbours that a search must find, audited once a scale and noise level, from nprobe
+    lists up; None takes nprobe as it is.
     """
 
     def __init__(self, spark, p: int = 7, num_steps=10, rho=0.2, eta: float = 0.0, sigma_min: float | None = None, seed: int = 0, stride=1,
                  dataset_stride=1, backend="exact", switch: int = 250_000, k: int = 5, nprobe: int = 2, nlist: int | None = None,
-                 schedule: str = "flow", least: int | None = None):
+                 schedule: str = "flow", least: int | None = None, recall: float | None = 0.9):
         self.spark, self.p, self.eta, self.seed, self.switch, self.least = spark, p, eta, seed, switch, least
-        self.k, self.nprobe, self.nlist, self.schedule, self.sigma_min = k, nprobe, nlist, schedule, sigma_min
+        self.k, self.nprobe, self.nlist, self.schedule, self.sigma_min, self.recall = k, nprobe, nlist, schedule, sigma_min, recall
         self.by_scale = {"num_steps": num_steps, "rho": rho, "stride": stride, "dataset_stride": dataset_stride, "backend": backend}
         self._levels: dict[int, dict[int, tuple[float, float]]] = {}
 
@@ -106,23 +111,24 @@ class Process:
         asked = self.spark.createDataFrame([(level,)], "level double")
         return n.index_for_noise_level(asked, self.table(self.at("num_steps", scale))).first()["t"]
 
-    def prior(self, px: DataFrame, scale: int = 0) -> Prior:
-        """The patches of px, and the index of those that are searched: made once a scale, it serves every step."""
+    def prior(self, px: DataFrame, scale: int = 0, asked: DataFrame | None = None) -> Prior:
+        """The patches of px, laid out with their lists once a scale. asked: (prior_id, n), the queries that each image's patches will meet a step."""
         patches = extract_patches(px, self.p, self.at("dataset_stride", scale)).select(
             F.col("image_id").alias("prior_id"), (F.col("py").cast("long") * (1 << 31) + F.col("px")).alias("vec_id"), "v")
         patches, backend = kept(patches), self.at("backend", scale)
-        if backend == "exact":
-            return Prior(patches, None, None)
-        if backend not in ("ann", "auto"):
+        if backend not in ("exact", "ann", "auto"):
             raise ValueError(f"no backend: {backend}")
-        most = self.switch if backend == "auto" else 0
-        searched = kept(patches.groupBy("prior_id").count().where(F.col("count") > most).select("prior_id"))
-        if not searched.limit(1).count():
-            return Prior(patches, None, None)
-        return Prior(patches, k.fit_ivf(patches.join(searched, "prior_id", "left_semi"), self.nlist, on=PRIOR), searched)
+        searched = None
+        if backend != "exact":
+            searched = kept(patches.groupBy("prior_id").count().where(F.col("count") > (self.switch if backend == "auto" else 0)).select("prior_id"))
+            if not searched.limit(1).count():
+                searched = None
+        if searched is None:
+            return Prior(lo.lay_out(patches, PRIOR, rounds=2, queries=asked, list_rows=EXACT_ROWS))
+        return Prior(lo.lay_out(patches, PRIOR, self.nlist, queries=asked), searched)
 
     def estimate(self, px: DataFrame, prior: Prior, priors: DataFrame, t: int, scale: int = 0) -> DataFrame:
-        return denoise(px, prior, priors, self.p, *self.levels(scale)[t], self.at("stride", scale), self.at("rho", scale), self.k, self.nprobe)
+        return denoise(px, prior, priors, self.p, *self.levels(scale)[t], self.at("stride", scale), self.at("rho", scale), self.k, self.nprobe, self.recall)
 
     def moved(self, px: DataFrame, x_hat: DataFrame, target: DataFrame, priors: DataFrame, t: int, to: int, scale: int, eta: float) -> DataFrame:
         """One step from t: the noise is told from x_hat, the way on starts at target (x_hat, or a blend with it)."""
@@ -130,34 +136,44 @@ class Process:
         rows, fresh = px.join(x_hat.withColumnRenamed("v", "hat"), KEYS).join(target.withColumnRenamed("v", "to"), KEYS), None
         if eta:
             rows = rows.join(self.seeded(priors), "image_id")
-            fresh = n.keyed_normal(F.col("seed"), F.lit(scale), F.lit(t - 1), F.col("prior_id"), *KEYS[1:])
+            fresh = n.keyed_normal(F.col("seed"), F.lit(scale), F.lit(t - 1), F.col("noise_id"), *KEYS[1:])
         eps = n.epsilon(F.col("v"), F.col("hat"), F.lit(alpha), F.lit(sigma))
         return kept(rows.select(*KEYS, n.step(F.col("to"), eps, F.lit(a2), F.lit(s2), eta, fresh).alias("v")))
 
     def seeded(self, priors: DataFrame) -> DataFrame:
-        return priors if "seed" in priors.columns else priors.withColumn("seed", F.lit(self.seed))
+        """priors with the seed, and what noise is drawn for: the prior image if nothing else is named."""
+        priors = priors if "seed" in priors.columns else priors.withColumn("seed", F.lit(self.seed))
+        return priors if "noise_id" in priors.columns else priors.withColumn("noise_id", F.col("prior_id"))
 
 
 def denoise(px: DataFrame, prior: Prior, priors: DataFrame, p: int, alpha: float, sigma: float, stride: int = 1, rho: float = float("inf"),
-            neighbours: int = 5, nprobe: int = 2) -> DataFrame:
+            neighbours: int = 5, nprobe: int = 2, recall: float | None = None) -> DataFrame:
     """Pixels denoised: windows out, kernel regression over the prior's patches (or their nearest), windows averaged back.
 
-    priors: (image_id, prior_id), whose patches serve which image. At alpha 0 all weights are equal: the mean patch.
+    priors: (image_id, prior_id), whose patches serve which image. At alpha 0 all weights are equal: the mean patch. recall: if
+    given, the lists of a search grow from nprobe on until an audit finds this share of the neighbours, once a noise level.
     """
     if sigma <= 0:
         raise ValueError("sigma must be above 0")
-    queries = extract_patches(px, p, stride).withColumnRenamed("v", "x").join(priors.select("image_id", "prior_id"), "image_id")
-    exact = queries if prior.lists is None else queries.join(prior.searched, "prior_id", "left_anti")
-    out = k.kernel_regress(exact, prior.patches, alpha, sigma, BLOCK, PLACE, PRIOR)
-    if prior.lists is not None:
-        some = queries.join(prior.searched, "prior_id", "left_semi")
-        if alpha == 0:
-            near = some.join(k.group_means(prior.lists.lists, PRIOR), "prior_id").select(*PLACE, F.col("mean").alias("x_hat"))
-        else:
-            found = k.knn_ivf(k.scale_queries(some, alpha), prior.lists, neighbours, nprobe, keys=(*PLACE, "prior_id"))
-            found = k.require_k(kept(found), some, neighbours, PLACE)
-            near = k.knn_regress(some, prior.lists.lists, found, alpha, sigma, (*PLACE, "prior_id"), PRIOR).select(*PLACE, "x_hat")
-        out = out.unionByName(near)
+    of = priors.select("image_id", "prior_id")
+    types = of.select("image_id", F.lit(0).alias("py"), F.lit(0).alias("px"), "prior_id")
+    if alpha == 0:
+        places = extract_patches(px, p, stride).select(*PLACE).join(of, "image_id")
+        out = places.join(lo.group_means(prior.layout), "prior_id").select(*PLACE, F.col("mean").alias("x_hat"))
+    else:
+        blocks = packed_patches(px, p, stride).join(of, "image_id").select("prior_id", "id", "data")
+        exact = blocks if prior.searched is None else blocks.join(prior.searched, "prior_id", "left_anti")
+        out = lo.regress_blocks(exact, types, prior.layout, alpha, sigma, PLACE)
+        if prior.searched is not None:
+            if recall is not None:
+                if (alpha, sigma) not in prior.probes:
+                    some = extract_patches(px, p, stride).withColumnRenamed("v", "x").join(of.join(prior.searched, "prior_id", "left_semi"), "image_id")
+                    prior.probes[alpha, sigma] = lo.audited_probes(k.scale_queries(some, alpha), prior.layout, neighbours, recall, nprobe, keys=PLACE)
+                nprobe = prior.probes[alpha, sigma]
+            near = kept(lo.knn_regress_blocks(blocks.join(prior.searched, "prior_id", "left_semi"), types, prior.layout, neighbours, nprobe, alpha, sigma, PLACE))
+            if few := near.where("x_hat is null").count():
+                raise ValueError(f"{few} queries have fewer than {neighbours} neighbours")
+            out = out.unionByName(near)
     return fold(out.withColumnRenamed("x_hat", "v"), px, rho, p, stride)
 
 
@@ -166,6 +182,12 @@ def denoise_shifted(px: DataFrame, shift: str, prior: Prior, priors: DataFrame,
     return g.roll(denoise(g.roll(px, shift), prior, priors, p, alpha, sigma, **more), shift, back=True)
 
 
+def asked(shapes: DataFrame, priors: DataFrame, scale: int) -> DataFrame:
+    """(prior_id, n): the places of all images of a scale that ask a prior image's patches."""
+    of = shapes.where(F.col("scale") == scale).select("image_id", "height", "width").join(priors.select("image_id", "prior_id"), "image_id")
+    return of.groupBy("prior_id").agg(F.sum(F.col("height").cast("long") * F.col("width")).alias("n"))
+
+
 def _same(images: DataFrame) -> DataFrame:
     return images.select("image_id", F.col("image_id").alias("prior_id")).distinct()
 
@@ -186,13 +208,14 @@ def _fill(process: Process, px: DataFrame, prior: Prior, priors: DataFrame, scal
 
 def sample(process: Process, images: DataFrame, num_scales: int, shapes: DataFrame | None = None, coarsest: DataFrame | None = None,
            after: Callable[[DataFrame], DataFrame] | None = None, tile: str | None = None, num_shifts: int = 4,
-           priors: DataFrame | None = None, trace: str | None = None) -> DataFrame:
+           priors: DataFrame | None = None, trace: str | None = None, resume: bool = False) -> DataFrame:
     """Pixels made from noise, coarsest scale first, with the patches of `images` at each scale.
 
     shapes: (image_id, scale, height, width) of the output, the prior images' own if None. coarsest: pixels that stand at
     the coarsest scale and are not denoised. after: what is done to every estimate. tile: the direction of a seamless
     result, whose estimates are blends of shifted views. priors: (image_id, prior_id, seed) where they differ from the
-    images and the process's seed. trace: a folder to which the result of each scale is written.
+    images and the process's seed. trace: a folder to which the result of each scale is written; with resume, a run begins
+    below the last scale that stands there whole, so it must be one of the same process, images and shapes.
     """
     process.check(num_scales)
     own = pyramid_shapes(g.sizes(images), num_scales, least=process.least)
@@ -203,8 +226,12 @@ def sample(process: Process, images: DataFrame, num_scales: int, shapes: DataFra
     scales, out = kept(gaussian_pyramid(images, own, num_scales)), coarsest
     channels = images.agg(F.max("c")).first()[0] + 1
     top = num_scales - 1 if coarsest is None else num_scales - 2
+    done = whole_scales(process.spark, trace) if resume and trace is not None else set()
     for scale in range(top, -1, -1):
-        prior = process.prior(scales.where(F.col("scale") == scale).drop("scale"), scale)
+        if scale in done and all(s in done for s in range(scale, top + 1)):
+            out = read_scale(process.spark, trace, scale)
+            continue
+        prior = process.prior(scales.where(F.col("scale") == scale).drop("scale"), scale, asked(shapes, priors, scale))
         steps = process.at("num_steps", scale)
         noise = kept(init_noise(shapes.where(F.col("scale") == scale).join(priors, "image_id"), channels, process.seed, scale, process.levels(scale)[steps][1], steps))
 
@@ -214,7 +241,7 @@ def sample(process: Process, images: DataFrame, num_scales: int, shapes: DataFra
 
         out = _fill(process, noise, prior, priors, scale, out, estimate)
         if trace is not None:
-            write_table(out.withColumn("scale", F.lit(scale)), trace)
+            write_scale(out, trace, scale)
     return out
 
 
@@ -231,9 +258,9 @@ def _shifted(process: Process, px: DataFrame, prior: Prior, priors: DataFrame, t
     return g.blend_shifts(views)
 
 
-def sample_uncond(process: Process, images: DataFrame, num_scales: int, samples: DataFrame | None = None, trace: str | None = None) -> DataFrame:
+def sample_uncond(process: Process, images: DataFrame, num_scales: int, samples: DataFrame | None = None, trace: str | None = None, resume: bool = False) -> DataFrame:
     """New images of the same sizes; of each image as many as `samples` (image_id, sample_id, seed) lists, or one."""
-    return sample(process, images, num_scales, priors=None if samples is None else runs_of(samples), trace=trace)
+    return sample(process, images, num_scales, priors=None if samples is None else runs_of(samples), trace=trace, resume=resume)
 
 
 def sample_retarget(process: Process, images: DataFrame, num_scales: int, output: DataFrame) -> DataFrame:
@@ -242,7 +269,7 @@ def sample_retarget(process: Process, images: DataFrame, num_scales: int, output
     return sample(process, images, num_scales, shapes, kept(resize(images, shapes.where(F.col("scale") == num_scales - 1))))
 
 
-def sample_symmetric(process: Process, images: DataFrame, num_scales: int, axis: str = "vertical", source: str | None = None) -> DataFrame:
+def sample_symmetric(process: Process, images: DataFrame, num_scales: int, axis: str = "horizontal", source: str | None = None) -> DataFrame:
     """Images that mirror themselves: every estimate is mirrored before its noise is told."""
     return sample(process, images, num_scales, after=lambda px: g.symmetrize(px, axis, source))
 
@@ -255,7 +282,7 @@ def sample_tileable(process: Process, images: DataFrame, num_scales: int, direct
 def invert(process: Process, px: DataFrame, prior: Prior, priors: DataFrame, level: float | None = None, scale: int = 0) -> DataFrame:
     """Pixels taken up to the step of the noise level, along the noise that the denoiser tells."""
     alpha, sigma = process.levels(scale)[1]
-    eps = n.keyed_normal(F.col("seed"), F.lit(scale), F.lit(1), F.col("prior_id"), *KEYS[1:])
+    eps = n.keyed_normal(F.col("seed"), F.lit(scale), F.lit(1), F.col("noise_id"), *KEYS[1:])
     now = px.join(process.seeded(priors), "image_id")
     now = kept(now.select(*KEYS, n.add_noise(F.col("v"), eps, F.lit(alpha), F.lit(sigma)).alias("v")))
     for t in range(1, process.index(level, scale)):
@@ -272,17 +299,21 @@ def reconstruct(process: Process, noisy: DataFrame, prior: Prior, priors: DataFr
 def sample_analogy(process: Process, images: DataFrame, pairs: DataFrame, num_scales: int, level: float | None = None) -> DataFrame:
     """Images with the layout of structure_id and the patches of style_id, one for each row of pairs.
 
-    image_id of the result is the pair's: pairs (image_id, style_id, structure_id). A style that serves many pairs is
-    cut into patches for each, as each pair's style is an image of its own.
+    image_id of the result is the pair's: pairs (image_id, style_id, structure_id). A style is cut into patches and laid out once,
+    however many pairs ask it.
     """
-    chosen = lambda key: images.withColumnRenamed("image_id", key).join(pairs.select(F.col("image_id"), key), key).select(*KEYS, "v")
+    chosen = lambda key: images.join(pairs.select(F.col(key).alias("image_id")).distinct(), "image_id", "left_semi")
+    each = lambda px: px.withColumnRenamed("image_id", "structure_id").join(pairs.select("image_id", "structure_id"), "structure_id").select(*KEYS, "v")
     style, structure, low = kept(chosen("style_id")), kept(chosen("structure_id")), num_scales - 1
-    shapes = pyramid_shapes(g.sizes(structure), num_scales, least=process.least)
     at = lambda px: kept(gaussian_pyramid(px, pyramid_shapes(g.sizes(px), num_scales, least=process.least), num_scales).where(F.col("scale") == low).drop("scale"))
-    priors, base = _same(structure), at(structure)
-    noisy = invert(process, base, process.prior(base, low), priors, level, low)
-    coarsest = reconstruct(process, noisy, process.prior(at(style), low), priors, level, low)
-    return sample(process, style, num_scales, shapes, coarsest) if num_scales > 1 else coarsest
+    # the pair's own number is what noise is drawn for, whoever's patches are asked
+    by = lambda key: pairs.select("image_id", F.col(key).alias("prior_id"), F.col("image_id").alias("noise_id"))
+    shapes = pyramid_shapes(g.sizes(structure), num_scales, least=process.least).withColumnRenamed("image_id", "structure_id")
+    shapes = kept(shapes.join(pairs.select("image_id", "structure_id"), "structure_id").drop("structure_id"))
+    base, of_structure, of_style = at(structure), by("structure_id"), by("style_id")
+    noisy = invert(process, kept(each(base)), process.prior(base, low, asked(shapes, of_structure, low)), of_structure, level, low)
+    coarsest = reconstruct(process, noisy, process.prior(at(style), low, asked(shapes, of_style, low)), of_style, level, low)
+    return sample(process, style, num_scales, shapes, coarsest, priors=of_style) if num_scales > 1 else coarsest
 
 
 def drawn_to(x_hat: DataFrame, previous: DataFrame | None, momentum: float = 0.2) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patchspark.operators.patches import patch_count
 from patchspark.operators.resample import scale_side
+from patchspark.operators.selection import running_sums
 
 
 def auto_num_scales(short: Column, min_short: Column) -> Column:
@@ -88,11 +89,22 @@ def run_breakdown(log: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def net_of_io(stages: DataFrame, io: DataFrame) -> DataFrame:
-    """Stages (run_id, seq, start, seconds) less the I/O (run_id, start, seconds) that began inside them."""
-    i = io.select("run_id", F.col("start").alias("io_start"), F.col("seconds").alias("io"))
-    inside = (F.col("s.run_id") == F.col("i.run_id")) & (F.col("io_start") >= F.col("start")) & (F.col("io_start") < F.col("start") + F.col("seconds"))
-    return stages.alias("s").join(i.alias("i"), inside, "left").groupBy("s.run_id", "seq", "seconds").agg(F.coalesce(F.sum("io"), F.lit(0.0)).alias("io")).select(
-        "run_id", "seq", (F.col("seconds") - F.col("io")).alias("net"))
+    """Stages (run_id, seq, start, seconds) less the I/O (run_id, start, seconds) that began inside them.
+
+    No stage meets an I/O: the I/O before a stage's end less that before its start is what began inside, and both come from
+    running sums over ends, starts and I/O of a run, in order of time. Stages that share run_id, seq and seconds count as one;
+    null starts and lengths have no I/O.
+    """
+    ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("start") + F.col("seconds")).alias("at"), F.lit(1).alias("sign"))))
+    marks = stages.where("start is not null and seconds > 0 and run_id is not null").select("run_id", "seq", "seconds", ends.alias("e")).select("run_id", "seq", "seconds", "e.*")
+    # an I/O that begins at the very time of an end or a start comes after it
+    events = marks.select("run_id", "at", F.lit(0).alias("kind"), "seq", "seconds", "sign", F.lit(None).cast("double").alias("io")).unionByName(
+        io.where("run_id is not null and start is not null").select("run_id", F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(stages.schema["seq"].dataType).alias("seq"),
+                                                                    F.lit(None).cast(stages.schema["seconds"].dataType).alias("seconds"), F.lit(0).alias("sign"), F.col("seconds").cast("double").alias("io")))
+    sums = running_sums(events, ["run_id"], ["at", "kind", "seq"], "io").where("kind = 0")
+    inside = sums.groupBy("run_id", "seq", "seconds").agg(F.sum(F.col("before") * F.col("sign")).alias("io"))
+    return stages.select("run_id", "seq", "seconds").distinct().join(inside, ["run_id", "seq", "seconds"], "left").select(
+        "run_id", "seq", (F.col("seconds") - F.coalesce("io", F.lit(0.0))).alias("net"))
 
 
 def mark_phase(log: DataFrame) -> DataFrame:

@@ -185,7 +185,14 @@ def crop(spark, d):
 @query("SELECT image_id, c, y, x, v FROM (SELECT image_id, c, y, unnest(list_distinct([x, w - 1 - x]))::INT AS x, v FROM pixels "
        "JOIN dims USING (image_id) WHERE x <= w - 1 - x)", PIXELS)
 def symmetrized(spark, d):
-    return g.symmetrize(s.pixels(spark, d), "vertical", "left")
+    return g.symmetrize(s.pixels(spark, d), "horizontal", "left")
+
+
+@query("SELECT image_id, c, unnest(list_distinct([y, h - 1 - y]))::INT AS y, x, v FROM pixels "
+       "JOIN dims USING (image_id) WHERE y >= h - 1 - y", PIXELS)
+def symmetrized_upright(spark, d):
+    """The lower half onto the upper."""
+    return g.symmetrize(s.pixels(spark, d), "vertical", "bottom")
 
 
 @query("SELECT image_id, c, ((y + h // 2) % h)::INT AS y, ((x + w // 2) % w)::INT AS x, v FROM pixels JOIN dims USING (image_id)", PIXELS)
@@ -334,6 +341,12 @@ def asymmetry(spark, d):
     return rounded(m.mirror_asymmetry(s.pixels(spark, d)), "asymmetry")
 
 
+@query("SELECT image_id, round(avg(abs(a.v - b.v)) * 127.5, 6) + 0 AS asymmetry FROM pixels a JOIN dims USING (image_id) JOIN pixels "
+       "b USING (image_id, c, x) WHERE b.y = h - 1 - a.y GROUP BY 1", PIXELS)
+def asymmetry_upright(spark, d):
+    return rounded(m.mirror_asymmetry(s.pixels(spark, d), "vertical"), "asymmetry")
+
+
 @query("SELECT image_id, round(greatest(0, avg(CASE WHEN x = w - 1 THEN abs(v - f) END) - quantile_disc(gap, 0.5)) * 127.5, 6) "
        "+ 0 AS seam FROM (SELECT p.*, d.w, abs(v - lag(v) OVER l) AS gap, first(v) OVER l AS f FROM pixels p JOIN dims d USING "
        "(image_id) WINDOW l AS (PARTITION BY image_id, c, y ORDER BY x)) GROUP BY 1", PIXELS)

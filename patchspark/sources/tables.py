@@ -78,9 +78,33 @@ def short_transfers(transfers: DataFrame) -> DataFrame:
     return transfers.where("expected is not null and written <> expected")
 
 
-def write_table(px: DataFrame, path: str, mode: str = "append") -> None:
-    """Writes results (..., scale) as Parquet, one folder a scale: the trace of a coarse-to-fine run."""
-    px.write.mode(mode).partitionBy("scale").parquet(path)
+def write_table(px: DataFrame, path: str) -> None:
+    """Writes results (..., scale) as Parquet, one folder a scale: the trace of a coarse-to-fine run.
+
+    Scales that are written again are replaced, others stay, so a run that is repeated leaves what one run does.
+    """
+    px.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scale").parquet(path)
+
+
+def write_scale(px: DataFrame, path: str, scale: int) -> None:
+    """Writes the result of one scale into its folder of the trace, in place of what was there; a marker tells that it is whole."""
+    px.write.mode("overwrite").parquet(f"{path.rstrip('/')}/scale={scale}")
+
+
+def read_scale(spark, path: str, scale: int) -> DataFrame:
+    """The result that write_scale() wrote."""
+    return spark.read.parquet(f"{path.rstrip('/')}/scale={scale}")
+
+
+def whole_scales(spark, path: str) -> set[int]:
+    """Scales of a trace that were written to their end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(folder):
+        return set()
+    found = [s.getPath() for s in files.listStatus(folder)]
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return {int(f.getName().removeprefix("scale=")) for f in found if f.getName().startswith("scale=") and files.exists(at(f, "_SUCCESS"))}
 
 
 def read_table(spark, path: str, scale: int | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ def test_copies_of_a_group_that_is_asked_often(spark, clustered, monkeypatch):
 def test_audit_reaches_its_recall(clustered):
     q, v = clustered
     laid = lo.lay_out(v)
-    nprobe = lo.audited_probes(q, laid, v.select("vec_id", "v"), 5, 0.9)
+    nprobe = lo.audited_probes(q, laid, 5, 0.9)
     truth = k.knn_flat(q, v.select("vec_id", "v"), 5)
     hits = lo.nearest(q, laid, 5, nprobe).join(truth, ["query_id", "vec_id"], "left_semi").count()
     assert hits >= 0.85 * truth.count()

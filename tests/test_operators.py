@@ -94,7 +94,7 @@ def test_roll_and_back(spark):
     assert values(g.roll(g.roll(px, "diag"), "diag", back=True)) == values(px)
 
 
-@pytest.mark.parametrize("axis,source", [("vertical", "right"), ("horizontal", "top")])
+@pytest.mark.parametrize("axis,source", [("horizontal", "right"), ("vertical", "top"), ("vertical", "bottom")])
 def test_symmetrized_is_symmetric(spark, axis, source):
     out = g.symmetrize(image(spark, 5, 7), axis, source)
     assert out.count() == 105 and m.mirror_asymmetry(out, axis).first()["asymmetry"] == 0

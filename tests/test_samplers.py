@@ -25,7 +25,7 @@ def arrays(df):
 
 
 def test_denoise_against_numpy(spark, px, monkeypatch):
-    monkeypatch.setattr(sm, "BLOCK", 7)  # several blocks an image
+    monkeypatch.setattr(sm, "EXACT_ROWS", 3)  # several lists an image
     got = arrays(sm.denoise(px, sm.Process(spark, p=3).prior(px), sm._same(px), 3, 0.7, 0.5))
     for i, a in arrays(px).items():
         places = [(y, x) for y in range(4) for x in range(5)]
@@ -78,7 +78,7 @@ def test_neighbours_in_the_sampler(spark, px):
     one = arrays(sm.denoise(px, exact.prior(px), sm._same(px), 3, 0.999, 0.01))
     two = arrays(sm.denoise(px, lists.prior(px), sm._same(px), 3, 0.999, 0.01, neighbours=2, nprobe=4))
     assert all(np.allclose(one[i], two[i], atol=1e-6) for i in one)
-    assert lists.prior(px).lists is not None and sm.Process(spark, p=3, backend="auto").prior(px).lists is None
+    assert lists.prior(px).searched is not None and sm.Process(spark, p=3, backend="auto").prior(px).searched is None
     flat = arrays(sm.denoise(px, lists.prior(px), sm._same(px), 3, 0.0, 1.0))
     want = arrays(sm.denoise(px, exact.prior(px), sm._same(px), 3, 0.0, 1.0))
     assert all(np.allclose(flat[i], want[i]) for i in want)
