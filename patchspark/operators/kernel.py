@@ -7,9 +7,7 @@ query, `on` names columns that query and vector must share: by default there are
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterable, Iterator, Sequence
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,8 +19,6 @@ from patchspark.sources.steps import kept
 
 #: Rows of a block of queries and of vectors.
 BLOCK = 4096
-#: Numbers of the sample that the lists of one group are learnt from.
-SAMPLE_NUMBERS = 8_000_000
 QUERY = ("query_id",)
 
 
@@ -168,17 +164,6 @@ def knn_regress(queries: DataFrame, vectors: DataFrame, neighbours: DataFrame, a
     return merged(rows.select(*keys, (-d2 / (2 * sigma * sigma)).alias("top"), F.lit(1.0).alias("total"), F.col("v").alias("sums")), keys)
 
 
-def group_means(vectors: DataFrame, on: Sequence[str]) -> DataFrame:
-    """(on, mean array): the estimate of every query of a group where no signal is left. Added up by task before the shuffle."""
-    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, part in frame.groupby(list(on)):
-                yield pd.DataFrame({**{c: [x] for c, x in zip(on, key, strict=True)}, "top": [0.0], "total": [float(len(part))], "sums": [np.stack(part["v"]).sum(0)]})
-
-    parts = vectors.select(*on, "v").mapInPandas(added, fields(vectors, on, ("top", "double"), ("total", "double"), ("sums", "array<double>")))
-    return merged(parts, on, "mean")
-
-
 def dataset_mean(vectors: DataFrame) -> DataFrame:
     """(i, mean) by element: every query's estimate where no signal is left."""
     return vectors.select(F.posexplode("v").alias("i", "e")).groupBy("i").agg(F.avg("e").alias("mean"))
@@ -188,14 +173,6 @@ def squared_distance(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e)
 
 
-class Ivf(NamedTuple):
-    """centroids (on, list_id, c), lists (on, list_id, vec_id, v), and the columns that queries and vectors share."""
-
-    centroids: DataFrame
-    lists: DataFrame
-    on: tuple[str, ...] = ()
-
-
 def nearest_centres(x: np.ndarray, centres: np.ndarray, many: int = 1) -> np.ndarray:
     """The places of the `many` nearest centres of each row, nearest first."""
     rough = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
@@ -240,62 +217,17 @@ def with_lists(rows: DataFrame, centroids: DataFrame, many: int, keys: Sequence[
     return a.cogroup(b).applyInPandas(near, fields(rows, names, ("list_id", "int")))
 
 
-def fit_ivf(vectors: DataFrame, nlist: int | None = None, seed: int = 7, sample: int = 100_000, on: Sequence[str] = ()) -> Ivf:
-    """Inverted lists of vectors (on, vec_id, v), nlist a group (the root of its rows if None).
-
-    Centroids are learnt, a group in one task, from about `sample` rows at most, fewer where their numbers are more than
-    SAMPLE_NUMBERS; all rows are assigned. Where centroids can't be learnt (no finite numbers), a group gets one list,
-    which makes its search exact, and a warning.
-    """
-    on = tuple(on)
-    vectors = vectors.select(*on, "vec_id", "v")
-    counts = vectors.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.max(F.size("v")).alias("__d"))
-    rows = vectors.join(counts, list(on)) if on else vectors.crossJoin(F.broadcast(counts))
-    share = F.least(F.lit(float(sample)), F.lit(float(SAMPLE_NUMBERS)) / F.col("__d")) / F.col("__n")
-    chosen = rows.where((F.pmod(F.xxhash64(*on, "vec_id", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30) < share)
-    names = [*on, "list_id", "c"]
-
-    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(part.sort_values("vec_id")["v"])
-        centres = centres_of(x, nlist or max(1, int(part["__n"].iloc[0] ** 0.5)), seed)
-        if not np.isfinite(centres).all():
-            warnings.warn("centroids can't be learnt; the group is searched as one list", stacklevel=1)
-            centres = np.zeros((1, x.shape[1]))
-        return pd.DataFrame({**{c: [key[i]] * len(centres) for i, c in enumerate(on)}, "list_id": range(len(centres)), "c": list(centres)})[names]
-
-    centroids = kept(chosen.groupBy(*on).applyInPandas(learn, fields(vectors, on, ("list_id", "int"), ("c", "array<double>"))))
-    return Ivf(centroids, kept(with_lists(vectors, centroids, 1, [*on, "vec_id"], on, "v")), on)
-
-
-def _probed(queries: DataFrame, ivf: Ivf, k: int, nprobe: int, keys: Sequence[str]) -> DataFrame:
-    names = list(dict.fromkeys([*keys, *ivf.on, "x"]))
-    aimed = with_lists(queries.select(*names), ivf.centroids, nprobe, keys, ivf.on)
-    on = [*ivf.on, "list_id"]
-    found = dealt(aimed, ivf.lists.select(*on, "vec_id", "v"), keys, on).applyInPandas(
-        lambda a, b: _best(a, b, k, keys), fields(queries, keys, ("vec_id", "long"), ("d2", "double")))
-    return ranked(found, k, keys)
-
-
 def audited(search, queries: DataFrame, vectors: DataFrame, lists: int, k: int, nprobe: int, recall: float, audit: int,
             keys: Sequence[str] = QUERY, on: Sequence[str] = ()) -> int:
     """The lists to probe: doubled from nprobe on until search(queries, nprobe) finds `recall` of the k nearest.
 
-    Measured on `audit` queries, chosen by a hash, whose true neighbours are found by knn_flat(). All lists always pass.
+    Measured on `audit` queries, chosen by a hash, whose true neighbours are found by knn_flat(), and aimed two standard errors above
+    recall. All lists always pass.
     """
     some = kept(queries.orderBy(F.xxhash64(*keys), *keys).limit(audit))
     truth = kept(knn_flat(some, vectors, k, keys=keys, on=on).select(*keys, "vec_id"))
     wanted = truth.count()
-    while nprobe < lists and search(some, nprobe).join(truth, [*keys, "vec_id"], "left_semi").count() < recall * wanted:
+    aim = min(1.0, recall + 2 * (recall * (1 - recall) / max(1, wanted)) ** 0.5)
+    while nprobe < lists and search(some, nprobe).join(truth, [*keys, "vec_id"], "left_semi").count() < aim * wanted:
         nprobe *= 2
     return min(nprobe, lists)
-
-
-def knn_ivf(queries: DataFrame, ivf: Ivf, k: int, nprobe: int = 2, recall: float | None = None, audit: int = 100, keys: Sequence[str] = QUERY) -> DataFrame:
-    """(keys, rank, vec_id, d2) from the nprobe nearest lists; all lists give knn_flat(). A long list goes in blocks.
-
-    recall: if given, nprobe grows until this share of the neighbours is found; see audited().
-    """
-    if recall is not None:
-        lists = ivf.centroids.groupBy(*ivf.on).count().agg(F.max("count")).first()[0] or 1
-        nprobe = audited(lambda q, n: _probed(q, ivf, k, n, keys), queries, ivf.lists, lists, k, nprobe, recall, audit, keys, ivf.on)
-    return _probed(queries, ivf, k, nprobe, keys)

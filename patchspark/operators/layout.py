@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchspark.operators.kernel import QUERY, fields, merged, ranked
@@ -32,6 +32,8 @@ LISTS, LIST_ROWS = 4096, 4
 BLOCK, CELL_NUMBERS = 512, 1 << 17
 #: Bytes of partial sums that a task holds before it hands them on.
 HELD = 64 << 20
+#: The share of a cell's rows that queries need below which distances are taken pair by pair.
+SPARSE = 0.1
 #: Queries that one copy of a group's cells is meant for.
 SHARE = 1 << 18
 #: Bytes of what is told of all lists up to which it is broadcast.
@@ -77,7 +79,7 @@ def _latest() -> Callable[[bytes], object]:
 
 
 def packed(rows: DataFrame, keys: Sequence[str], on: Sequence[str], column: str, block: int = BLOCK) -> DataFrame:
-    """(on, id, data): rows in blocks of about `block`, each with its keys and the matrix of `column`; what is in a block depends on keys alone."""
+    """(on, id, n, data): rows in blocks of about `block`, each with its keys and the matrix of `column`; what is in a block depends on keys alone."""
     counts = rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).alias("__n"))
     sized = rows.join(counts, list(on)) if on else rows.crossJoin(F.broadcast(counts))
     dealt = sized.withColumn("__block", F.pmod(F.xxhash64(*keys), "__n")).withColumn("id", F.xxhash64(*on, "__block"))
@@ -85,10 +87,10 @@ def packed(rows: DataFrame, keys: Sequence[str], on: Sequence[str], column: str,
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(list(keys))
         data = pickle.dumps(({k: part[k].to_numpy() for k in keys}, _matrix(part[column])), 5)
-        return pd.DataFrame({**{c: part[c].iloc[:1] for c in on}, "id": part["id"].iloc[:1], "data": [data]})
+        return pd.DataFrame({**{c: part[c].iloc[:1] for c in on}, "id": part["id"].iloc[:1], "n": [len(part)], "data": [data]})
 
     names = list(dict.fromkeys([*on, *keys, column, "id"]))
-    return dealt.groupBy(*on, "__block").applyInPandas(lambda part: pack(part[names]), fields(rows, on, ("id", "long"), ("data", "binary")))
+    return dealt.groupBy(*on, "__block").applyInPandas(lambda part: pack(part[names]), fields(rows, on, ("id", "long"), ("n", "long"), ("data", "binary")))
 
 
 def _beside(blocks: DataFrame, one: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -156,7 +158,7 @@ def _learnt(blocks: DataFrame, counts: DataFrame, on: Sequence[str], nlist: int
         # with top 0 a partial softmax is a sum and a count, so merged() gives means
         parts = _beside(blocks, kept(centres), on).mapInPandas(added, fields(blocks, on, ("list_id", "int"), ("top", "double"), ("total", "double"), ("sums", "array<double>")))
         centres = merged(parts, [*on, "list_id"], "c").groupBy(*on).applyInPandas(pack, schema_lists)
-    return kept(centres)
+    return centres
 
 
 def _cells(centres: np.ndarray, rows_of_cell: float, n: float) -> np.ndarray:
@@ -182,13 +184,18 @@ def lay_out(vectors: DataFrame, on: Sequence[str] = (), nlist: int | None = None
     nlist: lists of each group; by default a list has list_rows rows; there are LISTS lists at most. Rows of a group have
     one length. A group without finite centres is one list.
     """
-    on, spark = tuple(on), vectors.sparkSession
-    vectors = vectors.select(*on, "vec_id", "v")
-    counts = kept(vectors.groupBy(*on).agg(F.count(F.lit(1)).alias("many")))
-    blocks = kept(packed(vectors, ["vec_id"], on, "v"))
+    on = tuple(on)
+    return lay_out_blocks(packed(vectors.select(*on, "vec_id", "v"), ["vec_id"], on, "v"), on, nlist, rounds, seed, queries, list_rows)
+
+
+def lay_out_blocks(blocks: DataFrame, on: Sequence[str], nlist: int | None = None, rounds: int = 4, seed: int = 7, queries: DataFrame | None = None,
+                   list_rows: int = LIST_ROWS) -> Layout:
+    """lay_out() of packed blocks (on, id, n, data), whose key is vec_id. Without rounds, lists are around rows chosen by a hash."""
+    on, spark, blocks = tuple(on), blocks.sparkSession, kept(blocks)
+    counts = blocks.groupBy(*on).agg(F.sum("n").alias("many"))
     copies = F.lit(1) if queries is None else F.greatest(F.ceil(F.coalesce(F.col("n"), F.lit(0)) / SHARE), F.lit(1)).cast("int")
-    about = _learnt(blocks, counts, on, nlist, rounds, seed, list_rows)
-    about = about.join(counts, list(on)) if on else about.crossJoin(counts)
+    learnt = _learnt(blocks, counts, on, nlist, rounds, seed, list_rows)
+    about = learnt.join(counts, list(on)) if on else learnt.crossJoin(counts)
     if queries is not None and on:
         about = about.join(queries.select(*on, "n"), list(on), "left")
 
@@ -224,7 +231,8 @@ def lay_out(vectors: DataFrame, on: Sequence[str] = (), nlist: int | None = None
     parts = fragments.groupBy(*on, "cell").agg(F.ceil(F.sum("numbers") / CELL_NUMBERS).alias("parts"))
     dealt = fragments.join(parts, [*on, "cell"]).withColumn("part", F.pmod("id", "parts"))
     told = ("lists", "array<long>"), ("n", "array<long>"), ("radius", "array<double>")
-    cells = kept(dealt.groupBy(*on, "cell", "part").applyInPandas(joined, fields(blocks, on, ("copies", "int"), ("cell", "long"), *told, ("data", "binary"))))
+    cells = dealt.groupBy(*on, "cell", "part").applyInPandas(joined, fields(blocks, on, ("copies", "int"), ("cell", "long"), *told, ("data", "binary")))
+    laid = _bucketed(spark, cells.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"), [*on, "cell", "copy"])
 
     def listed(seen: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
         c, cell = pickle.loads(one["lists"].iloc[0])
@@ -232,11 +240,10 @@ def lay_out(vectors: DataFrame, on: Sequence[str] = (), nlist: int | None = None
         n[at], radius[at] = seen["n"], seen["radius"]
         return pd.DataFrame({**{k: one[k].iloc[:1] for k in on}, "copies": one["copies"].iloc[:1], "data": [pickle.dumps(Lists(c, n, radius, cell), 5)]})
 
-    each = cells.select(*on, F.explode(F.arrays_zip("lists", "n", "radius")).alias("l")).select(*on, "l.*")
+    each = laid.where("copy = 0").select(*on, F.explode(F.arrays_zip("lists", "n", "radius")).alias("l")).select(*on, "l.*")
     each = each.groupBy(*on, "lists").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
     lists = kept(each.groupBy(*on).cogroup(about.groupBy(*on)).applyInPandas(listed, fields(blocks, on, ("copies", "int"), ("data", "binary"))))
-    rows = cells.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(*on, "cell", "copy", "data")
-    return Layout(_bucketed(spark, rows, [*on, "cell", "copy"]), lists, on)
+    return Layout(laid.select(*on, "cell", "copy", "data"), lists, on)
 
 
 def _bucketed(spark, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -401,8 +408,8 @@ def needed(queries: DataFrame, layout: Layout, choose: Callable, keys: Sequence[
 
 
 def _found(routes: DataFrame, layout: Layout, k: int, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, vec_id, d2): the k nearest rows of each query in each packed row of its cells, in the lists it needs."""
-    names = [*keys, "vec_id", "d2"]
+    """(keys, vec_id, d2, list_id): the k nearest rows of each query in each packed row of its cells, in the lists it needs."""
+    names = [*keys, "vec_id", "d2", "list_id"]
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         load = _latest()
@@ -410,9 +417,9 @@ def _found(routes: DataFrame, layout: Layout, k: int, queries: DataFrame, keys:
             for row in frame.itertuples(index=False):
                 (_, _, own, x, lists, bits), (of, ids, y) = pickle.loads(row.data), load(row.rows)
                 q, at, _, d2 = _k_best(x, y, ids, _wanted(bits, lists, of), k)
-                yield pd.DataFrame({**{c: own[c][q] for c in keys}, "vec_id": ids[at], "d2": d2})[names]
+                yield pd.DataFrame({**{c: own[c][q] for c in keys}, "vec_id": ids[at], "d2": d2, "list_id": of[at]})[names]
 
-    return _joined(routes, layout).mapInPandas(best, fields(queries, keys, ("vec_id", "long"), ("d2", "double")))
+    return _joined(routes, layout).mapInPandas(best, fields(queries, keys, ("vec_id", "long"), ("d2", "double"), ("list_id", "long")))
 
 
 def _wanted(bits: np.ndarray, lists: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -422,12 +429,18 @@ def _wanted(bits: np.ndarray, lists: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def _k_best(x: np.ndarray, y: np.ndarray, ids: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, place, rank, squared distance) of the k nearest wanted rows of each query, ties by id."""
-    rough = np.where(wanted, _squares(x, y), np.inf)
-    many = min(k, rough.shape[1])
-    limit = np.partition(rough, many - 1, axis=1)[:, many - 1]
-    limit = np.where(np.isfinite(limit), limit + 1e-9 * ((x * x).sum(1) + (y * y).sum(1).max()), np.finfo(float).max)
-    q, at = np.nonzero(rough <= limit[:, None])
-    d2 = ((y[at] - x[q]) ** 2).sum(1)
+    if np.count_nonzero(wanted) < SPARSE * wanted.size:
+        q, at = np.nonzero(wanted)
+    else:
+        rough = np.where(wanted, _squares(x, y), np.inf)
+        many = min(k, rough.shape[1])
+        limit = np.partition(rough, many - 1, axis=1)[:, many - 1]
+        limit = np.where(np.isfinite(limit), limit + 1e-9 * ((x * x).sum(1) + (y * y).sum(1).max()), np.finfo(float).max)
+        q, at = np.nonzero(rough <= limit[:, None])
+    d2 = np.empty(len(q))
+    for cut in range(0, len(q), 8192):
+        some = slice(cut, cut + 8192)
+        d2[some] = ((y[at[some]] - x[q[some]]) ** 2).sum(1)
     order = np.lexsort((ids[at], d2, q))
     q, at, d2 = q[order], at[order], d2[order]
     rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(x)))[q]
@@ -543,14 +556,58 @@ def nearest(queries: DataFrame, layout: Layout, k: int, nprobe: int | None = Non
     return ranked(_found(routed(blocks, layout, within), layout, k, queries, keys), k, keys)
 
 
-def audited_probes(queries: DataFrame, layout: Layout, k: int, recall: float, nprobe: int = 2, audit: int = 128, keys: Sequence[str] = QUERY) -> int:
-    """The smallest number of lists, doubled from nprobe on, with which `audit` of the queries find `recall` of their k nearest.
+def audited_probes(queries: DataFrame, layout: Layout, k: int, recall: float, nprobe: int = 1, audit: int = 128, keys: Sequence[str] = QUERY) -> int:
+    """The smallest number of lists, nprobe at least, in which `audit` of the queries find `recall` of their k nearest.
 
-    The truth is what all lists give, in the table as it is laid out; nothing is moved for it.
+    The true neighbours are found in all lists of the table as it is laid out; how near a query their lists are, of all lists, tells the
+    number at once. It is aimed two standard errors above recall, as only a sample is audited. At most audit * k numbers come to the driver.
     """
-    some = kept(queries.orderBy(F.xxhash64(*keys), *keys).limit(audit))
-    truth = kept(nearest(some, layout, k, LISTS, keys).select(*keys, "vec_id"))
-    wanted = truth.count()
-    while nprobe < LISTS and nearest(some, layout, k, nprobe, keys).join(truth, [*keys, "vec_id"], "left_semi").count() < recall * wanted:
-        nprobe *= 2
-    return min(nprobe, LISTS)
+    some = kept(queries.select(*dict.fromkeys([*keys, *layout.on, "x"])).orderBy(F.xxhash64(*keys), *keys).limit(audit))
+    blocks = packed(some, keys, layout.on, "x")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("d2", "vec_id"))
+    truth = _found(routed(blocks, layout, probing(LISTS)), layout, k, some, keys).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                lists, (own, x) = pickle.loads(row.lists), pickle.loads(row.data)
+                near = np.where(lists.n > 0, _squares(x, lists.centres), np.inf)
+                place = np.argsort(np.argsort(near, axis=1, kind="stable"), axis=1, kind="stable")
+                yield pd.DataFrame({**{c: np.repeat(own[c], near.shape[1]) for c in keys}, "list_id": np.tile(np.arange(near.shape[1]), len(x)), "place": place.ravel()})
+
+    beside = _beside(blocks, layout.lists.withColumnRenamed("data", "lists"), layout.on)
+    ranks = beside.mapInPandas(places, fields(some, keys, ("list_id", "long"), ("place", "long")))
+    found = sorted(r[0] for r in truth.join(ranks, [*keys, "list_id"]).select("place").collect())
+    if not found:
+        return nprobe
+    aim = min(1.0, recall + 2 * (recall * (1 - recall) / len(found)) ** 0.5)
+    return max(nprobe, found[max(0, int(np.ceil(aim * len(found))) - 1)] + 1)
+
+
+def knn_ivf(queries: DataFrame, layout: Layout, k: int, nprobe: int = 2, recall: float | None = None, audit: int = 128, keys: Sequence[str] = QUERY) -> DataFrame:
+    """(keys, rank, vec_id, d2) from the nprobe nearest lists, or from as many as an audit finds to give `recall`; LISTS give all rows."""
+    if recall is not None:
+        nprobe = audited_probes(queries, layout, k, recall, nprobe, audit, keys)
+    return nearest(queries, layout, k, nprobe, keys)
+
+
+def as_tables(layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """(on, list_id, c) of lists with rows, and (on, list_id, vec_id, v) of all rows."""
+    on = layout.on
+
+    def centres(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                lists = pickle.loads(row.data)
+                at = np.flatnonzero(lists.n)
+                yield pd.DataFrame({**{c: getattr(row, c) for c in on}, "list_id": at, "c": list(lists.centres[at])})
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                own, ids, x = pickle.loads(row.data)
+                yield pd.DataFrame({**{c: getattr(row, c) for c in on}, "list_id": own, "vec_id": ids, "v": list(x)})
+
+    every = layout.rows.where("copy = 0").select(*on, "data")
+    return (layout.lists.mapInPandas(centres, fields(layout.lists, on, ("list_id", "int"), ("c", "array<double>"))),
+            every.mapInPandas(rows, fields(every, on, ("list_id", "int"), ("vec_id", "long"), ("v", "array<double>"))))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -57,16 +58,20 @@ def extract_patches(px: DataFrame, p: int, stride: int = 1, band: int = BAND) ->
     return _bands(px, p, band).groupBy("image_id", "band").applyInPandas(windows, f"image_id {_key(px)}, py int, px int, v array<double>")
 
 
-def packed_patches(px: DataFrame, p: int, stride: int = 1, band: int = BAND, rows: int = 512) -> DataFrame:
-    """(image_id, id, data): the windows of extract_patches(), `rows` at a time, with their places: layout's packed blocks."""
+def packed_patches(px: DataFrame, p: int, stride: int = 1, band: int = BAND, rows: int = 512, keys: Callable | None = None) -> DataFrame:
+    """(image_id, id, n, data): the windows of extract_patches(), `rows` at a time, with their places: layout's packed blocks.
+
+    keys gives the columns of a window from image_id and arrays py and px; these themselves if None.
+    """
     def windows(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         py, at, v = _cut(key, part, p, stride, band)
         cuts = [slice(i, i + rows) for i in range(0, len(v), rows)]
-        data = [pickle.dumps(({"image_id": np.full(len(v[c]), key[0]), "py": py[c], "px": at[c]}, v[c]), 5) for c in cuts]
-        return pd.DataFrame({"image_id": key[0], "band": key[1], "part": range(len(cuts)), "data": pd.Series(data, dtype=object)})
+        own = keys or (lambda i, a, b: {"image_id": np.full(len(a), i), "py": a, "px": b})
+        data = [pickle.dumps((own(key[0], py[c], at[c]), v[c]), 5) for c in cuts]
+        return pd.DataFrame({"image_id": key[0], "band": key[1], "part": range(len(cuts)), "n": [len(v[c]) for c in cuts], "data": pd.Series(data, dtype=object)})
 
-    blocks = _bands(px, p, band).groupBy("image_id", "band").applyInPandas(windows, f"image_id {_key(px)}, band long, part long, data binary")
-    return blocks.select("image_id", F.xxhash64("image_id", "band", "part").alias("id"), "data")
+    blocks = _bands(px, p, band).groupBy("image_id", "band").applyInPandas(windows, f"image_id {_key(px)}, band long, part long, n long, data binary")
+    return blocks.select("image_id", F.xxhash64("image_id", "band", "part").alias("id"), "n", "data")
 
 
 def masked_patches(patches: DataFrame, mask: DataFrame, p: int) -> DataFrame:

@@ -13,11 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchspark.operators.kernel import BLOCK, QUERY, audited, centres_of, dealt, fit_ivf, nearest_centres, ranked, squared_distance, with_lists
+from patchspark.operators.kernel import BLOCK, QUERY, audited, centres_of, dealt, nearest_centres, ranked, squared_distance, with_lists
+from patchspark.operators.layout import as_tables, lay_out
 from patchspark.sources.steps import kept
 
 #: Codes of each part of a vector: what one byte tells apart.
 CODES = 256
+#: Rows of a list, and queries whose tables are looked up at once.
+LIST_ROWS, AT_ONCE = 64, 64
 
 
 class Quantised(NamedTuple):
@@ -48,9 +51,9 @@ def _books(codebook: DataFrame) -> np.ndarray:
 def fit_ivfpq(vectors: DataFrame, nlist: int | None = None, pq_m: int = 16, sample: int = 100_000, seed: int = 7) -> Quantised:
     """Lists and codes of vectors (vec_id, v) of one length; what is coded is the difference from the list's centroid.
 
-    sample bounds about how many rows the centroids and each code book are learnt from.
+    sample bounds about how many rows each code book is learnt from.
     """
-    centroids, lists, _ = fit_ivf(vectors, nlist, seed, sample)
+    centroids, lists = map(kept, as_tables(lay_out(vectors, nlist=nlist, seed=seed, list_rows=LIST_ROWS)))
     rest = lists.join(centroids, "list_id").select("vec_id", "list_id", F.zip_with("v", "c", lambda a, b: a - b).alias("rest"))
     n, dim = lists.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     parts = parts_of(dim, pq_m)
@@ -85,12 +88,18 @@ def by_codes(queries: DataFrame, index: Quantised, k: int, nprobe: int = 2, rows
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["query_id", "vec_id", "d2"], dtype=object)
         b = b.sort_values("vec_id")
-        codes, ids, out = np.stack(b["code"]), b["vec_id"].to_numpy(), []
-        for query, x in zip(a["query_id"], a["rest"], strict=True):
-            table = ((np.asarray(x).reshape(len(books), 1, -1) - books) ** 2).sum(2)
-            d2 = table[parts, codes].sum(1)
-            at = np.argsort(d2, kind="stable")[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "d2": d2[at]}))
+        codes, ids, rest, out = np.stack(b["code"]), b["vec_id"].to_numpy(), np.stack(a["rest"]), []
+        many = min(k, len(ids))
+        for cut in range(0, len(rest), AT_ONCE):
+            x = rest[cut : cut + AT_ONCE].reshape(-1, len(books), 1, books.shape[2])
+            table = ((x - books[None]) ** 2).sum(3)  # query, part, code
+            d2 = sum(table[:, p, codes[:, p]] for p in parts.tolist())
+            limit = np.partition(d2, many - 1, axis=1)[:, many - 1]
+            q, at = np.nonzero(d2 <= limit[:, None])
+            order = np.lexsort((at, d2[q, at], q))
+            q, at = q[order], at[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, np.arange(len(x)))[q] < many
+            out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[cut + q[keep]], "vec_id": ids[at[keep]], "d2": d2[q[keep], at[keep]]}))
         return pd.concat(out)
 
     found = dealt(aimed, index.codes.select("list_id", "vec_id", "code"), QUERY, ["list_id"], rows).applyInPandas(best, "query_id long, vec_id long, d2 double")

@@ -113,19 +113,20 @@ class Process:
 
     def prior(self, px: DataFrame, scale: int = 0, asked: DataFrame | None = None) -> Prior:
         """The patches of px, laid out with their lists once a scale. asked: (prior_id, n), the queries that each image's patches will meet a step."""
-        patches = extract_patches(px, self.p, self.at("dataset_stride", scale)).select(
-            F.col("image_id").alias("prior_id"), (F.col("py").cast("long") * (1 << 31) + F.col("px")).alias("vec_id"), "v")
-        patches, backend = kept(patches), self.at("backend", scale)
+        own = lambda i, py, px: {"vec_id": py.astype("int64") * (1 << 31) + px}
+        patches = packed_patches(px, self.p, self.at("dataset_stride", scale), keys=own).withColumnRenamed("image_id", "prior_id")
+        backend = self.at("backend", scale)
         if backend not in ("exact", "ann", "auto"):
             raise ValueError(f"no backend: {backend}")
         searched = None
         if backend != "exact":
-            searched = kept(patches.groupBy("prior_id").count().where(F.col("count") > (self.switch if backend == "auto" else 0)).select("prior_id"))
+            patches = kept(patches)
+            searched = kept(patches.groupBy("prior_id").agg(F.sum("n").alias("count")).where(F.col("count") > (self.switch if backend == "auto" else 0)).select("prior_id"))
             if not searched.limit(1).count():
                 searched = None
         if searched is None:
-            return Prior(lo.lay_out(patches, PRIOR, rounds=2, queries=asked, list_rows=EXACT_ROWS))
-        return Prior(lo.lay_out(patches, PRIOR, self.nlist, queries=asked), searched)
+            return Prior(lo.lay_out_blocks(patches, PRIOR, rounds=0, queries=asked, list_rows=EXACT_ROWS))
+        return Prior(lo.lay_out_blocks(patches, PRIOR, self.nlist, queries=asked), searched)
 
     def estimate(self, px: DataFrame, prior: Prior, priors: DataFrame, t: int, scale: int = 0) -> DataFrame:
         return denoise(px, prior, priors, self.p, *self.levels(scale)[t], self.at("stride", scale), self.at("rho", scale), self.k, self.nprobe, self.recall)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchspark.operators import kernel as k
+from patchspark.operators import layout as lo
 from patchspark.operators import quantised as pq
 from patchspark.operators import resample as r
 from patchspark.sources import files, tables
@@ -63,7 +64,7 @@ def test_searches_find_nine_of_ten(spark, search):
     v = tables.vectors(spark, SF).select("vec_id", "v")
     q = v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("x"))
     exact = {(t["query_id"], t["vec_id"]) for t in k.knn_flat(q, v, 10).collect()}
-    found = k.knn_ivf(q, k.fit_ivf(v), 10, 1, recall=0.9) if search == "lists" else pq.knn_ivfpq(q, pq.fit_ivfpq(v), 10, 1, recall=0.9)
+    found = lo.knn_ivf(q, lo.lay_out(v), 10, 1, recall=0.9) if search == "lists" else pq.knn_ivfpq(q, pq.fit_ivfpq(v), 10, 1, recall=0.9)
     assert len(exact & {(t["query_id"], t["vec_id"]) for t in found.collect()}) >= 0.88 * len(exact)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from patchspark.functions import geometry as g
 from patchspark.functions import schedule as n
 from patchspark.operators import kernel as k
+from patchspark.operators import layout as lo
 from patchspark.operators import measures as m
 from patchspark.operators import patches as w
 from patchspark.operators import resample as r
@@ -127,9 +128,9 @@ def test_kernel_blocks_agree_with_numpy(spark):
         assert all(np.allclose(t["x_hat"], want[t["query_id"]]) for t in every)
     exact = sorted(map(tuple, k.knn_flat(q, v, 3).select("query_id", "rank", "vec_id").collect()))
     assert sorted(map(tuple, k.knn_flat(q, v, 3, 4).select("query_id", "rank", "vec_id").collect())) == exact
-    ivf = k.fit_ivf(v, 5)
-    assert sorted(map(tuple, k.knn_ivf(q, ivf, 3, 5).select("query_id", "rank", "vec_id").collect())) == exact
-    assert sorted(map(tuple, k.knn_ivf(q, ivf, 3, 1, recall=1.0).select("query_id", "rank", "vec_id").collect())) == exact
+    ivf = lo.lay_out(v, nlist=5)
+    assert sorted(map(tuple, lo.knn_ivf(q, ivf, 3, 5).select("query_id", "rank", "vec_id").collect())) == exact
+    assert sorted(map(tuple, lo.knn_ivf(q, ivf, 3, 1, recall=1.0).select("query_id", "rank", "vec_id").collect())) == exact
     with pytest.raises(ValueError):
         k.require_k(k.knn_flat(q, v, 3), q, 4)
 
@@ -166,12 +167,12 @@ def test_searches_stay_within_groups(spark):
     for i, u in enumerate(x):
         own = [j for j in range(90) if j % 3 == i % 2]
         want[i] = sorted(own, key=lambda j: (((y[j] - u) ** 2).sum(), j))[:4]
-    for found in (k.knn_flat(q, v, 4, 7, on=["group"]), k.knn_ivf(q, k.fit_ivf(v, 4, on=["group"]), 4, 4)):
+    for found in (k.knn_flat(q, v, 4, 7, on=["group"]), lo.knn_ivf(q, lo.lay_out(v, ["group"], 4), 4, 4)):
         got = {}
         for t in found.orderBy("query_id", "rank").collect():
             got.setdefault(t["query_id"], []).append(t["vec_id"])
         assert got == want
-    means = {t["group"]: t["mean"] for t in k.group_means(v, ["group"]).collect()}
+    means = {t["group"]: t["mean"] for t in lo.group_means(lo.lay_out(v, ["group"], 4)).collect()}
     assert all(np.allclose(means[i], y[i::3].mean(0)) for i in range(3))
     assert k.knn_flat(q.limit(0), v, 4, on=["group"]).count() == 0 and k.knn_flat(q.drop("group"), v.limit(0).drop("group"), 4).count() == 0
 
