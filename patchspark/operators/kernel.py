@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchspark.sources.steps import kept
-
 #: Rows of a block of queries and of vectors.
 BLOCK = 4096
 QUERY = ("query_id",)
@@ -215,19 +213,3 @@ def with_lists(rows: DataFrame, centroids: DataFrame, many: int, keys: Sequence[
     a = sized.withColumn("block", F.pmod(F.xxhash64(*keys), F.col("__n"))).drop("__n").groupBy(*on, "block")
     b = copies.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n").groupBy(*on, "block")
     return a.cogroup(b).applyInPandas(near, fields(rows, names, ("list_id", "int")))
-
-
-def audited(search, queries: DataFrame, vectors: DataFrame, lists: int, k: int, nprobe: int, recall: float, audit: int,
-            keys: Sequence[str] = QUERY, on: Sequence[str] = ()) -> int:
-    """The lists to probe: doubled from nprobe on until search(queries, nprobe) finds `recall` of the k nearest.
-
-    Measured on `audit` queries, chosen by a hash, whose true neighbours are found by knn_flat(), and aimed two standard errors above
-    recall. All lists always pass.
-    """
-    some = kept(queries.orderBy(F.xxhash64(*keys), *keys).limit(audit))
-    truth = kept(knn_flat(some, vectors, k, keys=keys, on=on).select(*keys, "vec_id"))
-    wanted = truth.count()
-    aim = min(1.0, recall + 2 * (recall * (1 - recall) / max(1, wanted)) ** 0.5)
-    while nprobe < lists and search(some, nprobe).join(truth, [*keys, "vec_id"], "left_semi").count() < aim * wanted:
-        nprobe *= 2
-    return min(nprobe, lists)

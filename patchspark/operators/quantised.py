@@ -6,14 +6,15 @@ task holds a whole list; the best by codes are ranked again by their raw vectors
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchspark.operators.kernel import BLOCK, QUERY, audited, centres_of, dealt, nearest_centres, ranked, squared_distance, with_lists
+from patchspark.operators.kernel import BLOCK, QUERY, centres_of, dealt, knn_flat, nearest_centres, ranked, squared_distance, with_lists
 from patchspark.operators.layout import as_tables, lay_out
 from patchspark.sources.steps import kept
 
@@ -109,7 +110,8 @@ def by_codes(queries: DataFrame, index: Quantised, k: int, nprobe: int = 2, rows
 def knn_ivfpq(queries: DataFrame, index: Quantised, k: int, nprobe: int = 2, rows: int = BLOCK, recall: float | None = None, audit: int = 100, spare: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, d2): the best spare * k by codes in the nprobe nearest lists, ranked by their raw vectors.
 
-    recall: if given, nprobe and then spare grow until this share of the neighbours is found; see kernel.audited().
+    recall: if given, `audit` queries with their true neighbours tell nprobe at once (how near their lists are, of all lists; half of what
+    may be missed is left to lists), then spare is doubled until this share is found; both are aimed two standard errors higher.
     """
     def search(some: DataFrame, n: int, spare: int) -> DataFrame:
         near = by_codes(some, index, spare * k, n, rows).select("query_id", "vec_id")
@@ -117,8 +119,15 @@ def knn_ivfpq(queries: DataFrame, index: Quantised, k: int, nprobe: int = 2, row
         return ranked(again.select("query_id", "vec_id", squared_distance("x", "v").alias("d2")), k)
 
     if recall is not None:
-        lists = index.centroids.count()
-        nprobe = audited(lambda q, n: search(q, n, spare), queries, index.vectors, lists, k, nprobe, recall, audit)
-        if nprobe == lists:  # all lists are probed: what is still missing, codes alone have ranked too low
-            spare = audited(lambda q, m: search(q, lists, m), queries, index.vectors, index.vectors.count(), k, spare, recall, audit)
+        some = kept(queries.select("query_id", "x").orderBy(F.xxhash64("query_id"), "query_id").limit(audit))
+        truth = kept(knn_flat(some, index.vectors, k).select("query_id", "vec_id"))
+        near = F.row_number().over(Window.partitionBy("query_id").orderBy(squared_distance("x", "c"), "list_id"))
+        places = some.crossJoin(F.broadcast(index.centroids)).select("query_id", "list_id", near.alias("place"))  # audit * lists rows
+        found = sorted(r[0] for r in truth.join(index.codes.select("vec_id", "list_id"), "vec_id").join(places, ["query_id", "list_id"]).select("place").collect())
+        if found:
+            aim = min(1.0, recall + 2 * (recall * (1 - recall) / len(found)) ** 0.5)
+            nprobe = max(nprobe, found[math.ceil((1 + aim) / 2 * len(found)) - 1])
+            most = index.codes.count()
+            while spare * k < most and search(some, nprobe, spare).join(truth, ["query_id", "vec_id"], "left_semi").count() < aim * len(found):
+                spare *= 2
     return search(queries, nprobe, spare)
