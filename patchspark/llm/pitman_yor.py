@@ -2,8 +2,9 @@
 
 One restaurant for each word that another one follows (and for the start of a text) shares the unigram restaurant as its
 parent, whose base is uniform over the V known words and one unknown. Customers of a word in a context sit at t tables,
-each of which sends a customer to the parent. Gibbs sampling takes the customers of a pair (context, word) out and seats
-them again, one after the other, by the Chinese-restaurant rule, given the tables of its restaurant and the word's chance
+each of which sends a customer to the parent. Gibbs sampling takes all customers of a pair (context, word) out and draws
+their number of tables anew, by the law that the Chinese-restaurant rule gives it if all of them eat this word: the
+weights of all seatings are generalised Stirling numbers. It is given the tables of the restaurant and the word's chance
 in the parent. Both are sums by context and by word: they are tables, joined to the pairs before each sweep and held over
 within it. A pair that occurs once has one table whatever is drawn, so it counts in the sums but isn't reseated. Discounts
 are told from how many pairs, or words, were met once and twice. Predictive probabilities are averaged over the samples
@@ -13,6 +14,8 @@ joins are broadcast (at most 1 / HEAVY of each kind), so none is hot.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +28,8 @@ from patchspark.llm.store import written
 SAMPLES, START = 3, 0
 #: Strengths of the context restaurants and of the parent.
 CONTEXT, PARENT = 2.0, 10.0
-#: Customers that are seated step by step, before the next new table is looked for by bisection: the law is the same.
-STEPS = 8
+#: Customers and tables up to which the weights of seatings are tabulated, and numbers of a block of them.
+MOST_N, MOST_T, AT_ONCE = 2048, 512, 1_000_000
 END = np.uint64(0x243F6A8885A308D3)
 #: What has at least this share of the tokens is met by broadcast; there are at most 1 / HEAVY such words, contexts or pairs.
 HEAVY = 1 / 50_000
@@ -78,53 +81,57 @@ def _counted(batches):
         yield rows()
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma of positive numbers: Stirling's series, from 8 up."""
-    low, shift = x + 8, np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
-    z = 1 / (low * low)
-    return (low - 0.5) * np.log(low) - low + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / low - shift
-
-
 def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
     """Numbers in (0, 1) for the step-th draw of each seed."""
     return ((mixed(seed + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
+@lru_cache(4)
+def _log_stirling(d: float) -> np.ndarray:
+    """[n, t - 1]: log of the generalised Stirling number S(n, t), the weight of all ways to seat n at t tables, up to MOST_N and MOST_T."""
+    out = np.full((MOST_N + 1, MOST_T), -np.inf)
+    out[1, 0] = 0
+    t = np.arange(1, MOST_T + 1)
+    for n in range(1, MOST_N):
+        k = min(n, MOST_T)
+        out[n + 1, :k] = np.log(n - d * t[:k]) + out[n, :k]
+        out[n + 1, 1 : k + 1] = np.logaddexp(out[n + 1, 1 : k + 1], out[n, :k][: MOST_T - 1])
+    return out
+
+
+def _table_weights(n: int, d: float) -> np.ndarray:
+    """log S(n, t) for t from 1, less what all t have in common.
+
+    Beyond MOST_N the recurrence is followed in log n, where it has a closed form: state j decays by (j - 1) d and feeds j + 1.
+    """
+    if n <= MOST_N:
+        return _log_stirling(d)[n, : min(n, MOST_T)]
+    far, start = np.log(n / MOST_N), _log_stirling(d)[MOST_N]
+    j = np.arange(MOST_T)
+    steps = j[:, None] - j[None, :]
+    log_factorial = np.concatenate([[0], np.cumsum(np.log(np.arange(1, MOST_T)))])
+    ways = np.where(steps >= 0, steps * np.log(-np.expm1(-d * far) / d) - log_factorial[np.maximum(steps, 0)], -np.inf) + (start - j * d * far)[None, :]
+    top = ways.max(1)
+    return top + np.log(np.exp(ways - top[:, None]).sum(1)) - start[0]
+
+
 def _seat(n: np.ndarray, a: np.ndarray, d: float, seed: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
-    """Tables of n customers of one dish, seated one after the other.
+    """Tables of n customers of one dish, drawn from their law given that all n eat it.
 
-    With i seated at t tables the next opens one by odds a + more * (t - 1) against i - d * t. After STEPS customers, and
-    50 a where new tables are frequent, the next one to open a table is drawn at once: that none of k .. m opens one has
-    the chance of the product of their (i - d * t) / (a + more * (t - 1) + i - d * t), a quotient of gamma functions.
+    t tables have the weight S(n, t) * product of a + more * s for s below t - 1: a new table's odds, whatever the order. At most
+    MOST_T tables are told apart.
     """
-    n, tables, draw = n.astype(float), np.ones(len(n)), 0
-    more = np.broadcast_to(more, len(n))
-    at, live, i = np.minimum(n, np.floor(np.maximum(STEPS, 50 * a))), np.flatnonzero(n > 1), 1
-    while len(live):
-        odds = a[live] + more[live] * (tables[live] - 1)
-        tables[live] += _uniform(seed[live], draw := draw + 1) * (odds + i - d * tables[live]) < odds
-        i += 1
-        live = live[at[live] > i]
-    live = np.flatnonzero(n > at)
-    while len(live):
-        t, k, end = tables[live], at[live], n[live]
-        old, new = -d * t, a[live] + more[live] * (t - 1) - d * t
-        base = _log_gamma(k + old) - _log_gamma(k + new)
-        limit = np.log(_uniform(seed[live], draw := draw + 1))
-        # none opens a table up to low; high opens one, or is past the last: first near where it is likely, then by halves
-        low, step = k - 1, np.ceil(2 * k * np.expm1(np.minimum(-limit / np.maximum(new + d * t, 1e-9), 30))) + 2
-        high = np.minimum(end, low + step)
-        first = True
-        while (wide := high - low > 1).any() or first:
-            middle = high if first else np.floor((low + high) / 2)
-            none = (_log_gamma(middle + 1 + old) - _log_gamma(middle + 1 + new) - base > limit) & (wide | first) & (middle < end)
-            low, high = np.where(none, middle, low), np.where(none, end if first else high, np.where(wide & (not first), middle, high))
-            first = False
-        opens = high < end
-        live, high = live[opens], high[opens]
-        tables[live] += 1
-        at[live] = high + 1
-        live = live[at[live] < n[live]]
+    more, tables, u = np.broadcast_to(more, len(n)), np.ones(len(n)), _uniform(seed, 1)
+    order = np.argsort(n, kind="stable")
+    order = order[n[order] > 1]
+    for group in np.split(order, np.flatnonzero(np.diff(n[order])) + 1) if len(order) else []:
+        weights = _table_weights(int(n[group[0]]), d)
+        before = np.arange(len(weights) - 1)
+        for at in np.array_split(group, len(group) * len(weights) // AT_ONCE + 1):
+            p = np.tile(weights, (len(at), 1))
+            p[:, 1:] += np.cumsum(np.log(a[at][:, None] + more[at][:, None] * before), axis=1)
+            p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
+            tables[at] = 1 + (p < u[at][:, None] * p[:, -1:]).sum(1)
     return tables
 
 

@@ -268,21 +268,45 @@ def test_secrets_side_by_side(spark):
     assert [r["before"] for r in got] == ["", "", "", "my key: ", "", "", ""] and got[5]["after"] == " end" and got[0]["after"] == "\n" + keys[1]
 
 
-def test_seating_follows_the_restaurant(monkeypatch):
-    """Tables drawn at once have the law of customers seated one by one."""
-    rng = np.random.default_rng(2)
-    seeds = rng.integers(0, 2**63, 4000).astype(np.uint64)
-    for n, a, d, more in ((3, 0.5, 0.8, 0.1), (40, 0.7, 0.8, 0.05), (300, 2.0, 0.3, 0.0), (300, 9.0, 0.5, 0.02)):
-        got = pitman_yor._seat(np.full(4000, n), np.full(4000, a), d, seeds, more)
-        tables = np.ones(4000)
-        for i in range(1, n):
-            odds = a + more * (tables - 1)
-            tables += rng.random(4000) * (odds + i - d * tables) < odds
-        assert abs(got.mean() - tables.mean()) < 5 * tables.std() / 4000**0.5 * 1.5 and abs(got.std() - tables.std()) < 0.1 * tables.std() + 0.02
-    x = np.array([0.05, 0.5, 1.0, 7.3, 1e3, 1e9])
-    import math
-
-    assert np.allclose(pitman_yor._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
+def partitions(items):
+    """All set partitions."""
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        for i in range(len(rest)):
+            yield rest[:i] + [[items[0], *rest[i]]] + rest[i + 1 :]
+        yield [[items[0]], *rest]
+
+
+@pytest.mark.parametrize(("n", "a", "d", "more"), [(2, 0.5, 0.8, 0.1), (5, 0.3, 0.6, 0.02), (7, 4.0, 0.3, 0.5)])
+def test_seating_has_the_law_of_all_seatings(n, a, d, more):
+    """By listing every way in which n customers of one dish can sit."""
+    weight = np.zeros(n)
+    for tables in partitions(list(range(n))):
+        one = np.prod([a + more * s for s in range(len(tables) - 1)])
+        for t in tables:
+            one *= np.prod([i - d for i in range(1, len(t))])
+        weight[len(tables) - 1] += one
+    seeds = np.random.default_rng(2).integers(0, 2**63, 40_000).astype(np.uint64)
+    got = np.bincount(pitman_yor._seat(np.full(40_000, n), np.full(40_000, a), d, seeds, more).astype(int), minlength=n + 1)[1:] / 40_000
+    assert np.abs(got - weight / weight.sum()).max() < 0.012
+
+
+@pytest.mark.parametrize(("n", "a", "d", "more"), [(20, 0.3, 0.6, 0.02), (100, 0.02, 0.7, 0.01), (300, 9.0, 0.5, 0.02), (6000, 0.8, 0.4, 0.0)])
+def test_seating_has_the_law_of_the_recurrence(n, a, d, more):
+    log_s = np.array([0.0] + [-np.inf] * 119)
+    t = np.arange(1, 121)
+    for i in range(1, n):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log_s = np.logaddexp(np.where(np.isfinite(log_s), np.log(np.maximum(i - d * t, 1e-300)) + log_s, -np.inf), np.concatenate([[-np.inf], log_s[:-1]]))
+    p = log_s + np.concatenate([[0], np.cumsum(np.log(a + more * np.arange(119)))])
+    p = np.exp(p - p.max())
+    mean = (p * t).sum() / p.sum()
+    spread = ((p * (t - mean) ** 2).sum() / p.sum()) ** 0.5
+    seeds = np.random.default_rng(3).integers(0, 2**63, 20_000).astype(np.uint64)
+    got = pitman_yor._seat(np.full(20_000, n), np.full(20_000, a), d, seeds, more)
+    assert abs(got.mean() - mean) < 5 * spread / 20_000**0.5 + 1e-3 * mean and abs(got.std() - spread) < 0.05 * spread + 0.01
 
 
 def test_pitman_yor(small, docs):
