@@ -99,17 +99,18 @@ def _log_stirling(d: float) -> np.ndarray:
     return out
 
 
-def _table_weights(n: int, d: float) -> np.ndarray:
-    """log S(n, t) for t from 1, less what all t have in common.
+@lru_cache(8192)
+def _table_weights(n: int, d: float, width: int) -> np.ndarray:
+    """log S(n, t) for t from 1 to width, less what all t have in common.
 
     Beyond MOST_N the recurrence is followed in log n, where it has a closed form: state j decays by (j - 1) d and feeds j + 1.
     """
     if n <= MOST_N:
-        return _log_stirling(d)[n, : min(n, MOST_T)]
-    far, start = np.log(n / MOST_N), _log_stirling(d)[MOST_N]
-    j = np.arange(MOST_T)
+        return _log_stirling(d)[n, : min(n, width)]
+    far, start = np.log(n / MOST_N), _log_stirling(d)[MOST_N, :width]
+    j = np.arange(width)
     steps = j[:, None] - j[None, :]
-    log_factorial = np.concatenate([[0], np.cumsum(np.log(np.arange(1, MOST_T)))])
+    log_factorial = np.concatenate([[0], np.cumsum(np.log(np.arange(1, width)))])
     ways = np.where(steps >= 0, steps * np.log(-np.expm1(-d * far) / d) - log_factorial[np.maximum(steps, 0)], -np.inf) + (start - j * d * far)[None, :]
     top = ways.max(1)
     return top + np.log(np.exp(ways - top[:, None]).sum(1)) - start[0]
@@ -125,7 +126,11 @@ def _seat(n: np.ndarray, a: np.ndarray, d: float, seed: np.ndarray, more: np.nda
     order = np.argsort(n, kind="stable")
     order = order[n[order] > 1]
     for group in np.split(order, np.flatnonzero(np.diff(n[order])) + 1) if len(order) else []:
-        weights = _table_weights(int(n[group[0]]), d)
+        # about a / d tables are likely, so a few times that are told apart, in steps of a power of two
+        width = 64
+        while width < min(MOST_T, 16 + 4 * (a[group].max() + width * more[group].max()) / d):
+            width *= 2
+        weights = _table_weights(int(n[group[0]]), d, width)
         before = np.arange(len(weights) - 1)
         for at in np.array_split(group, len(group) * len(weights) // AT_ONCE + 1):
             p = np.tile(weights, (len(at), 1))
