@@ -72,6 +72,14 @@ def test_tileable_and_analogy(spark, px):
     assert set(out) == {9} and out[9].shape == (2, 6, 7) and g.sizes(px).count() == 2
 
 
+def test_a_style_of_many_pairs_is_laid_out_once(spark, px, monkeypatch):
+    laid, real = [], sm.lo.lay_out_blocks
+    monkeypatch.setattr(sm.lo, "lay_out_blocks", lambda blocks, *more, **named: laid.append(blocks.agg(F.sum("n")).first()[0]) or real(blocks, *more, **named))
+    pairs = spark.createDataFrame([(i, 1, 2) for i in (7, 8, 9)], "image_id int, style_id int, structure_id int")
+    out = arrays(sm.sample_analogy(sm.Process(spark, p=3, num_steps=2), px, pairs, 1))
+    assert set(out) == {7, 8, 9} and laid == [20, 20]  # the windows of one structure and of one style
+
+
 def test_neighbours_in_the_sampler(spark, px):
     """At little noise the nearest patch decides, so few neighbours and lists give what all patches give."""
     exact, lists = sm.Process(spark, p=3), sm.Process(spark, p=3, backend="auto", switch=10)
