@@ -20,6 +20,7 @@ from patchspark.operators import quantised as pq
 from patchspark.operators import resample as r
 from patchspark.operators import samplers as sm
 from patchspark.plans import catalogue as c
+from patchspark.sources import bands as b
 from patchspark.sources import files
 from patchspark.sources import steps
 from patchspark.sources import tables as s
@@ -198,6 +199,16 @@ def image_files(spark, d):
     return px.select(F.regexp_extract("image_id", r"(\d+)\.png$", 1).cast("int").alias("image_id"), "c", "y", "x", F.round(F.col("v") * 255).cast("int").alias("u"))
 
 
+@query("SELECT image_id, c, y, x, trunc(greatest(least((v + 1) * 0.5 * 255, 255.0), 0.0))::INT AS u FROM pixels", PIXELS)
+def banded_files(spark, d):
+    """Written as PNG and read again, by bands of a few lines."""
+    cells, folder = 4096, steps.scratch(spark, "images")
+    bands = b.to_bands(s.pixels(spark, d).withColumn("v", g.unnormalize(F.col("v"))), cells)
+    b.write_bands(bands.withColumn("path", F.format_string("%d.png", "image_id")), folder)
+    px = b.band_pixels(b.read_bands(spark, folder, cells=cells))
+    return px.select(F.regexp_extract("image_id", r"(\d+)\.png$", 1).cast("int").alias("image_id"), "c", "y", "x", F.round(F.col("v") * 255).cast("int").alias("u"))
+
+
 @query("SELECT image_id, c, (y - (h - (h - h % 16)) // 2)::INT AS y, (x - (w - (w - w % 16)) // 2)::INT AS x, v FROM pixels JOIN "
        "dims USING (image_id) WHERE y >= (h % 16) // 2 AND y < (h % 16) // 2 + h - h % 16 AND x >= (w % 16) // 2 AND x < (w % 16) "
        "// 2 + w - w % 16", PIXELS)

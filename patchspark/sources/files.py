@@ -1,6 +1,7 @@
 """Image files: any format that Spark's image source decodes comes in, PNG goes out.
 
 An image is one row, read and written by one task; images are spread over tasks, and nothing passes through the driver.
+Images too large for that go by bands of lines (bands.py).
 """
 
 from __future__ import annotations
@@ -42,19 +43,29 @@ def read_images(spark: SparkSession, path: str, recursive: bool = False) -> Data
     return raw.select(F.col("origin").alias("image_id"), "height", "width", F.lit(3).alias("channels"), _rgb("height", "width", "nChannels", "data").alias("data"))
 
 
-def png(planes: np.ndarray) -> bytes:
-    """A PNG file of (channels, height, width) in [0, 1], one or three channels, cut off to 8 bits."""
+def chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def header(height: int, width: int, channels: int) -> bytes:
+    """The first chunk of an image of 8 bits a channel."""
+    if channels not in (1, 3):
+        raise ValueError(f"an image of {channels} channels has no PNG form")
+    return chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0))
+
+
+def scanlines(planes: np.ndarray) -> bytes:
+    """The lines of (channels, height, width) in [0, 1], cut off to 8 bits, each after its filter, which is 0."""
     n, h, w = planes.shape
-    if n not in (1, 3):
-        raise ValueError(f"an image of {n} channels has no PNG form")
-    lines = np.zeros((h, 1 + w * n), np.uint8)  # each line starts with filter 0
+    lines = np.zeros((h, 1 + w * n), np.uint8)
     lines[:, 1:] = np.clip(planes * 255, 0, 255).astype(np.uint8).transpose(1, 2, 0).reshape(h, w * n)
+    return lines.tobytes()
 
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    head = struct.pack(">IIBBBBB", w, h, 8, 2 if n == 3 else 0, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+def png(planes: np.ndarray) -> bytes:
+    """A PNG file of (channels, height, width) in [0, 1], one or three channels, cut off to 8 bits."""
+    n, h, w = planes.shape
+    return SIGNATURE + header(h, w, n) + chunk(b"IDAT", zlib.compress(scanlines(planes))) + chunk(b"IEND", b"")
 
 
 def file_system(directory: str):
