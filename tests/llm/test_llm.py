@@ -260,6 +260,44 @@ def test_secrets(spark, docs):
     assert secrets.scan(rows.limit(0), docs.select("text")).count() == 0
 
 
+def test_secrets_held_out(spark):
+    """Planted secrets that were not learnt are found, what looks like them is left alone, in texts of another table too."""
+    texts, pages = spark.read.parquet(f"{SF}/documents.parquet").select("text"), spark.read.parquet(f"{SF}/pages.parquet").select(F.col("html").alias("text"))
+    known = secrets.dictionary(spark.read.parquet(f"{SF}/conversations.parquet").select("text")).cache()
+    chances = secrets.transitions(known)
+    forest = secrets.train(secrets.planted_findings(texts, known, chances))
+    for texts in (texts, pages):
+        got = secrets.judged(secrets.planted_findings(texts, known, chances, "held-out", 1000), forest).select("label", "is_secret", "score", *secrets.FEATURES).toPandas()
+        hits = (got["is_secret"] & (got["label"] == 1)).sum()
+        print(len(got), "recall", hits / (got["label"] == 1).sum(), "precision", hits / got["is_secret"].sum())
+        assert len(got) > 100 and hits / (got["label"] == 1).sum() > 0.9 and hits / got["is_secret"].sum() > 0.9
+    # the vote by walking down each tree, against the compiled expression
+    walked = np.mean([[_walk(tree, row) for tree in forest.trees] for row in got[secrets.FEATURES].to_numpy()[:100]], axis=1)
+    assert np.allclose(walked, got["score"][:100])
+
+
+def _walk(tree, row):
+    node = tree._call_java("rootNode")
+    while node.numDescendants():
+        split = node.split()
+        node = node.leftChild() if row[split.featureIndex()] <= split.threshold() else node.rightChild()
+    return node.prediction()
+
+
+def test_secrets_of_odd_rows(spark):
+    """Clashing columns, repeated rows, very long candidates; transitions are chances."""
+    key, long = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "a1" * 100_000
+    rows = spark.createDataFrame([(1, key, "s", 5.0, True), (1, key, "s", 5.0, True), (None, long, None, None, None), (3, "", "s", 0.0, False)],
+                                 "doc_id long, text string, source string, score double, candidate boolean")
+    words = spark.createDataFrame([("ordinary words of a text",), (None,)], "text string")
+    got = sorted((r["doc_id"] or 0, r["n"], r["score"]) for r in secrets.scan(rows, words).collect())
+    assert [g[:2] for g in got] == [(0, 0), (1, 0), (1, 0)] and got[1] == got[2]
+    chances = np.array(secrets.transitions(secrets.dictionary(words))).reshape(secrets.SYMBOLS, -1)
+    assert np.allclose((10**chances).sum(1), 1)
+    # by hand: from d to i in "ordinary", "words" goes from d to s
+    assert np.isclose(10 ** chances[4, 9], 2 / (2 + secrets.SYMBOLS))
+
+
 def test_secrets_side_by_side(spark):
     keys = ["API_KEY=sk_live_1234567890abcdef", "TOKEN=ghp_abcdefghijklmnop1234", "SECRET=wJalrXUtnFEMIK7MDENG99"]
     rows = spark.createDataFrame([(1, "\n".join(keys), "s"), (2, "my key: " + " ".join(keys) + " end", "s"), (3, keys[0], "s")], "doc_id long, text string, source string")
