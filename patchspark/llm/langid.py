@@ -81,8 +81,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Centroids from labelled rows: about `per_language` texts of each language, chosen by a hash of the id.
 
     per_language bounds the sample, so that one language fits one task; languages, how many (the most frequent values)
-    are learnt, so that the model (clusters * DIM numbers a language) fits the driver whatever the column holds. Rows
-    without a language or text are not used. slack: a text is rejected if its cosine is
+    are learnt, so that the model (clusters * DIM numbers a language) fits the driver whatever the column holds: a text of
+    a language beyond them gets the nearest learnt one, or is rejected as too far from all. Rows without a language or
+    text are not used; repeated rows count as often as they come; very long texts count whole. slack: a text is rejected if its cosine is
     below slack times the lowest hundredth of the sample's. No usable rows give a model without languages.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -98,10 +99,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             for _, block in _blocks(batch.column("text").to_pylist()):
                 seen += (gram_counts(block) > 0).sum(0)
                 n += len(block)
-        yield pa.RecordBatch.from_pydict({"n": [n], "seen": pa.array([seen.tolist()], pa.list_(pa.int64()))})
+        slots = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *slots]), pa.array([n, *seen[slots]])], ["slot", "seen"])
 
-    parts = sample.mapInArrow(document_frequency, "n long, seen array<long>").collect()
-    n, seen = sum(r["n"] for r in parts), sum((np.array(r["seen"]) for r in parts), np.zeros(DIM, np.int64))
+    # summed by slot first, so that DIM + 1 numbers reach the driver however many tasks there are
+    sums = {r["slot"]: r["seen"] for r in sample.mapInArrow(document_frequency, "slot long, seen long").groupBy("slot").agg(F.sum("seen").alias("seen")).collect()}
+    n, seen = sums.get(-1, 0), np.array([sums.get(i, 0) for i in range(DIM)])
     idf = np.log((1 + n) / (1 + seen)) + 1
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
