@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source (those there are), n_tokens, ids_sha256, decoded_sha256 and ids of each row of the mix."""
-    return bpe.encoded(docs, ["doc_id", "lang", "source"])
+    return bpe.encoded(docs, ["doc_id", "lang", "source"], lasting=False)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("encoding", encode)]

@@ -12,8 +12,13 @@ which determinises the machine for the texts at hand.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
+import gc
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -50,9 +55,13 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        """Back to the state before any byte: one open place, with no token before it."""
-        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = [(b"", (0,), (-1,))]
-        self.number = {(b"", (-1,)): 0}
+        """Back to the state before any byte: one open place, with no token before it.
+
+        A state is one run of bytes, its number of places, its places and their tokens as 32-bit numbers and then what was
+        read, and an arc one number (token << 40 | next state << 8): a worker holds hundreds of thousands of either.
+        """
+        self.states = [array("i", (1, 0, -1)).tobytes()]
+        self.number = {self.states[0]: 0}
         self.arcs = _Arcs(self)
 
     def merged(self, raw: bytes, least: int = 1) -> list[bytes]:
@@ -98,9 +107,15 @@ class Transducer:
         self.stable[left << 32 | right] = stable
         return stable
 
-    def arc(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, last token of the prefix that ends with byte), the state shifted to leave room for a byte."""
-        read, places, lasts = self.states[state >> 8]
+    def _state(self, state: int) -> tuple[bytes, array, array]:
+        """(bytes since the first open place, the open places, the last token at each)."""
+        packed = self.states[state >> 8]
+        numbers = array("i", packed[: 4 + 8 * int.from_bytes(packed[:4], sys.byteorder)])
+        return packed[4 * len(numbers) :], numbers[1 : 1 + numbers[0]], numbers[1 + numbers[0] :]
+
+    def arc(self, state: int, byte: int) -> int:
+        """The last token of the prefix that ends with byte, and the next state, each shifted to leave room for what follows."""
+        read, places, lasts = self._state(state)
         read += bytes((byte,))
         rank_of, stable, beginnings, token = self.ranks.get, self.stable, self.beginnings, None
         still, left_at = [], []
@@ -118,12 +133,12 @@ class Transducer:
         still.append(len(read))
         left_at.append(token)
         first = still[0]
-        key = read[first:], tuple(left_at)
+        key = array("i", [len(still), *[i - first for i in still], *left_at]).tobytes() + read[first:]
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
-            self.states.append((key[0], tuple([i - first for i in still]) if first else tuple(still), key[1]))
-        return to << 8, token
+            self.states.append(key)
+        return token << 40 | to << 8
 
     def _way(self, lasts: list[int], end: int) -> list[int]:
         """The ends of the tokens on the way to a place, last first."""
@@ -140,11 +155,12 @@ class Transducer:
         state, out, lasts, arcs = 0, [], [], self.arcs
         for cut in range(0, len(raw), LOOK):
             for byte in raw[cut : cut + LOOK]:
-                state, token = arcs[state | byte]
-                lasts.append(token)
+                arc = arcs[state | byte]
+                state = arc & 0xFFFFFFFFFF
+                lasts.append(arc >> 40)
             if cut + LOOK < len(raw):
                 # what all ways have in common is certain; every way on starts at an open place
-                read, places, _ = self.states[state >> 8]
+                read, places, _ = self._state(state)
                 ways = [set(self._way(lasts, len(lasts) - len(read) + place)) for place in places]
                 if certain := max(set.intersection(*ways), default=0):
                     out += [lasts[end - 1] for end in self._way(lasts, certain)[::-1]]
@@ -158,7 +174,7 @@ class _Arcs(dict):
     def __init__(self, of: Transducer):
         self.of = of
 
-    def __missing__(self, key: int) -> tuple[int, int]:
+    def __missing__(self, key: int) -> int:
         arc = self[key] = self.of.arc(key & ~0xFF, key & 0xFF)
         return arc
 
@@ -310,6 +326,14 @@ def _codec(raw: bytes, pattern: str) -> Codec:
     return Codec(raw, pattern)
 
 
+def _release() -> None:
+    """Drops the codecs of this process and gives their memory back to the machine."""
+    _codec.cache_clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def default_vocabulary() -> tuple[bytes, str]:
     """The bytes of the 50k rank file and the pattern that splits texts."""
     import public_tokenizers
@@ -318,13 +342,42 @@ def default_vocabulary() -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], vocabulary: tuple[bytes, str], n_keep: int, names: list[str], with_ids: bool, lasting: bool) -> Iterator[pa.RecordBatch]:
+    """The first n_keep columns of the batches with the results for the text in the column after them."""
+    try:
+        codec = _codec(*vocabulary)
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                tokens, counts, ids_sha, decoded_sha = [], [], [], []
+                for text in part.column(n_keep).to_pylist():
+                    ids, digest = codec.encode(text), hashlib.sha256()
+                    for piece in codec.decode(ids):
+                        digest.update(piece.encode())
+                    counts.append(len(ids))
+                    ids_sha.append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                    decoded_sha.append(digest.hexdigest())
+                    if with_ids:
+                        tokens.append(ids)
+                columns = [*part.columns[:n_keep], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                if with_ids:
+                    columns.append(pa.array(tokens, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
+    finally:
+        codec = None
+        if not lasting:
+            _release()
+
+
 def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: tuple[bytes, str] | None = None,
-            with_ids: bool = True) -> DataFrame:
+            with_ids: bool = True, lasting: bool = True) -> DataFrame:
     """The columns `keep` of docs with n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids), and ids
     if asked for.
 
     Every row is by itself: no shuffle, and a worker's memory is bounded by the vocabulary (a file of fixed size,
-    broadcast), the kept arcs and words, and AT_ONCE texts with their tokens. Defined cases: a null text counts as empty
+    broadcast), the kept arcs and words, and AT_ONCE texts with their tokens. Workers outlive tasks, and there may be
+    more of them than tasks at a time: lasting=False has a worker give up arcs and words after each task, so that those
+    that wait hold none; what is kept saves learning them anew. Defined cases: a null text counts as empty
     (no tokens); equal rows give equal rows, as often as they come; no rows give no rows; of `keep` the columns that
     docs lacks are left out, and so are those named like a result.
     """
@@ -335,26 +388,10 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary
     taken = {c.lower() for c in results.names}
     keep = [c for c in keep if c in docs.columns and c.lower() not in taken]
     schema = T.StructType([*docs.select(keep).schema.fields, *results.fields])
+    n_keep, names = len(keep), schema.names
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(*shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(start, AT_ONCE)
-                tokens, counts, ids_sha, decoded_sha = [], [], [], []
-                for text in part.column(len(keep)).to_pylist():
-                    ids, digest = codec.encode(text), hashlib.sha256()
-                    for piece in codec.decode(ids):
-                        digest.update(piece.encode())
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                    decoded_sha.append(digest.hexdigest())
-                    if with_ids:
-                        tokens.append(ids)
-                columns = [*part.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-                if with_ids:
-                    columns.append(pa.array(tokens, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+        return _encoded(batches, shared.value, n_keep, names, with_ids, lasting)
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(encode, schema)
 

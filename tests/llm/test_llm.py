@@ -242,6 +242,22 @@ def test_bpe_forgets_and_stays_right(small, monkeypatch):
     assert len(codec.words) <= 50 and len(codec.words.old) <= 50
 
 
+def test_bpe_keeps_nothing_between_tasks(small):
+    """Workers that wait held a codec of some 300 MB each, which stopped the pipeline."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "text": r["text"]} for r in small.limit(20).collect()])
+    made = []
+    for lasting in (True, False):
+        bpe._codec.cache_clear()
+        made.append([b.to_pylist() for b in bpe._encoded([batch], bpe.default_vocabulary(), 1, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], True, lasting)])
+        assert bpe._codec.cache_info().currsize == lasting
+    assert made[0] == made[1]
+    fst = bpe.Codec(*bpe.default_vocabulary()).fst
+    fst.encode(batch.column("text")[0].as_py().encode())
+    assert all(type(s) is bytes for s in fst.states) and all(type(a) is int for a in fst.arcs.values())
+
+
 def test_quality(spark, small, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(small, labels)
