@@ -14,16 +14,17 @@ joins are broadcast (at most 1 / HEAVY of each kind), so none is hot.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchspark.llm import store
 from patchspark.llm.langid import remainder
 from patchspark.llm.shingles import blocks, mixed, words
-from patchspark.llm.store import written
+from patchspark.llm.store import discard
 
 SAMPLES, START = 3, 0
 #: Strengths of the context restaurants and of the parent.
@@ -36,6 +37,10 @@ HEAVY = 1 / 50_000
 #: A pair in at least this share of the texts (1000 at least) is met by broadcast too.
 PAIR_TEXTS = 1 / 200
 FLUSH = 3_000_000
+#: Of a file's words or contexts, which are long random numbers: those of about a million are written once each.
+DICTIONARY = 8 << 20
+
+written = partial(store.written, dictionary_bytes=DICTIONARY, drop_shuffles=True)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +239,10 @@ def fit(train: DataFrame, burn_in: int = 3) -> tuple[DataFrame, dict]:
         if sweep > burn_in:
             new = new.withColumn("ts", F.concat("ts", F.array("t")))
             draws.append((sweep, base))
-        many = written(new, "seated")
+        before, many = many, written(new, "seated")
+        if sweep > 1:
+            discard(before)
+        discard(words)
         if sweep < burn_in + SAMPLES:
             words, bases, _ = parent(many, ["t"], [(sweep, base)])
             base = bases[0]
@@ -242,10 +250,13 @@ def fit(train: DataFrame, burn_in: int = 3) -> tuple[DataFrame, dict]:
     words, _, unknown = parent(many, drawn, draws)
     back = F.transform("tables", lambda t: (s + d * t) / (s + F.col("customers")))
     contexts = written(sums(many, of_context, "context", drawn, "tables").select("context", "customers", back.alias("back")), "context-model")
+    model_words = written(words, "word-model")
+    for done in (words, of_word, of_context):
+        discard(done)
     seats = F.when(F.col("n") > 1, sum(drawn) / SAMPLES).otherwise(1.0)
     all_pairs = many.select("word", "context", "n", "ts").unionByName(pairs.where("n = 1").withColumn("ts", F.lit(None).cast("array<double>")))
     m |= {"pairs": all_pairs.select("word", "context", "n", F.greatest(F.col("n") - d * seats, F.lit(0.0)).alias("over")),
-          "contexts": contexts, "words": written(words, "word-model"), "unknown": float(np.mean(unknown)), "unknowns": unknown, "back": Back(contexts)}
+          "contexts": contexts, "words": model_words, "unknown": float(np.mean(unknown)), "unknowns": unknown, "back": Back(contexts)}
     extra = F.struct("context", (F.col("over") / (s + F.col("customers"))).alias("extra"))
     by_word = m["pairs"].join(contexts, "context").groupBy("word").agg(F.collect_list(extra).alias("c"))
     return m["words"].join(by_word, "word").select("word", "n", "p0", F.col("c.context").alias("contexts"), F.col("c.extra").alias("extra")), m

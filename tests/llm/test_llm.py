@@ -1,13 +1,15 @@
 """The numbered operators against brute force, on hand-made and on the smallest tables."""
 
 import hashlib
+import os
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, registry, secrets, suffix_dedup
+from patchspark.llm import bpe, exact_dedup, hnsw, langid, minhash, mixing, pitman_yor, quality, registry, secrets, store, suffix_dedup
 from patchspark.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -394,6 +396,32 @@ def test_pitman_yor(small, docs):
     assert pitman_yor.score(docs.limit(0), model, sums).count() == 0
 
 
+def test_pitman_yor_leaves_only_its_model(spark, small):
+    """Every sweep left its seating and the parent's behind, so the disk grew with the number of sweeps."""
+    folder = store.shared_dir(spark)
+    before = set(os.listdir(folder))
+    _, sums = pitman_yor.fit(small.select("text"))
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["context-model", "pairs", "seated", "word-model"]
+    assert all(sums[t].count() for t in ("pairs", "contexts", "words"))
+    one, two = store.written(spark.range(3), "one"), store.written(spark.range(3), "two")
+    with pytest.raises(ValueError, match="2 tables"):
+        store.discard(one.union(two))
+    store.discard(one)
+    assert two.count() == 3 and not any(x.startswith("one-") for x in os.listdir(folder))
+    store.discard(two)
+
+
+def test_written_drops_its_shuffles(spark):
+    """Shuffle files of every sweep stayed until the driver collected garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    table = store.written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "grouped", drop_shuffles=True)
+    until = time.time() + 20
+    while disk.getAllFiles().size() > before and time.time() < until:
+        time.sleep(0.2)
+    assert disk.getAllFiles().size() <= before and table.count() == 100 and spark.conf.get(store.CLEANUP, None) is None
+
+
 def test_pitman_yor_without_training_texts(spark, docs):
     model, sums = pitman_yor.fit(docs.limit(0).select("text"))
     got = pitman_yor.score(docs, model, sums).collect()
