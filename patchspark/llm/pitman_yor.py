@@ -5,11 +5,15 @@ parent, whose base is uniform over the V known words and one unknown. Customers
 each of which sends a customer to the parent. Gibbs sampling takes all customers of a pair (context, word) out and draws
 their number of tables anew, by the law that the Chinese-restaurant rule gives it if all of them eat this word: the
 weights of all seatings are generalised Stirling numbers. It is given the tables of the restaurant and the word's chance
-in the parent. Both are sums by context and by word: they are tables, joined to the pairs before each sweep and held over
+in the parent. Both are sums by context and by word, made before each sweep and held over
 within it. A pair that occurs once has one table whatever is drawn, so it counts in the sums but isn't reseated. Discounts
 are told from how many pairs, or words, were met once and twice. Predictive probabilities are averaged over the samples
-of the last sweeps, each with the tables of its own seating, so the chances in a context sum to 1. Frequent keys of the
-joins are broadcast (at most 1 / HEAVY of each kind), so none is hot.
+of the last sweeps, each with the tables of its own seating, so the chances in a context sum to 1.
+
+Pairs lie in a square of cells, a range of hashes of contexts by one of words, so that no frequent context or word lies in
+one cell: its pairs are dealt over a row or a column of cells. A cell is one row of packed arrays, and so is the list of all
+words or contexts of a range. Pairs name their word and context by place in these lists, so sums and chances go between
+cells and lists as arrays in the list's order. The number of cells goes with the length of all texts.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchspark.llm import store
 from patchspark.llm.langid import remainder
+from patchspark.llm.packed import from_gaps, gaps, pack, unpack
 from patchspark.llm.shingles import blocks, mixed, words
 from patchspark.llm.store import discard
 
@@ -32,15 +38,14 @@ CONTEXT, PARENT = 2.0, 10.0
 #: Customers and tables up to which the weights of seatings are tabulated, and numbers of a block of them.
 MOST_N, MOST_T, AT_ONCE = 2048, 512, 1_000_000
 END = np.uint64(0x243F6A8885A308D3)
-#: What has at least this share of the tokens is met by broadcast; there are at most 1 / HEAVY such words, contexts or pairs.
-HEAVY = 1 / 50_000
-#: A pair in at least this share of the texts (1000 at least) is met by broadcast too.
-PAIR_TEXTS = 1 / 200
-FLUSH = 3_000_000
-#: Of a file's words or contexts, which are long random numbers: those of about a million are written once each.
-DICTIONARY = 8 << 20
+#: Bytes of training text for each cell of pairs.
+CELL = 20_000_000
+#: Tokens and texts of a run that is sorted at once.
+FLUSH, FLUSH_TEXTS = 1_500_000, 1 << 18
+#: Over so many pieces ids are dealt on their way around the cells.
+PIECES = 4096
 
-written = partial(store.written, dictionary_bytes=DICTIONARY, drop_shuffles=True)
+written = partial(store.written, drop_shuffles=True)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,32 +63,98 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(texts)), n + 1), out, context
 
 
-def _summed(parts: list[tuple]) -> tuple:
-    """Equal keys of (key, key, ..., count) made one."""
-    *keys, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(order) else np.zeros(0, bool)
-    return *(k[new] for k in keys), np.add.reduceat(count[order], np.flatnonzero(new)) if len(order) else count
+def bucket(keys: np.ndarray, side: int) -> np.ndarray:
+    """Which of side equal ranges of hashes each key is in."""
+    return ((keys >> np.uint64(32)) * np.uint64(side) >> np.uint64(32)).astype(np.int64)
 
 
-def _counted(batches):
-    parts, held = [], 0
+def _runs(batches):
+    """(text number, word, whether its context is START, ids) of runs of texts, of FLUSH tokens at most unless one block has more."""
+    held, n, texts = [], 0, 0
 
-    def rows():
-        word, context, n = _summed([_summed(parts)])
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(context.view(np.int64)), pa.array(n)], ["word", "context", "n"])
+    def joined():
+        run = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return run
 
     for batch in batches:
-        for _, block in blocks(batch.column("text").to_pylist()):
-            _, word, context = tokens(block)
-            parts.append(_summed([(word, context, np.ones(len(word), np.int64))]))
-            held += len(parts[-1][0])
-            if held > FLUSH:
-                yield rows()
-                parts, held = [], 0
-    if parts:
-        yield rows()
+        ids = batch.column("id").to_numpy()
+        for first, block in blocks(batch.column("text").to_pylist()):
+            of, word, context = tokens(block)
+            if held and (n + len(word) > FLUSH or texts + len(block) > FLUSH_TEXTS):
+                yield joined()
+                n, texts = 0, 0
+            held.append(((of + texts).astype(np.int32), word, context == START, ids[first : first + len(block)]))
+            n, texts = n + len(word), texts + len(block)
+    if held:
+        yield joined()
+
+
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where other keys begin."""
+    if not len(sorted_keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)]))
+
+
+def _counted(c: np.ndarray, w: np.ndarray, of: np.ndarray) -> tuple:
+    """(context, word, text, count) of equal tokens, in this order, with contexts and words as numbers."""
+    bits = [int(x.max()).bit_length() for x in (c, w, of)]
+    if sum(bits) < 64:
+        key = c.astype(np.uint64)
+        for x, k in ((w, bits[1]), (of, bits[2])):
+            key <<= np.uint64(k)
+            key |= x.astype(np.uint64)
+        key.sort()
+        at, total = _starts(key), len(key)
+        key = key[at]
+        low = lambda x, k: (x & np.uint64((1 << k) - 1)).astype(np.int32)
+        c, w, of = low(key >> np.uint64(bits[1] + bits[2]), bits[0]), low(key >> np.uint64(bits[2]), bits[1]), low(key, bits[2])
+    else:
+        order = np.lexsort((of, w, c))
+        c, w, of, total = c[order], w[order], of[order], len(c)
+        at = _starts(c, w, of)
+        c, w, of = c[at], w[at], of[at]
+    return c, w, of, np.diff(np.append(at, total))
+
+
+def _local(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers below size, sorted, and the place of each of x among them."""
+    there = np.zeros(size, bool)
+    there[x] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
+
+
+def _by_cell(of: np.ndarray, word: np.ndarray, first: np.ndarray, side: int, by_text: bool):
+    """(cell, arrays) of a run's part in each cell: its words, contexts and their pairs, sorted by context and word.
+
+    n counts the pairs; with by_text it counts them in each of their texts (of), of which every pair has a number (texts).
+    """
+    words, w = np.unique(word, return_inverse=True)
+    w = w.astype(np.int32)
+    contexts = np.concatenate([np.full(1, START, np.uint64), words])  # what isn't START is the word before
+    c = np.where(first, np.int32(0), np.concatenate([w[:1], w[:-1]]) + np.int32(1))
+    c, w, of, n = _counted(c, w, of if by_text else np.zeros(len(w), np.int32))
+    small = np.uint16 if side <= 256 else np.int64
+    cell = (bucket(contexts, side) * side).astype(small)[c] + bucket(words, side).astype(small)[w]
+    order = np.argsort(cell, kind="stable")
+    ends = np.cumsum(np.bincount(cell, minlength=side * side))
+    for i in np.unique(cell):
+        part = order[ends[i - 1] if i else 0 : ends[i]]
+        own, pw = _local(w[part], len(words))
+        at = _starts(c[part], pw)
+        pc = c[part][at]
+        new = _starts(pc)
+        arrays = {"words": gaps(words[own]), "contexts": gaps(contexts[pc[new]]), "runs": np.diff(np.append(new, len(pc))), "w": pw[at]}
+        arrays |= {"texts": np.diff(np.append(at, len(part))), "of": of[part]} if by_text else {}
+        yield int(i), arrays | {"n": n[part]}
+
+
+def _table(rows: list[tuple], schema: str):
+    """The rows as a table of a schema in Spark's words."""
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    fields = pa.schema([(name, types[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)], schema=fields)
 
 
 def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
@@ -154,31 +225,6 @@ def _seed(of: np.ndarray, sweep: int) -> np.ndarray:
     return mixed(of.view(np.uint64) + np.uint64(sweep * 0xD1342543DE82EF95 & (1 << 64) - 1))
 
 
-def _reseated(batches, sweep: int, d: float):
-    """Pairs with the tables of this sweep, from the other tables of their restaurant and the word's chance in the parent."""
-    for batch in batches:
-        word, context, n, t, tables, p0 = (batch.column(c).to_numpy() for c in ("word", "context", "n", "t", "tables", "p0"))
-        others = np.maximum(tables - t, 0)  # at the first table of the dish itself d more count
-        t = _seat(n, (CONTEXT + d * (others + 1)) * p0, d, mixed(_seed(word, sweep) + context.view(np.uint64)), d * p0)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "context", "n", "ts")), pa.array(t)], ["word", "context", "n", "ts", "t"])
-
-
-def _parent_seated(batches, draws: list[tuple[int, float]], d: float):
-    """Words with their tables in the parent, for each draw (sweep, base) from the customers that it sends there."""
-    for batch in batches:
-        word, c0 = batch.column("word").to_numpy(), np.array(batch.column("c0").to_pylist(), float).reshape(-1, len(draws))
-        t0 = np.stack([_seat(c0[:, i], np.full(len(word), base), d, _seed(word, sweep)) for i, (sweep, base) in enumerate(draws)], axis=1)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(t0.ravel()), len(draws)).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "n", "c0")), lists], ["word", "n", "c0", "t0"])
-
-
-def met(df: DataFrame, table: DataFrame, on: list[str], frequent) -> DataFrame:
-    """df left joined with table; its frequent rows are broadcast, so no key of the shuffled part is hot."""
-    often = F.broadcast(table.where(frequent))
-    rare = df.join(often.select(on), on, "left_anti").join(table.where(~frequent), on, "left")
-    return df.join(often, on).unionByName(rare)
-
-
 class Back:
     """back[:, context]: what a context leaves to its parent, one number a sample; 1 where nothing was seen."""
 
@@ -193,121 +239,340 @@ class Back:
         return self.last[1][at[0]]
 
 
+CELLS, LISTS, DEALT = "cell int, data binary", "at int, data binary", "cell int, part string, data binary"
+RAW, KEYS = "cell int, data binary, once double, twice double", "at int, data binary, keys double, n double, once double, one double, two double"
+PARENTS = "at int, data binary, c0 array<double>, t0 array<double>"
+
+
+def _batches(rows, schema: str):
+    """Each row as a batch of its own: a row is large."""
+    for row in rows:
+        yield from _table([row], schema).to_batches()
+
+
+def _each(batches, key: str = "cell"):
+    for batch in batches:
+        for k, data in zip(batch.column(key).to_pylist(), batch.column("data"), strict=True):
+            yield k, unpack(data.as_py())
+
+
+def _contexts(p: dict) -> np.ndarray:
+    """The place of each pair's context among those of its cell."""
+    return np.repeat(np.arange(len(p["runs"])), p["runs"].astype(np.int64))
+
+
+def _runs_counted(batches, side: int):
+    yield from _batches(((cell, pack(**arrays)) for run in _runs(batches) for cell, arrays in _by_cell(*run[:3], side, False)), CELLS)
+
+
+def _cell_counted(key, table):
+    """The pairs of a cell from those of its runs."""
+    parts = [unpack(x) for x in table.column("data").to_pylist()]
+    both = {k: [from_gaps(p[k]) for p in parts] for k in ("words", "contexts")}
+    words, contexts = (np.unique(np.concatenate(both[k])) for k in ("words", "contexts"))
+    pair = np.concatenate([np.searchsorted(contexts, c)[_contexts(p)] * len(words) + np.searchsorted(words, w)[p["w"]] for p, w, c in zip(parts, both["words"], both["contexts"], strict=True)])
+    order = np.argsort(pair)
+    at = _starts(pair[order])
+    n = np.add.reduceat(np.concatenate([p["n"] for p in parts])[order], at)
+    c, w = np.divmod(pair[order[at]], len(words))
+    data = pack(words=gaps(words), contexts=gaps(contexts), runs=np.bincount(c, minlength=len(contexts)), w=w, n=n)
+    return _table([(key[0].as_py(), data, (n == 1).sum(), (n == 2).sum())], RAW)
+
+
+def _keys_of_cells(batches, side: int):
+    """Words and contexts of each cell with their counts, the pairs that occur once and all pairs, for the list of their range."""
+
+    def rows():
+        for cell, p in _each(batches):
+            for at, keys, of in ((cell % side, "words", p["w"].astype(np.int64)), (side + cell // side, "contexts", _contexts(p))):
+                k = len(p[keys])
+                yield at, pack(keys=p[keys], n=np.bincount(of, p["n"], k), once=np.bincount(of, p["n"] == 1, k), pairs=np.bincount(of, minlength=k))
+
+    yield from _batches(rows(), LISTS)
+
+
+def _listed(key, table):
+    """The list of all keys of a range, in order."""
+    parts = [unpack(x) for x in table.column("data").to_pylist()]
+    own = [from_gaps(p["keys"]) for p in parts]
+    keys = np.unique(np.concatenate(own))
+    sums = {k: np.zeros(len(keys), np.int64) for k in ("n", "once", "pairs")}
+    for p, x in zip(parts, own, strict=True):
+        at = np.searchsorted(keys, x)
+        for k in sums:
+            sums[k][at] += p[k].astype(np.int64)
+    stats = len(keys), sums["n"].sum(), sums["once"].sum(), (sums["pairs"] == 1).sum(), (sums["pairs"] == 2).sum()
+    return _table([(key[0].as_py(), pack(keys=gaps(keys), n=sums["n"], once=sums["once"]), *stats)], KEYS)
+
+
+def _dealt(lists: DataFrame, side: int) -> DataFrame:
+    """Each list for all cells whose pairs have keys in it: (cell, part, data)."""
+    other = lists.select("at", "data", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("other"))
+    is_word = F.col("at") < side
+    cell = F.when(is_word, F.col("other") * side + F.col("at")).otherwise((F.col("at") - side) * side + F.col("other"))
+    return other.select(cell.alias("cell"), F.when(is_word, "words").otherwise("contexts").alias("part"), "data")
+
+
+def _parts(table) -> dict:
+    return {part: unpack(data) for part, data in zip(table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True)}
+
+
+def _placed(key, cells, lists):
+    """A cell's pairs by place in the lists; and those that occur more often with their hashes, one table each."""
+    schema = "cell int, data binary, many binary"
+    if not cells.num_rows:
+        return _table([], schema)
+    p, of = unpack(cells.column("data")[0].as_py()), _parts(lists)
+    every = {k: from_gaps(of[k]["keys"]) for k in ("words", "contexts")}
+    own = {k: from_gaps(p[k]) for k in every}
+    place = {k: np.searchsorted(every[k], own[k]) for k in every}
+    w, c, n = p["w"].astype(np.int64), _contexts(p), p["n"]
+    many = n > 1
+    ws, mw = _local(w[many], len(own["words"]))
+    cs, mc = _local(c[many], len(own["contexts"]))
+    left = {"words": gaps(own["words"][ws]), "at_word": gaps(place["words"][ws]), "contexts": gaps(own["contexts"][cs]), "at_context": gaps(place["contexts"][cs]),
+            "sizes": np.array([len(every["words"]), len(every["contexts"])]), "runs": np.bincount(mc, minlength=len(cs)), "w": mw, "n": n[many], "t": np.ones(len(mw))}
+    return _table([(key[0].as_py(), pack(c=gaps(place["contexts"][c]), w=place["words"][w], n=n), pack(**left))], schema)
+
+
+def _tables(batches, side: int, drawn: list[str]):
+    """Tables of a cell's reseated pairs by word and by context, in the order of the lists."""
+
+    def rows():
+        for cell, p in _each(batches):
+            for at, size, place in ((cell % side, p["sizes"][0], from_gaps(p["at_word"])[p["w"]]), (side + cell // side, p["sizes"][1], from_gaps(p["at_context"])[_contexts(p)])):
+                yield at, pack(**{f"s{i}": np.bincount(place.astype(np.int64), p[k], int(size)) for i, k in enumerate(drawn)})
+
+    yield from _batches(rows(), LISTS)
+
+
+def _parents(key, lists, sums, side: int, draws: list[tuple[int, float]], d: float, whole: bool):
+    """Tables of all pairs by key of a list, a number a draw (sweep, base); words are seated in the parent for each."""
+    at, own = key[0].as_py(), unpack(lists.column("data")[0].as_py())
+    given = [unpack(x) for x in sums.column("data").to_pylist()]
+    out = {f"s{i}": own["once"] + sum((p[f"s{i}"] for p in given), np.zeros(len(own["once"]), np.uint64)) for i in range(len(draws))}
+    if at < side:
+        words = from_gaps(own["keys"])
+        for i, (sweep, base) in enumerate(draws):
+            out[f"t{i}"] = _seat(out[f"s{i}"].astype(float), np.full(len(words), base), d, _seed(words, sweep))
+    totals = [[float(out[f"{k}{i}"].sum()) if f"{k}{i}" in out else 0.0 for i in range(len(draws))] for k in "st"]
+    return _table([(at, pack(**out, **({"keys": own["keys"], "n": own["n"]} if whole else {})), *totals)], PARENTS)
+
+
+def _in_parent(p: dict, i: int, d: float, base: float, total: float) -> np.ndarray:
+    """The chance of each word of a list in the parent."""
+    return (p[f"s{i}"] - d * p[f"t{i}"].astype(float) + base) / (PARENT + total)
+
+
+def _reseated(key, cells, lists, sweep: int, d: float, parent: tuple[float, float, float], sample: int):
+    """A cell's pairs with the tables of this sweep, from the other tables of their restaurant and the word's chance in the parent."""
+    if not cells.num_rows:
+        return _table([], CELLS)
+    p, of = unpack(cells.column("data")[0].as_py()), _parts(lists)
+    w, c, n = p["w"].astype(np.int64), _contexts(p), p["n"].astype(np.int64)
+    p0 = _in_parent(of["words"], 0, *parent)[from_gaps(p["at_word"])][w]
+    tables = of["contexts"]["s0"].astype(float)[from_gaps(p["at_context"])][c]
+    others = np.maximum(tables - p["t"].astype(float), 0)  # at the first table of the dish itself d more count
+    seed = mixed(_seed(from_gaps(p["words"])[w], sweep) + from_gaps(p["contexts"])[c])
+    p["t"] = _seat(n, (CONTEXT + d * (others + 1)) * p0, d, seed, d * p0)
+    return _table([(key[0].as_py(), pack(**p, **({f"d{sample}": p["t"]} if sample >= 0 else {})))], CELLS)
+
+
+def _seats(batches):
+    """Tables of all samples of a cell's reseated pairs together."""
+    yield from _batches(((cell, pack(seats=sum(p[f"d{i}"] for i in range(SAMPLES)))) for cell, p in _each(batches)), CELLS)
+
+
+def _over(p: dict, seats: dict | None, d: float) -> np.ndarray:
+    """What is left of a cell's pairs above their discounts."""
+    mean = np.ones(len(p["n"]))
+    if seats:
+        mean[p["n"] > 1] = seats["seats"] / SAMPLES
+    return np.maximum(p["n"] - d * mean, 0)
+
+
+def _chances(p: dict, m: dict) -> np.ndarray:
+    """[word of a list, sample]: its chance in the parent."""
+    return np.stack([_in_parent(p, i, m["discounts"][1], m["bases"][i], m["totals"][i]) for i in range(SAMPLES)], 1)
+
+
+def _left(p: dict, m: dict) -> np.ndarray:
+    """[context of a list, sample]: what it leaves to the parent."""
+    return np.stack([(CONTEXT + m["discounts"][0] * p[f"s{i}"]) / (CONTEXT + p["n"]) for i in range(SAMPLES)], 1)
+
+
+def _as_rows(batches, names: list[str], numbers, m: dict):
+    """(key, count, numbers) of each key of the lists."""
+    for _, p in _each(batches, "at"):
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(numbers(p, m).ravel()), SAMPLES).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(from_gaps(p["keys"]).view(np.int64)), pa.array(p["n"].astype(np.int64)), lists], names)
+
+
+def _pairs_as_rows(key, model, d: float):
+    of, schema = _parts(model), "word long, context long, n long, over double"
+    if "pairs" not in of:
+        return _table([], schema)
+    p = of["pairs"]
+    keys = [from_gaps(of[k]["keys"])[at].view(np.int64) for k, at in (("words", p["w"]), ("contexts", from_gaps(p["c"])))]
+    return pa.table([*keys, p["n"].astype(np.int64), _over(p, of.get("seats"), d)], names=["word", "context", "n", "over"])
+
+
 def fit(train: DataFrame, burn_in: int = 3) -> tuple[DataFrame, dict]:
     """(word table, model) from the texts of train.
 
-    The model's tables are pairs (word, context, n, extra), contexts (context, customers, back) and words (word, n, p0),
-    with back and p0 one number a sample. The chance of a word in a context is extra (0 if the pair was not seen) + the
-    mean of back[sample] * p0[sample]. Counts cover all texts. The word table, for looking at, lists contexts and extra
-    by word and is only made if it is read. Only single numbers come to the driver.
+    The model's tables are pairs (word, context, n, over), contexts (context, customers, back) and words (word, n, p0),
+    with back and p0 one number a sample. The chance of a word in a context is over / (CONTEXT + customers), 0 if the pair
+    was not seen, + the mean of back[sample] * p0[sample]. Counts cover all texts. These tables, and the word table that
+    lists contexts and their part of the chance (extra) by word, are for looking at and made when they are read; scoring
+    uses the cells and lists that they come from. Only single numbers come to the driver.
     """
-    s, s0 = CONTEXT, PARENT
-    pairs = written(train.mapInArrow(_counted, "word long, context long, n long").groupBy("word", "context").agg(F.sum("n").alias("n")), "pairs")
-    n, once = F.sum("n"), F.count_if(F.col("n") == 1).cast("double").alias("once")
-    of_word = written(pairs.groupBy("word").agg(n.alias("n"), once), "word-counts")
-    of_context = written(pairs.groupBy("context").agg(n.alias("customers"), once), "context-counts")
-    first = of_word.agg(F.count(F.lit(1)).alias("V"), F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.coalesce(F.sum("once"), F.lit(0.0)).alias("once")).first()
-    least = max(1, first["N"] * HEAVY)
-    met_once = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
-    kinds, followed = pairs.agg(*met_once).first(), pairs.groupBy("word").count().withColumnRenamed("count", "n").agg(*met_once).first()
-    d, d0 = discount(*kinds), discount(*followed)
-    m = {"V": first["V"], "N": first["N"], "discounts": (d, d0)}
-
-    def sums(many: DataFrame, of: DataFrame, key: str, drawn: list, name: str) -> DataFrame:
-        """Tables of all pairs of a key, a number a draw."""
-        some = many.groupBy(key).agg(*(F.sum(c).alias(f"s{i}") for i, c in enumerate(drawn)))
-        every = F.array(*(F.col("once") + F.coalesce(f"s{i}", F.lit(0.0)) for i in range(len(drawn))))
-        return of.join(some, key, "left").select(key, *(c for c in ("n", "customers") if c in of.columns), every.alias(name))
-
-    def parent(many: DataFrame, drawn: list, draws: list) -> tuple[DataFrame, list, list]:
-        """Words with p0, the parent's base and the chance of the unknown, from the tables drawn."""
-        seated = written(sums(many, of_word, "word", drawn, "c0").mapInArrow(lambda b: _parent_seated(b, draws, d0), "word long, n long, c0 array<double>, t0 array<double>"), "parent")
-        k = range(len(drawn))
-        total = seated.agg(*(F.coalesce(F.sum(F.col(c)[i]), F.lit(0.0)) for c in ("c0", "t0") for i in k)).first()
-        bases = [(s0 + d0 * total[len(drawn) + i]) / (m["V"] + 1) for i in k]
-        p0 = F.array(*((F.col("c0")[i] - d0 * F.col("t0")[i] + bases[i]) / (s0 + total[i]) for i in k))
-        return seated.select("word", "n", p0.alias("p0")), bases, [bases[i] / (s0 + total[i]) for i in k]
-
-    many = pairs.where("n > 1").withColumns({"ts": F.array().cast("array<double>"), "t": F.lit(1.0)})
-    words, bases, _ = parent(many, ["t"], [(0, (s0 + d0 * m["V"]) / (m["V"] + 1))])
-    base, draws = bases[0], []
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    side = max(2, int(np.ceil(np.sqrt(size / CELL))))
+    texts = train.select(F.lit(0).cast("long").alias("id"), "text")
+    raw = written(texts.mapInArrow(lambda b: _runs_counted(b, side), CELLS).groupBy("cell").applyInArrow(_cell_counted, RAW), "counts")
+    lists = written(raw.select("cell", "data").mapInArrow(lambda b: _keys_of_cells(b, side), LISTS).groupBy("at").applyInArrow(_listed, KEYS), "lists")
+    single = lambda df, *names: [float(x or 0) for x in df.agg(*(F.sum(c) for c in names)).first()]
+    n_keys, n, once, one, two = single(lists.where(F.col("at") < side), "keys", "n", "once", "one", "two")
+    d, d0 = discount(*single(raw, "once", "twice")), discount(one, two)
+    m = {"V": int(n_keys), "N": int(n), "discounts": (d, d0), "side": side}
+    lists = lists.select("at", "data")
+
+    def meet(cells: DataFrame, dealt: DataFrame, f, schema: str) -> DataFrame:
+        return cells.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInArrow(f, schema)
+
+    def parent(seated: DataFrame, drawn: list[str], draws: list, whole: bool = False) -> tuple[DataFrame, list, list]:
+        """The lists with tables as drawn, the parent's base and its tables or customers in all."""
+        sums = seated.mapInArrow(lambda b: _tables(b, side, drawn), LISTS)
+        out = written(lists.groupBy("at").cogroup(sums.groupBy("at")).applyInArrow(lambda k, x, y: _parents(k, x, y, side, draws, d0, whole), PARENTS), "parent")
+        k = range(len(draws))
+        total = single(out.where(F.col("at") < side), *(F.col(c)[i] for c in ("c0", "t0") for i in k))
+        return out.select("at", "data"), [(PARENT + d0 * total[len(draws) + i]) / (m["V"] + 1) for i in k], total[: len(draws)]
+
+    placed = written(meet(raw.select("cell", "data"), _dealt(lists, side), _placed, "cell int, data binary, many binary"), "placed")
+    discard(raw)
+    pairs, seated = written(placed.select("cell", "data"), "pairs"), written(placed.select("cell", F.col("many").alias("data")), "seated")
+    discard(placed)
+    now, bases, totals = parent(seated, ["t"], [(0, (PARENT + d0 * m["V"]) / (m["V"] + 1))])
+    draws = []
     for sweep in range(1, burn_in + SAMPLES + 1):
-        contexts = sums(many, of_context, "context", ["t"], "tables").select("context", "customers", F.col("tables")[0].alias("tables"))
-        given = met(many, contexts, ["context"], F.col("customers") >= least).drop("customers")
-        given = met(given, words.select("word", F.col("n").alias("of_word"), F.col("p0")[0].alias("p0")), ["word"], F.col("of_word") >= least)
-        new = given.mapInArrow(lambda b, i=sweep: _reseated(b, i, d), "word long, context long, n long, ts array<double>, t double")
-        if sweep > burn_in:
-            new = new.withColumn("ts", F.concat("ts", F.array("t")))
-            draws.append((sweep, base))
-        before, many = many, written(new, "seated")
-        if sweep > 1:
-            discard(before)
-        discard(words)
+        sample = sweep - burn_in - 1
+        new = written(meet(seated, _dealt(now, side), partial(_reseated, sweep=sweep, d=d, parent=(d0, bases[0], totals[0]), sample=sample), CELLS), "seated")
+        discard(seated)
+        discard(now)
+        seated = new
+        if sample >= 0:
+            draws.append((sweep, bases[0]))
         if sweep < burn_in + SAMPLES:
-            words, bases, _ = parent(many, ["t"], [(sweep, base)])
-            base = bases[0]
-    drawn = [F.col("ts")[i] for i in range(SAMPLES)]
-    words, _, unknown = parent(many, drawn, draws)
-    back = F.transform("tables", lambda t: (s + d * t) / (s + F.col("customers")))
-    contexts = written(sums(many, of_context, "context", drawn, "tables").select("context", "customers", back.alias("back")), "context-model")
-    model_words = written(words, "word-model")
-    for done in (words, of_word, of_context):
+            now, bases, totals = parent(seated, ["t"], [(sweep, bases[0])])
+    now, m["bases"], m["totals"] = parent(seated, [f"d{i}" for i in range(SAMPLES)], draws, True)
+    words, contexts = written(now.where(F.col("at") < side), "word-model"), written(now.where(F.col("at") >= side), "context-model")
+    seats = written(seated.mapInArrow(_seats, CELLS), "seated")
+    for done in (now, seated, lists):
         discard(done)
-    seats = F.when(F.col("n") > 1, sum(drawn) / SAMPLES).otherwise(1.0)
-    all_pairs = many.select("word", "context", "n", "ts").unionByName(pairs.where("n = 1").withColumn("ts", F.lit(None).cast("array<double>")))
-    m |= {"pairs": all_pairs.select("word", "context", "n", F.greatest(F.col("n") - d * seats, F.lit(0.0)).alias("over")),
-          "contexts": contexts, "words": model_words, "unknown": float(np.mean(unknown)), "unknowns": unknown, "back": Back(contexts)}
-    extra = F.struct("context", (F.col("over") / (s + F.col("customers"))).alias("extra"))
-    by_word = m["pairs"].join(contexts, "context").groupBy("word").agg(F.collect_list(extra).alias("c"))
+    part = lambda df, name: df.select("cell", F.lit(name).alias("part"), "data")
+    m["cells"] = part(pairs, "pairs").unionByName(part(seats, "seats")).unionByName(_dealt(words, side)).unionByName(_dealt(contexts, side))
+    m["unknowns"] = [m["bases"][i] / (PARENT + m["totals"][i]) for i in range(SAMPLES)]
+    fixed = {k: m[k] for k in ("discounts", "bases", "totals")}
+    m |= {"unknown": float(np.mean(m["unknowns"])), "pairs": m["cells"].groupBy("cell").applyInArrow(lambda k, x: _pairs_as_rows(k, x, d), "word long, context long, n long, over double"),
+          "words": words.mapInArrow(lambda b: _as_rows(b, ["word", "n", "p0"], _chances, fixed), "word long, n long, p0 array<double>"),
+          "contexts": contexts.mapInArrow(lambda b: _as_rows(b, ["context", "customers", "back"], _left, fixed), "context long, customers long, back array<double>")}
+    m["back"] = Back(m["contexts"])
+    extra = F.struct("context", (F.col("over") / (CONTEXT + F.col("customers"))).alias("extra"))
+    by_word = m["pairs"].join(m["contexts"], "context").groupBy("word").agg(F.collect_list(extra).alias("c"))
     return m["words"].join(by_word, "word").select("word", "n", "p0", F.col("c.context").alias("contexts"), F.col("c.extra").alias("extra")), m
 
 
-def _occurrences(batches):
-    """A row of each text (word null) and its pairs with their counts."""
-    names = ["id", "key", "word", "context", "count"]
-    for batch in batches:
-        keys, ids = batch.column("key"), batch.column("id")
-        for first, block in blocks(batch.column("text").to_pylist()):
-            of, word, context = tokens(block)
-            k, own = len(block), keys.slice(first, len(block))
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.slice(first, k), own, none, none, pa.array(np.bincount(of, minlength=k))], names)
-            of, word, context, count = _summed([(of, word, context, np.ones(len(of), np.int64))])
-            yield pa.RecordBatch.from_arrays([ids.slice(first, k).take(pa.array(of)), own.take(pa.array(of)), pa.array(word.view(np.int64)),
-                                              pa.array(context.view(np.int64)), pa.array(count)], names)
+ASKED, ANSWERS = "cell int, block long, data binary", "block long, data binary"
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _asked(batches, side: int):
+    """The pairs of runs of texts for each cell, with their texts; and the ids of each run, by themselves under a cell below 0."""
+
+    def rows():
+        for i, (of, word, first, ids) in enumerate(_runs(batches)):
+            # told by what is in it too, so that a task that is run again on other rows isn't mixed up with what it sent before
+            digest = mixed(mixed(word + mixed(of.astype(np.uint64))).sum(keepdims=True) + mixed(ids.astype(np.uint64)).sum() + np.uint64(TaskContext.get().partitionId() << 32 | i))
+            block, cells = int(digest.view(np.int64)[0]), 0
+            unit = 34 if len(word) < 1 << 26 else 24
+            for cell, arrays in _by_cell(of, word, first, side, True):
+                yield cell, block, pack(**arrays, unit=np.array([unit]))
+                cells += 1
+            yield -1 - block % PIECES, block, pack(id=ids.view(np.uint64), tokens=np.bincount(of, minlength=len(ids)), cells=np.array([cells]), unit=np.array([unit]))
+
+    yield from _batches(rows(), ASKED)
+
+
+def _found(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each x in sorted keys, their number if it isn't there."""
+    at = np.searchsorted(keys, x)
+    there = at < len(keys)
+    there[there] = keys[at[there]] == x[there]
+    return np.where(there, at, len(keys))
+
+
+def _answered(key, asked, model, m: dict):
+    """The sums of each text over its pairs in a cell, in parts of one; ids go on as they are."""
+    asks = zip(asked.column("block").to_pylist(), asked.column("data"), strict=True)
+    if key[0].as_py() < 0:
+        return _table([(block, data.as_py()) for block, data in asks], ANSWERS)
+    of, out, none = _parts(model), [], {"keys": np.zeros(0, np.uint64), "n": np.zeros(0, np.uint64)} | {f"{k}{i}": np.zeros(0, np.uint64) for k in "st" for i in range(SAMPLES)}
+    words, contexts = of.get("words", none), of.get("contexts", none)
+    every_w, every_c = from_gaps(words["keys"]), from_gaps(contexts["keys"])
+    # what is not in the lists comes last
+    p0 = np.vstack([_chances(words, m), m["unknowns"]])
+    back, customers = np.vstack([_left(contexts, m), np.ones(SAMPLES)]), np.append(contexts["n"], 0).astype(float)
+    base = np.log10((np.append(words["n"], 0).astype(float) + 0.5) / (m["N"] + 0.5 * (m["V"] + 1)))
+    pairs, over = np.zeros(0, np.int64), np.zeros(1)
+    wide = len(every_w) + 1
+    if "pairs" in of:
+        pairs = from_gaps(of["pairs"]["c"]).astype(np.int64) * wide + of["pairs"]["w"].astype(np.int64)
+        over = np.append(_over(of["pairs"], of.get("seats"), m["discounts"][0]), 0.0)
+    del of, words, contexts
+    for block, data in asks:
+        p = unpack(data.as_py())
+        w, c = _found(every_w, from_gaps(p["words"])), _found(every_c, from_gaps(p["contexts"]))
+        w, c, text, n, unit = w[p["w"]], c[_contexts(p)], p["of"].astype(np.int64), p["n"].astype(float), 2.0 ** int(p["unit"][0])
+        chance = over[_found(pairs, c * wide + w)] / (CONTEXT + customers[c]) + sum(back[c, i] * p0[w, i] for i in range(SAMPLES)) / SAMPLES
+        score = np.log10(chance) if m["V"] else np.zeros(len(w))
+        pair = np.repeat(np.arange(len(w)), p["texts"].astype(np.int64))
+        own, at = _local(text, int(text.max()) + 1)
+        parts = {k: np.rint(np.maximum(0.0, -np.bincount(at, n * x[pair], len(own))) * unit) for k, x in (("base", base[w]), ("score", score))}
+        out.append((block, pack(of=gaps(own), known=np.bincount(at, n * (w < len(every_w))[pair], len(own)), **parts)))
+    return _table(out, ANSWERS)
+
+
+def _assembled(key, table):
+    """The texts of a run with their sums over all cells."""
+    parts = [unpack(x) for x in table.column("data").to_pylist()]
+    heads, answers = [p for p in parts if "id" in p], [p for p in parts if "id" not in p]
+    if len(heads) != 1 or len(answers) != heads[0]["cells"][0]:
+        raise RuntimeError("a run of texts came apart: its rows changed when a task was run again")
+    sums = {k: np.zeros(len(heads[0]["id"]), np.uint64) for k in ("known", "base", "score")}
+    for p in answers:
+        at = from_gaps(p["of"])
+        for k in sums:
+            sums[k][at] += p[k]
+    base, score = (0.0 - sums[k] / 2.0 ** int(heads[0]["unit"][0]) for k in ("base", "score"))
+    whole = (x.astype(np.int64) for x in (heads[0]["id"], heads[0]["tokens"], sums["known"]))
+    return pa.table([*whole, base, score], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(docs: DataFrame, model: DataFrame, m: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row of docs.
 
-    The distinct pairs of docs meet the model's tables, then the occurrences meet the pairs' chances. Defined cases: a
-    null or empty text is one END; an unknown word has what the parent keeps for it; a context that was not seen leaves
-    all to the parent; without training texts only the unknown is left, with chance 1; equal rows are scored once and
-    returned as often as they come; rows that share a doc_id are told apart by a digest of their texts; very long texts
-    are scored whole; no rows give no rows.
+    Pairs of runs of texts, with the texts they are in, meet the cells; the sums of each text meet by run. Defined cases:
+    a null or empty text is one END; an unknown word has what the parent keeps for it; a context that was not seen leaves
+    all to the parent; without training texts only the unknown is left, with chance 1; every row is scored by itself, also
+    of equal rows or rows that share a doc_id; very long texts are scored whole; no rows give no rows.
     """
-    s, least, total = CONTEXT, max(1, m["N"] * HEAVY), m["N"] + 0.5 * (m["V"] + 1)
-    last = F.lit(2**63 - 1)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    seen = written(rows.mapInArrow(_occurrences, "id long, key long, word long, context long, count long"), "tokens")
-    pairs = seen.where("word is not null").groupBy("word", "context").agg(F.count(F.lit(1)).alias("texts"))
-    asked = pairs.join(m["pairs"].select("word", "context", "over"), ["word", "context"], "left")
-    asked = met(asked, m["words"], ["word"], F.col("n") >= least)
-    asked = met(asked, m["contexts"], ["context"], F.col("customers") >= least)
-    extra = F.coalesce(F.col("over") / (s + F.col("customers")), F.lit(0.0))
-    chance = extra + sum(F.coalesce(F.col("back")[i], F.lit(1.0)) * F.coalesce(F.col("p0")[i], F.lit(m["unknowns"][i])) for i in range(SAMPLES)) / SAMPLES
-    asked = written(asked.select("word", "context", "texts", F.col("n").isNotNull().alias("is_known"), F.log10((F.coalesce("n", F.lit(0)) + 0.5) / total).alias("base"),
-                                 (F.log10(chance) if m["V"] else F.lit(0.0)).alias("score")), "chances")
-    n_texts = seen.where("word is null").count()
-    count = F.col("count")
-    of = met(seen.where("word is not null").select("id", "key", "word", "context", "count"), asked, ["word", "context"], F.col("texts") >= max(1000, n_texts * PAIR_TEXTS)).select(
-        "id", "key", F.when(F.col("is_known"), count).alias("known"), (count * F.col("base")).alias("base"), (count * F.col("score")).alias("score"))
-    whole = seen.where("word is null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("rows"), F.max("count").alias("count"))
-    sums = whole.join(of.groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score"))), ["id", "key"])
-    per = lambda c: F.col(c) / F.col("rows")
-    return sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")).select(
-        F.nullif("id", last).alias("doc_id"), F.col("count").cast("long").alias("n_tokens"), F.coalesce(per("known"), F.lit(0)).cast("long").alias("n_known"), F.lit(m["N"]).cast("long").alias("train_tokens"),
-        per("base").alias("base_score"), per("score").alias("score"))
+    last, side = F.lit(2**63 - 1), m["side"]
+    fixed = {k: m[k] for k in ("V", "N", "discounts", "bases", "totals", "unknowns")}
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).alias("text"))
+    asked = rows.mapInArrow(lambda b: _asked(b, side), ASKED)
+    answers = asked.groupBy("cell").cogroup(m["cells"].groupBy("cell")).applyInArrow(lambda k, x, y: _answered(k, x, y, fixed), ANSWERS)
+    scored = answers.groupBy("block").applyInArrow(_assembled, SCORED)
+    return scored.select(F.nullif("doc_id", last).alias("doc_id"), "n_tokens", "n_known", F.lit(m["N"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
