@@ -39,7 +39,7 @@ CONTEXT, PARENT = 2.0, 10.0
 MOST_N, MOST_T, AT_ONCE = 2048, 512, 1_000_000
 END = np.uint64(0x243F6A8885A308D3)
 #: Bytes of training text for each cell of pairs.
-CELL = 20_000_000
+CELL = 14_000_000
 #: Tokens and texts of a run that is sorted at once.
 FLUSH, FLUSH_TEXTS = 1_500_000, 1 << 18
 #: Over so many pieces ids are dealt on their way around the cells.
@@ -516,19 +516,21 @@ def _answered(key, asked, model, m: dict):
     asks = zip(asked.column("block").to_pylist(), asked.column("data"), strict=True)
     if key[0].as_py() < 0:
         return _table([(block, data.as_py()) for block, data in asks], ANSWERS)
-    of, out, none = _parts(model), [], {"keys": np.zeros(0, np.uint64), "n": np.zeros(0, np.uint64)} | {f"{k}{i}": np.zeros(0, np.uint64) for k in "st" for i in range(SAMPLES)}
-    words, contexts = of.get("words", none), of.get("contexts", none)
-    every_w, every_c = from_gaps(words["keys"]), from_gaps(contexts["keys"])
-    # what is not in the lists comes last
-    p0 = np.vstack([_chances(words, m), m["unknowns"]])
-    back, customers = np.vstack([_left(contexts, m), np.ones(SAMPLES)]), np.append(contexts["n"], 0).astype(float)
-    base = np.log10((np.append(words["n"], 0).astype(float) + 0.5) / (m["N"] + 0.5 * (m["V"] + 1)))
-    pairs, over = np.zeros(0, np.int64), np.zeros(1)
-    wide = len(every_w) + 1
-    if "pairs" in of:
-        pairs = from_gaps(of["pairs"]["c"]).astype(np.int64) * wide + of["pairs"]["w"].astype(np.int64)
-        over = np.append(_over(of["pairs"], of.get("seats"), m["discounts"][0]), 0.0)
-    del of, words, contexts
+    # one part at a time is unpacked, for memory; what is not in the lists comes last
+    packed, out = dict(zip(model.column("part").to_pylist(), model.column("data"), strict=True)), []
+    none = pack(**dict.fromkeys(("keys", "n", *(f"{k}{i}" for k in "st" for i in range(SAMPLES))), np.zeros(0)))
+    part = lambda name: unpack(packed[name].as_py() if name in packed else none)
+    p = part("words")
+    every_w, p0 = from_gaps(p["keys"]), np.vstack([_chances(p, m), m["unknowns"]])
+    base = np.log10((np.append(p["n"], np.uint64(0)).astype(float) + 0.5) / (m["N"] + 0.5 * (m["V"] + 1)))
+    p = part("contexts")
+    every_c, back, customers = from_gaps(p["keys"]), np.vstack([_left(p, m), np.ones(SAMPLES)]), np.append(p["n"], np.uint64(0)).astype(float)
+    pairs, over, wide = np.zeros(0, np.int64), np.zeros(1), len(every_w) + 1
+    if "pairs" in packed:
+        p = part("pairs")
+        over = np.append(_over(p, part("seats") if "seats" in packed else None, m["discounts"][0]), 0.0)
+        pairs = from_gaps(p["c"]).astype(np.int64) * wide + p["w"].astype(np.int64)
+    del p
     for block, data in asks:
         p = unpack(data.as_py())
         w, c = _found(every_w, from_gaps(p["words"])), _found(every_c, from_gaps(p["contexts"]))
