@@ -5,9 +5,9 @@ parent, whose base is uniform over the V known words and one unknown. Customers
 each of which sends a customer to the parent. Gibbs sampling takes all customers of a pair (context, word) out and draws
 their number of tables anew, by the law that the Chinese-restaurant rule gives it if all of them eat this word: the
 weights of all seatings are generalised Stirling numbers. It is given the tables of the restaurant and the word's chance
-in the parent. Both are sums by context and by word, made before each sweep and held over within it. A pair that occurs once has one table whatever is drawn, so it counts in the sums but isn't reseated. Discounts
-are told from how many pairs, or words, were met once and twice. Predictive probabilities are averaged over the samples
-of the last sweeps, each with the tables of its own seating, so the chances in a context sum to 1.
+in the parent. Both are sums by context and by word, made before each sweep and held over within it. A pair that occurs
+once has one table whatever is drawn, so it counts in the sums but isn't reseated. Discounts are told from how
+many pairs, or words, were met once and twice. Predictive probabilities are averaged over the samples of the last sweeps, each with the tables of its own seating, so the chances in a context sum to 1.
 
 Pairs lie in a square of cells, a range of hashes of contexts by one of words, so that no frequent context or word lies in
 one cell: its pairs are dealt over a row or a column of cells. A cell is one row of packed arrays, and so is the list of all
