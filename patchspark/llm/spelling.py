@@ -154,7 +154,8 @@ def near_words(words: DataFrame) -> DataFrame:
     a = signed.where(F.col("side") != IS_LONGER).select("key", "side", F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = signed.where(F.col("side") != SHORTER).select("key", F.col("side").alias("b_side"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     fits = ((F.col("side") == SHORTER) & (F.col("b_side") == IS_LONGER)) | ((F.col("side") == SAME_LENGTH) & (F.col("b_side") == SAME_LENGTH) & (F.col("a") < F.col("b")))
-    met = a.join(b, "key").where(fits & (F.levenshtein("a", "b", 1) == 1))
+    # signatures are many times what Spark takes the words for, so neither side is to be broadcast
+    met = a.join(b.hint("merge"), "key").where(fits & (F.levenshtein("a", "b", 1) == 1))
     # a word alone has at most one edit from the empty one
     return met.select("a", "a_n", "b", "b_n").distinct()
 
@@ -177,11 +178,11 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     ways = written(forms.where("form is not null").select("word", F.col("form").alias("root")), "ways")
     while True:
         on = ways.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        longer = written(ways.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "ways")
+        longer = written(ways.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "ways")
         ways = longer.select("word", "root")
         if not longer.where("moved").limit(1).count():
             break
-    out = words.join(forms, "word", "left").join(ways, "word", "left")
+    out = words.join(forms.hint("merge"), "word", "left").join(ways.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 

@@ -91,3 +91,11 @@ def test_partenum_loses_no_pair(k, n1, n2):
         assert (s[0] == s[1]).any()
     with pytest.raises(ValueError):
         spelling.partenum(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 2, 1, 2)
+
+
+def test_no_side_is_broadcast(spark):
+    """Spark takes what mapInArrow() gives to be as small as the words, and the words for what their files are."""
+    words = spark.createDataFrame([("banana", 9), ("banane", 1), ("bananas", 1)], "word string, n long")
+    for df in (spelling.near_words(words), spelling.variants(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
