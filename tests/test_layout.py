@@ -89,3 +89,40 @@ def test_layout_odd_groups(spark):
     assert lo.nearest(q.limit(0), laid, 2).count() == 0
     with pytest.raises(ValueError):
         lo.regress(q, laid, 0.6, 0.0)
+
+
+def test_queries_travel_once_a_zone(clustered, monkeypatch):
+    """Not once a cell: what is shuffled doesn't grow with queries times vectors."""
+    monkeypatch.setattr(lo, "CELL_NUMBERS", 600)
+    q, v = clustered
+    laid = lo.lay_out(v.where("vec_id >= 1000"), list_rows=20)
+    blocks = lo.packed(q, ["query_id"], (), "x")
+    cells, routes = laid.rows.select("cell").distinct().count(), lo.routed(blocks, laid, lo.probing(lo.LISTS)).count()
+    zones = 2 * q.sparkSession.sparkContext.defaultParallelism
+    assert routes <= zones * blocks.count() and cells > 2 * zones
+    plain = v.where("vec_id >= 1000").select("vec_id", "v")
+    close(lo.regress(q, laid, 0.6, 0.05), k.kernel_regress(q, plain, 0.6, 0.05), ["query_id"], "x_hat")
+    assert tuples(lo.nearest(q, laid, 5), "query_id", "rank", "vec_id", "d2") == tuples(k.knn_flat(q, plain, 5), "query_id", "rank", "vec_id", "d2")
+
+
+def test_pairs_of_blocks_are_not_copied(clustered):
+    """Neither side is repeated for each block of the other: no rows are generated, blocks meet where they lie."""
+    q, v = clustered
+    for df in (k.kernel_regress(q, v.select("vec_id", "v"), 0.6, 0.5, 100), k.knn_flat(q, v, 5, 100), k.knn_flat(q, v, 5, 100, on=("g",))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "CoGroups" not in plan
+
+
+def test_weights_that_dont_count_fall_away(monkeypatch):
+    r = np.random.default_rng(2)
+    y = r.normal(size=(900, 12))
+    x = 0.9 * y[:150] + 1e-3 * r.normal(size=(150, 12))
+    x[3] = 50.0
+    for sigma, scale in ((1e-3, 1), (0.3, 1), (4.0, 1), (1e-3, 1e18), (0.3, 1e-18)):
+        a, b, s = x * scale, y * scale, sigma * scale
+        logit = (2 * 0.9 * a @ b.T - 0.81 * (b * b).sum(1)[None, :]) / (2 * s * s)
+        w = np.exp(logit - logit.max(1, keepdims=True))
+        top, total, sums = k.weighed(a, b, 0.9, s)
+        assert np.allclose(top, logit.max(1), rtol=1e-9) and np.allclose(sums / total[:, None], w @ b / w.sum(1)[:, None], rtol=1e-5, atol=1e-9 * scale)
+        again = k.weighed(a, b, 0.9, s, top + 1000)[1]
+        assert sigma > 0.1 or not np.delete(again, 3).any()  # the far one is within the error
