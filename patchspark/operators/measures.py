@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchspark.functions.geometry import with_size
+from patchspark.functions.geometry import of_image, with_size
 from patchspark.operators.selection import order_statistic
 
 
@@ -52,7 +52,8 @@ def thresholded_grad(grad: DataFrame, quantile: float = 0.8) -> DataFrame:
     """
     energy = grad_energy(grad)
     q = order_statistic(energy, ["image_id"], "energy", F.bround((F.col("n") - 1) * quantile)).withColumnRenamed("energy", "q")
-    out = grad.join(energy, ["image_id", "y", "x"]).join(q, "image_id").withColumn("mask", F.col("energy") > F.col("q"))
+    out = grad.join(energy.hint("merge"), ["image_id", "y", "x"])
+    out = of_image(out, q).withColumn("mask", F.col("energy") > F.col("q"))
     shrunk = (F.col("energy") - F.col("q")) * F.col("v") / F.nullif(F.col("energy"), F.lit(0.0))
     return out.select("image_id", "c", "y", "x", F.when(F.col("mask"), shrunk).otherwise(0.0).alias("v"), "mask")
 

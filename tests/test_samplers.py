@@ -114,3 +114,22 @@ def test_settings_by_scale(spark, px, tmp_path):
 def test_warped_schedule_in_a_sampler(spark, px):
     out = arrays(sm.sample_uncond(sm.Process(spark, p=3, num_steps=3, schedule="ve"), px, 1))
     assert all(np.isfinite(a).all() and np.abs(a).max() <= 1 + 1e-9 for a in out.values())
+
+
+def test_pixels_are_not_broadcast(spark, px, monkeypatch):
+    """However small their files: a flat estimate is a few bytes and as many rows as any."""
+    monkeypatch.setattr(sm, "kept", lambda df: df)
+    p, priors = sm.Process(spark, p=3, num_steps=3), sm._same(px)
+    moved = p.moved(px.select(*sm.KEYS, "v"), px, px, priors, 2, 1, 0, 0.0)
+    for df in (moved, sm.drawn_to(px, px)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_flat_pixels_beside_their_sizes(spark, px, tmp_path):
+    """The row of an image is what is broadcast, though the file of flat pixels is the smaller one."""
+    px.select("image_id", "c", "y", "x", F.lit(0.5).alias("v")).coalesce(1).write.parquet(str(tmp_path / "flat"))
+    flat = spark.read.parquet(str(tmp_path / "flat"))
+    sizes = spark.createDataFrame([(i, 3, 4) for i in range(5000)], "image_id int, height int, width int")
+    plan = g.of_image(flat, sizes)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
